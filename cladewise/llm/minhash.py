@@ -3,8 +3,9 @@
 Each distinct shingle set is one class, so copies cost one row. Bands of the full minima give candidate
 buckets; packed low bits of the minima give a collision-corrected estimate by bit counts; what passes it is
 confirmed on full sets. Buckets are never expanded into all pairs at first: every member meets the bucket's
-first member, confirmed links are contracted, and only buckets that still hold several components are
-compared further, in blocks of bounded size, across components.
+first member, confirmed links are contracted, and where many pairs of different components are left, members
+meet other first members in further rounds. Only buckets that still hold several components are compared
+further, in blocks of bounded size, across components.
 
 Defined results: null or wordless text has an empty set and is linked with nothing; fewer words than the
 shingle length make one shingle of the whole sequence; repeated rows each get a row; an empty table gives an
@@ -28,13 +29,17 @@ WORDS = 5
 LEAST_PERCENT = 75
 #: A pair as similar as the threshold shares no band with probability (1 - 0.75**4)**32, 5 in a million.
 BANDS, ROWS = 32, 4
+#: Minima behind the estimate; the first BANDS * ROWS of them make the bands.
+PERMUTATIONS = 512
 BITS = 4
 #: Standard deviations of the estimate that a pair may lie under the threshold and still be confirmed on full sets.
 SLACK = 5.0
 #: Members of a block of a bucket.
 BLOCK = 512
+#: Rounds of other first members, as long as the pairs that are left are more than the classes.
+ROUNDS = 3
 
-_PERMS = BANDS * ROWS
+_PERMS = PERMUTATIONS
 _MULTIPLY = random_words(11, _PERMS).astype(np.uint32) | np.uint32(1)
 _ADD = random_words(12, _PERMS).astype(np.uint32)
 _BAND = random_words(13, ROWS) | np.uint64(1)
@@ -81,7 +86,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> li
     return out
 
 
-def minima(shingles: np.ndarray, step: int = 4096) -> np.ndarray:
+def minima(shingles: np.ndarray, step: int = 1024) -> np.ndarray:
     """The minima under all permutations."""
     low = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
     out = np.full(_PERMS, 0xFFFFFFFF, np.uint32)
@@ -115,7 +120,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 m = minima(s)
                 keys.append(set_key(s))
                 signs.append(packed(m).view(np.int64))
-                grouped = mix64((m.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+                grouped = mix64((m[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
                 bands.append(grouped.view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -228,6 +233,54 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
 
 
+def _linked(filled: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links that connect what any chain of confirmed links within buckets connects, and their components."""
+    sign = classes.select("key", "sign")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        both = pairs.join(sign.select(F.col("key").alias("b"), F.col("sign").alias("of_b")), "b").join(sign.select(F.col("key").alias("a"), F.col("sign").alias("of_a")), "a")
+        return both.where(estimate(F.col("of_a"), F.col("of_b")) >= least_estimate()).select("a", "b")
+
+    tested = cut(likely(filled.where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b"))))
+    links = cut(confirmed(tested, docs, classes))
+    label = cut(components(links))
+    most = classes.count()
+    for turn in range(ROUNDS + 1):
+        # A bucket of two is done; in the others, several components may be left.
+        member = filled.where("n > 2").select("slot", "key").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        first = F.min_by("key", F.xxhash64("key", F.lit(turn)))
+        mixed = cut(member.groupBy("slot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), first.alias("first")).where("lo <> hi"))
+        work = mixed.agg(F.sum(F.col("size") * F.col("size") / 2)).first()[0] or 0
+        if work <= most or turn == ROUNDS:
+            break
+        own = member.join(mixed.select("slot", "first"), "slot")
+        of_first = label.select(F.col("node").alias("first"), F.col("label").alias("other"))
+        own = own.join(of_first, "first", "left").where(F.col("label") != F.coalesce("other", "first"))
+        new = cut(likely(own.select(F.col("first").alias("a"), F.col("key").alias("b"))).join(tested, ["a", "b"], "left_anti"))
+        found = cut(confirmed(new, docs, classes))
+        tested = tested.unionByName(new)
+        if not found.limit(1).count():
+            break
+        links = links.unionByName(found)
+        label = cut(components(links))
+
+    if not work:
+        return links, label
+    size = mixed.select("slot", "size")
+    member = member.join(size, "slot").join(sign, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    pair = F.when(F.col("block") <= F.col("other"), F.struct(F.col("block").alias("x"), F.col("other").alias("y"))).otherwise(F.struct(F.col("other").alias("x"), F.col("block").alias("y")))
+    item = F.struct("key", "label", "sign")
+    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("pair", pair)
+    dealt = dealt.groupBy("slot", "pair").agg(F.collect_list(F.when(F.col("block") == F.col("pair.x"), item)).alias("one"), F.collect_list(F.when(F.col("block") == F.col("pair.y"), item)).alias("two"))
+    more = dealt.select("one", "two", (F.col("pair.x") == F.col("pair.y")).alias("same")).mapInArrow(_across, "a binary, b binary").distinct()
+    found = cut(confirmed(cut(more.join(tested, ["a", "b"], "left_anti")), docs, classes))
+    if found.limit(1).count():
+        links = links.unionByName(found)
+        label = cut(components(links))
+    return links, label
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id that can be reached), kept, n_links (confirmed links of its class)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -238,26 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = slots.groupBy("slot").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1")
     filled = staged(slots.join(buckets, "slot"), "buckets")
 
-    sign = classes.select("key", "sign")
-    stars = filled.where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    stars = stars.join(sign.select(F.col("key").alias("b"), F.col("sign").alias("of_b")), "b").join(sign.select(F.col("key").alias("a"), F.col("sign").alias("of_a")), "a")
-    stars = cut(stars.where(estimate(F.col("of_a"), F.col("of_b")) >= least_estimate()).select("a", "b"))
-    links = cut(confirmed(stars, docs, classes))
-    found = cut(components(links))
-
-    # Buckets of three or more that still hold several components: all pairs across components, block by block.
-    labelled = filled.where("n > 2").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = labelled.groupBy("slot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("slot", "size")
-    member = labelled.join(mixed, "slot").join(sign, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    pair = F.when(F.col("block") <= F.col("other"), F.struct(F.col("block").alias("x"), F.col("other").alias("y"))).otherwise(F.struct(F.col("other").alias("x"), F.col("block").alias("y")))
-    item = F.struct("key", "label", "sign")
-    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("pair", pair)
-    dealt = dealt.groupBy("slot", "pair").agg(F.collect_list(F.when(F.col("block") == F.col("pair.x"), item)).alias("one"), F.collect_list(F.when(F.col("block") == F.col("pair.y"), item)).alias("two"))
-    more = dealt.select("one", "two", (F.col("pair.x") == F.col("pair.y")).alias("same")).mapInArrow(_across, "a binary, b binary").distinct()
-    more = cut(more.join(stars, ["a", "b"], "left_anti"))
-    later = cut(confirmed(more, docs, classes)) if more.limit(1).count() else more
-    links = links.unionByName(later)
-    label = components(links) if later.limit(1).count() else found
+    links, label = _linked(filled, classes, docs)
 
     named = classes.select("key", "class_id").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
