@@ -2,23 +2,66 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import bpe, minhash, mixing, quality, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken."""
+    return mixing.sizes(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def _span_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for text, ranges in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            data = text.as_py().encode()
+            runs = suffix.merged(ranges)
+            kept = suffix.kept_bytes(data, runs)
+            out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    found = suffix.marked(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("id", "text", "ranges")
+    return found.mapInArrow(_span_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, n_links."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    docs = _table(spark, sf_dir, "documents")
+    ranker = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, ranker).withColumn("held_out", quality.held_out()).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mix_sources": op4_mix_sources,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_byte_level_bpe": op7_byte_level_bpe,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_quality_ranking": op10_quality_ranking,
 }
 
 #: DuckDB SQL over whole tables, where SQL can express the operator.
