@@ -9,18 +9,33 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, quality, suffix
+from . import bpe, chat, html, minhash, mixing, planes, quality, suffix, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, speaker, segment, offset, n_turns, text, masks."""
+    return chat.flat(chat.perspectives(_table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
+def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    return webp.features(webp.write_media(webp.media(_table(spark, sf_dir, "documents"))))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
     return mixing.sizes(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
 def _span_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -49,6 +64,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32."""
+    return planes.read(planes.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     docs = _table(spark, sf_dir, "documents")
@@ -57,12 +77,16 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_perspectives": op1_chat_perspectives,
+    "op3_lossless_webp": op3_lossless_webp,
     "op4_mix_sources": op4_mix_sources,
+    "op5_html_main_text": op5_html_main_text,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_byte_level_bpe": op7_byte_level_bpe,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_token_planes": op9_token_planes,
     "op10_quality_ranking": op10_quality_ranking,
 }
 
 #: DuckDB SQL over whole tables, where SQL can express the operator.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_chat_perspectives": chat.ORACLE}
