@@ -24,8 +24,8 @@ VIEWS = {
     # Mapped reads: one sample for each nation; places on a day axis; sequences from few keys, so that they repeat.
     "v_reads": f"""SELECT sample, name, first_pos, last_pos, {_LETTERS} AS seq, q FROM (
         SELECT 'S' || CAST(c_nationkey AS @text) AS sample, CAST(l_orderkey AS @text) || '_' || CAST(l_linenumber AS @text) AS name,
-               @day(l_shipdate) AS first_pos, @day(l_shipdate) + CAST(l_quantity AS BIGINT) + 40 AS last_pos,
-               l_partkey % 7 * 4097 + l_partkey % 61 AS k, CAST(floor(l_discount * 100 + 0.5) AS BIGINT) + CAST(floor(l_tax * 100 + 0.5) AS BIGINT) AS q
+               @day(l_shipdate) AS first_pos, @day(l_shipdate) + CAST(l_quantity AS BIGINT) + 130 AS last_pos,
+               l_partkey % 5 * 4097 + l_partkey % 6 AS k, CAST(floor(l_discount * 100 + 0.5) AS BIGINT) + CAST(floor(l_tax * 100 + 0.5) AS BIGINT) AS q
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey)""",
     "v_windows": "SELECT CAST(i AS BIGINT) AS window_id, CAST(1 + i * 61 AS BIGINT) AS w_start, CAST(90 + i * 61 AS BIGINT) AS w_end FROM @range(0, 40)",
     # Hosts of trees: one tree for each window, present hosts with tips and reads.
