@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, minhash, mixing, planes, quality, suffix, webp
+from . import bpe, chat, html, minhash, mixing, planes, quality, suffix, wand, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.flat(chat.perspectives(_table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
 
 
+def op2_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query, rank, doc_id, score: the ten best documents for each whole document whose id is divisible by 20."""
+    docs = _table(spark, sf_dir, "documents")
+    return wand.search(docs, docs.where("doc_id % 20 = 0")).withColumnRenamed("id", "doc_id")
+
+
 def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
     return webp.features(webp.write_media(webp.media(_table(spark, sf_dir, "documents"))))
@@ -78,6 +84,7 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
+    "op2_block_max_wand": op2_block_max_wand,
     "op3_lossless_webp": op3_lossless_webp,
     "op4_mix_sources": op4_mix_sources,
     "op5_html_main_text": op5_html_main_text,
