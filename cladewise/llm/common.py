@@ -32,6 +32,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of ids for each partition of a small intermediate result.
+ROWS = 100_000
+
+
+def partitions(rows: int) -> int:
+    """Partitions for so many rows of ids: results that have shrunk don't keep a large table's partitions."""
+    return max(6, -(-rows // ROWS))
+
+
+def cut_small(df: DataFrame) -> DataFrame:
+    """cut(), with as many partitions as the rows need."""
+    df = cut(df)
+    return df.coalesce(partitions(df.count()))
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back; for large intermediate results that are read more than once."""
     path = f"{shared_folder(df.sparkSession)}/cladewise-{label}-{uuid.uuid4().hex}"

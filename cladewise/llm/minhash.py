@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, chunks, cut, mix64, random_words, staged, text_bytes
+from .common import Powers, chunks, cut, cut_small, mix64, partitions, random_words, staged, text_bytes
 
 WORDS = 5
 LEAST_PERCENT = 75
@@ -168,14 +168,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([keys[a + i] for i in own], pa.binary()), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))], names=["key", "shingles"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
+def full_sets(keys: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """key and shingles of the classes in keys, from one of their documents each; texts are shuffled once."""
+    holders = classes.join(keys.distinct(), "key").select("key", "class_id")
+    texts = docs.select(F.col("id").alias("doc"), "text")
+    full = texts.join(holders, texts.doc.eqNullSafe(holders.class_id)).select("key", "text").mapInArrow(_sets, "key binary, shingles array<long>")
+    # An id that the input repeats gives its set more than once.
+    return staged(full.dropDuplicates(["key"]), "sets")
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """Of pairs (a, b) of keys those whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    holders = classes.join(wanted, "key").select("key", "class_id")
-    texts = docs.select(F.col("id").alias("class_id"), "text")
-    full = texts.join(holders, texts.class_id.eqNullSafe(holders.class_id)).select("key", "text").mapInArrow(_sets, "key binary, shingles array<long>")
-    # Repeated rows of one text come from one id only if the input repeats them; one of them is enough.
-    full = staged(full.dropDuplicates(["key"]), "sets")
     both = (
         pairs.join(full.select(F.col("key").alias("b"), F.col("shingles").alias("of_b")), "b")
         .join(full.select(F.col("key").alias("a"), F.col("shingles").alias("of_a")), "a")
@@ -190,19 +193,21 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; every step is a grouped minimum and a join, so no node's
     neighbours ever meet in one task's memory.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
+    edges = cut_small(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    before, n = None, partitions(edges.count())
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(edges.join(least, "a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        # One pass over both directions: larger neighbours, and the node itself, hang on the least one.
+        large = both.join(least, "a").select(F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = large.coalesce(n).distinct().coalesce(n)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct())
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        edges = cut(small.where("a <> b").coalesce(n).distinct().coalesce(n))
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
-            return edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+            own = edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
+            return own.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()).coalesce(2 * n)
         before = now
 
 
@@ -242,28 +247,32 @@ def _linked(filled: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[Dat
         both = pairs.join(sign.select(F.col("key").alias("b"), F.col("sign").alias("of_b")), "b").join(sign.select(F.col("key").alias("a"), F.col("sign").alias("of_a")), "a")
         return both.where(estimate(F.col("of_a"), F.col("of_b")) >= least_estimate()).select("a", "b")
 
-    tested = cut(likely(filled.where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b"))))
-    links = cut(confirmed(tested, docs, classes))
-    label = cut(components(links))
+    full = full_sets(filled.select("key"), docs, classes)
+    tested = cut_small(likely(filled.where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b"))))
+    links = cut_small(confirmed(tested, full))
+    label = cut_small(components(links))
     most = classes.count()
     for turn in range(ROUNDS + 1):
         # A bucket of two is done; in the others, several components may be left.
         member = filled.where("n > 2").select("slot", "key").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         first = F.min_by("key", F.xxhash64("key", F.lit(turn)))
-        mixed = cut(member.groupBy("slot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), first.alias("first")).where("lo <> hi"))
+        mixed = cut_small(member.groupBy("slot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), first.alias("first")).where("lo <> hi"))
         work = mixed.agg(F.sum(F.col("size") * F.col("size") / 2)).first()[0] or 0
+        # Buckets only ever get fewer components, so their members and sets are all that later steps need.
+        filled = cut_small(filled.where("n > 2").join(mixed.select("slot"), "slot", "left_semi"))
+        full = staged(full.join(filled.select("key").distinct(), "key", "left_semi").coalesce(partitions(filled.count())), "sets")
         if work <= most or turn == ROUNDS:
             break
         own = member.join(mixed.select("slot", "first"), "slot")
         of_first = label.select(F.col("node").alias("first"), F.col("label").alias("other"))
         own = own.join(of_first, "first", "left").where(F.col("label") != F.coalesce("other", "first"))
-        new = cut(likely(own.select(F.col("first").alias("a"), F.col("key").alias("b"))).join(tested, ["a", "b"], "left_anti"))
-        found = cut(confirmed(new, docs, classes))
+        new = cut_small(likely(own.select(F.col("first").alias("a"), F.col("key").alias("b"))).join(tested, ["a", "b"], "left_anti"))
+        found = cut_small(confirmed(new, full))
         tested = tested.unionByName(new)
         if not found.limit(1).count():
             break
         links = links.unionByName(found)
-        label = cut(components(links))
+        label = cut_small(components(links))
 
     if not work:
         return links, label
@@ -274,10 +283,10 @@ def _linked(filled: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[Dat
     dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("pair", pair)
     dealt = dealt.groupBy("slot", "pair").agg(F.collect_list(F.when(F.col("block") == F.col("pair.x"), item)).alias("one"), F.collect_list(F.when(F.col("block") == F.col("pair.y"), item)).alias("two"))
     more = dealt.select("one", "two", (F.col("pair.x") == F.col("pair.y")).alias("same")).mapInArrow(_across, "a binary, b binary").distinct()
-    found = cut(confirmed(cut(more.join(tested, ["a", "b"], "left_anti")), docs, classes))
+    found = cut_small(confirmed(cut_small(more.join(tested, ["a", "b"], "left_anti")), full))
     if found.limit(1).count():
         links = links.unionByName(found)
-        label = cut(components(links))
+        label = cut_small(components(links))
     return links, label
 
 
