@@ -85,7 +85,7 @@ def _summary(cond):
 _D = CATS.split(",\ne AS")[0]
 add("transmission_summary", f"WITH {_D}{_summary('adjacent AND dist < 0.06')} SELECT * FROM su", lambda s, d: R.summary(pairs(s, d), 1, 0.06))
 add("transmission_summary_close_siblings", f"WITH {_D}{_summary(chr(99) + 'ontiguous AND (dist < 0.03 OR ancestry <> ' + chr(39) + 'noAncestry' + chr(39) + ')')} SELECT * FROM su", lambda s, d: R.summary(pairs(s, d), 1, 0.03, close_sib_only=True, contiguous=True))
-_TEXT = "regexp_replace(regexp_replace(CAST(CAST(round_even({x}, 2) AS DECIMAL(20,2)) AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+_TEXT = "regexp_replace(regexp_replace(CAST(CAST(round_even(round(({x}) * 1000, 6) / 10, 0) / 100 AS DECIMAL(20,2)) AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
 _ARROW = "SELECT CASE WHEN shown AND total_12 <= total_21 THEN host_2 ELSE host_1 END AS host_1, CASE WHEN shown AND total_12 <= total_21 THEN host_1 ELSE host_2 END AS host_2, shown AS arrow, CASE WHEN shown THEN " + _TEXT.replace("{x}", "greatest(total_12, total_21) / TT") + " || '/' ELSE '' END || " + _TEXT.replace("{x}", "total / TT") + " AS label FROM (SELECT *, (total_12 >= AT * TT OR total_21 >= AT * TT) AS shown FROM (SELECT *, total_12 + total_21 + total_equiv AS total FROM wi) a) b"
 add("simplified_summary", f"""WITH {_D}{_summary('adjacent AND dist < 0.06')}, wi AS (SELECT least(host_1, host_2) AS host_1, greatest(host_1, host_2) AS host_2,
   coalesce(sum(CASE WHEN ancestry IN ('trans', 'multiTrans') AND host_1 < host_2 THEN ancestry_tree_count END), 0) AS total_12, coalesce(sum(CASE WHEN ancestry IN ('trans', 'multiTrans') AND host_1 > host_2 THEN ancestry_tree_count END), 0) AS total_21,
