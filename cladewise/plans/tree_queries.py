@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import blacklist as B
+from ..operators import rooting as G
 from ..operators import trees as T
 from .relation_queries import rounded
 from .views import oracle, view
@@ -68,6 +69,7 @@ def _level(k: int) -> str:
 
 add("parsimony_root_costs", f"WITH nd AS (SELECT * FROM {{v_nodes}} n WHERE tree_id > 0 AND (SELECT count(*) FROM {{v_nodes}} t WHERE t.tree_id = n.tree_id) = 63){_LEVEL}{''.join(_level(k) for k in range(5, 0, -1))} SELECT tree_id, round(c, 9) AS root_cost FROM c1 WHERE h = 'unassigned'",
     lambda s, d: (lambda n: rounded(T.reconstructed(n.join(n.groupBy("tree_id").agg(F.count("*").alias("c")).where("c = 63"), "tree_id", "left_semi")), "root_cost").where("node = 1").select("tree_id", "root_cost"))(nodes(s, d).where("tree_id > 0")))
+add("trees_rooted", None, lambda s, d: rounded(G.processed(nodes(s, d), nodes(s, d).where("is_tip").groupBy("tree_id").agg(F.min("node").alias("outgroup")), nodes(s, d).where("is_tip and node % 9 = 4").select("tree_id", F.col("node").alias("drop"))), "edge_length"))
 add("parsimony_states", None, lambda s, d: rounded(T.reconstructed(nodes(s, d), "s", 2.0, 0.002), "root_cost"))
 add("continuation_states", None, lambda s, d: rounded(T.reconstructed(nodes(s, d), "f", 0.05, 5.0), "root_cost"))
 add("majority_states", None, lambda s, d: T.reconstructed(nodes(s, d), "r").select("tree_id", "node", "state", "split", "first"))

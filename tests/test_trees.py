@@ -99,3 +99,31 @@ def test_posterior_recovers_flows():
     share = np.exp(flow) / np.exp(flow).sum(axis=1, keepdims=True)
     assert np.allclose(share.mean(axis=0), obs / obs.sum(), atol=0.03) and accepted == 1.0
     assert 300 < W.effective_size(np.random.default_rng(1).normal(size=500)) <= 700
+
+
+def test_rooting_and_pruning_keep_distances():
+    from cladewise.operators import rooting as G
+
+    def far(rows, a, b):
+        up = {}
+        d, n = 0.0, a
+        while n is not None:
+            up[n] = d
+            d, n = d + rows[n][1], rows[n][0]
+        d, n = 0.0, b
+        while n not in up:
+            d, n = d + rows[n][1], rows[n][0]
+        return d + up[n]
+
+    for seed in range(20):
+        t = tree(seed)
+        rows = {t.id[i]: (None if t.parent[i] < 0 else t.id[t.parent[i]], t.length[i]) for i in range(len(t.id))}
+        tips = [t.id[i] for i in range(len(t.id)) if t.tip[i]]
+        new = G.rerooted(rows, tips[0])
+        root = next(n for n, (p, _) in new.items() if p is None)
+        assert new[tips[0]][0] == root
+        less = G.pruned(new, tips[1:3])
+        for x, kept in ((new, tips), (less, [n for n in tips if n not in tips[1:3]])):
+            assert {n for n in x if n in tips} == set(kept)
+            for a, b in itertools.combinations(kept, 2):
+                assert np.isclose(far(x, a, b), far(rows, a, b))
