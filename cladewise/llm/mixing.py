@@ -45,13 +45,13 @@ def quality_of(text: Column) -> Column:
     return F.when(n > 0, 0.1 + 0.9 * small / n).otherwise(F.lit(0.1))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: Column | None = None, seed: int = SEED) -> DataFrame:
-    """docs with _size, _key and _bin; one scan. Names that docs has already are not clobbered: see `mix`."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, seed: int, *more: Column) -> DataFrame:
+    """id, source, size, _key, _bin and what more is asked for; one scan."""
     text = F.col(text_col)
     # 53 bits of a hash, never 0 or 1.
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), text), 11).cast("double") + 0.5) / F.lit(float(2**53))
     weight = quality_of(text) if weight is None else F.greatest(F.coalesce(weight, F.lit(0.0)), F.lit(1e-9))
-    out = docs.select("*", size_of(text).alias("_size"), (-F.log(u) / weight).alias("_key"))
+    out = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text).alias("size"), (-F.log(u) / weight).alias("_key"), *more)
     return out.withColumn("_bin", F.floor(F.lit(float(BINS)) * (1 - F.exp(-F.col("_key")))).cast("int"))
 
 
@@ -72,9 +72,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total: float =
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(rows, cuts). rows: id, source, size, _key, _bin, _n, staged without texts. cuts, one row for each source: source_size, target, epochs, and the last (_key, _id_hash) of the fraction."""
-    rows = keyed(docs, id_col, text_col, weight, seed).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col("_size").alias("size"), "_key", "_bin")
-    rows = staged(rows, "mix")
+    """(rows, cuts). rows: id, source, size, _key, _bin, staged without texts. cuts, one row for each source: source_size, target, epochs, and where the fraction ends (end_bin, last_key)."""
+    rows = staged(keyed(docs, id_col, text_col, source_col, weight, seed), "mix")
     return rows, cuts(rows, weights, total, most)
 
 
@@ -117,6 +116,5 @@ def sizes(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
     """The mixed rows themselves, with docs' columns: a row that is taken twice comes twice."""
     _, cut = plan(docs, id_col, text_col, source_col, seed=seed, **options)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    rows = keyed(whole, "id", "text", options.get("weight"), seed)
+    rows = keyed(docs, id_col, text_col, source_col, options.get("weight"), seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return taken(rows, cut).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
