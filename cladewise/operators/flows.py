@@ -94,13 +94,14 @@ def imputed(rows: DataFrame, column: str, *by: str) -> DataFrame:
 # -- sampling ----------------------------------------------------------------------------------------------
 
 
-def flow_posterior(obs: np.ndarray, source: np.ndarray, recipient: np.ndarray, prior: list[np.ndarray], steps: int, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+def flow_posterior(obs: np.ndarray, source: np.ndarray, recipient: np.ndarray, prior: list[np.ndarray], steps: int, seed: int, joint: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
     """Metropolis within Gibbs. Counts are Poisson with rate flow * xi_source * xi_recipient; flows have Gamma(0.8 / n, b) priors.
 
     obs: counts by pair; source, recipient: sampling categories of the pairs; prior: draws of each category's
     sampling probability. Odd steps propose one category's probability from its prior and weigh it by the
-    likelihood of all pairs it takes part in, even steps draw the flows. Returns log flows and probabilities by
-    step, and the share of proposals that were accepted.
+    likelihood of all pairs it takes part in, even steps draw the flows. joint: the probability and its pairs' flows
+    are proposed together, the flows from their conditional, so that the ratio has the flows integrated out.
+    Returns log flows and probabilities by step, and the share of proposals that were accepted.
     """
     rng, n = np.random.default_rng(seed), len(obs)
     xi = np.array([p[rng.integers(len(p))] for p in prior])
@@ -123,16 +124,23 @@ def flow_posterior(obs: np.ndarray, source: np.ndarray, recipient: np.ndarray, p
             new[c] = prior[c][rng.integers(len(prior[c]))]
             t = touch[c]
             was, now = (x[source[t]] * x[recipient[t]] for x in (xi, new))
-            gain = (obs[t] * (np.log(now) - np.log(was)) - np.exp(log_flow[t]) * (now - was)).sum()
+            gain = (obs[t] * (np.log(now) - np.log(was))).sum()
+            if joint:
+                gain -= ((shape + obs[t]) * (np.log(rate + now) - np.log(rate + was))).sum()
+            else:
+                gain -= (np.exp(log_flow[t]) * (now - was)).sum()
             tried += 1
             if np.log(rng.random()) < gain:
                 xi, accepted = new, accepted + 1
-            log_flow = flows()
-        kept.append(log_flow), kept_xi.append(xi.copy())
+                if joint:
+                    log_flow[t] = flows()[t]
+            if not joint:
+                log_flow = flows()
+        kept.append(log_flow.copy()), kept_xi.append(xi.copy())
     return np.array(kept), np.array(kept_xi), accepted / max(1, tried)
 
 
-def flow_draws(obs: DataFrame, prior: DataFrame, chains: int = 4, steps: int = 200, seed: int = 42) -> DataFrame:
+def flow_draws(obs: DataFrame, prior: DataFrame, chains: int = 4, steps: int = 200, seed: int = 42, joint: bool = False) -> DataFrame:
     """Posterior draws: chain, sample, source, recipient, value (log flow), accepted. Chains run side by side.
 
     obs (source, recipient, obs) and prior (category, p) are a study's category tables: pairs of population
@@ -146,7 +154,7 @@ def flow_draws(obs: DataFrame, prior: DataFrame, chains: int = 4, steps: int = 2
         draws = {c: np.sort(g["x"].to_numpy()) for c, g in part[part["kind"] == 1].groupby("source")}
         names = sorted(draws)
         code = {c: i for i, c in enumerate(names)}
-        flow, _, accepted = flow_posterior(pairs["x"].to_numpy(), pairs["source"].map(code).to_numpy(), pairs["recipient"].map(code).to_numpy(), [draws[c] for c in names], steps, seed + int(group[0]))
+        flow, _, accepted = flow_posterior(pairs["x"].to_numpy(), pairs["source"].map(code).to_numpy(), pairs["recipient"].map(code).to_numpy(), [draws[c] for c in names], steps, seed + int(group[0]), joint)
         n = len(pairs)
         return pd.DataFrame({"chain": int(group[0]), "sample": np.repeat(np.arange(1, steps + 1), n), "source": np.tile(pairs["source"].to_numpy(), steps), "recipient": np.tile(pairs["recipient"].to_numpy(), steps), "value": flow.reshape(-1), "accepted": accepted})
 

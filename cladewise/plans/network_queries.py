@@ -73,3 +73,4 @@ add("age_bands", "SELECT CAST(floor(p_size / 5) * 5 AS BIGINT) AS band, count(*)
 add("mean_imputed", "SELECT c_custkey, round(coalesce(x, avg(x) OVER (PARTITION BY c_mktsegment), avg(x) OVER ()), 9) AS x FROM (SELECT *, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS x FROM customer) q",
     lambda s, d: rounded(W.imputed(view(s, d, "customer").withColumn("x", F.when(F.col("c_custkey") % 4 > 0, F.col("c_acctbal"))), "x", "c_mktsegment"), "x").select("c_custkey", "x"))
 add("flow_posterior", None, lambda s, d: rounded(W.flow_draws(view(s, d, "v_dobs"), view(s, d, "customer").select(F.col("c_mktsegment").alias("category"), (0.2 + (F.col("c_custkey") % 50) / 100).alias("p")).distinct(), 2, 60), "value"))
+add("flow_posterior_joint", None, lambda s, d: rounded(W.flow_draws(view(s, d, "v_dobs"), view(s, d, "customer").select(F.col("c_mktsegment").alias("category"), (0.2 + (F.col("c_custkey") % 50) / 100).alias("p")).distinct(), 2, 60, joint=True), "value"))

@@ -98,6 +98,14 @@ def test_posterior_recovers_flows():
     flow, _, accepted = W.flow_posterior(obs, np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1]), [np.full(50, 0.6), np.full(50, 0.6)], 400, 1)
     share = np.exp(flow) / np.exp(flow).sum(axis=1, keepdims=True)
     assert np.allclose(share.mean(axis=0), obs / obs.sum(), atol=0.03) and accepted == 1.0
+    prior = [np.linspace(0.3, 0.9, 60), np.linspace(0.5, 0.7, 60)]
+    flow, _, accepted = W.flow_posterior(obs, np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1]), prior, 3000, 2, joint=True)
+    share = (np.exp(flow) / np.exp(flow).sum(axis=1, keepdims=True))[500:].mean(axis=0)
+    # With a rate near 0 the counts say nothing about the probabilities alone: these follow their priors.
+    rng = np.random.default_rng(3)
+    x, y = rng.choice(prior[0], 4000), rng.choice(prior[1], 4000)
+    want = rng.gamma(obs + 0.2, size=(4000, 4)) / np.column_stack([x * x, x * y, x * y, y * y])
+    assert accepted > 0.9 and np.allclose(share, (want / want.sum(axis=1, keepdims=True)).mean(axis=0), atol=0.03)
     assert 300 < W.effective_size(np.random.default_rng(1).normal(size=500)) <= 700
 
 
