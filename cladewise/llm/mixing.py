@@ -67,7 +67,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total: float =
     # With all sources before this one at their caps, the rest share what is left; the level is right where it doesn't reach the next cap.
     left = F.sum("source_size").over(all_rows) * F.lit(float(min(total, most))) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
     ranked = ranked.withColumn("_level", left / F.sum("_w").over(after))
-    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(all_rows)
+    ranked = ranked.withColumn("_rank", F.row_number().over(order))
+    level = F.min_by("_level", F.when(F.col("_level") <= F.col("_ratio"), F.col("_rank"))).over(all_rows)
     return ranked.select("source", "source_size", F.when(level.isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), level * F.col("_w"))).alias("target"))
 
 

@@ -54,6 +54,17 @@ def test_targets_and_whole_epochs(spark):
     assert again == {i: r.taken for i, r in got.items()}
 
 
+def test_targets_of_many_shapes(spark):
+    rng = random.Random(8)
+    for n in (1, 2, 5, 20, 23):
+        for spread in (1, 10, 1000):
+            own = {f"s{i:02d}": rng.randrange(20, 21 + 20 * spread) for i in range(n)}
+            df = spark.createDataFrame(list(own.items()), "source string, source_size long")
+            want = water(own)
+            for r in mixing.targets(df).collect():
+                assert math.isclose(r.target, want[r.source], rel_tol=1e-9), (n, spread, r)
+
+
 def test_fraction_is_the_smallest_keys(spark):
     _, df = frame(spark)
     rows, cut = mixing.plan(df)
