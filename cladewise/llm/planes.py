@@ -35,7 +35,7 @@ BLOCK = 1 << 16
 #: Ids of a shard, apart from its last document.
 SHARD = 1 << 20
 END = 2
-CACHE = 300_000
+CACHE = 600_000
 _MAGIC, _NULL = b"CWPLANE1", -(1 << 63)
 _HEAD = struct.Struct("<8sBIQI")
 #: Blanks between which the tokenizer's merges never reach.
@@ -119,9 +119,25 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end], np.uint32).tobytes()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Whether an id ends a word.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.stretches: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def _one_by_one(self, parts: list[str]) -> dict[str, bytes]:
+        return {p: np.array(e.ids, np.uint32).tobytes() for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True)}
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Words in one text: each word's last id, and no other, ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) != len(words) or stop[-1] != len(ids):
+            return self._one_by_one(words)
+        raw, edge = ids.tobytes(), [0, *(4 * stop).tolist()]
+        return {w: raw[a:b] for w, a, b in zip(words, edge, edge[1:])}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and the end id, as 32-bit words."""
         if len(self.stretches) > CACHE:
@@ -131,10 +147,13 @@ class Encoder:
         stretches, parts = self.stretches, self.parts
         split = [_CHUNK.findall(t) if t else [] for t in texts]
         new = list({s for x in split for s in x if s not in stretches})
-        pieces = [_PART.findall(s.lower()) if _PLAIN.fullmatch(s) else [s] for s in new]
-        fresh = list({p for x in pieces for p in x if p not in parts})
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            parts[p] = np.array(e.ids, np.uint32).tobytes()
+        plain = [bool(_PLAIN.fullmatch(s)) for s in new]
+        pieces = [_PART.findall(s.lower()) if ok else [s] for s, ok in zip(new, plain, strict=True)]
+        words = list({p for x, ok in zip(pieces, plain, strict=True) if ok for p in x if p not in parts})
+        for at in range(0, len(words), 4096):
+            parts.update(self._words(words[at : at + 4096]))
+        other = list({x[0] for x, ok in zip(pieces, plain, strict=True) if not ok and x[0] not in parts})
+        parts.update(self._one_by_one(other))
         for s, x in zip(new, pieces, strict=True):
             stretches[s] = parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])
         return [b"".join([*[stretches[s] for s in x], self.end]) for x in split]
