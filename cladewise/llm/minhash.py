@@ -211,7 +211,12 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of a bucket, each member with its likeliest partner in another component."""
+    return _across(batches, True)
+
+
+def _across(batches: Iterator[pa.RecordBatch], likeliest: bool = False) -> Iterator[pa.RecordBatch]:
     """Pairs of two blocks of a bucket, across components, whose estimate is high enough."""
     least, chance = least_estimate(), 1.0 / (1 << BITS)
     ones = np.uint64(sum(1 << k for k in range(0, 64, BITS)))
@@ -232,7 +237,10 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(BITS.bit_length() - 1):
                     d = d | (d >> np.uint64(1 << k))
                 share = 1 - np.bitwise_count(d & ones).sum(axis=1) / _PERMS
-                for j in others[(share - chance) / (1 - chance) >= least]:
+                likely = others[(share - chance) / (1 - chance) >= least]
+                if likeliest and len(likely):
+                    likely = others[[int(share.argmax())]]
+                for j in likely:
                     a, b = sorted((key1[i], key2[j]))
                     out_a.append(a), out_b.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
@@ -274,19 +282,22 @@ def _linked(filled: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[Dat
         links = links.unionByName(found)
         label = cut_small(components(links))
 
-    if not work:
-        return links, label
-    size = mixed.select("slot", "size")
-    member = member.join(size, "slot").join(sign, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    pair = F.when(F.col("block") <= F.col("other"), F.struct(F.col("block").alias("x"), F.col("other").alias("y"))).otherwise(F.struct(F.col("other").alias("x"), F.col("block").alias("y")))
-    item = F.struct("key", "label", "sign")
-    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("pair", pair)
-    dealt = dealt.groupBy("slot", "pair").agg(F.collect_list(F.when(F.col("block") == F.col("pair.x"), item)).alias("one"), F.collect_list(F.when(F.col("block") == F.col("pair.y"), item)).alias("two"))
-    more = dealt.select("one", "two", (F.col("pair.x") == F.col("pair.y")).alias("same")).mapInArrow(_across, "a binary, b binary").distinct()
-    found = cut_small(confirmed(cut_small(more.join(tested, ["a", "b"], "left_anti")), full))
-    if found.limit(1).count():
-        links = links.unionByName(found)
-        label = cut_small(components(links))
+    # First each member's likeliest partner: links that are there are mostly found so, and what they join is compared no more.
+    for compare in (_likeliest, _across) if work else ():
+        member = filled.select("slot", "key").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        mixed = member.groupBy("slot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+        member = member.join(mixed.select("slot", "size"), "slot").join(sign, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        pair = F.when(F.col("block") <= F.col("other"), F.struct(F.col("block").alias("x"), F.col("other").alias("y"))).otherwise(F.struct(F.col("other").alias("x"), F.col("block").alias("y")))
+        item = F.struct("key", "label", "sign")
+        dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("pair", pair)
+        dealt = dealt.groupBy("slot", "pair").agg(F.collect_list(F.when(F.col("block") == F.col("pair.x"), item)).alias("one"), F.collect_list(F.when(F.col("block") == F.col("pair.y"), item)).alias("two"))
+        more = dealt.select("one", "two", (F.col("pair.x") == F.col("pair.y")).alias("same")).mapInArrow(compare, "a binary, b binary").distinct()
+        new = cut_small(more.join(tested, ["a", "b"], "left_anti"))
+        found = cut_small(confirmed(new, full))
+        tested = tested.unionByName(new)
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            label = cut_small(components(links))
     return links, label
 
 
