@@ -39,12 +39,13 @@ def merged_mates(reads: DataFrame) -> DataFrame:
 
     The left mate starts first (ties: the first by sequence). In the overlap the base of higher quality stays,
     the left one's on a tie. Mates without an overlap or with other places in it are dropped; reads without a
-    mate stay. A template has two reads at most; more are an error of the input and keep the first two by place.
+    mate stay. A template has two reads at most; a third read of a name is an error of the input and stops the run.
     """
     order = Window.partitionBy("sample", "name").orderBy(R.first_place(F.col("positions")), "seq")
     rows = reads.withColumns({"_k": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy("sample", "name"))})
     single = rows.where("_n = 1").select("sample", "name", "seq", "positions", "quals")
-    two = rows.where("_n > 1 and _k <= 2")
+    third = F.raise_error(F.concat(F.lit("more than two reads of the name "), "name", F.lit(" in the sample "), "sample"))
+    two = rows.where(F.when(F.col("_n") > 2, third).otherwise(F.col("_n") == 2))
     a = two.where("_k = 1").select("sample", "name", *[F.col(c).alias(f"{c}_a") for c in ("seq", "positions", "quals")])
     b = two.where("_k = 2").select("sample", "name", *[F.col(c).alias(f"{c}_b") for c in ("seq", "positions", "quals")])
     rows = a.join(b, ["sample", "name"])

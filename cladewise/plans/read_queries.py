@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import reads as FR
@@ -45,6 +46,13 @@ def arrays(s, d):
     })
 
 
+def templates(reads):
+    """Reads named by template: an order's reads by twos, in order of their lines, so that no name has a third read."""
+    part = F.split("name", "_")
+    order = Window.partitionBy("sample", part[0]).orderBy(part[1].cast("int"), "first_pos", "last_pos", "seq", "q")
+    return reads.withColumn("name", F.concat_ws("_", part[0], F.ceil(F.row_number().over(order) / 2).cast("string")))
+
+
 TIPS = "t AS (SELECT window_id, sample, seq, count(*) AS n FROM {v_reads} JOIN {v_windows} ON first_pos <= w_start AND last_pos >= w_end GROUP BY window_id, sample, seq)"
 RANKED = TIPS + ", r AS (SELECT *, row_number() OVER (PARTITION BY window_id, sample ORDER BY n DESC, seq) AS rank FROM t), l AS (SELECT *, sample || '_read_' || CAST(rank AS VARCHAR) || '_count_' || CAST(n AS VARCHAR) AS label FROM r)"
 PAIRS = "p AS (SELECT a.window_id, a.seq, a.sample AS sample_1, a.n AS n_1, b.sample AS sample_2, b.n AS n_2 FROM t a JOIN t b ON a.window_id = b.window_id AND a.seq = b.seq AND a.sample < b.sample)"
@@ -73,6 +81,12 @@ add("insert_sizes", f"""WITH m AS ({_MATES}), g AS (SELECT sample, name, count(*
     SELECT kind, CAST(size AS BIGINT) AS size, count(*) AS n FROM (SELECT 'overlapping' AS kind, hi - lo + 1 AS size FROM g WHERE k = 2 AND lo2 <= hi2 UNION ALL
     SELECT CASE WHEN k = 1 THEN 'orphan' ELSE 'apart' END, last_pos - first_pos + 1 FROM m JOIN g USING (sample, name) WHERE NOT (k = 2 AND lo2 <= hi2)) x GROUP BY kind, size""",
     lambda s, d: R.insert_sizes(view(s, d, "v_reads").withColumns({"k": F.split_part("name", F.lit("_"), F.lit(2)), "name": F.split_part("name", F.lit("_"), F.lit(1))}).where("k in ('1', '2')")).withColumn("size", F.col("size").cast("long")))
+# All reads, where insert_sizes has lines 1 and 2 only.
+_TEMPLATES = "SELECT sample, split_part(name, '_', 1) || '_' || CAST((row_number() OVER (PARTITION BY sample, split_part(name, '_', 1) ORDER BY CAST(split_part(name, '_', 2) AS BIGINT), first_pos, last_pos, seq, q) + 1) // 2 AS VARCHAR) AS name, first_pos, last_pos FROM {v_reads}"
+add("template_insert_sizes", f"""WITH m AS ({_TEMPLATES}), g AS (SELECT sample, name, count(*) AS k, min(first_pos) AS lo, max(last_pos) AS hi, max(first_pos) AS lo2, min(last_pos) AS hi2 FROM m GROUP BY sample, name)
+    SELECT kind, CAST(size AS BIGINT) AS size, count(*) AS n FROM (SELECT 'overlapping' AS kind, hi - lo + 1 AS size FROM g WHERE k = 2 AND lo2 <= hi2 UNION ALL
+    SELECT CASE WHEN k = 1 THEN 'orphan' ELSE 'apart' END, last_pos - first_pos + 1 FROM m JOIN g USING (sample, name) WHERE NOT (k = 2 AND lo2 <= hi2)) x GROUP BY kind, size""",
+    lambda s, d: R.insert_sizes(templates(view(s, d, "v_reads"))).withColumn("size", F.col("size").cast("long")))
 add("gap_shares", "SELECT seq_id, round(avg(CASE WHEN base = '-' THEN 1e0 ELSE 0e0 END), 9) AS gaps FROM {v_aligned} GROUP BY seq_id HAVING avg(CASE WHEN base = '-' THEN 1e0 ELSE 0e0 END) <= 0.09",
     lambda s, d: rounded(R.reassembled(bases(s, d), "seq_id").select("seq_id", FR.gap_share(F.col("seq")).alias("gaps")), "gaps").where("gaps <= 0.09"))
 add("columns_with_bases", "SELECT window_id, seq_id, pos, base FROM {v_aligned} a WHERE seq_id % 40 = window_id AND EXISTS (SELECT 1 FROM {v_aligned} b WHERE b.seq_id % 40 = b.window_id AND b.window_id = a.window_id AND b.pos = a.pos AND b.base <> '-')",
@@ -88,7 +102,7 @@ for _rule, _having in (("majority", "avg(CASE WHEN kept THEN 1 ELSE 0 END) > 0.5
         lambda s, d, rule=_rule: R.kept_reads(spans(s, d).select("sample", "name", ((F.col("window_id") + F.col("q")) % 3 > 0).alias("kept")), rule))
 add("reads_not_used_before", None, lambda s, d: R.not_used_before(spans(s, d).select("window_id", "sample", "name"), view(s, d, "v_windows")))
 add("processed_reads", None, lambda s, d: R.processed(arrays(s, d), F.col("first_pos") + 2, F.col("first_pos") + 5, trim=8, low=4, recover=True).select("sample", "name", "seq", F.size("positions").alias("n")))
-add("merged_mates", None, lambda s, d: R.merged_mates(arrays(s, d).select("sample", F.split_part("name", F.lit("_"), F.lit(1)).alias("name"), "seq", "positions", "quals")))
+add("merged_mates", None, lambda s, d: R.merged_mates(templates(arrays(s, d)).select("sample", "name", "seq", "positions", "quals")))
 add("similar_merged_a", None, lambda s, d: R.similar_merged(tips(s, d), 1, "A"))
 add("similar_merged_b", None, lambda s, d: R.similar_merged(tips(s, d), 1, "B"))
 add("recombination_metric", None, lambda s, d: R.recombination(R.reassembled(bases(s, d), "window_id", "seq_id").withColumn("part", F.floor(F.col("seq_id") / 400)), "window_id", "part"))

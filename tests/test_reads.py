@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from cladewise.functions import reads as FR
 from cladewise.operators import reads as R
 from cladewise.operators import windows as W
+from cladewise.plans import read_queries as Q
+from cladewise.plans.views import view
 
 
 def one(spark, schema, row, *columns):
@@ -47,6 +49,23 @@ def test_mates(spark):
     assert got == {"a": ("ACTTCC", [1, 2, 3, 4, 5, 6], [9, 9, 5, 9, 9, 9]), "d": ("AA", [7, 8], [9, 9])}
 
 
+def test_a_third_read_of_a_name_is_an_error(spark):
+    rows = [("s", "a", "AC", [k, k + 1], [9, 9]) for k in range(3)]
+    with pytest.raises(Exception, match="more than two reads of the name a"):
+        R.merged_mates(spark.createDataFrame(rows, "sample string, name string, seq string, positions array<int>, quals array<int>")).collect()
+
+
+def test_templates_take_all_reads(spark):
+    sf = "/root/testdata/sf0.001"
+    reads = Q.templates(view(spark, sf, "v_reads"))
+    assert reads.groupBy("sample", "name").count().agg(F.max("count")).first()[0] == 2
+    of_reads = F.sum(F.when(F.col("kind") == "overlapping", 2 * F.col("n")).otherwise(F.col("n")))
+    assert Q.QUERIES["template_insert_sizes"](spark, sf).agg(of_reads).first()[0] == reads.count()
+    single = reads.groupBy("sample", "name").count().where("count = 1").count()
+    merged = Q.QUERIES["merged_mates"](spark, sf)
+    assert merged.select("sample", "name").distinct().count() == merged.count() > single
+
+
 def test_merges_keep_counts_and_their_order():
     counts = [("AAAA", 10), ("AAAT", 4), ("AATT", 2), ("CCCC", 2), ("CCCA", 2)]
     assert R.absorb_common_first(counts, 1) == {"AAAA": 14, "AATT": 2, "CCCC": 2, "CCCA": 2}
