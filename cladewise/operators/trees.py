@@ -5,6 +5,8 @@ nodes: tree_id, node, parent (null at the root), edge_length, is_tip, host (null
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,19 +14,32 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 
-def closure(nodes: DataFrame, key: str = "tree_id", most_steps: int = 64) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the session's folder, or in a temporary one where none is set."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cladewise-"))
+    return df.checkpoint()
+
+
+def closure(nodes: DataFrame, key: str = "tree_id") -> DataFrame:
     """Every node with each of its ancestors, itself included: key, node, ancestor, hops, dist (branch length between).
 
-    Paths double in length with each step, so a tree of depth d takes log2(d) joins by (tree, node); each step's
-    sides are hash-partitioned by tree and no tree is collected.
+    Paths double in length with each step until a step adds none, so a tree of depth d takes log2(d) + 1 joins by
+    (tree, node); each step's sides are hash-partitioned by tree, its paths are checkpointed, and no tree is
+    collected. A node that is its own ancestor is an error of the input.
     """
-    parents = nodes.where("parent is not null").select(key, "node", F.col("parent").alias("ancestor"), F.lit(1).alias("hops"), F.col("edge_length").alias("dist"))
-    paths = parents
+    paths = _cut(nodes.where("parent is not null").select(key, "node", F.col("parent").alias("ancestor"), F.lit(1).alias("hops"), F.col("edge_length").alias("dist")))
     reach = 1
-    while reach < most_steps:
+    while True:
         longest = paths.where(F.col("hops") == reach)
         after = paths.select(key, F.col("node").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("hops").alias("_h"), F.col("dist").alias("_d"))
         more = longest.join(after, [key, "ancestor"]).select(key, "node", F.col("_next").alias("ancestor"), (F.col("hops") + F.col("_h")).alias("hops"), (F.col("dist") + F.col("_d")).alias("dist"))
+        more = _cut(more)
+        if more.isEmpty():
+            break
+        if not more.where("node = ancestor").isEmpty():
+            raise ValueError("a node is its own ancestor")
         paths = paths.unionByName(more)
         reach *= 2
     own = nodes.select(key, "node", F.col("node").alias("ancestor"), F.lit(0).alias("hops"), F.lit(0.0).alias("dist"))
@@ -183,9 +198,9 @@ def split_adjacency(splits: DataFrame, key: str = "tree_id") -> DataFrame:
     return direct.unionByName(around).distinct()
 
 
-def split_paths(splits: DataFrame, key: str = "tree_id", most_steps: int = 16) -> DataFrame:
+def split_paths(splits: DataFrame, key: str = "tree_id") -> DataFrame:
     """Per ordered pair of hosts, the subgraphs of host_2 that have an ancestor of host_1: key, host_1, host_2, paths, nodes (subgraphs of host_2)."""
-    up = closure(splits.select(key, F.col("split").alias("node"), F.col("parent_split").alias("parent"), F.lit(0.0).alias("edge_length")), key, most_steps).where("hops > 0")
+    up = closure(splits.select(key, F.col("split").alias("node"), F.col("parent_split").alias("parent"), F.lit(0.0).alias("edge_length")), key).where("hops > 0")
     host = splits.where("host <> 'unassigned'").select(key, F.col("split").alias("node"), F.col("host").alias("host_2"))
     above = splits.where("host <> 'unassigned'").select(key, F.col("split").alias("ancestor"), F.col("host").alias("host_1"))
     nodes = host.groupBy(key, "host_2").agg(F.count("*").alias("nodes"))

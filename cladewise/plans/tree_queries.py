@@ -24,7 +24,7 @@ def nodes(s, d):
 
 
 def up(s, d):
-    return T.closure(nodes(s, d), most_steps=8)
+    return T.closure(nodes(s, d))
 
 
 def host_tips(s, d):

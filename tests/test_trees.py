@@ -2,9 +2,12 @@ import itertools
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from cladewise.operators import flows as W
 from cladewise.operators import kernels as K
+from cladewise.operators import trees as T
 
 
 def tree(seed, hosts="AB", n=7):
@@ -135,3 +138,24 @@ def test_rooting_and_pruning_keep_distances():
             assert {n for n in x if n in tips} == set(kept)
             for a, b in itertools.combinations(kept, 2):
                 assert np.isclose(far(x, a, b), far(rows, a, b))
+
+
+def test_closures_of_deep_trees_are_whole(spark):
+    n = 100  # a caterpillar: deeper than 64
+    rows = [(0, i, i - 1 if i else None, 0.001 if 0 < i < n - 1 else 1.0, i == n - 1, "A", 1) for i in range(n)]
+    rows += [(0, n, 0, 1.0, True, "A", 1)]
+    nodes = spark.createDataFrame(rows, "tree_id long, node long, parent long, edge_length double, is_tip boolean, host string, reads long")
+    up = T.closure(nodes)
+    assert up.count() == n * (n + 1) // 2 + 2
+    assert T.depths(up).agg(F.max("level")).first()[0] == n - 1
+    assert [tuple(r) for r in T.mrca(up, nodes.where("is_tip").select("tree_id", "host", "node"), "host").collect()] == [(0, "A", 0, 2)]
+    assert np.isclose(T.tip_distances(up, nodes.where("is_tip")).first().dist, 0.001 * (n - 2) + 2)
+    assert sorted((r.node, r.parent) for r in T.short_branches_collapsed(nodes, 0.01).where("parent is not null").collect()) == [(n - 1, 0), (n, 0)]
+    splits = spark.createDataFrame([(0, i, i - 1 if i else None, "A" if i == 0 else "B" if i == 39 else "unassigned") for i in range(40)], "tree_id long, split long, parent_split long, host string")
+    assert [(r.host_1, r.host_2, r.paths, r.nodes) for r in T.split_paths(splits).collect()] == [("A", "B", 1, 1)]
+
+
+def test_a_ring_is_an_error(spark):
+    nodes = spark.createDataFrame([(0, i, (i + 1) % 3, 1.0) for i in range(3)], "tree_id long, node long, parent long, edge_length double")
+    with pytest.raises(ValueError):
+        T.closure(nodes)
