@@ -91,6 +91,9 @@ add("gap_shares", "SELECT seq_id, round(avg(CASE WHEN base = '-' THEN 1e0 ELSE 0
     lambda s, d: rounded(R.reassembled(bases(s, d), "seq_id").select("seq_id", FR.gap_share(F.col("seq")).alias("gaps")), "gaps").where("gaps <= 0.09"))
 add("columns_with_bases", "SELECT window_id, seq_id, pos, base FROM {v_aligned} a WHERE seq_id % 40 = window_id AND EXISTS (SELECT 1 FROM {v_aligned} b WHERE b.seq_id % 40 = b.window_id AND b.window_id = a.window_id AND b.pos = a.pos AND b.base <> '-')",
     lambda s, d: R.without_gap_columns(bases(s, d).where("seq_id % 40 = window_id")).select("window_id", "seq_id", "pos", "base"))
+# All sequences, where columns_with_bases has half of them.
+add("all_columns_with_bases", "SELECT window_id, seq_id, pos, base FROM {v_aligned} a WHERE EXISTS (SELECT 1 FROM {v_aligned} b WHERE b.window_id = a.window_id AND b.pos = a.pos AND b.base <> '-')",
+    lambda s, d: R.without_gap_columns(bases(s, d)).select("window_id", "seq_id", "pos", "base"))
 add("excised_positions", "SELECT window_id, seq, CAST(sum(n) AS BIGINT) AS n FROM (SELECT window_id, seq_id, n, string_agg(base, '' ORDER BY pos) AS seq FROM {v_aligned} WHERE pos NOT IN (3, 4, 5, 11) GROUP BY window_id, seq_id, n) x GROUP BY window_id, seq",
     lambda s, d: R.excised(bases(s, d), [3, 4, 5, 11]).withColumn("n", F.col("n").cast("long")))
 add("consensus", "SELECT window_id, string_agg(base, '' ORDER BY pos) AS seq, CAST(max(total) AS BIGINT) AS total FROM (SELECT window_id, pos, base, row_number() OVER (PARTITION BY window_id, pos ORDER BY n DESC, base) AS k, sum(n) OVER (PARTITION BY window_id, pos) AS total FROM (SELECT window_id, pos, base, sum(n) AS n FROM {v_aligned} GROUP BY window_id, pos, base) x) y WHERE k = 1 GROUP BY window_id",

@@ -66,6 +66,15 @@ def test_templates_take_all_reads(spark):
     assert merged.select("sample", "name").distinct().count() == merged.count() > single
 
 
+def test_columns_of_gaps_go_and_no_sequence_does(spark):
+    rows = [(w, i, pos, b) for w, i, seq in ((0, 1, "A--C-"), (0, 2, "--GC-"), (1, 3, "-A---")) for pos, b in enumerate(seq, 1)]
+    df = spark.createDataFrame(rows, "window_id long, seq_id long, pos int, base string")
+    got = {r.seq_id: r.seq for r in R.reassembled(R.without_gap_columns(df), "seq_id").collect()}
+    assert got == {1: "A-C", 2: "-GC", 3: "A"}
+    sf = "/root/testdata/sf0.001"
+    assert Q.QUERIES["all_columns_with_bases"](spark, sf).select("seq_id").distinct().count() == view(spark, sf, "customer").count()
+
+
 def test_merges_keep_counts_and_their_order():
     counts = [("AAAA", 10), ("AAAT", 4), ("AATT", 2), ("CCCC", 2), ("CCCA", 2)]
     assert R.absorb_common_first(counts, 1) == {"AAAA": 14, "AATT": 2, "CCCC": 2, "CCCA": 2}
