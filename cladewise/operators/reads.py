@@ -152,6 +152,35 @@ def reassembled(bases: DataFrame, *keys: str) -> DataFrame:
     return bases.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("seq"))
 
 
+def found_sequences(seqs: DataFrame, names: list[str], prefix: bool = False, inverted: bool = False, window: tuple[int, int] | None = None, gap_strip: bool = False, skip_blanks: bool = False) -> DataFrame:
+    """Sequences (name, seq) of the names, or whose name begins with one, or all others; cut to a window, without gaps (- and ?), without blank ones.
+
+    Repeated names among those found, names without a sequence (unless they are beginnings), nothing found, and
+    a sequence that ends within the window are errors.
+    """
+    if prefix:
+        hit = F.lit(False)
+        for x in names:
+            hit = hit | F.startswith(F.col("name"), F.lit(x))
+    else:
+        hit = F.col("name").isin(names)
+    found = seqs.where(~hit if inverted else hit)
+    if found.isEmpty():
+        raise ValueError("no sequence is found")
+    if not found.groupBy("name").count().where("count > 1").isEmpty():
+        raise ValueError("a name has several sequences")
+    if not prefix and (missing := set(names) - {r.name for r in seqs.where(F.col("name").isin(names)).select("name").distinct().collect()}):
+        raise ValueError(f"no sequence has the names {sorted(missing)}")
+    if window is not None:
+        if not found.where(F.length("seq") < window[1]).isEmpty():
+            raise ValueError("a sequence ends within the window")
+        found = found.withColumn("seq", F.substring("seq", window[0], window[1] - window[0] + 1))
+    bare = F.regexp_replace("seq", "[-?]", "")
+    if skip_blanks:
+        found = found.where(bare != "")
+    return found.withColumn("seq", bare) if gap_strip else found
+
+
 def without_gap_columns(bases: DataFrame, window: str = "window_id") -> DataFrame:
     """Columns in which any sequence has a base."""
     return bases.join(bases.where("base <> '-'").select(window, "pos").distinct(), [window, "pos"], "left_semi")

@@ -91,6 +91,8 @@ add("gap_shares", "SELECT seq_id, round(avg(CASE WHEN base = '-' THEN 1e0 ELSE 0
     lambda s, d: rounded(R.reassembled(bases(s, d), "seq_id").select("seq_id", FR.gap_share(F.col("seq")).alias("gaps")), "gaps").where("gaps <= 0.09"))
 add("columns_with_bases", "SELECT window_id, seq_id, pos, base FROM {v_aligned} a WHERE seq_id % 40 = window_id AND EXISTS (SELECT 1 FROM {v_aligned} b WHERE b.seq_id % 40 = b.window_id AND b.window_id = a.window_id AND b.pos = a.pos AND b.base <> '-')",
     lambda s, d: R.without_gap_columns(bases(s, d).where("seq_id % 40 = window_id")).select("window_id", "seq_id", "pos", "base"))
+add("found_sequences", "SELECT name, replace(substr(seq, 3, 10), '-', '') AS seq FROM (SELECT 'Q' || CAST(seq_id AS VARCHAR) AS name, string_agg(base, '' ORDER BY pos) AS seq FROM {v_aligned} GROUP BY seq_id) x WHERE NOT starts_with(name, 'Q1') AND NOT starts_with(name, 'Q23')",
+    lambda s, d: R.found_sequences(R.reassembled(bases(s, d), "seq_id").select(F.concat(F.lit("Q"), "seq_id").alias("name"), "seq"), ["Q1", "Q23"], prefix=True, inverted=True, window=(3, 12), gap_strip=True, skip_blanks=True))
 # All sequences, where columns_with_bases has half of them.
 add("all_columns_with_bases", "SELECT window_id, seq_id, pos, base FROM {v_aligned} a WHERE EXISTS (SELECT 1 FROM {v_aligned} b WHERE b.window_id = a.window_id AND b.pos = a.pos AND b.base <> '-')",
     lambda s, d: R.without_gap_columns(bases(s, d)).select("window_id", "seq_id", "pos", "base"))

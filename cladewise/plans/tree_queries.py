@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blacklist as B
 from ..operators import rooting as G
+from ..operators import statistics as S
 from ..operators import trees as T
 from .relation_queries import rounded
 from .views import oracle, view
@@ -112,3 +113,15 @@ add("blacklist_report", f"WITH {TIPS}, u AS (SELECT tree_id, tip, CASE WHEN tip
     lambda s, d: B.report(host_tips(s, d), B.too_few(host_tips(s, d), 6), B.user_specified(host_tips(s, d), host_tips(s, d).where("tip % 10 = 3").select("tree_id", "tip"))))
 add("downsampled_reads", f"WITH {TIPS} SELECT tree_id, host, least(CAST(sum(reads) AS BIGINT), 7) AS drawn FROM tp GROUP BY tree_id, host", lambda s, d: B.downsampled(host_tips(s, d), 7).groupBy("tree_id", "host").agg(F.sum("drawn").alias("drawn")))
 add("blacklist_parsimony", None, lambda s, d: B.parsimony_contaminants(nodes(s, d), 3, 0.2, 2.0))
+
+
+def split_tips(s, d):
+    """All tips with hosts, in three subgraphs for each host."""
+    return nodes(s, d).where("is_tip and host is not null").select("tree_id", "host", "node", "reads", F.concat("host", F.lit("-SPLIT"), F.col("node") % 3).alias("subgraph"))
+
+
+add("subtree_statistics", None, lambda s, d: rounded(S.subtree_statistics(up(s, d), nodes(s, d), split_tips(s, d)), *S.STATISTICS))
+add("window_statistics", None, lambda s, d: rounded(S.window_statistics(up(s, d), nodes(s, d), split_tips(s, d), split_tips(s, d), view(s, d, "v_norm").withColumnRenamed("pos", "tree_id")), *S.STATISTICS, *[f"normalised_{c}" for c in S.STATISTICS]))
+add("host_descent", None, lambda s, d: S.host_descent(up(s, d), split_tips(s, d)))
+add("paths_around_nodes", None, lambda s, d: S.path_exists(up(s, d), nodes(s, d).where("parent is not null").select("tree_id", F.col("node").alias("node_1"), F.lit(1).cast("long").alias("node_2"), F.greatest(F.lit(1), F.floor(F.col("node") / 4)).alias("node_3"))))
+add("reachable_tips", None, lambda s, d: S.reachable_tips(up(s, d), nodes(s, d), nodes(s, d).where("node % 5 = 2").select("tree_id", "node"), nodes(s, d).where("not is_tip").select("tree_id", F.col("node").alias("start"))))
