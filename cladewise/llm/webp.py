@@ -6,9 +6,9 @@ gives pixel arrays. Where all codes of an image have one length each and only li
 fixed distances and are read as arrays; other images are read symbol by symbol.
 
 A payload is stored as the red, green and blue samples of an image 64 pixels wide (wider in steps of 64 where
-the format's height ends). With effort 0 the encoder writes literals with codes of 8 bits; what codes save is
-left to the column's compression. With effort 1 it writes fitted codes, back-references and a colour cache,
-and any transforms asked for.
+the format's height ends), with effort 1: fitted codes and back-references, and, dealt by the payload's checksum,
+transforms, colour caches and groups of codes by tile, so that a table has all parts of the format; images of up
+to 256 colours may have a palette. Effort 0 writes literals with codes of 8 bits.
 
 Defined results: null and empty text is a payload of blanks; equal texts are stored as equal bytes; repeated
 rows have equal values; an empty table gives an empty result; columns other than id and text are ignored.
@@ -644,13 +644,30 @@ def padded(text: bytes) -> bytes:
     return text.ljust(max(1, _up(len(text), STEP)) * STEP, b" ")
 
 
+#: Transforms, bits of the colour cache, and bits of the tiles of codes, by checksum.
+FORMS = (
+    ((), 0, 0),
+    ((SUBTRACT_GREEN,), 6, 0),
+    ((PREDICTOR,), 0, 0),
+    ((CROSS_COLOUR,), 0, 4),
+    ((), 8, 4),
+    ((PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN), 0, 0),
+    ((PALETTE,), 4, 0),
+)
+
+
 def store(payload: bytes) -> bytes:
     """A payload as a file. The image may end with blanks that are not of the payload."""
     rows = len(payload) // (3 * WIDTH)
     across = _up(rows, MOST)
     height = _up(rows, across)
     samples = np.frombuffer(payload.ljust(across * height * 3 * WIDTH, b" "), np.uint8)
-    return encode_flat(samples.reshape(height, across * WIDTH, 3))
+    pixels = np.full((height, across * WIDTH, 4), 255, np.uint8)
+    pixels[:, :, :3] = samples.reshape(height, across * WIDTH, 3)
+    transforms, cache_bits, tile_bits = FORMS[zlib.crc32(payload) % len(FORMS)]
+    if PALETTE in transforms and len(np.unique(pixels.view(np.uint32))) > 256:
+        transforms = ()
+    return encode(pixels, transforms, cache_bits, True, tile_bits)
 
 
 def load(media: bytes, n: int) -> tuple[bytes, np.ndarray]:

@@ -68,6 +68,28 @@ def test_payloads_longer_than_the_height(monkeypatch):
         assert webp.load(webp.store(payload), len(payload))[0] == payload
 
 
+def test_stored_files_have_all_parts_of_the_format(monkeypatch):
+    met = set()
+
+    def noted(name):
+        f = getattr(webp, name)
+        monkeypatch.setattr(webp, name, lambda *a: (met.add(name), f(*a))[1])
+
+    for name in ("invert_predictor", "cross_colour", "subtract_green", "invert_palette", "_number"):
+        noted(name)
+    text = b"".join(b"%d words and then some more of the same, " % (k * k) for k in range(60))
+    sizes = []
+    for k in range(60):
+        payload = webp.padded(text[k:] if k % 2 else text[: 3 * k])
+        data = webp.store(payload)
+        met.clear()
+        got, pixels = webp.load(data, len(payload))
+        assert got == payload and (pixels[:, :, 3] == 255).all()
+        sizes.append((frozenset(met), len(data), len(payload)))
+    assert set().union(*(m for m, _, _ in sizes)) == {"invert_predictor", "cross_colour", "subtract_green", "invert_palette", "_number"}
+    assert sum(n for _, n, _ in sizes) < sum(n for _, _, n in sizes)
+
+
 def test_frames(spark):
     texts = [None, "", "abc", "abc", "é" * 500, "x" * 192, "y" * 50_000]
     df = spark.createDataFrame([(i, t, b"m") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
