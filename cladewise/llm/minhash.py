@@ -302,7 +302,7 @@ def _linked(filled: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[Dat
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (least id that can be reached), kept, n_links (confirmed links of its class)."""
+    """One row per document: id, n_shingles, component_id (least id that can be reached), kept, n_links (of the links used to join its component, those of its class; others are not sought once a component is joined)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketches = staged(sketch(docs, "id"), "sketch")
     classes = sketches.where("key is not null").groupBy("key").agg(F.min("id").alias("class_id"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
