@@ -8,7 +8,8 @@ without a clear sign stay open. In the second pass an open block takes the label
 neighbours. Where a page marks its article, only blocks of the article are text, only they are each other's
 neighbours, and furniture inside the article doesn't count as a neighbour; an article without any decided
 block is good as a whole. Without a marked article all blocks of the page are judged, and a heading follows
-what comes after it.
+what comes after it. Limit: without a marked article, stop words of four languages alone make a block good, so a
+page in another language gives an empty text.
 
 Defined results: null, empty and textless pages give an empty text; character references are decoded as in
 HTML 5; white space inside a block becomes one space; blocks are joined in page order by two line ends; an
