@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,13 +14,13 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir or the context's; where neither is set, a folder in the warehouse, which they share as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if not folder:
-        folder = tempfile.mkdtemp(prefix="cladewise-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cladewise-checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -47,11 +46,34 @@ def cut_small(df: DataFrame) -> DataFrame:
     return df.coalesce(partitions(df.count()))
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back; for large intermediate results that are read more than once."""
+class Scratch:
+    """Large intermediate results of one operator: written once in the shared folder, read several times, and given back when their last reader is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def staged(self, df: DataFrame, label: str) -> DataFrame:
+        out, path = _written(df, label)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *held: DataFrame) -> None:
+        """Deletes the folders of these results, or of all that are left."""
+        for key in [id(df) for df in held] or list(self.paths):
+            _, path = self.paths.pop(key)
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/cladewise-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back. The folder stays: the caller may read the result at any time."""
+    return _written(df, label)[0]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,10 +2,11 @@
 
 Each distinct shingle set is one class, so copies cost one row. Bands of the full minima give candidate
 buckets; packed low bits of the minima give a collision-corrected estimate by bit counts; what passes it is
-confirmed on full sets. Buckets are never expanded into all pairs at first: every member meets the bucket's
-first member, confirmed links are contracted, and where many pairs of different components are left, members
-meet other first members in further rounds. Only buckets that still hold several components are compared
-further, in blocks of bounded size, across components.
+confirmed on full sets. Buckets are never expanded into pairs: every member meets the bucket's first member and
+confirmed links are contracted; where much is left, members meet other first members in further rounds. Buckets
+that still hold several components are then compared in blocks of bounded size inside tasks, which hold the
+blocks' full sets: a pair is counted only if it is across components, if its estimate is high enough and if what
+the two share with anyone in the blocks can suffice; a task gives out only the links that join components.
 
 Defined results: null or wordless text has an empty set and is linked with nothing; fewer words than the
 shingle length make one shingle of the whole sequence; repeated rows each get a row; an empty table gives an
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, chunks, cut, cut_small, mix64, partitions, random_words, staged, text_bytes
+from .common import Powers, Scratch, chunks, cut, cut_small, mix64, partitions, random_words, staged, text_bytes
 
 WORDS = 5
 LEAST_PERCENT = 75
@@ -34,10 +35,10 @@ PERMUTATIONS = 512
 BITS = 4
 #: Standard deviations of the estimate that a pair may lie under the threshold and still be confirmed on full sets.
 SLACK = 5.0
-#: Members of a block of a bucket.
-BLOCK = 512
-#: Rounds of other first members, as long as the pairs that are left are more than the classes.
-ROUNDS = 3
+#: Members of a block of a bucket, and the shingles that a block has about.
+BLOCK, BLOCK_SHINGLES = 4096, 2 << 20
+#: Rounds of other first members, as long as the pairs that are left are more than MUCH times the classes.
+ROUNDS, MUCH = 2, 64
 
 _PERMS = PERMUTATIONS
 _MULTIPLY = random_words(11, _PERMS).astype(np.uint32) | np.uint32(1)
@@ -77,7 +78,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> li
         if b - a >= words:
             out.append(np.unique(rolled[a : b - words + 1]))
         elif b > a:
-            short = np.uint64(b - a) * np.uint64(0x9E3779B97F4A7C15)
+            short = np.uint64((b - a) * 0x9E3779B97F4A7C15 % (1 << 64))
             for k in range(b - a):
                 short = mix64(np.array([short ^ hashes[a + k]], np.uint64))[0]
             out.append(np.array([short], np.uint64))
@@ -124,15 +125,16 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(grouped.view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, longs), pa.array(bands, longs)],
-                names=["id", "n_shingles", "key", "sign", "bands"],
+                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, longs), pa.array(bands, longs)],
+                names=["id", "th", "n_shingles", "key", "sign", "bands"],
             )
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, key (names the set; null if empty), sign (packed low bits), bands (hashes of bands of minima)."""
+    """id, th (hash of the text), n_shingles, key (names the set; null if empty), sign (packed low bits), bands (hashes of bands of minima)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_sketches, f"id {kind}, n_shingles long, key binary, sign array<long>, bands array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    return rows.mapInArrow(_sketches, f"id {kind}, th long, n_shingles long, key binary, sign array<long>, bands array<long>")
 
 
 def estimate(a: F.Column, b: F.Column, bits: int = BITS) -> F.Column:
@@ -170,11 +172,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def full_sets(keys: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """key and shingles of the classes in keys, from one of their documents each; texts are shuffled once."""
-    holders = classes.join(keys.distinct(), "key").select("key", "class_id")
-    texts = docs.select(F.col("id").alias("doc"), "text")
-    full = texts.join(holders, texts.doc.eqNullSafe(holders.class_id)).select("key", "text").mapInArrow(_sets, "key binary, shingles array<long>")
-    # An id that the input repeats gives its set more than once.
-    return staged(full.dropDuplicates(["key"]), "sets")
+    holders = classes.join(keys.distinct(), "key").select("key", "class_id", F.col("th").alias("of"))
+    texts = docs.select(F.col("id").alias("doc"), "text", F.xxhash64("text").alias("th"))
+    full = texts.join(holders, texts.doc.eqNullSafe(holders.class_id) & (texts.th == holders.of)).select("key", "text").mapInArrow(_sets, "key binary, shingles array<long>")
+    # A row that the input repeats gives its set more than once.
+    return full.dropDuplicates(["key"])
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
@@ -211,42 +213,100 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of two blocks of a bucket, each member with its likeliest partner in another component."""
-    return _across(batches, True)
-
-
-def _across(batches: Iterator[pa.RecordBatch], likeliest: bool = False) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks of a bucket, across components, whose estimate is high enough."""
-    least, chance = least_estimate(), 1.0 / (1 << BITS)
-    ones = np.uint64(sum(1 << k for k in range(0, 64, BITS)))
-    for batch in batches:
-        out_a, out_b = [], []
-        for one, two, same in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if not one or not two:
+class _Group:
+    """Members of one bucket, of one block or two, that meet in a task."""
+
+    def __init__(self, labels: list[bytes], block: np.ndarray, signs: np.ndarray, sets: np.ndarray, offsets: np.ndarray, across: bool) -> None:
+        number = {c: i for i, c in enumerate(dict.fromkeys(labels))}
+        self.part = np.array([number[c] for c in labels])
+        self.block, self.signs, self.offsets, self.across = block, signs, offsets, across
+        self.size = np.diff(offsets)
+        _, self.dense, count = np.unique(sets, return_inverse=True, return_counts=True)
+        # Shingles that no other member has cannot be shared.
+        shared = np.concatenate([[0], np.cumsum(count[self.dense] > 1)])
+        self.most = shared[offsets[1:]] - shared[offsets[:-1]]
+        self.flag = np.zeros(len(count), bool)
+
+    def _same(self, i: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles of i each of others has."""
+        own = self.dense[self.offsets[i] : self.offsets[i + 1]]
+        self.flag[own] = True
+        n = self.size[others]
+        edge = np.concatenate([[0], np.cumsum(n)])
+        hit = self.flag[self.dense[np.repeat(self.offsets[others] - edge[:-1], n) + np.arange(edge[-1])]]
+        self.flag[own] = False
+        return np.add.reduceat(hit.astype(np.int64), edge[:-1])
+
+    def links(self, percent: int = LEAST_PERCENT, step: int = 256) -> Iterator[tuple[int, int]]:
+        """Confirmed pairs, each of which joins two components."""
+        least, chance = least_estimate(percent), 1.0 / (1 << BITS)
+        ones = np.uint64(sum(1 << k for k in range(0, 64, BITS)))
+        enough = lambda i, j, same: 100 * same >= percent * (self.size[i] + self.size[j] - same)
+        first = np.flatnonzero(self.block == self.block.min()) if self.across else np.arange(len(self.part))
+        for i in first.tolist():
+            others = self.part != self.part[i]
+            others[: i + 1] &= self.across
+            others &= (self.block != self.block[i]) | (not self.across)
+            others = np.flatnonzero(others)
+            others = others[enough(i, others, np.minimum(self.most[i], self.most[others]))]
+            if not len(others):
                 continue
-            key1, key2 = [m["key"] for m in one], [m["key"] for m in two]
-            number = {c: i for i, c in enumerate({m["label"] for m in one} | {m["label"] for m in two})}
-            part1, part2 = np.array([number[m["label"]] for m in one]), np.array([number[m["label"]] for m in two])
-            sign1, sign2 = (np.array([m["sign"] for m in x], np.int64).view(np.uint64) for x in (one, two))
-            for i in range(len(key1)):
-                others = np.flatnonzero(part2 != part1[i])
-                if same:
-                    others = others[others > i]
-                d = sign2[others] ^ sign1[i]
-                for k in range(BITS.bit_length() - 1):
-                    d = d | (d >> np.uint64(1 << k))
-                share = 1 - np.bitwise_count(d & ones).sum(axis=1) / _PERMS
-                likely = others[(share - chance) / (1 - chance) >= least]
-                if likeliest and len(likely):
-                    likely = others[[int(share.argmax())]]
-                for j in likely:
-                    a, b = sorted((key1[i], key2[j]))
-                    out_a.append(a), out_b.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
-
-
-def _linked(filled: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+            d = self.signs[others] ^ self.signs[i]
+            for k in range(BITS.bit_length() - 1):
+                d = d | (d >> np.uint64(1 << k))
+            share = (1 - np.bitwise_count(d & ones).sum(axis=1) / _PERMS - chance) / (1 - chance)
+            likely = share >= least
+            others = others[likely][np.argsort(-share[likely], kind="stable")]
+            while len(others):
+                now, others = others[:step], others[step:]
+                for j in now[enough(i, now, self._same(i, now))].tolist():
+                    if self.part[j] != self.part[i]:
+                        self.part[self.part == self.part[j]] = self.part[i]
+                        yield i, j
+                others = others[self.part[others] != self.part[i]]
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of slot, x, y: slot, x, y, block, key, label, sign, shingles -> links."""
+    held: list[pa.RecordBatch] = []
+
+    def solved() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        keys, sets, signs = rows.column(4), rows.column(7), rows.column(6)
+        group = _Group(rows.column(5).to_pylist(), rows.column(3).to_numpy(), signs.flatten().to_numpy().view(np.uint64).reshape(len(keys), -1), sets.flatten().to_numpy(), sets.offsets.to_numpy().astype(np.int64) - sets.offsets[0].as_py(), rows.column(1)[0] != rows.column(2)[0])
+        found = [sorted((keys[i].as_py(), keys[j].as_py())) for i, j in group.links()]
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        where = np.stack([batch.column(k).to_numpy() for k in range(3)])
+        edges = np.flatnonzero(np.concatenate([[True], (where[:, 1:] != where[:, :-1]).any(axis=0), [True]])).tolist()
+        for a, b in zip(edges, edges[1:], strict=False):
+            if held and last != tuple(where[:, a].tolist()):
+                yield solved()
+                held.clear()
+            last = tuple(where[:, a].tolist())
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield solved()
+
+
+def _compared_in_tasks(filled: DataFrame, label: DataFrame, classes: DataFrame, full: DataFrame) -> DataFrame:
+    """Links that join the components that are left in any bucket."""
+    member = filled.select("slot", "key").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    member = member.join(classes.select("key", "sign", F.col("n_shingles").alias("_n")), "key")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("_n") / BLOCK_SHINGLES)).cast("int")
+    mixed = member.groupBy("slot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks.alias("blocks")).where("lo <> hi")
+    member = member.join(mixed.select("slot", "blocks"), "slot").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("_n")
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = member.join(full, "key").select("slot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "key", "label", "sign", "shingles")
+    rows = rows.repartition("slot", "x", "y").sortWithinPartitions("slot", "x", "y", "key")
+    return rows.mapInArrow(_compared, "a binary, b binary").distinct()
+
+
+def _linked(filled: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Confirmed links that connect what any chain of confirmed links within buckets connects, and their components."""
     sign = classes.select("key", "sign")
 
@@ -255,21 +315,22 @@ def _linked(filled: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[Dat
         both = pairs.join(sign.select(F.col("key").alias("b"), F.col("sign").alias("of_b")), "b").join(sign.select(F.col("key").alias("a"), F.col("sign").alias("of_a")), "a")
         return both.where(estimate(F.col("of_a"), F.col("of_b")) >= least_estimate()).select("a", "b")
 
-    full = full_sets(filled.select("key"), docs, classes)
+    full = scratch.staged(full_sets(filled.select("key"), docs, classes), "sets")
     tested = cut_small(likely(filled.where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b"))))
     links = cut_small(confirmed(tested, full))
     label = cut_small(components(links))
     most = classes.count()
+    filled = filled.where("n > 2")  # a bucket of two is done; in the others, several components may be left
     for turn in range(ROUNDS + 1):
-        # A bucket of two is done; in the others, several components may be left.
-        member = filled.where("n > 2").select("slot", "key").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        member = filled.select("slot", "key").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         first = F.min_by("key", F.xxhash64("key", F.lit(turn)))
         mixed = cut_small(member.groupBy("slot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), first.alias("first")).where("lo <> hi"))
         work = mixed.agg(F.sum(F.col("size") * F.col("size") / 2)).first()[0] or 0
         # Buckets only ever get fewer components, so their members and sets are all that later steps need.
-        filled = cut_small(filled.where("n > 2").join(mixed.select("slot"), "slot", "left_semi"))
-        full = staged(full.join(filled.select("key").distinct(), "key", "left_semi").coalesce(partitions(filled.count())), "sets")
-        if work <= most or turn == ROUNDS:
+        filled = cut_small(filled.join(mixed.select("slot"), "slot", "left_semi"))
+        before, full = full, scratch.staged(full.join(filled.select("key").distinct(), "key", "left_semi").coalesce(partitions(filled.count())), "sets")
+        scratch.drop(before)
+        if work <= MUCH * most or turn == ROUNDS:
             break
         own = member.join(mixed.select("slot", "first"), "slot")
         of_first = label.select(F.col("node").alias("first"), F.col("label").alias("other"))
@@ -277,45 +338,39 @@ def _linked(filled: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[Dat
         new = cut_small(likely(own.select(F.col("first").alias("a"), F.col("key").alias("b"))).join(tested, ["a", "b"], "left_anti"))
         found = cut_small(confirmed(new, full))
         tested = tested.unionByName(new)
-        if not found.limit(1).count():
-            break
-        links = links.unionByName(found)
-        label = cut_small(components(links))
-
-    # First each member's likeliest partner: links that are there are mostly found so, and what they join is compared no more.
-    for compare in (_likeliest, _across) if work else ():
-        member = filled.select("slot", "key").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        mixed = member.groupBy("slot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        member = member.join(mixed.select("slot", "size"), "slot").join(sign, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        pair = F.when(F.col("block") <= F.col("other"), F.struct(F.col("block").alias("x"), F.col("other").alias("y"))).otherwise(F.struct(F.col("other").alias("x"), F.col("block").alias("y")))
-        item = F.struct("key", "label", "sign")
-        dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("pair", pair)
-        dealt = dealt.groupBy("slot", "pair").agg(F.collect_list(F.when(F.col("block") == F.col("pair.x"), item)).alias("one"), F.collect_list(F.when(F.col("block") == F.col("pair.y"), item)).alias("two"))
-        more = dealt.select("one", "two", (F.col("pair.x") == F.col("pair.y")).alias("same")).mapInArrow(compare, "a binary, b binary").distinct()
-        new = cut_small(more.join(tested, ["a", "b"], "left_anti"))
-        found = cut_small(confirmed(new, full))
-        tested = tested.unionByName(new)
         if found.limit(1).count():
             links = links.unionByName(found)
             label = cut_small(components(links))
+    if work:
+        found = cut_small(_compared_in_tasks(filled, label, classes, full))
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            label = cut_small(components(links))
+    scratch.drop(full)
     return links, label
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id that can be reached), kept, n_links (of the links used to join its component, those of its class; others are not sought once a component is joined)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketches = staged(sketch(docs, "id"), "sketch")
-    classes = sketches.where("key is not null").groupBy("key").agg(F.min("id").alias("class_id"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
-    classes = staged(classes, "classes")
+    scratch = Scratch(docs.sparkSession)
+    sketches = scratch.staged(sketch(docs, "id"), "sketch")
+    # A class is held by the document of its least id; the text's hash tells it from others of that id.
+    holder = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th"))
+    classes = sketches.where("key is not null").groupBy("key").agg(holder.alias("holder"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
+    classes = scratch.staged(classes.select("key", F.col("holder.id").alias("class_id"), F.col("holder.th").alias("th"), "n_shingles", "sign", "bands"), "classes")
     slots = classes.select("key", F.explode("bands").alias("slot"))
     buckets = slots.groupBy("slot").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    filled = staged(slots.join(buckets, "slot"), "buckets")
+    filled = scratch.staged(slots.join(buckets, "slot"), "buckets")
 
-    links, label = _linked(filled, classes, docs)
+    links, label = _linked(filled, classes, docs, scratch)
 
     named = classes.select("key", "class_id").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     named = named.join(least, "label").join(degree, "key", "left").select("key", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sketches.select("id", "n_shingles", "key").join(named, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = staged(out, "near")
+    scratch.drop()
+    return out

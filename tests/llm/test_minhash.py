@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 
+import pytest
+
 from cladewise.llm.minhash import near_duplicates
 
 
@@ -58,10 +60,12 @@ def test_against_all_pairs(spark):
     assert sorted(result(spark, rows)) == sorted(brute(rows))
 
 
-def test_shared_passages_and_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("blocks", "much"), [(4, 0), (13, 100), (4096, 100)])
+def test_shared_passages_and_blocks(spark, monkeypatch, blocks, much):
     import cladewise.llm.minhash as m
 
-    monkeypatch.setattr(m, "BLOCK", 4)
+    monkeypatch.setattr(m, "BLOCK", blocks)
+    monkeypatch.setattr(m, "MUCH", much)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("hijklm") for _ in range(5))
     passage = [word() for _ in range(40)]
@@ -76,3 +80,29 @@ def test_repeated_rows_nulls_and_extra_columns(spark):
     rows = [r for r in near_duplicates(df).collect() if r.n_shingles == 2]
     assert {r.component_id for r in rows} == {1} and sorted(r.kept for r in rows) == [False, True, True]
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_edits_of_one_text_around_the_threshold(spark, monkeypatch):
+    import cladewise.llm.minhash as m
+
+    monkeypatch.setattr(m, "BLOCK", 40)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("nopqrst") for _ in range(5))
+    base = [word() for _ in range(70)]
+    rows = []
+    for i in range(120):
+        own = list(base)
+        for k in rng.sample(range(70), rng.randrange(6)):
+            own[k] = word()
+        rows.append((i, " ".join(own)))
+    assert len({r[2] for r in brute(rows)}) > 5
+    assert sorted(result(spark, rows)) == sorted(brute(rows))
+
+
+def test_null_ids_meet_their_own_texts_only(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("uvwxyz") for _ in range(5))
+    one, two = ([word() for _ in range(40)] for _ in range(2))
+    rows = [(None, " ".join(x[:k])) for x in (one, two) for k in (40, 39, 38, 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.n_shingles, r.component_id, r.kept, r.n_links > 0) for r in near_duplicates(df).collect()) == sorted((len(t.split()) - 4, None, False, len(t.split()) > 20) for _, t in rows)
