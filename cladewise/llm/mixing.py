@@ -6,8 +6,10 @@ source, every document is taken e times and the fraction by weighted sampling wi
 with weight w gets the key -ln(u) / w for a u in (0, 1) that is a hash of seed, id and text, and the smallest
 keys are taken until their sizes come nearest to the fraction's budget.
 
-No source is sorted as a whole. Keys fall into BINS ranges; the sums of the ranges tell in which range a
-source's budget ends, and only that range is sorted. Per-source cuts are then applied row by row.
+No source is sorted as a whole. Keys fall into BINS ranges and each of these into BINS smaller ones; the sums
+of the ranges tell in which range, and in which smaller one, a source's budget ends, and only that one is sorted.
+Per-source cuts are then applied row by row; up to BROADCAST sources they are counted and sent to all tasks, so
+that no row is shuffled by its source.
 
 Defined results: null or wordless text has size 0 and is taken 0 times; a source without words has target 0;
 a null source is a source of its own, after all others; repeated rows have one key and so are ranked
@@ -22,12 +24,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import cut, staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL, MOST = 1.5, 2.0
-#: Ranges of keys for each source; the sums of one source's ranges are sorted in one task.
+#: Ranges of keys for each source, and of each range; the sums of one source's ranges are sorted in one task.
 BINS = 4096
+#: Sources whose cuts (a row of numbers each) may be broadcast; beyond, rows and cuts are joined by shuffles.
+BROADCAST = 50_000
 SEED = 20_240_501
 
 #: Number of words, as the contract fixes it.
@@ -39,20 +43,22 @@ def size_of(text: Column) -> Column:
 
 
 def quality_of(text: Column) -> Column:
-    """Weight from 0.1 to 1: the share of small letters, so that shouting, tables and symbols are taken later."""
-    n = F.length(text)
-    small = n - F.length(F.translate(text, "abcdefghijklmnopqrstuvwxyz", ""))
-    return F.when(n > 0, 0.1 + 0.9 * small / n).otherwise(F.lit(0.1))
+    """Weight from 0.1 to 1: the share of letters of any script among what is not blank, so that tables, markup and symbols are taken later."""
+    blank = F.length(F.translate(text, " \t\n\r\x0b\x0c", ""))
+    letters = F.regexp_count(text, F.lit("\\p{L}"))
+    return F.when(blank > 0, 0.1 + 0.9 * letters / blank).otherwise(F.lit(0.1))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, seed: int, *more: Column) -> DataFrame:
-    """id, source, size, _key, _bin and what more is asked for; one scan."""
+    """id, source, size, _key, _fine, _bin and what more is asked for; one scan."""
     text = F.col(text_col)
     # 53 bits of a hash, never 0 or 1.
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), text), 11).cast("double") + 0.5) / F.lit(float(2**53))
     weight = quality_of(text) if weight is None else F.greatest(F.coalesce(weight, F.lit(0.0)), F.lit(1e-9))
     out = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text).alias("size"), (-F.log(u) / weight).alias("_key"), *more)
-    return out.withColumn("_bin", F.floor(F.lit(float(BINS)) * (1 - F.exp(-F.col("_key")))).cast("int"))
+    # No range is hot for any weight: the ranges widen as the keys' density falls.
+    fine = F.floor(F.lit(float(BINS * BINS)) * (F.col("_key") / (1 + F.col("_key")))).cast("int")
+    return out.withColumn("_fine", fine).withColumn("_bin", F.shiftright("_fine", BINS.bit_length() - 1))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
@@ -73,9 +79,9 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total: float =
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(rows, cuts). rows: id, source, size, _key, _bin, staged without texts. cuts, one row for each source: source_size, target, epochs, and where the fraction ends (end_bin, last_key)."""
+    """(rows, cuts). rows: id, source, size, _key, _fine, _bin, staged without texts. cuts, one row for each source: source_size, target, epochs, and where the fraction ends (end_fine, last_key)."""
     rows = staged(keyed(docs, id_col, text_col, source_col, weight, seed), "mix")
-    return rows, cuts(rows, weights, total, most)
+    return rows, cut(cuts(rows, weights, total, most))
 
 
 def cuts(rows: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
@@ -86,36 +92,41 @@ def cuts(rows: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOT
     in_order = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(in_order), F.lit(0)))
     ends = bins.withColumnRenamed("source", "_s").join(goal, F.col("_s").eqNullSafe(F.col("source"))).where((F.col("before") <= F.col("budget")) & (F.col("before") + F.col("bin_size") > F.col("budget"))).select("source", "_bin", "before", "budget")
-    # Only the range in which a budget ends is sorted; rows of one key stay together.
+    # The same once more within that range; only the smaller range in which a budget ends is sorted. Rows of one key stay together.
     last = rows.where("size > 0").withColumnRenamed("source", "_s").withColumnRenamed("_bin", "_b").join(ends, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_b") == F.col("_bin")))
-    last = last.groupBy("source", "_key").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("budget").alias("budget"))
+    last = last.select("source", "_fine", "_key", "size", "before", "budget")
+    parts = last.groupBy("source", "_fine").agg(F.sum("size").alias("part_size"), F.first("before").alias("before"), F.first("budget").alias("budget"))
+    parts = parts.withColumn("upto", F.col("before") + F.coalesce(F.sum("part_size").over(Window.partitionBy("source").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = parts.where((F.col("upto") <= F.col("budget")) & (F.col("upto") + F.col("part_size") > F.col("budget"))).select(F.col("source").alias("_p"), F.col("_fine").alias("end_fine"), "upto")
+    last = last.join(parts, F.col("source").eqNullSafe(F.col("_p")) & (F.col("_fine") == F.col("end_fine")))
+    last = last.groupBy("source", "end_fine", "_key").agg(F.sum("size").alias("size"), F.first("upto").alias("before"), F.first("budget").alias("budget"))
     upto = Window.partitionBy("source").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
     last = last.withColumn("end", F.col("before") + F.sum("size").over(upto))
     # A key is taken if that brings the sum nearer to the budget.
-    nearest = last.groupBy("source").agg(F.max(F.when(F.col("end") - F.col("budget") < F.col("budget") - (F.col("end") - F.col("size")), F.col("_key"))).alias("last_key"), F.first("_key").alias("_any"))
-    ends = ends.withColumnRenamed("source", "_e").select("_e", F.col("_bin").alias("end_bin"))
-    nearest = nearest.select(F.col("source").alias("_n"), "last_key")
-    out = goal.join(ends, F.col("source").eqNullSafe(F.col("_e")), "left").join(nearest, F.col("source").eqNullSafe(F.col("_n")), "left")
+    nearest = last.groupBy("source").agg(F.max(F.when(F.col("end") - F.col("budget") < F.col("budget") - (F.col("end") - F.col("size")), F.col("_key"))).alias("last_key"), F.first("end_fine").alias("end_fine"))
+    nearest = nearest.select(F.col("source").alias("_n"), "end_fine", "last_key")
+    out = goal.join(nearest, F.col("source").eqNullSafe(F.col("_n")), "left")
     # Without an end range the budget is 0 or covers all.
-    return out.select("source", "source_size", "target", "epochs", "end_bin", "last_key", ((F.col("budget") >= F.col("source_size")) & (F.col("source_size") > 0)).alias("all_of_it"))
+    return out.select("source", "source_size", "target", "epochs", "end_fine", "last_key", ((F.col("budget") >= F.col("source_size")) & (F.col("source_size") > 0)).alias("all_of_it"))
 
 
-def taken(rows: DataFrame, cut: DataFrame) -> DataFrame:
+def taken(rows: DataFrame, ends: DataFrame) -> DataFrame:
     """rows with source_size, target and copies: how often the mix takes the row."""
-    cut = cut.withColumnRenamed("source", "_source")
-    joined = rows.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    chosen = F.coalesce(F.col("all_of_it"), F.lit(False)) | F.coalesce(F.col("_bin") < F.col("end_bin"), F.lit(False)) | F.coalesce((F.col("_bin") == F.col("end_bin")) & (F.col("_key") <= F.col("last_key")), F.lit(False))
+    ends = ends.withColumnRenamed("source", "_source")
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST else ends
+    joined = rows.join(ends, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    chosen = F.coalesce(F.col("all_of_it"), F.lit(False)) | F.coalesce(F.col("_fine") < F.col("end_fine"), F.lit(False)) | F.coalesce((F.col("_fine") == F.col("end_fine")) & (F.col("_key") <= F.col("last_key")), F.lit(False))
     return joined.withColumn("copies", F.coalesce(F.col("epochs"), F.lit(0)) + F.when(chosen, 1).otherwise(0))
 
 
 def sizes(docs: DataFrame, **options) -> DataFrame:
     """id, size, source_size, target, taken for each row."""
-    rows, cut = plan(docs, **options)
-    return taken(rows, cut).select("id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    rows, ends = plan(docs, **options)
+    return taken(rows, ends).select("id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
     """The mixed rows themselves, with docs' columns: a row that is taken twice comes twice."""
-    _, cut = plan(docs, id_col, text_col, source_col, seed=seed, **options)
+    _, ends = plan(docs, id_col, text_col, source_col, seed=seed, **options)
     rows = keyed(docs, id_col, text_col, source_col, options.get("weight"), seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return taken(rows, cut).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
+    return taken(rows, ends).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")

@@ -22,6 +22,7 @@ occurrence is removed like all others. `remove` drops a character if any of its
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,7 @@ PIECE = 1 << 20
 _PLACE_BITS = 24
 _hash = Powers(61)
 _INT, _LONG = pa.int32(), pa.int64()
+_WORD = re.compile(rb"[^ \t-\r]+")
 
 
 # -- enhanced suffix array ---------------------------------------------------------------------------------
@@ -388,8 +390,8 @@ def whole_characters(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[i
     return merged([{"from": a, "to": b} for a, b in out])
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the covered characters taken out of the text; a document that loses nothing keeps its text, null included."""
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 0, **options) -> DataFrame:
+    """docs with the covered characters taken out of the text; a document that loses nothing keeps its text, null included. Runs of covered bytes in which fewer than `words` words begin stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -398,7 +400,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
             for i, r in enumerate(ranges):
                 if r:
                     data = texts[i].as_py().encode()
-                    out.append(kept_bytes(data, whole_characters(data, merged(r))).decode())
+                    runs = [x for x in merged(r) if len(_WORD.findall(data, *x)) >= words]
+                    out.append(kept_bytes(data, whole_characters(data, runs)).decode() if runs else None)
                 else:
                     out.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "left"])

@@ -1,12 +1,12 @@
 import base64
+import itertools
 import random
 
 import public_tokenizers as P
 import pytest
 import tiktoken
 
-import corpus_pipeline as C
-
+from cladewise.llm import pipeline as C
 from tests.llm.test_minhash import brute as near_groups
 
 
@@ -69,21 +69,28 @@ def test_passages_are_cut_out(run):
     before = {r.doc_id: r.text for r in stages[1].collect()}
     after = {r.doc_id: (r.text, r.n_chars) for r in stages[2].collect()}
     data = [t.encode() for t in before.values() if t]
-    seen, twice = set(), set()
+    n, seen, twice = C.PASSAGE_BYTES, set(), set()
     for t in data:
-        for p in range(len(t) - 399):
-            (twice if t[p : p + 400] in seen else seen).add(t[p : p + 400])
+        for p in range(len(t) - n + 1):
+            (twice if t[p : p + n] in seen else seen).add(t[p : p + n])
     assert twice
+    cut = 0
     for d, t in before.items():
         if t is None:
             continue
         raw = t.encode()
         cover = [False] * len(raw)
-        for p in range(len(raw) - 399):
-            if raw[p : p + 400] in twice:
-                cover[p : p + 400] = [True] * 400
-        want = bytes(b for b, c in zip(raw, cover) if not c).decode()
-        assert after.get(d, ("", 0))[0] == want and after.get(d, ("", 0))[1] == len(want)
+        for p in range(len(raw) - n + 1):
+            if raw[p : p + n] in twice:
+                cover[p : p + n] = [True] * n
+        want, at = b"", 0
+        for same, run_ in itertools.groupby(cover):
+            size = len(list(run_))
+            piece = raw[at : at + size]
+            long = same and len(piece.split()) >= C.PASSAGE_WORDS
+            want, at, cut = want + (b"" if long else piece), at + size, cut + long
+        assert after.get(d, ("", 0))[0] == want.decode() and after.get(d, ("", 0))[1] == len(want.decode())
+    assert cut > 5
 
 
 def test_mix_and_ids(run):
@@ -97,6 +104,16 @@ def test_mix_and_ids(run):
     assert all(r.ids == library.encode_ordinary(text[r.doc_id] or "") and r.n_tokens == len(r.ids) for r in ids)
 
 
+def test_long_texts_and_a_table_without_words(spark, run):
+    _, folder, _, _ = run
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(60_000)) + "."
+    docs = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, None, None, None, None), (3, "", "en", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in C.byte_level_bpe(spark, C.mix_sources(spark, C.suffix_array_dedup(spark, docs, folder), folder), folder).collect()}
+    assert set(got) == {1} and got[1].n_tokens > 60_000
+    assert {r.doc_id: r.n_tokens for r in C.byte_level_bpe(spark, docs, folder).collect()} == {1: got[1].n_tokens, 2: 0, 3: 0}
+
+
 def test_stages_take_empty_tables_and_clashing_columns(run):
     spark, folder, _, _ = run
     docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "1 as score", "2 as id", "'k' as key", "3 as kept", "4 as row", "5 as size")
