@@ -24,12 +24,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import chunks, staged, text_bytes
 
 BLOCK = 1 << 16
 #: Ids of a shard, apart from its last document.
@@ -38,8 +39,6 @@ END = 2
 CACHE = 600_000
 _MAGIC, _NULL = b"CWPLANE1", -(1 << 63)
 _HEAD = struct.Struct("<8sBIQI")
-#: Blanks between which the tokenizer's merges never reach.
-_CHUNK = re.compile("[^ \t-\r]+")
 #: Stretches that fall into letters, digits and signs in a way that needs no library; "'" and "<" may join these.
 _PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 _PART = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -118,13 +117,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.array([end], np.uint32).tobytes()
+        self.end = end
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Whether an id ends a word.
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.stretches: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Stretches that are known: their numbers; where their ids begin in the pool, and how many there are."""
+        self.numbers: dict[str, int] = {"": 0}
+        self.begin, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.pool = np.zeros(0, np.uint32)
 
     def _one_by_one(self, parts: list[str]) -> dict[str, bytes]:
         return {p: np.array(e.ids, np.uint32).tobytes() for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True)}
@@ -138,15 +143,11 @@ class Encoder:
         raw, edge = ids.tobytes(), [0, *(4 * stop).tolist()]
         return {w: raw[a:b] for w, a, b in zip(words, edge, edge[1:])}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text and the end id, as 32-bit words."""
-        if len(self.stretches) > CACHE:
-            self.stretches = {}
+    def _learn(self, new: list[str]) -> None:
+        """Encodes stretches that are not known yet."""
         if len(self.parts) > CACHE:
             self.parts = {}
-        stretches, parts = self.stretches, self.parts
-        split = [_CHUNK.findall(t) if t else [] for t in texts]
-        new = list({s for x in split for s in x if s not in stretches})
+        parts = self.parts
         plain = [bool(_PLAIN.fullmatch(s)) for s in new]
         pieces = [_PART.findall(s.lower()) if ok else [s] for s, ok in zip(new, plain, strict=True)]
         words = list({p for x, ok in zip(pieces, plain, strict=True) if ok for p in x if p not in parts})
@@ -154,9 +155,34 @@ class Encoder:
             parts.update(self._words(words[at : at + 4096]))
         other = list({x[0] for x, ok in zip(pieces, plain, strict=True) if not ok and x[0] not in parts})
         parts.update(self._one_by_one(other))
-        for s, x in zip(new, pieces, strict=True):
-            stretches[s] = parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])
-        return [b"".join([*[stretches[s] for s in x], self.end]) for x in split]
+        ids = [parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x]) for x in pieces]
+        size = np.array(list(map(len, ids)), np.int64) // 4
+        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), np.uint32)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and how many each text has. Stretches between blanks are split and numbered by Arrow, and their ids are gathered."""
+        if len(self.numbers) > CACHE:
+            self._forget()
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        self._learn([s for s in names if s not in self.numbers])
+        number = np.array([self.numbers[s] for s in names], np.int64)[words.indices.to_numpy()] if names else np.zeros(0, np.int64)
+        size = self.size[number]
+        end = np.cumsum(size)
+        ids = self.pool[np.repeat(self.begin[number] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+        # The end ids go between the texts.
+        edge = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        upto = np.concatenate([[0], end])[edge]
+        stop = upto[1:] + np.arange(len(texts))
+        out = np.full(len(ids) + len(texts), self.end, np.uint32)
+        own = np.ones(len(out), bool)
+        own[stop] = False
+        out[own] = ids
+        return out, np.diff(upto) + 1
 
 
 @lru_cache(maxsize=2)
@@ -172,22 +198,31 @@ def _write(path: str, end: int, block: int, shard: int, bits: bool):
         own, part = encoder(path, end), TaskContext.get().partitionId()
         seq, held = 0, 0
         docs: list[int | None] = []
-        counts: list[int] = []
-        ids: list[bytes] = []
+        counts: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
             nonlocal seq, held, docs, counts, ids
-            data = write_shard(docs, counts, np.frombuffer(b"".join(ids), np.uint32), block, bits)
+            data = write_shard(docs, np.concatenate(counts).tolist(), np.concatenate(ids), block, bits)
             out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], names=["part", "seq", "n_ids", "payload"])
             seq, held, docs, counts, ids = seq + 1, 0, [], [], []
             return out
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(names), 256):
-                for name, x in zip(names[at : at + 256], own.encode(texts.slice(at, 256).to_pylist()), strict=True):
-                    docs.append(name), counts.append(len(x) // 4), ids.append(x)
-                    held += len(x) // 4
+            _, offsets = text_bytes(texts)
+            for a, b in chunks(offsets):
+                found, n = own.encode(texts.slice(a, b - a))
+                upto = np.concatenate([[0], np.cumsum(n)])
+                at = 0
+                while at < b - a:
+                    # As many documents as bring the shard to its size.
+                    stop = min(b - a, max(at + 1, int(np.searchsorted(upto, upto[at] + shard - held))))
+                    docs += names[a + at : a + stop]
+                    counts.append(n[at:stop])
+                    ids.append(found[upto[at] : upto[stop]])
+                    held += int(upto[stop] - upto[at])
+                    at = stop
                     if held >= shard:
                         yield close()
         if docs:

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -36,8 +37,20 @@ def test_round_trip_of_a_shard(bits):
 
 def test_as_the_library():
     tokenizer = Tokenizer.from_file(PATH)
-    got = planes.encoder(PATH, 2).encode(texts())
-    assert [np.frombuffer(x, np.uint32).tolist() for x in got] == [want(tokenizer, t) for t in texts()]
+    own = planes.encoder(PATH, 2)
+    for n in (1, 7, 10_000):
+        some = texts()
+        for at in range(0, len(some), n):
+            ids, size = own.encode(pa.array(some, pa.string()).slice(at, n))
+            got = np.split(ids, np.cumsum(size)[:-1])
+            assert [x.tolist() for x in got] == [want(tokenizer, t) for t in some[at : at + n]]
+
+
+def test_a_full_cache_is_given_up(monkeypatch):
+    monkeypatch.setattr(planes, "CACHE", 3)
+    own = planes.Encoder(PATH, 2)
+    for t in texts()[:60]:
+        assert own.encode(pa.array([t], pa.string()))[0].tolist() == want(own.tokenizer, t)
 
 
 @pytest.mark.parametrize("bits", [False, True])
