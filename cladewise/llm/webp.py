@@ -2,13 +2,14 @@
 
 The decoder reads prefix codes (simple and normal, with groups by tile), back-references with the distance
 map and the colour cache, and inverts the predictor, cross-colour, subtract-green and palette transforms; it
-gives pixel arrays. Where all codes of an image have one length each and only literals occur, pixels lie at
-fixed distances and are read as arrays; other images are read symbol by symbol.
+gives pixel arrays. Symbols are not read one by one: tables tell at once, for each bit, which token would begin
+there and where it would end; the tokens are then followed from the first bit on, and copies and cached colours
+are resolved together as pointers to earlier pixels. Only images of a few pixels are read symbol by symbol.
 
 A payload is stored as the red, green and blue samples of an image 64 pixels wide (wider in steps of 64 where
-the format's height ends), with effort 1: fitted codes and back-references, and, dealt by the payload's checksum,
-transforms, colour caches and groups of codes by tile, so that a table has all parts of the format; images of up
-to 256 colours may have a palette. Effort 0 writes literals with codes of 8 bits.
+the format's height ends), with fitted codes and back-references, and at least one transform: a palette where the
+colours are few, else transforms, colour caches and groups of codes by tile as dealt by the payload's checksum, so
+that a table has all parts of the format. Predictor modes and colour elements are fitted to each tile.
 
 Defined results: null and empty text is a payload of blanks; equal texts are stored as equal bytes; repeated
 rows have equal values; an empty table gives an empty result; columns other than id and text are ignored.
@@ -45,12 +46,22 @@ def _up(a: int, b: int) -> int:
 
 # -- bits and codes ----------------------------------------------------------------------------------------
 
+#: 16-bit numbers with their bits in reverse order.
+_REVERSED = np.packbits(np.unpackbits(np.arange(1 << 16, dtype=">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, ::-1], axis=1).view(">u2").reshape(-1).astype(np.int64)
+
 
 class Reader:
     """Bits, least significant first."""
 
     def __init__(self, data: bytes) -> None:
         self.data, self.at = data, 0
+        #: Of the last code: the size of its alphabet, its bits, what they were, and the code.
+        self.last: tuple[int, int, int, Code] | None = None
+
+    def seen(self, n: int) -> int:
+        """The next n bits, however many."""
+        first = self.at >> 3
+        return (int.from_bytes(self.data[first : first + (n >> 3) + 2], "little") >> (self.at & 7)) & ((1 << n) - 1)
 
     def peek(self, n: int) -> int:
         first = self.at >> 3
@@ -63,173 +74,231 @@ class Reader:
         self.at += n
         return out
 
+    @cached_property
+    def triples(self) -> np.ndarray:
+        """At each byte it and the next three, as one number; 16 more bytes of nothing at the end."""
+        raw = np.frombuffer(self.data + bytes(20), np.uint8).astype(np.uint32)
+        return raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+
 
 class Writer:
+    """Bits, least significant first, one at a time or as arrays of codes."""
+
     def __init__(self) -> None:
         self.value, self.n = 0, 0
-        self.full: list[bytes] = []
+        self.parts: list[np.ndarray] = []
 
     def bits(self, value: int, n: int) -> None:
         self.value |= value << self.n
         self.n += n
-        if self.n >= 4096:
-            whole = self.n // 8
-            self.full.append((self.value & ((1 << 8 * whole) - 1)).to_bytes(whole, "little"))
-            self.value >>= 8 * whole
-            self.n -= 8 * whole
+
+    def _flush(self) -> None:
+        if self.n:
+            self.parts.append(np.unpackbits(np.frombuffer(self.value.to_bytes(_up(self.n, 8), "little"), np.uint8), count=self.n, bitorder="little"))
+            self.value, self.n = 0, 0
+
+    def codes(self, values: np.ndarray, sizes: np.ndarray, step: int = 1 << 18) -> None:
+        """Each value with its size in bits."""
+        self._flush()
+        for at in range(0, len(values), step):
+            value, size = values[at : at + step], sizes[at : at + step]
+            end = np.cumsum(size)
+            place = np.arange(end[-1], dtype=np.int32) - np.repeat((end - size).astype(np.int32), size)
+            self.parts.append((np.repeat(value, size) >> place & 1).astype(np.uint8))
 
     def bytes(self) -> bytes:
-        return b"".join([*self.full, self.value.to_bytes(_up(self.n, 8), "little")])
-
-    def length(self) -> int:
-        return 8 * sum(map(len, self.full)) + self.n
-
-
-def canonical(lengths: Sequence[int]) -> dict[int, tuple[int, int]]:
-    """symbol -> (code as it lies in the stream, length). A single symbol takes no bits."""
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
-    if len(used) == 1:
-        return {used[0][1]: (0, 0)}
-    out, code, before = {}, 0, 0
-    for n, s in used:
-        code <<= n - before
-        out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
-        code, before = code + 1, n
-    if used and code != 1 << before:
+        self._flush()
+        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes() if self.parts else b""
+
+
+def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Symbols in order of their codes, how much of the longest code's range each covers, their bits, and the longest one's. A single symbol takes no bits."""
+    used = lengths.nonzero()[0]
+    bits = lengths[used]
+    if len(used) < 2:
+        return np.zeros(1, np.int64) if not len(used) else used, np.ones(1, np.int64), np.zeros(1, np.int64), 0
+    by = bits.argsort(kind="stable")
+    used, bits = used[by], bits[by]
+    wide = int(bits[-1])
+    step = 1 << (wide - bits)
+    if int(step.sum()) != 1 << wide:
         raise ValueError("a prefix code is not complete")
-    return out
+    return used, step, bits, wide
+
+
+def stream_codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol its code as it lies in the stream, and its bits."""
+    order, step, own, wide = canonical(lengths)
+    out, bits = np.zeros(len(lengths), np.int32), np.zeros(len(lengths), np.int32)
+    if wide:
+        out[order] = _REVERSED[step.cumsum() - step] >> (16 - wide)
+        bits[order] = own
+    return out, bits
 
 
 class Code:
-    """A prefix code, as a table over the next bits."""
+    """A prefix code, as a table over the next bits: symbol * 16 + bits."""
+
+    def __init__(self, lengths: np.ndarray) -> None:
+        order, step, bits, self.wide = canonical(lengths)
+        self.table = (order << 4 | bits).astype(np.uint16)
+        if self.wide:
+            self.table = self.table.repeat(step)[_reversed(self.wide)]
+        self.mask = np.uint32((1 << self.wide) - 1)
 
-    def __init__(self, lengths: Sequence[int]) -> None:
-        self.lengths = lengths
-        codes = canonical(lengths)
-        self.wide = max((n for _, n in codes.values()), default=0)
-        self.table: list[tuple[int, int]] = [(0, 0)] * (1 << self.wide)
-        for s, (code, n) in codes.items():
-            for k in range(code, 1 << self.wide, 1 << n):
-                self.table[k] = (s, n)
+    @cached_property
+    def entries(self) -> list[int]:
+        return self.table.tolist()
 
     def read(self, r: Reader) -> int:
-        s, n = self.table[r.peek(self.wide)]
-        r.at += n
-        return s
+        x = self.entries[r.peek(self.wide)]
+        r.at += x & 15
+        return x >> 4
 
-    @cached_property
-    def uniform(self) -> np.ndarray | None:
-        """If all codes have one length: the symbol of each code, else None."""
-        if any(n != self.wide for _, n in self.table):
-            return None
-        return np.array([s for s, _ in self.table])
+
+@lru_cache(maxsize=16)
+def _reversed(wide: int) -> np.ndarray:
+    return _REVERSED[: 1 << wide] >> (16 - wide)
 
 
-@lru_cache(maxsize=256)
-def code_of(lengths: tuple[int, ...]) -> Code:
-    """Files of one kind have few different codes; their tables are built once."""
+@lru_cache(maxsize=1024)
+def _simple(size: int, *symbols: int) -> Code:
+    lengths = np.zeros(size, np.int64)
+    lengths[list(symbols)] = 1
     return Code(lengths)
 
 
+@lru_cache(maxsize=4096)
+def _small(lengths: tuple[int, ...]) -> Code:
+    """The codes of code lengths are few."""
+    return Code(np.array(lengths))
+
+
 def read_code(r: Reader, size: int) -> Code:
-    lengths = [0] * size
+    # The same bits for the same alphabet are the same code: red and blue often share theirs.
+    begin = r.at
+    if r.last is not None and r.last[0] == size and r.seen(r.last[1]) == r.last[2]:
+        r.at += r.last[1]
+        return r.last[3]
     if r.bits(1):
         two, wide = r.bits(1), r.bits(1)
-        for s in [r.bits(8 if wide else 1), *([r.bits(8)] if two else [])]:
-            lengths[s] = 1
-        return code_of(tuple(lengths))
-    own = [0] * 19
-    for k in range(4 + r.bits(4)):
-        own[CODE_LENGTH_ORDER[k]] = r.bits(3)
-    code = code_of(tuple(own))
+        return _simple(size, *[r.bits(8 if wide else 1), *([r.bits(8)] if two else [])])
+    n = 4 + r.bits(4)
+    packed, own = r.bits(3 * n), [0] * 19
+    for k in range(n):
+        own[CODE_LENGTH_ORDER[k]] = packed >> 3 * k & 7
+    code = _small(tuple(own))
     left = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else size
-    at, before = 0, 8
-    while at < size and left:
+    # All that can follow, as one number.
+    first, entries, mask = r.at >> 3, code.entries, (1 << code.wide) - 1
+    rest, used = int.from_bytes(r.data[first : first + 2 * size + 16], "little") >> (r.at & 7), 0
+    lengths: list[int] = []
+    before = 8
+    while len(lengths) < size and left:
         left -= 1
-        s = code.read(r)
+        x = entries[rest & mask]
+        n, s = x & 15, x >> 4
+        rest >>= n
+        used += n
         if s < 16:
-            lengths[at] = s
-            before, at = s or before, at + 1
+            lengths.append(s)
+            before = s or before
             continue
-        n = 3 + r.bits(2) if s == 16 else 3 + r.bits(3) if s == 17 else 11 + r.bits(7)
-        if at + n > size:
-            raise ValueError("too many code lengths")
-        lengths[at : at + n] = [before if s == 16 else 0] * n
-        at += n
-    return code_of(tuple(lengths))
+        base, more = ((3, 2), (3, 3), (11, 7))[s - 16]
+        lengths += [before if s == 16 else 0] * (base + (rest & (1 << more) - 1))
+        rest >>= more
+        used += more
+    if len(lengths) > size:
+        raise ValueError("too many code lengths")
+    r.at += used
+    if r.at > 8 * len(r.data):
+        raise ValueError("the image ends too early")
+    out, n, r.at = Code(np.array(lengths + [0] * (size - len(lengths)))), r.at - begin, begin
+    r.last = size, n, r.seen(n), out
+    r.at += n
+    return out
 
 
-def write_code(w: Writer, lengths: Sequence[int]) -> dict[int, tuple[int, int]]:
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 2 and max(used, default=0) < 256:
-        w.bits(1, 1)
-        w.bits(len(used) == 2, 1)
-        w.bits(1, 1)
-        for s in used or [0]:
-            w.bits(s, 8)
-        return canonical([int(s in (used or [0])) for s in range(len(lengths))])
+@lru_cache(maxsize=4096)
+def _zeros(n: int) -> list[tuple[int, int, int]]:
+    """A run of n lengths of 0 as symbols of the code length code, each with its further bits."""
+    out = []
+    while n >= 11:
+        k = min(n, 138)
+        out.append((18, k - 11, 7))
+        n -= k
+    return out + ([(17, n - 3, 3)] if n >= 3 else [(0, 0, 0)] * n)
+
+
+def write_code(w: Writer, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the lengths of a code fitted to the counts; its stream_codes()."""
+    used = count.nonzero()[0]
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+        symbols = used.tolist() or [0]
+        for value, n in ((1, 1), (len(symbols) == 2, 1), (1, 1), *((s, 8) for s in symbols)):
+            w.bits(value, n)
+        code, bits = np.zeros(len(count), np.int32), np.zeros(len(count), np.int32)
+        if len(used) == 2:
+            code[used[1]], bits[used] = 1, 1
+        return code, bits
+    lengths = fitted(count)
+    used = lengths.nonzero()[0]
     tokens: list[tuple[int, int, int]] = []
-    at, before = 0, 8
-    while at < len(lengths):
-        n = 1
-        while at + n < len(lengths) and lengths[at + n] == lengths[at]:
-            n += 1
-        x = lengths[at]
-        if x == 0 and n >= 3:
-            n = min(n, 138)
-            tokens.append((17, n - 3, 3) if n < 11 else (18, n - 11, 7))
-        elif x == before and n >= 3:
-            n = min(n, 6)
-            tokens.append((16, n - 3, 2))
-        else:
-            n = 1
-            tokens.append((x, 0, 0))
-            before = x or before
-        at += n
-    count = [0] * 19
-    for t, _, _ in tokens:
-        count[t] += 1
-    own = fitted(count, 7)
-    if sum(map(bool, own)) == 1:  # one symbol takes no bits, but its length must be there
-        own = [int(bool(x)) for x in own]
-    codes = canonical(own)
+    place = 0
+    for s, x in zip(used.tolist(), lengths[used].tolist(), strict=True):
+        if s > place:
+            tokens += _zeros(s - place)
+        tokens.append((x, 0, 0))
+        place = s + 1
+    tokens += _zeros(len(count) - place)
+    own = fitted(np.bincount([t[0] for t in tokens], minlength=19), 7)
+    codes, bits = (x.tolist() for x in stream_codes(own))
+    own = own.tolist()
     n = max(4, 1 + max(k for k, s in enumerate(CODE_LENGTH_ORDER) if own[s]))
-    w.bits(0, 1)
-    w.bits(n - 4, 4)
+    value, at = (n - 4) << 1, 5  # a normal code
     for k in range(n):
-        w.bits(own[CODE_LENGTH_ORDER[k]], 3)
-    w.bits(0, 1)
+        value |= own[CODE_LENGTH_ORDER[k]] << at
+        at += 3
+    at += 1  # lengths for the whole alphabet
     for t, more, extra in tokens:
-        w.bits(*codes[t])
-        w.bits(more, extra)
-    return canonical(lengths)
+        value |= (codes[t] | more << bits[t]) << at
+        at += bits[t] + extra
+    w.bits(value, at)
+    return stream_codes(lengths)
 
 
-def fitted(count: Sequence[int], most: int = 15) -> list[int]:
+def fitted(count: np.ndarray, most: int = 15) -> np.ndarray:
     """Lengths of a prefix code for the counts; rare symbols count for more until the longest code fits."""
-    import heapq
-
-    used = [s for s, c in enumerate(count) if c]
-    lengths = [0] * len(count)
-    if len(used) == 1:
-        lengths[used[0]] = 1
+    lengths = np.zeros(len(count), np.int64)
+    used = count.nonzero()[0]
+    n, floor = len(used), 1
+    if n < 2:
+        lengths[used] = 1
         return lengths
-    floor = 1
-    while used:
-        heap = [(max(count[s], floor), s, (s,)) for s in used]
-        heapq.heapify(heap)
-        depth = dict.fromkeys(used, 0)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(depth.values()) <= most:
-            for s, d in depth.items():
-                lengths[s] = d
-            break
+    used = used[count[used].argsort(kind="stable")]
+    ascending = count[used].tolist()
+    endless = sum(ascending) * 2 + (n << 20)
+    while True:
+        leaf = [c if c > floor else floor for c in ascending] + [endless, endless]
+        inner, parent = [endless] * (n + 1), [0] * (2 * n - 1)
+        i = j = 0
+        for k in range(n - 1):  # leaves and sums both come in ascending order
+            if leaf[i] <= inner[j]:
+                total, parent[i], i = leaf[i], n + k, i + 1
+            else:
+                total, parent[n + j], j = inner[j], n + k, j + 1
+            if leaf[i] <= inner[j]:
+                total, parent[i], i = total + leaf[i], n + k, i + 1
+            else:
+                total, parent[n + j], j = total + inner[j], n + k, j + 1
+            inner[k] = total
+        depth = [0] * (2 * n - 1)
+        for x in range(2 * n - 3, -1, -1):
+            depth[x] = depth[parent[x]] + 1
+        if depth[0] <= most:  # the rarest symbol lies deepest
+            lengths[used] = depth[:n]
+            return lengths
         floor *= 2
-    return lengths
 
 
 # -- images of entropy-coded pixels ------------------------------------------------------------------------
@@ -242,42 +311,61 @@ def _number(r: Reader, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + r.bits(extra) + 1
 
 
-def _prefix(value: int) -> tuple[int, int, int]:
-    """Prefix, extra value and extra bits of a number from 1 on."""
-    value -= 1
-    if value < 4:
-        return value, 0, 0
-    high = value.bit_length() - 1
-    second = value >> (high - 1) & 1
-    return 2 * high + second, value & ((1 << (high - 1)) - 1), high - 1
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefixes, extra values and extra bits of numbers from 1 on."""
+    value = value.astype(np.int64) - 1
+    high = np.maximum(np.frexp(value.astype(float))[1] - 1, 1).astype(np.int64)
+    small, extra = value < 4, high - 1
+    return np.where(small, value, 2 * high + (value >> extra & 1)), np.where(small, 0, value & (1 << extra) - 1), np.where(small, 0, extra)
 
 
 def _read_group(r: Reader, cache_bits: int) -> list[Code]:
     return [read_code(r, size) for size in (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
 
 
+def _near(d: int, width: int) -> int:
+    if d > len(NEAR):
+        return d - len(NEAR)
+    x, y = NEAR[d - 1]
+    return max(1, x + y * width)
+
+
+@lru_cache(maxsize=64)
+def _near_distances(width: int) -> np.ndarray:
+    return np.array([_near(d, width) for d in range(1, len(NEAR) + 1)])
+
+
+#: Images of fewer pixels are read symbol by symbol.
+FEW = 64
+#: Bits whose tables are looked up at a time.
+SPAN = 1 << 18
+
+
 def read_pixels(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
     """ARGB words, in rows. top: the image itself, whose codes may differ by tile."""
     cache_bits = r.bits(4) if r.bits(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
-    tile_bits, groups_of = 0, None
+    group_of = None
+    total, groups = width * height, 1
     if top and r.bits(1):
         tile_bits = 2 + r.bits(3)
         across = _up(width, 1 << tile_bits)
-        groups_of = (read_pixels(r, across, _up(height, 1 << tile_bits), False) >> 8 & 0xFFFF).astype(int)
-    groups = [_read_group(r, cache_bits) for _ in range(int(groups_of.max()) + 1 if groups_of is not None else 1)]
-    total = width * height
-    if groups_of is None and not cache_bits:
-        if (out := _at_fixed_places(r, groups[0], total)) is not None:
-            return out
+        tiles = (read_pixels(r, across, _up(height, 1 << tile_bits), False) >> 8 & 0xFFFF).astype(np.int64)
+        n = np.arange(total)
+        group_of, groups = tiles[(n // width >> tile_bits) * across + (n % width >> tile_bits)], int(tiles.max()) + 1
+    codes = [_read_group(r, cache_bits) for _ in range(groups)]
+    return (_one_by_one if total < FEW else _by_tables)(r, codes, group_of, width, total, cache_bits)
+
+
+def _one_by_one(r: Reader, groups: list[list[Code]], group_of: np.ndarray | None, width: int, total: int, cache_bits: int) -> np.ndarray:
     out = [0] * total
     cache = [0] * (1 << cache_bits)
-    shift, at, tiled = 32 - cache_bits, 0, groups_of.tolist() if groups_of is not None else None
+    shift, at = 32 - cache_bits, 0
     green, red, blue, alpha, distance = groups[0]
     while at < total:
-        if tiled is not None:
-            green, red, blue, alpha, distance = groups[tiled[(at // width >> tile_bits) * across + (at % width >> tile_bits)]]
+        if group_of is not None:
+            green, red, blue, alpha, distance = groups[group_of[at]]
         s = green.read(r)
         n = 1
         if s < 256:
@@ -285,12 +373,7 @@ def read_pixels(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
             out[at] = alpha.read(r) << 24 | low << 16 | s << 8 | low2
         elif s < 280:
             n = _number(r, s - 256)
-            d = _number(r, distance.read(r))
-            if d > len(NEAR):
-                d -= len(NEAR)
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
+            d = _near(_number(r, distance.read(r)), width)
             if d > at or at + n > total:
                 raise ValueError("a back-reference leaves the image")
             for k in range(at, at + n):
@@ -306,83 +389,242 @@ def read_pixels(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _at_fixed_places(r: Reader, group: list[Code], total: int) -> np.ndarray | None:
-    """All pixels at once, if each code has one length and there are literals only."""
-    symbols = [c.uniform for c in group[:4]]
-    if any(s is None for s in symbols) or symbols[0].max() > 255:
-        return None
-    wide = [c.wide for c in group[:4]]
-    step = sum(wide)
-    if r.at + step * total > 8 * len(r.data):
+class _Span:
+    """What a token would be if it began at each of the next bits, for one group of codes: where it ends, how many pixels it gives."""
+
+    def __init__(self, window: np.ndarray, n: int, codes: list[Code]) -> None:
+        self.window, self.codes = window, codes
+        green, red, blue, alpha, distance = codes
+        self.green = green.table[window[:n] & green.mask]
+        at = np.arange(n, dtype=np.int32) + (self.green & 15)
+        self.after = end = at
+        for code in (red, blue, alpha):
+            if code.wide:
+                end = end + (code.table[window[end] & code.mask] & 15)
+        self.count = None
+        if int(green.table.max()) >= 256 << 4:
+            symbol = self.green >> 4
+            self.count, self.distance = np.ones(n, np.int32), np.zeros(n, np.int32)
+            end = np.where(symbol >= 280, at, end)
+            copy = np.flatnonzero((symbol >= 256) & (symbol < 280))
+            place = at[copy]
+            self.count[copy], place = self._numbers(symbol[copy].astype(np.int32) - 256, place)
+            entry = distance.table[window[place] & distance.mask].astype(np.int32)
+            self.distance[copy], end[copy] = self._numbers(entry >> 4, place + (entry & 15))
+        self.end = end
+
+    def _numbers(self, prefix: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        extra = np.maximum(prefix - 2, 0) >> 1
+        more = (self.window[place] & ((1 << extra) - 1).astype(np.uint32)).astype(np.int32)
+        return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + more + 1), place + extra
+
+    def literals(self, at: np.ndarray) -> np.ndarray:
+        """ARGB words of literals that begin there."""
+        out, place = (self.green[at] >> 4).astype(np.uint32) << np.uint32(8), self.after[at]
+        for code, shift in zip(self.codes[1:4], (16, 0, 24), strict=True):
+            entry = code.table[self.window[place] & code.mask].astype(np.uint32)
+            out |= entry >> np.uint32(4) << np.uint32(shift)
+            place = place + (entry & np.uint32(15)).astype(np.int32)
+        return out
+
+
+def _walk(spans: list[_Span], group_of: np.ndarray | None, bit: int, bits: int, at: int, total: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Follows the tokens from a bit on: their bits and pixels, and the bit and pixel where it stops."""
+    places: list[int] = []
+    if group_of is not None:
+        pixels: list[int] = []
+        end, count = [memoryview(s.end) for s in spans], [memoryview(s.count) if s.count is not None else None for s in spans]
+        own = memoryview(group_of)
+        while bit < bits and at < total:
+            places.append(bit)
+            pixels.append(at)
+            g = own[at]
+            at += count[g][bit] if count[g] is not None else 1
+            bit = end[g][bit]
+        return np.array(places, np.int64), np.array(pixels, np.int64), bit, at
+    span, left = spans[0], total - at
+    if not any(code.wide for code in span.codes[:4]):  # one colour, without a bit
+        return np.full(left, bit), np.arange(at, total), bit, total
+    end, note = memoryview(span.end), places.append
+    if span.count is None:
+        for _ in range(left):
+            if bit >= bits:
+                break
+            note(bit)
+            bit = end[bit]
+        place = np.array(places, np.int64)
+        return place, at + np.arange(len(place)), bit, at + len(place)
+    # Tokens past the last pixel are left out afterwards; an image has few bits behind it.
+    while bit < bits and len(places) < left:
+        note(bit)
+        bit = end[bit]
+    place = np.array(places, np.int64)
+    stop = at + span.count[place].cumsum(dtype=np.int64)
+    n = min(int(np.searchsorted(stop, total)) + 1, len(place))
+    last = int(stop[n - 1]) if n else at
+    return place[:n], (stop - span.count[place])[:n], places[n] if n < len(places) else bit, last
+
+
+def _roots(source: np.ndarray) -> np.ndarray:
+    """Follows each pixel's source to a pixel that is its own."""
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            return source
+        source = further
+
+
+def _by_tables(r: Reader, groups: list[list[Code]], group_of: np.ndarray | None, width: int, total: int, cache_bits: int) -> np.ndarray:
+    """Looks up the token that begins at each bit, all at once, then follows the tokens; copies and cached colours are resolved as pointers to earlier pixels."""
+    out, source = np.zeros(total, np.uint32), np.arange(total)
+    slot, cached = np.zeros(total, np.int64), []
+    near = _near_distances(width)
+    at, margin = 0, 96
+    while at < total:
+        first, bits = r.at >> 3, min(SPAN, 8 * len(r.data) - (r.at & ~7) + 8)
+        if r.at >= 8 * len(r.data) + 8:
+            raise ValueError("the image ends too early")
+        words = r.triples[first : first + (bits + margin >> 3)]
+        words = np.concatenate([words, np.zeros((bits + margin >> 3) - len(words), np.uint32)])
+        window = (words[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)
+        # 25 bits of a window are sure to be there; no code or number takes more.
+        spans = [_Span(window, bits, codes) for codes in groups]
+        place, pixel, bit, stop = _walk(spans, group_of, r.at & 7, bits, at, total)
+        for g, span in enumerate(spans):
+            own = slice(None) if group_of is None else group_of[pixel] == g
+            p, x = place[own], pixel[own]
+            symbol = span.green[p] >> 4
+            plain = symbol < 256
+            out[x[plain]] = span.literals(p[plain])
+            if plain.all():
+                continue
+            copy = (symbol >= 256) & (symbol < 280)
+            n, d, start = span.count[p[copy]].astype(np.int64), span.distance[p[copy]].astype(np.int64), x[copy]
+            d = np.where(d > len(NEAR), d - len(NEAR), near[np.minimum(d, len(NEAR)) - 1])
+            if (d > start).any() or (start + n > total).any():
+                raise ValueError("a back-reference leaves the image")
+            target = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            source[target] = target - np.repeat(d, n)
+            hit = symbol >= 280
+            slot[x[hit]] = symbol[hit].astype(np.int64) - 280
+            cached.append(x[hit])
+        at, r.at = stop, (r.at & ~7) + bit
+    if r.at > 8 * len(r.data):
         raise ValueError("the image ends too early")
-    raw = np.frombuffer(r.data, np.uint8)
-    out = np.zeros(total, np.uint32)
-    piece = 1 << 18  # pixels whose bits are spread at a time
-    for first in range(0, total, piece):
-        n, at = min(piece, total - first), r.at + step * first
-        lanes = np.unpackbits(raw[at >> 3 : _up(at + step * n, 8)], bitorder="little")[at & 7 :][: step * n].reshape(n, step)
-        place = 0
-        for s, w, channel in zip(symbols, wide, (8, 16, 0, 24), strict=True):
-            code = np.packbits(lanes[:, place : place + w], axis=1, bitorder="little") if w else None
-            value = np.full(n, s[0]) if code is None else s[code[:, 0] if w <= 8 else code[:, 0].astype(int) | code[:, 1].astype(int) << 8]
-            out[first : first + n] |= value.astype(np.uint32) << np.uint32(channel)
-            place += w
-    r.at += step * total
+    root = _roots(source)
+    hits = np.concatenate(cached) if cached else np.zeros(0, np.int64)
+    if len(hits):
+        known = np.ones(total, bool)
+        known[hits] = False
+        slot[known] = ((out[known] * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+        slot = slot[root]
+        # A cached colour is that of the last pixel before with the same place in the cache; at first all are 0.
+        order = np.argsort(slot, kind="stable")
+        same = slot[order[1:]] == slot[order[:-1]]
+        before = np.arange(total)
+        before[order[1:][same]] = order[:-1][same]
+        source[hits] = before[hits]
+        root = _roots(source)
+    return out[root]
+
+
+def _repeats(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """Back-references (pixel, length, distance), from left to right: runs of pixels whose next three last stood at one distance."""
+    n = len(argb) - 2
+    if n < 2:
+        return []
+    wide = argb.astype(np.uint64)
+    key = (wide[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (wide[2:] * np.uint64(0x165667B19E3779F9))
+    order = np.argsort(key, kind="stable")
+    a, b = order[:-1], order[1:]
+    same = (key[a] == key[b]) & (argb[a] == argb[b]) & (argb[a + 1] == argb[b + 1]) & (argb[a + 2] == argb[b + 2])
+    distance = np.zeros(n, np.int64)
+    distance[b[same]] = (b - a)[same]
+    edge = np.flatnonzero(np.diff(distance, prepend=0, append=0))
+    out, at = [], 0
+    for first, stop, d in zip(edge.tolist(), edge[1:].tolist(), distance[edge[:-1]].tolist(), strict=False):
+        first = max(first, at)
+        if not d or first >= stop:
+            continue
+        left = stop + 2 - first
+        while left >= 3:
+            k = min(left, 4096)
+            out.append((first, k, d))
+            first, left = first + k, left - k
+        at = first
+    return out
+
+
+@lru_cache(maxsize=8)
+def _near_codes(width: int) -> np.ndarray:
+    """The code of each short distance, or 0."""
+    out = np.zeros(8 * width + 9, np.int64)
+    for k in range(len(NEAR), 0, -1):
+        out[_near(k, width)] = k
     return out
 
 
 def write_pixels(w: Writer, argb: np.ndarray, width: int, top: bool, cache_bits: int = 0, references: bool = False, tile_bits: int = 0) -> None:
-    """Fitted codes; back-references to the last place of the same two pixels; a colour cache; two groups of codes by tile."""
-    pixels = argb.tolist()
-    cache: dict[int, int] = {}
-    seen: dict[tuple[int, int], int] = {}
-    symbols: list[tuple[int, list[tuple[int, int, int, int]]]] = []  # place, (code, symbol, extra value, extra bits)
-    at, near = 0, {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
-    while at < len(pixels):
-        n, d = 0, 0
-        if references and at + 1 < len(pixels) and (old := seen.get((pixels[at], pixels[at + 1]))) is not None:
-            d = at - old
-            while at + n < len(pixels) and n < 4096 and pixels[at + n] == pixels[old + n]:
-                n += 1
-        p = pixels[at]
-        slot = (CACHE_MULTIPLIER * p & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else -1
-        if n >= 3:
-            a, b = _prefix(n), _prefix(near.get(d, d + len(NEAR)))
-            symbols.append((at, [(0, 256 + a[0], a[1], a[2]), (4, b[0], b[1], b[2])]))
-        else:
-            n = 1
-            if cache_bits and cache.get(slot) == p:
-                symbols.append((at, [(0, 280 + slot, 0, 0)]))
-            else:
-                symbols.append((at, [(0, p >> 8 & 255, 0, 0), (1, p >> 16 & 255, 0, 0), (2, p & 255, 0, 0), (3, p >> 24, 0, 0)]))
-        for k in range(at, at + n):
-            if cache_bits:
-                cache[(CACHE_MULTIPLIER * pixels[k] & 0xFFFFFFFF) >> (32 - cache_bits)] = pixels[k]
-            if k + 1 < len(pixels):
-                seen[pixels[k], pixels[k + 1]] = k
-        at += n
+    """Fitted codes; back-references; a colour cache; two groups of codes by tile."""
+    total = len(argb)
+    copies = np.array(_repeats(argb) if references else [], np.int64).reshape(-1, 3)
+    step = np.zeros(total + 1, np.int64)
+    np.add.at(step, copies[:, 0], 1)
+    np.add.at(step, copies[:, 0] + copies[:, 1], -1)
+    alone = np.flatnonzero(np.cumsum(step)[:total] == 0)
+    start = np.concatenate([alone, copies[:, 0]])
+    order = np.argsort(start, kind="stable")
+    start, pixel = start[order], argb[start[order]]
+    # 0: a literal, 1: a copy, 2: a cached colour
+    kind = np.repeat([0, 1], [len(alone), len(copies)])[order]
+    slot = np.zeros(total, np.int64)
+    if cache_bits:
+        slot = ((argb * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+        by = np.argsort(slot, kind="stable")
+        hit = np.zeros(total, bool)
+        hit[by[1:]] = (slot[by[1:]] == slot[by[:-1]]) & (argb[by[1:]] == argb[by[:-1]])
+        kind[(kind == 0) & hit[start]] = 2
     w.bits(bool(cache_bits), 1)
     if cache_bits:
         w.bits(cache_bits, 4)
-    groups, group_of = 1, lambda place: 0
+    group, groups = np.zeros(len(start), np.int64), 1
     if top:
         w.bits(bool(tile_bits), 1)
         if tile_bits:
-            across, down = _up(width, 1 << tile_bits), _up(_up(len(pixels), width), 1 << tile_bits)
+            across, down = _up(width, 1 << tile_bits), _up(_up(total, width), 1 << tile_bits)
             w.bits(tile_bits - 2, 3)
             write_pixels(w, (np.arange(across * down) % 2 * 256 + 0xFF000000).astype(np.uint32), across, False)
             groups = min(2, across * down)
-            group_of = lambda place: ((place // width >> tile_bits) * across + (place % width >> tile_bits)) % 2
-    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    count = [[[0] * n for n in sizes] for _ in range(groups)]
-    for place, parts in symbols:
-        for c, s, _, _ in parts:
-            count[group_of(place)][c][s] += 1
-    codes = [[write_code(w, fitted(c)) for c in group] for group in count]
-    for place, parts in symbols:
-        for c, s, value, extra in parts:
-            w.bits(*codes[group_of(place)][c][s])
-            w.bits(value, extra)
+            group = ((start // width >> tile_bits) * across + (start % width >> tile_bits)) % 2
+    near, d = _near_codes(width), copies[:, 2]
+    d = np.where((d < len(near)) & (near[np.minimum(d, len(near) - 1)] > 0), near[np.minimum(d, len(near) - 1)], d + len(NEAR))
+    length, far = _prefixes(copies[:, 1]), _prefixes(d)
+    copy, lit = kind == 1, kind == 0
+    symbols = np.zeros((len(start), 5), np.int64)
+    symbols[:, 0] = np.where(kind == 2, 280 + slot[start], pixel >> np.uint32(8) & np.uint32(255))
+    symbols[copy, 0], symbols[copy, 4] = 256 + length[0], far[0]
+    for k, shift in ((1, 16), (2, 0), (3, 24)):
+        symbols[:, k] = pixel >> np.uint32(shift) & np.uint32(255)
+    values, bits = np.zeros((len(start), 4), np.int32), np.zeros((len(start), 4), np.int32)
+    for g in range(groups):
+        own = group == g
+        literals = (own & lit).nonzero()[0]
+        rows = (own.nonzero()[0], literals, literals, literals, (own & copy).nonzero()[0])
+        count = [np.bincount(symbols[rows[k], k], minlength=size) for k, size in enumerate((280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40))]
+        count[1] = count[2] = count[1] + count[2]  # red and blue are alike here: one code for both
+        for k in range(5):
+            s = symbols[rows[k], k]
+            at = w.n
+            code, wide = write_code(w, count[k]) if k != 2 else (code, wide)
+            if k == 1:
+                same = w.value >> at, w.n - at
+            elif k == 2:
+                w.bits(*same)
+            column = 2 if k == 4 else k
+            values[rows[k], column], bits[rows[k], column] = code[s], wide[s]
+    for column, (_, more, extra) in ((1, length), (3, far)):
+        values[copy, column], bits[copy, column] = more, extra
+    w.codes(values.reshape(-1), bits.reshape(-1))
 
 
 # -- transforms --------------------------------------------------------------------------------------------
@@ -392,31 +634,18 @@ def _channels(argb: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(argb).view(np.uint8).reshape(*argb.shape, 4)  # blue, green, red, alpha
 
 
-def _average(a: int, b: int) -> int:
-    return (((a ^ b) & 0xFEFEFEFE) >> 1) + (a & b)
-
-
-def _each(f, *words: int) -> int:
-    return sum(f(*(w >> s & 255 for w in words)) << s for s in (0, 8, 16, 24))
+def _mean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a & b) + ((a ^ b) >> 1)
 
 
-def _clip(x: int) -> int:
-    return 0 if x < 0 else 255 if x > 255 else x
+_BLACK = np.array([0, 0, 0, 255], np.uint8)
+#: Modes that need no pixel of the same row but the left one: rows are inverted at once.
+ROWWISE = (1, 2, 3, 4, 8, 9)
 
 
-def _half(a: int, b: int) -> int:
-    d = a - b
-    return _clip(a + (d // 2 if d >= 0 else -(-d // 2)))
-
-
-def _select(left: int, above: int, corner: int) -> int:
-    to_left = sum(abs((above >> s & 255) - (corner >> s & 255)) for s in (0, 8, 16, 24))
-    to_above = sum(abs((left >> s & 255) - (corner >> s & 255)) for s in (0, 8, 16, 24))
-    return left if to_left < to_above else above
-
-
-def predicted(mode: int, left: int, above: int, right: int, corner: int) -> int:
-    """The format's prediction of a pixel inside the image; right and corner are the upper ones."""
+def predicted(mode: int, left: np.ndarray, above: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """The format's prediction for arrays of pixels inside the image; right and corner are the upper ones. The last axis has the channels."""
+    wide = lambda x: x.astype(np.int16)
     match mode:
         case 1:
             return left
@@ -427,60 +656,103 @@ def predicted(mode: int, left: int, above: int, right: int, corner: int) -> int:
         case 4:
             return corner
         case 5:
-            return _average(_average(left, right), above)
+            return _mean(_mean(left, right), above)
         case 6:
-            return _average(left, corner)
+            return _mean(left, corner)
         case 7:
-            return _average(left, above)
+            return _mean(left, above)
         case 8:
-            return _average(corner, above)
+            return _mean(corner, above)
         case 9:
-            return _average(above, right)
+            return _mean(above, right)
         case 10:
-            return _average(_average(left, corner), _average(above, right))
+            return _mean(_mean(left, corner), _mean(above, right))
         case 11:
-            return _select(left, above, corner)
+            to_left = np.abs(wide(above) - corner).sum(axis=-1, keepdims=True)
+            return np.where(to_left < np.abs(wide(left) - corner).sum(axis=-1, keepdims=True), left, above)
         case 12:
-            return _each(lambda a, b, c: _clip(a + b - c), left, above, corner)
+            return np.clip(wide(left) + above - corner, 0, 255).astype(np.uint8)
         case 13:
-            return _each(_half, _average(left, above), corner)
+            middle = wide(_mean(left, above))
+            step = middle - corner
+            return np.clip(middle + np.where(step < 0, -(-step // 2), step // 2), 0, 255).astype(np.uint8)
         case _:
-            return 0xFF000000
-
+            return np.broadcast_to(_BLACK, left.shape)
 
-def _add(a: int, b: int) -> int:
-    return ((a & 0xFF00FF00) + (b & 0xFF00FF00) & 0xFF00FF00) | ((a & 0x00FF00FF) + (b & 0x00FF00FF) & 0x00FF00FF)
 
-
-def _predict(pixels: list[int], k: int, width: int, modes: list[int], across: int, bits: int) -> int:
-    """Prediction of pixel k from those before it; the pixel right of a row's end is the next row's first."""
-    y, x = divmod(k, width)
-    if y == 0:
-        return pixels[k - 1] if x else 0xFF000000
-    if x == 0:
-        return pixels[k - width]
-    return predicted(modes[(y >> bits) * across + (x >> bits)], pixels[k - 1], pixels[k - width], pixels[k - width + 1], pixels[k - width - 1])
+def _modes(image: np.ndarray, width: int, height: int, bits: int) -> np.ndarray:
+    """The mode of each pixel's tile, in rows."""
+    tiles = (image >> 8 & 15).reshape(-1, _up(width, 1 << bits))
+    return tiles[np.arange(height)[:, None] >> bits, np.arange(width) >> bits]
 
 
 def invert_predictor(argb: np.ndarray, width: int, image: np.ndarray, bits: int) -> np.ndarray:
-    modes, across, out = (image >> 8 & 15).tolist(), _up(width, 1 << bits), argb.tolist()
-    for k in range(len(out)):
-        out[k] = _add(out[k], _predict(out, k, width, modes, across, bits))
-    return np.array(out, np.uint32)
+    """The pixel right of a row's end is the row's first."""
+    out = _channels(argb.reshape(-1, width)).copy()
+    height = len(out)
+    tiles = (image >> 8 & 15).reshape(-1, _up(width, 1 << bits))
+    column = np.arange(width)
+    out[0, 0] += _BLACK
+    out[0] = out[0].cumsum(axis=0, dtype=np.uint8)
+    for tile, of_tiles in enumerate(tiles):
+        own = of_tiles[column >> bits]
+        own[0] = 2
+        kinds = set(own.tolist())
+        where = {k: (own == k).nonzero()[0] for k in kinds - {1}}
+        left = (own == 1)[:, None] if 1 in kinds else None
+        start = np.maximum.accumulate(np.where(own == 1, 0, column))
+        for y in range(max(1, tile << bits), min(height, (tile + 1) << bits)):
+            row, above = out[y], out[y - 1]
+            if len(kinds) == 1:
+                row += above
+                continue
+            row[0] += above[0]
+            right, corner = np.concatenate([above[1:], row[:1]]), np.concatenate([above[:1], above[:-1]])
+            if not kinds <= {0, 14, 15, *ROWWISE}:
+                for x in range(1, width):
+                    row[x] += predicted(int(own[x]), row[x - 1], above[x], right[x], corner[x])
+                continue
+            for kind, x in where.items():
+                x = x[1:] if kind == 2 else x
+                row[x] += predicted(kind, above[x], above[x], right[x], corner[x])
+            if left is not None:
+                run = np.where(left, row, 0).cumsum(axis=0, dtype=np.uint8)
+                row[:] = np.where(left, row[start] + (run - run[start]), row)
+    return out.view(np.uint32).reshape(-1)
 
 
-def apply_predictor(argb: np.ndarray, width: int, image: np.ndarray, bits: int) -> np.ndarray:
-    modes, across, own = (image >> 8 & 15).tolist(), _up(width, 1 << bits), argb.tolist()
-    guess = np.array([_predict(own, k, width, modes, across, bits) for k in range(len(own))], np.uint32)
-    return np.ascontiguousarray(_channels(argb) - _channels(guess)).view(np.uint32).reshape(-1)
+def apply_predictor(argb: np.ndarray, width: int, bits: int, modes: Sequence[int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The differences and the image of modes: those given, tile by tile in turn, or of ROWWISE the one with the least differences."""
+    own = _channels(argb.reshape(-1, width))
+    height = len(own)
+    left, above, corner, right = (np.zeros_like(own) for _ in range(4))
+    left[:, 1:], above[1:], corner[1:, 1:], right[1:, :-1], right[1:, -1] = own[:, :-1], own[:-1], own[:-1, :-1], own[:-1, 1:], own[1:, 0]
+    across, down = _up(width, 1 << bits), _up(height, 1 << bits)
+    if modes is None:
+        cost = []
+        for kind in ROWWISE:
+            d = own - predicted(kind, left, above, right, corner)
+            size = np.minimum(d, -d).sum(axis=2, dtype=np.int64)
+            cost.append(np.add.reduceat(np.add.reduceat(size, np.arange(down) << bits, axis=0), np.arange(across) << bits, axis=1))
+        chosen = np.array(ROWWISE)[np.argmin(cost, axis=0)].reshape(-1)
+    else:
+        chosen = np.resize(np.array(modes), across * down)
+    image = (chosen.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000)
+    by_pixel = _modes(image, width, height, bits)
+    guess = np.zeros_like(own)
+    for kind in set(chosen.tolist()):
+        where = by_pixel == kind
+        guess[where] = predicted(kind, left[where], above[where], right[where], corner[where])
+    guess[1:, 0], guess[0, 1:], guess[0, 0] = above[1:, 0], left[0, 1:], _BLACK
+    return np.ascontiguousarray(own - guess).view(np.uint32).reshape(-1), image
 
 
 def cross_colour(argb: np.ndarray, width: int, image: np.ndarray, bits: int, sign: int) -> np.ndarray:
     """sign 1 inverts, -1 applies."""
     n = np.arange(len(argb))
-    element = _channels(image).view(np.int8)[(n // width >> bits) * _up(width, 1 << bits) + (n % width >> bits)].astype(int)
+    element = _channels(image).view(np.int8)[(n // width >> bits) * _up(width, 1 << bits) + (n % width >> bits)].astype(np.int32)
     out = _channels(argb.copy())
-    delta = lambda t, c: (t * c.view(np.int8).astype(int)) >> 5
+    delta = lambda t, c: (t * c.view(np.int8).astype(np.int32)) >> 5
     green = np.ascontiguousarray(out[:, 1])
     before = np.ascontiguousarray(out[:, 2])
     after = (before + sign * delta(element[:, 0], green)).astype(np.uint8)
@@ -490,11 +762,27 @@ def cross_colour(argb: np.ndarray, width: int, image: np.ndarray, bits: int, sig
     return out.view(np.uint32).reshape(-1)
 
 
+def fitted_colours(argb: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """Elements of the cross-colour transform: for each tile the slopes of red and blue by green, and of what is left of blue by red."""
+    c = _channels(argb).view(np.int8).astype(np.int64)
+    n, across = np.arange(len(argb)), _up(width, 1 << bits)
+    tile = (n // width >> bits) * across + (n % width >> bits)
+    tiles = int(tile[-1]) // across * across + across
+    total = lambda x: np.bincount(tile, x, tiles)
+    slope = lambda y, x: np.clip(np.rint(32 * total(x * y) / np.maximum(total(x * x), 1)), -128, 127).astype(np.int64)
+    blue, green, red = c[:, 0], c[:, 1], c[:, 2]
+    by_green = slope(blue, green)
+    parts = (slope(red, green), by_green, slope(blue - (by_green[tile] * green >> 5), red))
+    return sum(((p & 255).astype(np.uint32) << np.uint32(s) for p, s in zip(parts, (0, 8, 16), strict=True)), np.uint32(0xFF000000)).astype(np.uint32)
+
+
 def subtract_green(argb: np.ndarray, sign: int) -> np.ndarray:
     """sign 1 inverts, -1 applies."""
-    out = _channels(argb.copy()).astype(int)
-    out[:, [0, 2]] += sign * out[:, [1]]
-    return out.astype(np.uint8).view(np.uint32).reshape(-1)
+    out = _channels(argb.copy())
+    green = out[:, 1] if sign > 0 else -out[:, 1]
+    out[:, 0] += green
+    out[:, 2] += green
+    return out.view(np.uint32).reshape(-1)
 
 
 def _bundle(colours: int) -> int:
@@ -535,7 +823,7 @@ def decode(data: bytes) -> np.ndarray:
             undo.append((kind, own, image, bits))
         elif kind == PALETTE:
             table = read_pixels(r, 1 + r.bits(8), 1, False)
-            table = np.cumsum(_channels(table).astype(int), axis=0).astype(np.uint8).view(np.uint32).reshape(-1)
+            table = np.cumsum(_channels(table), axis=0, dtype=np.uint8).view(np.uint32).reshape(-1)
             undo.append((kind, own, table, 0))
             own = _up(own, 1 << _bundle(len(table)))
         else:
@@ -558,60 +846,22 @@ def _file(stream: bytes) -> bytes:
     return struct.pack("<4sI4s4sI", b"RIFF", 12 + len(stream) + len(odd), b"WEBP", b"VP8L", len(stream)) + stream + odd
 
 
-def _head(w: Writer, width: int, height: int) -> None:
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)):
-        w.bits(value, n)
-
-
-_REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1)[:, ::-1], axis=1)[:, 0]
-
-
-@lru_cache(maxsize=1)
-def _flat_codes() -> tuple[int, int]:
-    """What stands between the size and the pixels, and its bits."""
-    w = Writer()
-    w.bits(0, 3)  # no transform, no colour cache, one group of codes
-    for size in (280, 256, 256):
-        write_code(w, [8] * 256 + [0] * (size - 256))
-    write_code(w, [0] * 255 + [1])
-    write_code(w, [1] + [0] * 39)
-    return w.value, w.n
-
-
-def encode_flat(rgb: np.ndarray) -> bytes:
-    """Effort 0: literals only; each of green, red and blue has codes of 8 bits, and alpha is always 255."""
-    height, width, _ = rgb.shape
-    w = Writer()
-    _head(w, width, height)
-    w.bits(*_flat_codes())
-    n, head = w.length(), w.bytes()
-    # A code of 8 bits lies in the stream with its bits reversed.
-    body = _REVERSED[rgb.reshape(-1, 3)[:, [1, 0, 2]].reshape(-1)]
-    if n & 7:
-        wide = np.concatenate([body, [np.uint8(0)]]).astype(np.uint16) << np.uint16(n & 7)
-        wide[1:] |= wide[:-1] >> np.uint16(8)
-        body = wide.astype(np.uint8)
-        return _file(head[:-1] + bytes([head[-1] | int(body[0])]) + body[1:].tobytes())
-    return _file(head + body.tobytes())
-
-
-def encode(rgba: np.ndarray, transforms: Sequence[int] = (), cache_bits: int = 0, references: bool = True, tile_bits: int = 0, bits: int = 3, seed: int = 0) -> bytes:
-    """Effort 1: fitted codes and whatever is asked for; predictor modes and colour elements vary by tile."""
+def encode(rgba: np.ndarray, transforms: Sequence[int] = (), cache_bits: int = 0, references: bool = True, tile_bits: int = 0, bits: int = 5, modes: Sequence[int] | None = None) -> bytes:
+    """Fitted codes and whatever is asked for; predictor modes (fitted, or those given in turn) and colour elements vary by tile."""
     height, width, _ = rgba.shape
     argb = np.ascontiguousarray(rgba[:, :, [2, 1, 0, 3]]).view(np.uint32).reshape(-1)
-    rng, w, own = np.random.default_rng(seed), Writer(), width
-    _head(w, width, height)
+    w, own = Writer(), width
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)):
+        w.bits(value, n)
     for kind in transforms:
         w.bits(1, 1)
         w.bits(kind, 2)
-        tiles = _up(own, 1 << bits) * _up(height, 1 << bits)
         if kind == PREDICTOR:
-            image = (0xFF000000 + (np.arange(tiles) % 14 << 8)).astype(np.uint32)
+            argb, image = apply_predictor(argb, own, bits, modes)
             w.bits(bits - 2, 3)
             write_pixels(w, image, _up(own, 1 << bits), False)
-            argb = apply_predictor(argb, own, image, bits)
         elif kind == CROSS_COLOUR:
-            image = (rng.integers(0, 1 << 24, tiles) + 0xFF000000).astype(np.uint32)
+            image = fitted_colours(argb, own, bits)
             w.bits(bits - 2, 3)
             write_pixels(w, image, _up(own, 1 << bits), False)
             argb = cross_colour(argb, own, image, bits, -1)
@@ -644,16 +894,19 @@ def padded(text: bytes) -> bytes:
     return text.ljust(max(1, _up(len(text), STEP)) * STEP, b" ")
 
 
-#: Transforms, bits of the colour cache, and bits of the tiles of codes, by checksum.
+#: Transforms, bits of the colour cache, and bits of the tiles of codes, by checksum; images of few colours have a palette instead.
 FORMS = (
-    ((), 0, 0),
+    ((SUBTRACT_GREEN,), 0, 0),
     ((SUBTRACT_GREEN,), 6, 0),
+    ((SUBTRACT_GREEN,), 0, 0),
     ((PREDICTOR,), 0, 0),
-    ((CROSS_COLOUR,), 0, 4),
-    ((), 8, 4),
-    ((PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN), 0, 0),
-    ((PALETTE,), 4, 0),
+    ((SUBTRACT_GREEN,), 0, 0),
+    ((CROSS_COLOUR,), 0, 0),
+    ((SUBTRACT_GREEN,), 0, 5),
+    ((PREDICTOR, CROSS_COLOUR), 5, 0),
 )
+#: A palette is written if each of its colours stands for so many pixels.
+PALETTE_PIXELS = 4
 
 
 def store(payload: bytes) -> bytes:
@@ -665,8 +918,9 @@ def store(payload: bytes) -> bytes:
     pixels = np.full((height, across * WIDTH, 4), 255, np.uint8)
     pixels[:, :, :3] = samples.reshape(height, across * WIDTH, 3)
     transforms, cache_bits, tile_bits = FORMS[zlib.crc32(payload) % len(FORMS)]
-    if PALETTE in transforms and len(np.unique(pixels.view(np.uint32))) > 256:
-        transforms = ()
+    first = pixels.reshape(-1, 4)[:1024].view(np.uint32)
+    if len(set(first[:, 0].tolist())) <= 256 and PALETTE_PIXELS * len(np.unique(pixels.view(np.uint32))) <= min(height * across * WIDTH, 256 * PALETTE_PIXELS):
+        transforms = (PALETTE,)
     return encode(pixels, transforms, cache_bits, True, tile_bits)
 
 

@@ -23,7 +23,7 @@ def picture(seed, height, width, colours=None):
 def test_transforms_are_inverted(kinds):
     for seed, (h, w) in enumerate([(1, 1), (1, 9), (13, 1), (20, 37)]):
         x = picture(seed, h, w)
-        assert np.array_equal(webp.decode(webp.encode(x, kinds)), x)
+        assert np.array_equal(webp.decode(webp.encode(x, kinds, bits=3)), x)
 
 
 @pytest.mark.parametrize("colours", [1, 2, 3, 4, 7, 16, 17, 200])
@@ -43,12 +43,89 @@ def test_references_cache_and_tiles(cache_bits, tile_bits):
         assert len(data) < len(webp.encode(x, (), 0, False)) or cache_bits == 11
 
 
-def test_flat_codes_are_the_general_format(monkeypatch):
-    x = picture(1, 16, 64)[:, :, :3]
-    data = webp.encode_flat(np.ascontiguousarray(x))
-    fast = webp.decode(data)
-    monkeypatch.setattr(webp, "_at_fixed_places", lambda *a: None)
-    assert np.array_equal(fast, webp.decode(data)) and np.array_equal(fast[:, :, :3], x) and (fast[:, :, 3] == 255).all()
+def by_hand(*fields):
+    """A file from (value, bits) fields, written as the format's specification has them; bits of prefix codes as strings."""
+    text = ""
+    for f in fields:
+        text += f if isinstance(f, str) else format(f[0], f"0{f[1]}b")[::-1] if f[1] else ""
+    text += "0" * (-len(text) % 8)
+    stream = bytes(int(text[k : k + 8][::-1], 2) for k in range(0, len(text), 8))
+    odd = b"\0" * (len(stream) & 1)
+    return b"RIFF" + (12 + len(stream) + len(odd)).to_bytes(4, "little") + b"WEBPVP8L" + len(stream).to_bytes(4, "little") + stream + odd
+
+
+def start(width, height):
+    return (0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)
+
+
+def simple(*symbols):
+    """A simple code of one or two symbols of 8 bits."""
+    return (1, 1), (len(symbols) - 1, 1), (1, 1), *((s, 8) for s in symbols)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_files_written_by_hand(monkeypatch, few):
+    """Against bytes that no code of ours has written, by tables and symbol by symbol."""
+    monkeypatch.setattr(webp, "FEW", few)
+    none = ((0, 1), (0, 1), (0, 1))  # no transform, no cache, no groups
+    # Two literals: green 5 or 9, red 7, blue 1, alpha 255.
+    x = webp.decode(by_hand(*start(2, 1), *none, *simple(5, 9), *simple(7), *simple(1), *simple(255), *simple(0), "0", "1"))
+    assert x.tolist() == [[[7, 5, 1, 255], [7, 9, 1, 255]]]
+    # A normal code: lengths 1 for green 0, 2 for green 1 and for 257 (a copy of 2), so 0, 10 and 110...
+    lengths = (0, 1), (15 - 4, 4), *((n, 3) for n in (2, 3, 3, 2, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)), (0, 1)
+    # The code length code by length and symbol: 1, 2 and 17 have 2 bits, 0 and 18 have 3.
+    one, two, eighteen = "00", "01", "111"
+    body = (one, two, eighteen, (127, 7), eighteen, (255 - 138 - 11, 7), two, eighteen, (22 - 11, 7))
+    x = webp.decode(by_hand(*start(3, 1), *none, *lengths, *body, *simple(3), *simple(4), *simple(255), *simple(1), "10", "11"))
+    # Distance prefix 1 is distance code 2: the pixel to the left.
+    assert x[0, :, 1].tolist() == [1, 1, 1] and x[0, :, 0].tolist() == [3, 3, 3]
+    # Subtract green.
+    x = webp.decode(by_hand(*start(1, 1), (1, 1), (2, 2), *none, *simple(5), *simple(7), *simple(254), *simple(255), *simple(0)))
+    assert x.tolist() == [[[12, 5, 3, 255]]]
+    # A palette of two colours, the second as differences; eight pixels of a row in one green.
+    table = ((1, 1), (3, 2), (1, 8), (0, 1), *simple(10, 20), *simple(1), *simple(2), *simple(255, 0), *simple(0), "0", "1", "1", "0")
+    x = webp.decode(by_hand(*start(3, 1), *table, *none, *simple(0b101), *simple(0), *simple(0), *simple(255), *simple(0)))
+    assert x[0].tolist() == [[2, 30, 4, 255], [1, 10, 2, 255], [2, 30, 4, 255]]
+    # A predictor of mode 12 over a 2 x 2 image: black, left, above, then clamped left + above - corner.
+    tile = ((1, 1), (0, 2), (0, 3), (0, 1), *simple(12), *simple(0), *simple(0), *simple(255), *simple(0))
+    x = webp.decode(by_hand(*start(2, 2), *tile, *none, *simple(100, 60), *simple(1), *simple(0), *simple(0), *simple(0), "1", "1", "0", "0"))
+    assert x[:, :, 1].tolist() == [[100, 200], [160, (255 + 60) % 256]] and x[:, :, 0].tolist() == [[1, 2], [2, 4]] and (x[:, :, 3] == 255).all()
+    # A colour cache of one bit: a literal, then the cached colour of its place.
+    cache = ((0, 1), (1, 1), (1, 4), (0, 1))
+    # A normal code of two symbols of length 1, whose code length code has 18 and 1.
+    lengths = (0, 1), (0, 4), (0, 3), (1, 3), (0, 3), (1, 3), (0, 1)
+    # 18 is "1" and 1 is "0": zeros come in runs of 11 or more, so the literal is green 11, and the place is 1.
+    red = next(x for x in range(256) if (0x1E35A7BD * (255 << 24 | x << 16 | 11 << 8 | 1) & 0xFFFFFFFF) >> 31)
+    body = ("1", (0, 7), "0", "1", (127, 7), "1", (281 - 12 - 138 - 11, 7), "0")
+    x = webp.decode(by_hand(*start(3, 1), *cache, *lengths, *body, *simple(red), *simple(1), *simple(255), *simple(0), "0", "1", "1"))
+    assert x.tolist() == [[[red, 11, 1, 255]] * 3]
+
+
+@pytest.mark.parametrize("mode", range(14))
+def test_each_predictor_mode(mode):
+    for h, w in [(1, 1), (2, 1), (1, 2), (17, 21), (9, 70)]:
+        x = picture(mode, h, w)
+        assert np.array_equal(webp.decode(webp.encode(x, (webp.PREDICTOR,), modes=[mode])), x)
+        assert np.array_equal(webp.decode(webp.encode(x, (webp.PREDICTOR,), bits=2, modes=[mode, 1, (mode * 5 + 3) % 14])), x)
+
+
+@pytest.mark.parametrize("span", [64, 200, 1 << 18])
+def test_tables_give_what_single_symbols_give(monkeypatch, span):
+    monkeypatch.setattr(webp, "SPAN", span)
+    for seed in range(6):
+        x = picture(seed, 31, 40, 30 if seed % 2 else None)
+        data = webp.encode(x, (webp.SUBTRACT_GREEN,), 3 * (seed % 3), True, 2 * (seed // 3))
+        fast = webp.decode(data)
+        with monkeypatch.context() as m:
+            m.setattr(webp, "FEW", 1 << 30)
+            assert np.array_equal(fast, webp.decode(data)) and np.array_equal(fast, x)
+
+
+def test_long_runs_and_long_payloads():
+    rng = np.random.default_rng(4)
+    for payload in (b" " * 192 * 700, bytes(rng.integers(32, 122, 192 * 900, dtype=np.uint8)), b"ab cd e" * 192 * 60):
+        data = webp.store(payload)
+        assert webp.load(data, len(payload))[0] == payload
 
 
 def test_format_values():
@@ -75,7 +152,7 @@ def test_stored_files_have_all_parts_of_the_format(monkeypatch):
         f = getattr(webp, name)
         monkeypatch.setattr(webp, name, lambda *a: (met.add(name), f(*a))[1])
 
-    for name in ("invert_predictor", "cross_colour", "subtract_green", "invert_palette", "_number"):
+    for name in ("invert_predictor", "cross_colour", "subtract_green", "invert_palette", "_walk"):
         noted(name)
     text = b"".join(b"%d words and then some more of the same, " % (k * k) for k in range(60))
     sizes = []
@@ -86,7 +163,7 @@ def test_stored_files_have_all_parts_of_the_format(monkeypatch):
         got, pixels = webp.load(data, len(payload))
         assert got == payload and (pixels[:, :, 3] == 255).all()
         sizes.append((frozenset(met), len(data), len(payload)))
-    assert set().union(*(m for m, _, _ in sizes)) == {"invert_predictor", "cross_colour", "subtract_green", "invert_palette", "_number"}
+    assert set().union(*(m for m, _, _ in sizes)) == {"invert_predictor", "cross_colour", "subtract_green", "invert_palette", "_walk"}
     assert sum(n for _, n, _ in sizes) < sum(n for _, _, n in sizes)
 
 
