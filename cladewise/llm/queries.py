@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, minhash, mixing, planes, quality, suffix, wand, webp
+from . import bpe, chat, html, minhash, mixing, pipeline, planes, quality, suffix, wand, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,19 +45,19 @@ def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _span_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, ranges in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+        for text, ranges, passages in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             data = text.as_py().encode()
             runs = suffix.merged(ranges)
             kept = suffix.kept_bytes(data, runs)
-            out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), suffix.without_passages(data, passages, pipeline.PASSAGE_WORDS)))
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    found = suffix.marked(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("id", "text", "ranges")
-    return found.mapInArrow(_span_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (by strings of 400 bytes), and text: what is left without repeated passages of 50 words, as in the pipeline."""
+    found = suffix.marked_twice(_table(spark, sf_dir, "documents").select("doc_id", "text"), pipeline.PASSAGE_BYTES).select("id", "text", "ranges", "passages")
+    return found.mapInArrow(_span_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, chunks, cut, mix64, staged, text_bytes
+from .common import Powers, Scratch, chunks, cut, mix64, staged, text_bytes
 
 LEAST = 400
 GRAM = 32
@@ -249,10 +249,28 @@ def _range_batch(keys: list[tuple[int, int]], ranges: list[np.ndarray]) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], _LONG), pa.array([k[1] for k in keys], _LONG), pa.array(rows, _RANGES)], names=["anchor", "context", "ranges"])
 
 
+def _with_repeats(parts: list[bytes], least: int) -> list[int]:
+    """The strings in which a hash of `least` bytes occurs that another place has as well: equal bytes have equal hashes, so no other string has a repeat."""
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    size = np.array([len(p) for p in parts], np.int64)
+    starts = np.maximum(size - least + 1, 0)
+    at = np.repeat(np.cumsum(size) - size - np.cumsum(starts) + starts, starts) + np.arange(starts.sum())
+    if not len(at):
+        return []
+    key = _hash.spans(_hash.prefix(raw), at, at + least)
+    order = np.sort(key)
+    twice = order[1:][order[1:] == order[:-1]]
+    place = np.minimum(np.searchsorted(twice, key), max(0, len(twice) - 1))
+    hit = twice[place] == key if len(twice) else np.zeros(len(key), bool)
+    return np.unique(np.repeat(np.arange(len(parts)), starts)[hit]).tolist()
+
+
 def _suffix_arrays(least: int):
     """Contexts in order of their anchor -> the ranges that repeats cover; several whole groups to an array."""
 
     def solved(keys: list[tuple[int, int]], parts: list[bytes]) -> pa.RecordBatch:
+        some = _with_repeats(parts, least)
+        keys, parts = [keys[k] for k in some], [parts[k] for k in some]
         found = [(k, r) for k, r in zip(keys, Repeats(parts, least).covered(), strict=True) if len(r)]
         return _range_batch([k for k, _ in found], [r for _, r in found])
 
@@ -298,9 +316,9 @@ def _split_blocks(least: int, gram: int, step: int):
     return run
 
 
-def _hot_ranges(hot: DataFrame, least: int, gram: int) -> DataFrame:
+def _hot_ranges(hot: DataFrame, least: int, gram: int, scratch: Scratch) -> DataFrame:
     """The covered ranges of contexts in groups that are too large for one suffix array: anchor, context, off, bytes, n, last -> anchor, context, from, to."""
-    hot = staged(hot, "hot")
+    hot = scratch.staged(hot, "hot")
     active = hot.select("anchor", "context", F.lit(0).alias("lo"), F.col("last").alias("hi"))
     found = None
     for step in (128, 32, 8, 2, 1):
@@ -324,31 +342,36 @@ def _hot_ranges(hot: DataFrame, least: int, gram: int) -> DataFrame:
 
 def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Of docs (id, text, th = xxhash64(text)) those with covered bytes: id, th, ranges (may overlap)."""
+    scratch = Scratch(docs.sparkSession)
     kind = docs.schema["id"].dataType.simpleString()
-    seen = staged(docs.select("id", "th", "text").mapInArrow(_scan_anchors(least, gram), f"id {kind}, th long, anchor long, context long, lo int, mid int, hi int"), "anchors")
+    seen = scratch.staged(docs.select("id", "th", "text").mapInArrow(_scan_anchors(least, gram), f"id {kind}, th long, anchor long, context long, lo int, mid int, hi int"), "anchors")
     contexts = seen.groupBy("anchor", "context").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("id", "th", "lo", "mid", "hi")))
-    contexts = staged(contexts, "contexts")
+    contexts = scratch.staged(contexts, "contexts")
     groups = contexts.groupBy("anchor").agg(F.count("*").alias("m"), F.sum("n").alias("all_n"), F.min("n").alias("least_n")).where("all_n > 1").drop("all_n")
-    live = staged(contexts.join(groups, "anchor"), "live")
+    live = scratch.staged(contexts.join(groups, "anchor"), "live")
 
     whole = live.where("n > 1").select("anchor", "context", F.array(F.struct(F.lit(0).alias("from"), (F.col("hi") - F.col("lo") + least).alias("to"))).alias("ranges"))
     wanted = live.where("m > 1 and least_n = 1").groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "context", "lo", "mid", "hi")).alias("wanted"))
     text = docs.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "text")
     held = text.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))).select("text", "wanted")
     held = held.mapInArrow(_cut_contexts(least), "anchor long, context long, off int, bytes binary")
-    held = staged(held.join(live.select("anchor", "context", "n", "m", (F.col("hi") - F.col("lo")).alias("last")), ["anchor", "context"]), "held")
+    held = scratch.staged(held.join(live.select("anchor", "context", "n", "m", (F.col("hi") - F.col("lo")).alias("last")), ["anchor", "context"]), "held")
 
     small = held.where(F.col("m") <= hot).select("anchor", "context", "bytes").repartition("anchor").sortWithinPartitions("anchor", "context")
     pair = "anchor long, context long, ranges array<struct<from:int,to:int>>"
     found = small.mapInArrow(_suffix_arrays(least), pair)
     large = held.where(F.col("m") > hot).dropDuplicates(["anchor", "context"])
     if large.limit(1).count():
-        ranges = _hot_ranges(large, least, gram).groupBy("anchor", "context").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+        ranges = _hot_ranges(large, least, gram, scratch).groupBy("anchor", "context").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
         found = found.unionByName(ranges)
     covered = whole.unionByName(found.join(live.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_anti"))
     hits = seen.select("id", "th", "anchor", "context", "lo").join(covered, ["anchor", "context"])
     moved = F.transform("ranges", lambda r: F.struct((r["from"] + F.col("lo")).alias("from"), (r["to"] + F.col("lo")).alias("to")))
-    return hits.select("id", "th", moved.alias("ranges")).groupBy("id", "th").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    # Equal rows have equal ranges: each is told once.
+    hits = hits.select("id", "th", F.explode(moved).alias("r")).distinct()
+    out = staged(hits.groupBy("id", "th").agg(F.collect_list("r").alias("ranges")), "spans")
+    scratch.drop()
+    return out
 
 
 def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -370,6 +393,37 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     return whole.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").select("row", "id", "text", "ranges")
 
 
+def _with_runs(least: int):
+    """Rows of which some run of the ranges has `least` bytes or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([i for i, r in enumerate(batch.column(2).to_pylist()) if any(b - a >= least for a, b in merged(r))], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own)], names=["id", "th"])
+
+    return run
+
+
+def marked_twice(docs: DataFrame, passage: int, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, **options) -> DataFrame:
+    """row, id, text (null as empty), ranges by `least` bytes, and passages: ranges by `passage` bytes, of which there are fewer in a string. Only documents with runs of `least` bytes by the smaller threshold are searched again."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole = whole.withColumn("th", F.xxhash64("text"))
+    own, both = whole.select("id", "text", "th"), lambda x: F.col("id").eqNullSafe(x._id) & (F.col("th") == x._th)
+    named = lambda x, name: x.select(F.col("id").alias("_id"), F.col("th").alias("_th"), *([F.col("ranges").alias(name)] if name else []))
+    short = spans(own, passage, **options)
+    kind = docs.schema[id_col].dataType.simpleString()
+    some = named(cut(short.mapInArrow(_with_runs(least), f"id {kind}, th long")), "")
+    long = named(spans(own.join(some, both(some), "left_semi"), least, **options), "ranges")
+    short = named(short, "passages")
+    return whole.join(long, both(long), "left").drop("_id", "_th").join(short, both(short), "left").select("row", "id", "text", "ranges", "passages")
+
+
+def without_passages(text: bytes, ranges: list[dict] | None, words: int) -> str:
+    """The text without those runs of covered characters in which `words` words or more begin."""
+    runs = [x for x in merged(ranges) if len(_WORD.findall(text, *x)) >= words]
+    return kept_bytes(text, whole_characters(text, runs)).decode()
+
+
 def kept_bytes(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for a, b in ranges:
@@ -399,9 +453,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
             out = []
             for i, r in enumerate(ranges):
                 if r:
-                    data = texts[i].as_py().encode()
-                    runs = [x for x in merged(r) if len(_WORD.findall(data, *x)) >= words]
-                    out.append(kept_bytes(data, whole_characters(data, runs)).decode() if runs else None)
+                    out.append(without_passages(texts[i].as_py().encode(), r, words))
                 else:
                     out.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "left"])

@@ -87,3 +87,26 @@ def test_remove_keeps_characters_and_columns(spark):
     out = suffix.remove(df, least=41, gram=8)
     assert out.columns == df.columns and sorted((r.text or "") for r in out.collect()) == ["", "", "", "z"]
     assert suffix.remove(df.limit(0), least=41, gram=8).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_two_thresholds(spark, hot):
+    texts = [*corpus(), None, "", "same words here again " * 6, "x same words here again " * 6]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    data = [(t or "").encode() for t in texts]
+    long, short = brute(data, 60), brute(data, 30)
+    got = {r.id: r.asDict(recursive=True) for r in suffix.marked_twice(df, 30, least=60, gram=8, hot=hot).collect()}
+    assert len(got) == len(texts) and any(map(any, long)) and any(a.sum() > b.sum() for a, b in zip(map(np.array, short), map(np.array, long)))
+    for i, pair in enumerate(zip(long, short)):
+        for name, c in zip(("ranges", "passages"), pair):
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], c, [False]]).astype(int))).reshape(-1, 2)
+            assert suffix.merged(got[i][name]) == [tuple(map(int, e)) for e in edges], (name, texts[i])
+
+
+def test_strings_without_repeats_are_left_out():
+    rng = random.Random(2)
+    for _ in range(200):
+        parts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(30))) for _ in range(5)]
+        some = suffix._with_repeats(parts, 8)
+        covered = suffix.Repeats(parts, 8).covered()
+        assert {i for i, c in enumerate(covered) if len(c)} == set(some)
