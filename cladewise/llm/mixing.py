@@ -42,11 +42,14 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Blanks, digits and signs; what is left of a text are letters of any script.
+NO_LETTERS = "".join(chr(c) for c in range(1, 128) if not chr(c).isalpha())
+
+
 def quality_of(text: Column) -> Column:
-    """Weight from 0.1 to 1: the share of letters of any script among what is not blank, so that tables, markup and symbols are taken later."""
-    blank = F.length(F.translate(text, " \t\n\r\x0b\x0c", ""))
-    letters = F.regexp_count(text, F.lit("\\p{L}"))
-    return F.when(blank > 0, 0.1 + 0.9 * letters / blank).otherwise(F.lit(0.1))
+    """Weight from 0.1 to 1: the share of letters of any script, so that tables, markup and symbols are taken later."""
+    n = F.length(text)
+    return F.when(n > 0, 0.1 + 0.9 * F.length(F.translate(text, NO_LETTERS, "")) / n).otherwise(F.lit(0.1))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, seed: int, *more: Column) -> DataFrame:
