@@ -5,12 +5,11 @@ dc: host_1, host_2, categorisation, dist_level, type, k, k_eff, n, n_eff, score
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder
 from .kernels import edmonds
 
 LINK = ("close_and_adjacent_cat", "close.and.adjacent", "not.close.or.nonadjacent")
@@ -31,8 +30,8 @@ def of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def with_metadata(rows: DataFrame, meta: DataFrame, key: str = "id") -> DataFrame:
-    """Attributes of both hosts, prefixed h1_ and h2_; the first row of a host counts."""
-    one = meta.groupBy(key).agg(*[F.min(c).alias(c) for c in meta.columns if c != key])
+    """Attributes of both hosts, prefixed h1_ and h2_; of several rows of a host the first in order of its columns counts, as a whole."""
+    one = meta.groupBy(key).agg(F.min(F.struct(*[c for c in meta.columns if c != key])).alias("first")).select(key, "first.*")
     for k in (1, 2):
         own = one.select(F.col(key).alias(f"host_{k}"), *[F.col(c).alias(f"h{k}_{c}") for c in one.columns if c != key])
         rows = rows.join(own, f"host_{k}", "left")
@@ -46,8 +45,7 @@ def components(edges: DataFrame, a: str = "host_1", b: str = "host_2", checkpoin
     def cut(df: DataFrame) -> DataFrame:
         if not checkpoint:
             return df.persist()
-        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cladewise-"))
+        shared_folder(spark)
         return df.checkpoint()
 
     own = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))

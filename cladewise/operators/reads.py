@@ -268,7 +268,7 @@ def recombination_metric(seqs: list[str], gap_aware: bool = False, to_diversity:
 
     Where the parents differ, a site counts +1 if the third sequence agrees with the first parent and -1 if with
     the second. Of all breakpoints between such sites the first with the largest difference of the two sides'
-    sums is taken; the score is the lesser magnitude of the sums, over half the columns with a base (or the
+    sums is taken, if the sums differ at all; the score is the lesser magnitude of the sums, over half the columns with a base (or the
     columns that differ), rounded down.
     """
     import numpy as np
@@ -290,8 +290,9 @@ def recombination_metric(seqs: list[str], gap_aware: bool = False, to_diversity:
             sides = (rest == one).astype(int) - (rest == two)
             left = np.cumsum(sides, axis=1)[:, :-1]
             right = sides.sum(axis=1, keepdims=True) - left
-            at = np.abs(left - right).argmax(axis=1)
-            score = np.minimum(np.abs(left), np.abs(right))[np.arange(len(seqs)), at]
+            apart, each = np.abs(left - right), np.arange(len(seqs))
+            at = apart.argmax(axis=1)
+            score = np.where(apart[each, at] > 0, np.minimum(np.abs(left), np.abs(right))[each, at], 0)
             score[[i, j]] = 0
             k = int(score.argmax())
             if score[k] > best:

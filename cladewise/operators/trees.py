@@ -5,20 +5,17 @@ nodes: tree_id, node, parent (null at the root), edge_length, is_tip, host (null
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder
 from . import kernels as K
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's folder, or in a temporary one where none is set."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cladewise-"))
+    """A checkpoint in the folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -34,6 +34,8 @@ add("linked_pairs", f"{SCORES} SELECT y.host_1, y.host_2, y.k, round(y.k_eff, 9)
     lambda s, d: rounded(N.linked_pairs(dc(s, d), 3, 0.7), "k_eff", "n_eff").select("host_1", "host_2", "k", "k_eff", "n_eff"))
 add("pairs_with_metadata", f"{SCORES}{_LINKED} SELECT lk.host_1, lk.host_2, a.name AS h1_name, a.region AS h1_region, b.name AS h2_name, b.region AS h2_region FROM lk LEFT JOIN {{v_meta}} a ON a.id = lk.host_1 LEFT JOIN {{v_meta}} b ON b.id = lk.host_2",
     lambda s, d: N.with_metadata(linked(s, d), view(s, d, "v_meta")))
+add("pairs_with_repeated_metadata", f"{SCORES}{_LINKED}, m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY name, region) AS k FROM {{v_meta_twice}}) x WHERE k = 1) SELECT lk.host_1, lk.host_2, a.name AS h1_name, a.region AS h1_region, b.name AS h2_name, b.region AS h2_region FROM lk LEFT JOIN m a ON a.id = lk.host_1 LEFT JOIN m b ON b.id = lk.host_2",
+    lambda s, d: N.with_metadata(linked(s, d), view(s, d, "v_meta_twice")))
 add("network_components", SCORES.replace("WITH ", "WITH RECURSIVE ", 1) + _LINKED + ", ed AS (SELECT host_1 AS a, host_2 AS b FROM lk UNION SELECT host_2, host_1 FROM lk), rc AS (SELECT DISTINCT a AS id, a AS label FROM ed UNION SELECT ed.b, rc.label FROM rc JOIN ed ON ed.a = rc.id) SELECT id, min(label) AS label FROM rc GROUP BY id",
     lambda s, d: N.components(linked(s, d)))
 add("most_likely_chains", None, lambda s, d: (lambda c: N.decorated(N.chains(N.directions(N.network_edges(c, N.networks(c, 8), 8))), c).select("network", "host_1", "host_2", "link_12", "link_21", *[F.round(x, 9).alias(x) for x in ("score_linked", "score_dir_12", "score_dir_21", "score_nw_12", "score_nw_21")]))(dc(s, d).persist()))

@@ -36,8 +36,12 @@ def manifest_faults(manifest: DataFrame) -> DataFrame:
 
 
 def names(spark: SparkSession, path: str) -> DataFrame:
-    """One name a line; blank lines are skipped, names count once."""
-    return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> ''").distinct()
+    """One name a line; blank lines are skipped. A name that comes twice is an error when the rows are read, and so is a list without names at once."""
+    rows = spark.read.text(path).select(F.trim("value").alias("name")).where("name <> ''")
+    if not rows.limit(1).count():
+        raise ValueError(f"{path} has no names")
+    twice = F.raise_error(F.concat(F.lit("more than once in the list of names: "), "name"))
+    return rows.groupBy("name").agg(F.count("*").alias("n")).select(F.when(F.col("n") > 1, twice.cast("string")).otherwise(F.col("name")).alias("name"))
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -124,17 +128,17 @@ def parse_newick(text: str) -> list[tuple[int, int | None, float | None, str | N
 
 
 def trees(spark: SparkSession, path: str) -> DataFrame:
-    """file, node, parent, edge_length, is_tip, label, annotations; newick or NEXUS, one tree a file."""
+    """file, node, parent, edge_length, is_tip, label, annotations, path; newick or NEXUS, one tree a file. Files in different folders may share a name, never a path."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, text in zip(batch["file"], batch["value"]):
+            for name, path, text in zip(batch["file"], batch["path"], batch["value"]):
                 nodes = parse_newick(text)
                 parents = {p for _, p, _, _, _ in nodes}
-                yield pd.DataFrame([(name, n, p, x, n not in parents, label, a) for n, p, x, label, a in nodes], columns=["file", "node", "parent", "edge_length", "is_tip", "label", "annotations"]).astype({"parent": "Int64"})
+                yield pd.DataFrame([(name, n, p, x, n not in parents, label, a, path) for n, p, x, label, a in nodes], columns=["file", "node", "parent", "edge_length", "is_tip", "label", "annotations", "path"]).astype({"parent": "Int64"})
 
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    return whole.mapInPandas(run, "file string, node long, parent long, edge_length double, is_tip boolean, label string, annotations map<string,string>")
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"))
+    return whole.mapInPandas(run, "file string, node long, parent long, edge_length double, is_tip boolean, label string, annotations map<string,string>, path string")
 
 
 def matched(trees_: DataFrame, others: DataFrame) -> DataFrame:

@@ -101,3 +101,31 @@ def test_coordinates(spark):
     assert [r.pos for r in W.sequence_to_alignment(df, at).orderBy("pos").collect()] == [2, 5, 6]
     places = [str(r.seq_pos) for r in W.aligned_places(df).orderBy("pos").collect()]
     assert places == ["-1.0", "1.0", "1.5", "1.5", "2.0", "3.0", "3.5", "4.0", "nan"]
+
+
+def test_recombination_by_a_plain_loop():
+    """The definition, breakpoint by breakpoint, on strings with gaps: sides of one sum are no breakpoint."""
+    import itertools
+    import random
+
+    def plain(seqs):
+        columns = sum(any(s[c] != "-" for s in seqs) for c in range(len(seqs[0])))
+        best = 0
+        for one, two in itertools.combinations(range(len(seqs)), 2):
+            sites = [c for c in range(len(seqs[0])) if "-" not in (seqs[one][c], seqs[two][c]) and seqs[one][c] != seqs[two][c]]
+            for third in set(range(len(seqs))) - {one, two}:
+                sides = [(seqs[third][c] == seqs[one][c]) - (seqs[third][c] == seqs[two][c]) for c in sites]
+                largest, score = 0, 0
+                for k in range(1, len(sides)):
+                    left, right = sum(sides[:k]), sum(sides[k:])
+                    if abs(left - right) > largest:
+                        largest, score = abs(left - right), min(abs(left), abs(right))
+                best = max(best, score)
+        return best / max(1, columns // 2)
+
+    assert R.recombination_metric(["AAA", "CCA", "AA-"])[0] == 0
+    rng = random.Random(4)
+    for _ in range(1500):
+        n = rng.randrange(2, 9)
+        seqs = ["".join(rng.choice("AC-") for _ in range(n)) for _ in range(rng.randrange(3, 6))]
+        assert R.recombination_metric(seqs)[0] == plain(seqs), seqs

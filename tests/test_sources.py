@@ -20,7 +20,11 @@ def test_manifest_and_names(spark, tmp_path):
     assert R.manifest_faults(df).count() == 0
     bad = spark.createDataFrame([("x", "r", "a b"), ("x", "r", "c"), (None, "r", "c")], "bam string, ref string, alias string")
     assert {r.fault for r in R.manifest_faults(bad).collect()} == {"alias twice", "file twice", "white space", "missing column"}
-    assert rows(R.names(spark, put(tmp_path, "n.txt", "b\n\n a \nb\n")), "name") == [("a",), ("b",)]
+    assert rows(R.names(spark, put(tmp_path, "n.txt", "b\n\n a \n")), "name") == [("a",), ("b",)]
+    with pytest.raises(Exception, match="more than once in the list of names: b"):
+        R.names(spark, put(tmp_path, "twice.txt", "b\n\n a \nb\n")).collect()
+    with pytest.raises(ValueError, match="no names"):
+        R.names(spark, put(tmp_path, "none.txt", "\n \n"))
 
 
 def test_fasta_round_trip(spark, tmp_path):
