@@ -108,14 +108,14 @@ def not_used_before(spans: DataFrame, windows: DataFrame) -> DataFrame:
     """Reads (window_id, sample, name) whose name no overlapping previous window has used: greedy over windows, as a scan by window.
 
     A name is used in a window if it is kept there, so keeping alternates: within a run of neighbouring overlapping
-    windows every second one keeps the name.
+    windows every second one keeps the name. Rows of one name in one window share its lot.
     """
     prev = Window.orderBy("window_id")
     linked = windows.withColumn("linked", F.coalesce(F.col("w_start") <= F.lag("w_end").over(prev), F.lit(False))).select("window_id", "linked")
     by_name = Window.partitionBy("sample", "name").orderBy("window_id")
-    rows = spans.join(linked, "window_id").withColumn("new", F.when((F.col("window_id") - F.lag("window_id").over(by_name) == 1) & F.col("linked"), 0).otherwise(1))
+    rows = spans.select("window_id", "sample", "name").distinct().join(linked, "window_id").withColumn("new", F.when((F.col("window_id") - F.lag("window_id").over(by_name) == 1) & F.col("linked"), 0).otherwise(1))
     rows = rows.withColumn("run", F.sum("new").over(by_name)).withColumn("k", F.row_number().over(Window.partitionBy("sample", "name", "run").orderBy("window_id")))
-    return rows.where("k % 2 = 1").drop("linked", "new", "run", "k")
+    return spans.join(rows.where("k % 2 = 1"), ["window_id", "sample", "name"], "left_semi")
 
 
 def unique_by_window(tips: DataFrame, samples: list[str], *keys: str) -> DataFrame:

@@ -105,7 +105,13 @@ add("alignment_summary", "SELECT window_id, count(*) AS columns, round(sum(share
 for _rule, _having in (("majority", "avg(CASE WHEN kept THEN 1 ELSE 0 END) > 0.5"), ("strict", "bool_and(kept)"), ("permissive", "bool_or(kept)")):
     add(f"kept_reads_{_rule}", "SELECT sample, name FROM (SELECT sample, name, (window_id + q) % 3 > 0 AS kept FROM {v_reads} JOIN {v_windows} ON first_pos <= w_start AND last_pos >= w_end) x GROUP BY sample, name HAVING " + _having,
         lambda s, d, rule=_rule: R.kept_reads(spans(s, d).select("sample", "name", ((F.col("window_id") + F.col("q")) % 3 > 0).alias("kept")), rule))
-add("reads_not_used_before", None, lambda s, d: R.not_used_before(spans(s, d).select("window_id", "sample", "name"), view(s, d, "v_windows")))
+add("reads_not_used_before", """WITH l AS (SELECT window_id, coalesce(w_start <= lag(w_end) OVER (ORDER BY window_id), FALSE) AS linked FROM {v_windows}),
+    s AS (SELECT window_id, sample, name, count(*) AS n FROM {v_reads} JOIN {v_windows} ON first_pos <= w_start AND last_pos >= w_end GROUP BY window_id, sample, name),
+    g AS (SELECT s.*, l.linked, lag(s.window_id) OVER (PARTITION BY sample, name ORDER BY s.window_id) AS before FROM s JOIN l ON l.window_id = s.window_id),
+    r AS (SELECT *, sum(CASE WHEN linked AND window_id - before = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY sample, name ORDER BY window_id) AS run FROM g),
+    k AS (SELECT *, row_number() OVER (PARTITION BY sample, name, run ORDER BY window_id) AS k FROM r)
+    SELECT window_id, sample, name FROM k CROSS JOIN LATERAL (SELECT unnest(generate_series(1, n)) AS i) c WHERE k % 2 = 1""",
+    lambda s, d: R.not_used_before(spans(s, d).select("window_id", "sample", "name"), view(s, d, "v_windows")))
 add("processed_reads", None, lambda s, d: R.processed(arrays(s, d), F.col("first_pos") + 2, F.col("first_pos") + 5, trim=8, low=4, recover=True).select("sample", "name", "seq", F.size("positions").alias("n")))
 add("merged_mates", None, lambda s, d: R.merged_mates(templates(arrays(s, d)).select("sample", "name", "seq", "positions", "quals")))
 add("similar_merged_a", None, lambda s, d: R.similar_merged(tips(s, d), 1, "A"))
