@@ -36,6 +36,8 @@ BLOCK = 1 << 16
 #: Ids of a shard, apart from its last document.
 SHARD = 1 << 20
 END = 2
+#: Bytes of text whose stretches are numbered together.
+PIECE = 8 << 20
 CACHE = 600_000
 _MAGIC, _NULL = b"CWPLANE1", -(1 << 63)
 _HEAD = struct.Struct("<8sBIQI")
@@ -211,7 +213,7 @@ def _write(path: str, end: int, block: int, shard: int, bits: bool):
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
             _, offsets = text_bytes(texts)
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, PIECE):
                 found, n = own.encode(texts.slice(a, b - a))
                 upto = np.concatenate([[0], np.cumsum(n)])
                 at = 0
