@@ -88,7 +88,8 @@ def band(age: Column, width: int) -> Column:
 
 def imputed(rows: DataFrame, column: str, *by: str) -> DataFrame:
     """Nulls become the mean of the group, or of all."""
-    return rows.withColumn(column, F.coalesce(F.col(column), F.avg(column).over(Window.partitionBy(*by)), F.avg(column).over(Window.partitionBy())))
+    whole = rows.agg(F.avg(column).alias("_all"))  # one row
+    return rows.crossJoin(F.broadcast(whole)).withColumn(column, F.coalesce(F.col(column), F.avg(column).over(Window.partitionBy(*by)), F.col("_all"))).drop("_all")
 
 
 # -- sampling ----------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -208,8 +209,10 @@ def alignment_summary(bases: DataFrame, threshold: float, window: str = "window_
 # -- order-dependent merges, by (window, sample) -----------------------------------------------------------
 
 
-def _far(a: str, b: str) -> int:
-    return abs(len(a) - len(b)) + sum(x != y for x, y in zip(a, b))
+def _bytes(seqs: list[str]) -> np.ndarray:
+    """One row of characters for each sequence, padded with 0: two rows differ in as many places as their lengths and common places do."""
+    wide = max(map(len, seqs), default=0)
+    return np.array(seqs, dtype=f"U{max(1, wide)}").view(np.uint32).reshape(len(seqs), -1) if seqs else np.zeros((0, 1), np.uint32)
 
 
 def absorb_common_first(counts: list[tuple[str, int]], threshold: int) -> dict[str, int]:
@@ -218,19 +221,16 @@ def absorb_common_first(counts: list[tuple[str, int]], threshold: int) -> dict[s
     Among equal counts nothing is taken: looking goes from rare to common and ends at the first untaken equal count.
     """
     rows = sorted(counts, key=lambda r: (r[1], r[0]))
-    total, gone = dict(counts), set()
+    total, text = dict(counts), _bytes([s for s, _ in rows])
+    size, left = np.array([n for _, n in rows]), np.ones(len(rows), bool)
     for i in range(len(rows) - 1, -1, -1):
-        seq, n = rows[i]
-        if seq in gone:
+        if not left[i]:
             continue
-        for other, m in rows[:i]:
-            if other in gone:
-                continue
-            if m == n:
-                break
-            if _far(seq, other) <= threshold:
-                total[seq] += total.pop(other)
-                gone.add(other)
+        rarer = np.flatnonzero(left[: np.searchsorted(size, size[i])])
+        near = rarer[(text[rarer] != text[i]).sum(axis=1) <= threshold]
+        left[near] = False
+        for j in near.tolist():
+            total[rows[i][0]] += total.pop(rows[j][0])
     return total
 
 
@@ -240,14 +240,13 @@ def absorb_rare_first(counts: list[tuple[str, int]], threshold: int) -> dict[str
     Looking goes from common to rare and ends where the lengths alone differ by more.
     """
     rows = [r[0] for r in sorted(counts, key=lambda r: (-r[1], r[0]))]
-    total = dict(counts)
+    total, text, size = dict(counts), _bytes(rows), np.array(list(map(len, rows)))
     for i in range(len(rows) - 1, 0, -1):
-        for j in range(i):
-            if abs(len(rows[i]) - len(rows[j])) > threshold:
-                break
-            if _far(rows[i], rows[j]) <= threshold:
-                total[rows[j]] += total.pop(rows[i])
-                break
+        apart = np.flatnonzero(np.abs(size[:i] - size[i]) > threshold)
+        until = int(apart[0]) if len(apart) else i
+        near = np.flatnonzero((text[:until] != text[i]).sum(axis=1) <= threshold)
+        if len(near):
+            total[rows[near[0]]] += total.pop(rows[i])
     return total
 
 
@@ -268,11 +267,9 @@ def recombination_metric(seqs: list[str], gap_aware: bool = False, to_diversity:
 
     Where the parents differ, a site counts +1 if the third sequence agrees with the first parent and -1 if with
     the second. Of all breakpoints between such sites the first with the largest difference of the two sides'
-    sums is taken, if the sums differ at all; the score is the lesser magnitude of the sums, over half the columns with a base (or the
-    columns that differ), rounded down.
+    sums is taken, if the sums differ at all; the score is the lesser magnitude of the sums, over half the columns with
+    a base (or the columns that differ), rounded down.
     """
-    import numpy as np
-
     if len(seqs) < 3:
         return 0.0, None
     array = np.array([list(s) for s in seqs])

@@ -129,3 +129,41 @@ def test_recombination_by_a_plain_loop():
         n = rng.randrange(2, 9)
         seqs = ["".join(rng.choice("AC-") for _ in range(n)) for _ in range(rng.randrange(3, 6))]
         assert R.recombination_metric(seqs)[0] == plain(seqs), seqs
+
+
+def test_merging_by_plain_loops():
+    """Both orders, pair by pair."""
+    import random
+
+    far = lambda a, b: abs(len(a) - len(b)) + sum(x != y for x, y in zip(a, b))
+
+    def common_first(counts, threshold):
+        rows, total, gone = sorted(counts, key=lambda r: (r[1], r[0])), dict(counts), set()
+        for i in reversed(range(len(rows))):
+            for other, m in rows[:i]:
+                if rows[i][0] in gone or other in gone or m == rows[i][1]:
+                    continue
+                if far(rows[i][0], other) <= threshold:
+                    total[rows[i][0]] += total.pop(other)
+                    gone.add(other)
+        return total
+
+    def rare_first(counts, threshold):
+        rows, total = [s for s, _ in sorted(counts, key=lambda r: (-r[1], r[0]))], dict(counts)
+        for i in reversed(range(1, len(rows))):
+            for other in rows[:i]:
+                if abs(len(rows[i]) - len(other)) > threshold:
+                    break
+                if far(rows[i], other) <= threshold:
+                    total[other] += total.pop(rows[i])
+                    break
+        return total
+
+    rng = random.Random(7)
+    for _ in range(300):
+        seqs = {"".join(rng.choice("AC") for _ in range(rng.choice([4, 5, 6]))) for _ in range(rng.randrange(1, 12))}
+        counts = [(s, rng.randrange(1, 6)) for s in sorted(seqs)]
+        for threshold in (0, 1, 2):
+            assert R.absorb_common_first(counts, threshold) == common_first(counts, threshold)
+            assert R.absorb_rare_first(counts, threshold) == rare_first(counts, threshold)
+    assert R.absorb_common_first([], 1) == {} and R.absorb_rare_first([], 1) == {}
