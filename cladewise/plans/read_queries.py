@@ -46,10 +46,11 @@ def arrays(s, d):
     })
 
 
-def templates(reads):
-    """Reads named by template: an order's reads by twos, in order of their lines, so that no name has a third read."""
+def templates(reads, by=("line", "first_pos", "last_pos")):
+    """Reads named by template: an order's reads by twos, in order of their lines (or of other columns), so that no name has a third read."""
     part = F.split("name", "_")
-    order = Window.partitionBy("sample", part[0]).orderBy(part[1].cast("int"), "first_pos", "last_pos", "seq", "q")
+    columns = [part[1].cast("int") if c == "line" else F.col(c) for c in (*by, "seq", "q")]
+    order = Window.partitionBy("sample", part[0]).orderBy(*columns)
     return reads.withColumn("name", F.concat_ws("_", part[0], F.ceil(F.row_number().over(order) / 2).cast("string")))
 
 
@@ -69,31 +70,37 @@ add("without_contaminants", f"WITH {TIPS}, {PAIRS}, c AS (SELECT DISTINCT window
     lambda s, d: R.without(tips(s, d), R.contaminants(R.cross_sample_duplicates(tips(s, d)), 2), "window_id", "sample", "seq"))
 add("duplicate_sets", f"WITH {RANKED} SELECT window_id, string_agg(label, ',' ORDER BY label) AS labels, count(*) AS n, count(*) <> count(DISTINCT sample) AS repeated_sample FROM l GROUP BY window_id, seq HAVING count(*) > 1",
     lambda s, d: R.duplicate_sets(labelled(s, d)).withColumn("labels", F.array_join("labels", ",")))
-add("unique_reads_by_window", f"WITH {TIPS} SELECT window_id, count(*) FILTER (sample = 'S0') AS S0, count(*) FILTER (sample = 'S1') AS S1, count(*) FILTER (sample = 'S7') AS S7 FROM t GROUP BY window_id",
-    lambda s, d: R.unique_by_window(tips(s, d), ["S0", "S1", "S7"], "window_id"))
+SAMPLES = [f"S{i}" for i in range(25)]  # one for each nation
+add("unique_reads_by_window", f"WITH {TIPS} SELECT window_id, " + ", ".join(f"count(*) FILTER (sample = '{x}') AS {x}" for x in SAMPLES) + " FROM t GROUP BY window_id",
+    lambda s, d: R.unique_by_window(tips(s, d), SAMPLES, "window_id"))
 add("window_width_percentiles", "SELECT width, round(quantile_cont(n, 0.05), 9) AS p5, round(quantile_cont(n, 0.5), 9) AS p50, round(quantile_cont(n, 0.95), 9) AS p95 FROM (SELECT l_linenumber * 10 AS width, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL) x GROUP BY width".replace("GROUP BY ALL", "GROUP BY l_linenumber, l_suppkey"),
     lambda s, d: rounded(R.width_percentiles(view(s, d, "lineitem").groupBy((F.col("l_linenumber") * 10).alias("width"), "l_suppkey").agg(F.count("*").alias("n")), [0.05, 0.5, 0.95]), "p5", "p50", "p95"))
 _LENGTHS = "SELECT last_pos - first_pos + 1 AS length, count(*) AS n FROM {v_reads} GROUP BY last_pos - first_pos + 1"
 add("expected_spanning_reads", f"WITH l AS ({_LENGTHS}), e AS (SELECT width, sum(n * (length + 1 - width) / (2600.0 + 1 - width)) AS expected FROM (SELECT n, length, unnest(generate_series(1, length)) AS width FROM l) x GROUP BY width) SELECT CAST(width AS BIGINT) AS width, round(expected / (SELECT expected FROM e WHERE width = 1), 9) AS expected FROM e",
     lambda s, d: rounded(R.expected_spanning(view(s, d, "v_reads").groupBy((F.col("last_pos") - F.col("first_pos") + 1).alias("length")).agg(F.count("*").alias("n")), 2600, True), "expected").withColumn("width", F.col("width").cast("long")))
-_MATES = "SELECT sample, split_part(name, '_', 1) AS name, first_pos, last_pos FROM {v_reads} WHERE split_part(name, '_', 2) IN ('1', '2')"
-add("insert_sizes", f"""WITH m AS ({_MATES}), g AS (SELECT sample, name, count(*) AS k, min(first_pos) AS lo, max(last_pos) AS hi, max(first_pos) AS lo2, min(last_pos) AS hi2 FROM m GROUP BY sample, name)
-    SELECT kind, CAST(size AS BIGINT) AS size, count(*) AS n FROM (SELECT 'overlapping' AS kind, hi - lo + 1 AS size FROM g WHERE k = 2 AND lo2 <= hi2 UNION ALL
-    SELECT CASE WHEN k = 1 THEN 'orphan' ELSE 'apart' END, last_pos - first_pos + 1 FROM m JOIN g USING (sample, name) WHERE NOT (k = 2 AND lo2 <= hi2)) x GROUP BY kind, size""",
-    lambda s, d: R.insert_sizes(view(s, d, "v_reads").withColumns({"k": F.split_part("name", F.lit("_"), F.lit(2)), "name": F.split_part("name", F.lit("_"), F.lit(1))}).where("k in ('1', '2')")).withColumn("size", F.col("size").cast("long")))
-# All reads, where insert_sizes has lines 1 and 2 only.
-_TEMPLATES = "SELECT sample, split_part(name, '_', 1) || '_' || CAST((row_number() OVER (PARTITION BY sample, split_part(name, '_', 1) ORDER BY CAST(split_part(name, '_', 2) AS BIGINT), first_pos, last_pos, seq, q) + 1) // 2 AS VARCHAR) AS name, first_pos, last_pos FROM {v_reads}"
-add("template_insert_sizes", f"""WITH m AS ({_TEMPLATES}), g AS (SELECT sample, name, count(*) AS k, min(first_pos) AS lo, max(last_pos) AS hi, max(first_pos) AS lo2, min(last_pos) AS hi2 FROM m GROUP BY sample, name)
+
+
+def _mates(order: str) -> str:
+    """All reads, an order's by twos."""
+    return f"SELECT sample, split_part(name, '_', 1) || '_' || CAST((row_number() OVER (PARTITION BY sample, split_part(name, '_', 1) ORDER BY {order}, seq, q) + 1) // 2 AS VARCHAR) AS name, first_pos, last_pos FROM {{v_reads}}"
+
+
+def _sizes(order: str) -> str:
+    return f"""WITH m AS ({_mates(order)}), g AS (SELECT sample, name, count(*) AS k, min(first_pos) AS lo, max(last_pos) AS hi, max(first_pos) AS lo2, min(last_pos) AS hi2 FROM m GROUP BY sample, name)
     SELECT kind, CAST(size AS BIGINT) AS size, count(*) AS n FROM (SELECT 'overlapping' AS kind, hi - lo + 1 AS size FROM g WHERE k = 2 AND lo2 <= hi2 UNION ALL
-    SELECT CASE WHEN k = 1 THEN 'orphan' ELSE 'apart' END, last_pos - first_pos + 1 FROM m JOIN g USING (sample, name) WHERE NOT (k = 2 AND lo2 <= hi2)) x GROUP BY kind, size""",
-    lambda s, d: R.insert_sizes(templates(view(s, d, "v_reads"))).withColumn("size", F.col("size").cast("long")))
+    SELECT CASE WHEN k = 1 THEN 'orphan' ELSE 'apart' END, last_pos - first_pos + 1 FROM m JOIN g USING (sample, name) WHERE NOT (k = 2 AND lo2 <= hi2)) x GROUP BY kind, size"""
+
+
+# Neighbours in place are mates here; in template_insert_sizes, neighbours by line.
+add("insert_sizes", _sizes("first_pos, last_pos"), lambda s, d: R.insert_sizes(templates(view(s, d, "v_reads"), ("first_pos", "last_pos"))).withColumn("size", F.col("size").cast("long")))
+add("template_insert_sizes", _sizes("CAST(split_part(name, '_', 2) AS BIGINT), first_pos, last_pos"), lambda s, d: R.insert_sizes(templates(view(s, d, "v_reads"))).withColumn("size", F.col("size").cast("long")))
 add("gap_shares", "SELECT seq_id, round(avg(CASE WHEN base = '-' THEN 1e0 ELSE 0e0 END), 9) AS gaps FROM {v_aligned} GROUP BY seq_id HAVING avg(CASE WHEN base = '-' THEN 1e0 ELSE 0e0 END) <= 0.09",
     lambda s, d: rounded(R.reassembled(bases(s, d), "seq_id").select("seq_id", FR.gap_share(F.col("seq")).alias("gaps")), "gaps").where("gaps <= 0.09"))
-add("columns_with_bases", "SELECT window_id, seq_id, pos, base FROM {v_aligned} a WHERE seq_id % 40 = window_id AND EXISTS (SELECT 1 FROM {v_aligned} b WHERE b.seq_id % 40 = b.window_id AND b.window_id = a.window_id AND b.pos = a.pos AND b.base <> '-')",
-    lambda s, d: R.without_gap_columns(bases(s, d).where("seq_id % 40 = window_id")).select("window_id", "seq_id", "pos", "base"))
+add("columns_with_bases", "SELECT window_id, seq_id, pos, base FROM {v_gappy} a WHERE EXISTS (SELECT 1 FROM {v_gappy} b WHERE b.window_id = a.window_id AND b.pos = a.pos AND b.base <> '-')",
+    lambda s, d: R.without_gap_columns(view(s, d, "v_gappy")).select("window_id", "seq_id", "pos", "base"))
 add("found_sequences", "SELECT name, replace(substr(seq, 3, 10), '-', '') AS seq FROM (SELECT 'Q' || CAST(seq_id AS VARCHAR) AS name, string_agg(base, '' ORDER BY pos) AS seq FROM {v_aligned} GROUP BY seq_id) x WHERE NOT starts_with(name, 'Q1') AND NOT starts_with(name, 'Q23')",
     lambda s, d: R.found_sequences(R.reassembled(bases(s, d), "seq_id").select(F.concat(F.lit("Q"), "seq_id").alias("name"), "seq"), ["Q1", "Q23"], prefix=True, inverted=True, window=(3, 12), gap_strip=True, skip_blanks=True))
-# All sequences, where columns_with_bases has half of them.
+# The same without columns that are gaps by design.
 add("all_columns_with_bases", "SELECT window_id, seq_id, pos, base FROM {v_aligned} a WHERE EXISTS (SELECT 1 FROM {v_aligned} b WHERE b.window_id = a.window_id AND b.pos = a.pos AND b.base <> '-')",
     lambda s, d: R.without_gap_columns(bases(s, d)).select("window_id", "seq_id", "pos", "base"))
 add("excised_positions", "SELECT window_id, seq, CAST(sum(n) AS BIGINT) AS n FROM (SELECT window_id, seq_id, n, string_agg(base, '' ORDER BY pos) AS seq FROM {v_aligned} WHERE pos NOT IN (3, 4, 5, 11) GROUP BY window_id, seq_id, n) x GROUP BY window_id, seq",

@@ -63,13 +63,15 @@ _LEVEL = """, hs AS (SELECT DISTINCT host AS h FROM nd WHERE is_tip UNION ALL SE
 
 def _level(k: int) -> str:
     # A tip's or node's cheapest state under the parent's state h: the same one, unassigned, or any other at a cost of 1.
+    # Trees need not be complete: an inner node of this level without children is a tip without host.
     low = f"SELECT x.tree_id, x.parent, x.h, least(x.c, u.c, m.c + 1) AS c FROM c{k + 1} x JOIN c{k + 1} u ON u.tree_id = x.tree_id AND u.node = x.node AND u.h = 'unassigned' JOIN (SELECT tree_id, node, min(c) AS c FROM c{k + 1} WHERE h <> 'unassigned' GROUP BY tree_id, node) m ON m.tree_id = x.tree_id AND m.node = x.node"
     up_ = f"SELECT q.tree_id, q.parent AS node, n.parent, q.h, sum(q.c) AS c FROM ({low}) q JOIN nd n ON n.tree_id = q.tree_id AND n.node = q.parent GROUP BY q.tree_id, q.parent, n.parent, q.h"
-    return f", c{k} AS ({up_})"
+    bare = f"SELECT n.tree_id, n.node, n.parent, h, CASE WHEN h = 'unassigned' THEN 0e0 ELSE 1e6 END FROM nd n CROSS JOIN hs WHERE n.node BETWEEN {2 ** (k - 1)} AND {2**k - 1} AND NOT EXISTS (SELECT 1 FROM nd m WHERE m.tree_id = n.tree_id AND m.parent = n.node)"
+    return f", c{k} AS ({up_} UNION ALL {bare})"
 
 
-add("parsimony_root_costs", f"WITH nd AS (SELECT * FROM {{v_nodes}} n WHERE tree_id > 0 AND (SELECT count(*) FROM {{v_nodes}} t WHERE t.tree_id = n.tree_id) = 63){_LEVEL}{''.join(_level(k) for k in range(5, 0, -1))} SELECT tree_id, round(c, 9) AS root_cost FROM c1 WHERE h = 'unassigned'",
-    lambda s, d: (lambda n: rounded(T.reconstructed(n.join(n.groupBy("tree_id").agg(F.count("*").alias("c")).where("c = 63"), "tree_id", "left_semi")), "root_cost").where("node = 1").select("tree_id", "root_cost"))(nodes(s, d).where("tree_id > 0")))
+add("parsimony_root_costs", f"WITH nd AS (SELECT * FROM {{v_nodes}}){_LEVEL}{''.join(_level(k) for k in range(5, 0, -1))} SELECT tree_id, round(c, 9) AS root_cost FROM c1 WHERE h = 'unassigned'",
+    lambda s, d: rounded(T.reconstructed(nodes(s, d)), "root_cost").where("node = 1").select("tree_id", "root_cost"))
 add("trees_rooted", None, lambda s, d: rounded(G.processed(nodes(s, d), nodes(s, d).where("is_tip").groupBy("tree_id").agg(F.min("node").alias("outgroup")), nodes(s, d).where("is_tip and node % 9 = 4").select("tree_id", F.col("node").alias("drop"))), "edge_length"))
 add("parsimony_states", None, lambda s, d: rounded(T.reconstructed(nodes(s, d), "s", 2.0, 0.002), "root_cost"))
 add("continuation_states", None, lambda s, d: rounded(T.reconstructed(nodes(s, d), "f", 0.05, 5.0), "root_cost"))
@@ -83,10 +85,11 @@ add("split_paths", "WITH RECURSIVE c AS (SELECT * FROM {v_collapsed}), u AS (SEL
 
 
 def subgraphs(s, d):
-    return host_tips(s, d).withColumn("subgraph", F.concat("host", F.lit("-SPLIT"), F.col("tip") % 3)).where("tip % 4 > 0")
+    """All tips; a host has one subgraph in some trees and up to three in others."""
+    return host_tips(s, d).withColumn("subgraph", F.concat("host", F.lit("-SPLIT"), F.when(F.col("tree_id") % 3 == 0, 0).otherwise(F.col("tip") % 3)))
 
 
-_SUB = TIPS + ", sg AS (SELECT *, host || '-SPLIT' || CAST(tip % 3 AS VARCHAR) AS subgraph FROM tp WHERE tip % 4 > 0)"
+_SUB = TIPS + ", sg AS (SELECT *, host || '-SPLIT' || CASE WHEN tree_id % 3 = 0 THEN '0' ELSE CAST(tip % 3 AS VARCHAR) END AS subgraph FROM tp)"
 _SHARES = f"WITH {_SUB}, b AS (SELECT tree_id, host, subgraph, sum(reads) AS r FROM sg GROUP BY tree_id, host, subgraph), sh AS (SELECT *, r / sum(r) OVER (PARTITION BY tree_id, host) AS share, row_number() OVER (PARTITION BY tree_id, host ORDER BY r DESC) AS k FROM b) SELECT tree_id, host, round(sum(CASE WHEN k = 1 THEN share ELSE 0 END), 9) AS p1, round(sum(CASE WHEN k = 2 THEN share ELSE 0 END), 9) AS p2, round(sum(CASE WHEN k = 3 THEN share ELSE 0 END), 9) AS p3 FROM sh GROUP BY tree_id, host"
 add("read_proportions", _SHARES, lambda s, d: rounded(T.read_proportions(subgraphs(s, d).withColumnRenamed("subgraph", "split")).select("tree_id", "host", *[F.col("shares")[i].alias(f"p{i + 1}") for i in range(3)]), "p1", "p2", "p3"))
 add("tips_and_reads", f"WITH {TIPS} SELECT t.tree_id, h.host, count(tp.tip) AS tips, CAST(coalesce(sum(tp.reads), 0) AS BIGINT) AS reads FROM (SELECT DISTINCT tree_id FROM tp) t CROSS JOIN (SELECT DISTINCT host FROM tp) h LEFT JOIN tp ON tp.tree_id = t.tree_id AND tp.host = h.host GROUP BY t.tree_id, h.host",

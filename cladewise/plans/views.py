@@ -49,6 +49,8 @@ VIEWS = {
         SELECT CAST(floor(s_suppkey / 8) AS BIGINT) AS tree_id, s_suppkey % 8 + 1 AS split, CASE WHEN s_suppkey % 5 = 0 THEN 'unassigned' ELSE 'H' || CAST(s_nationkey % 4 AS @text) END AS host FROM {supplier}) x""",
     "v_aligned": """SELECT window_id, seq_id, pos, CASE WHEN (k * 13 + pos) % 11 = 0 THEN '-' ELSE substr('ACGT', CAST((k + pos * pos) % 4 AS BIGINT) + 1, 1) END AS base, n FROM (
         SELECT c_custkey % 20 AS window_id, c_custkey AS seq_id, c_custkey * 7 + c_nationkey AS k, 1 + c_nationkey % 4 AS n FROM {customer}) c CROSS JOIN (SELECT CAST(i AS BIGINT) AS pos FROM @range(1, 24)) r""",
+    # Some columns of some windows are gaps in every sequence.
+    "v_gappy": "SELECT window_id, seq_id, pos, CASE WHEN (pos + window_id) % 7 = 0 THEN '-' ELSE base END AS base, n FROM {v_aligned}",
     "v_norm": "SELECT p_partkey AS pos, p_retailprice / 1000 AS norm_const FROM {part}",
     "v_draws": "SELECT CAST(floor(event_id / 20) AS BIGINT) AS sample, event_id % 20 AS pair_id, ln(1 + abs(value)) AS value FROM {events}",
     "v_dobs": """SELECT a.c_mktsegment AS source, b.c_mktsegment AS recipient, count(*) AS obs FROM {orders} o JOIN {customer} a ON o.o_custkey = a.c_custkey

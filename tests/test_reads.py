@@ -167,3 +167,9 @@ def test_merging_by_plain_loops():
             assert R.absorb_common_first(counts, threshold) == common_first(counts, threshold)
             assert R.absorb_rare_first(counts, threshold) == rare_first(counts, threshold)
     assert R.absorb_common_first([], 1) == {} and R.absorb_rare_first([], 1) == {}
+
+
+def test_insert_sizes_take_all_reads(spark):
+    sf = "/root/testdata/sf0.001"
+    of_reads = F.sum(F.when(F.col("kind") == "overlapping", 2 * F.col("n")).otherwise(F.col("n")))
+    assert Q.QUERIES["insert_sizes"](spark, sf).agg(of_reads).first()[0] == view(spark, sf, "v_reads").count()
