@@ -1,3 +1,7 @@
+import gzip
+import random
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +76,64 @@ def test_small_tables(spark, tmp_path):
     assert rows(R.matched(a, spark.createDataFrame([("d_1_to_9.csv",)], "name string")), "tree") == [("t_1_to_9.tree", "d_1_to_9.csv"), ("t_5_to_9.tree", None)]
     both, odd = R.half_matched(a.withColumn("x", F.lit(1)), a.limit(1), "name")
     assert both.count() == 1 and odd.count() == 1
+
+
+def bam_bytes(refs, lines, long=False):
+    """A BAM file of SAM lines, in members of 200 bytes so that records cross them, written from the published layout."""
+    out = b"BAM\1" + struct.pack("<i", 3) + b"@CO" + struct.pack("<i", len(refs))
+    for r in refs:
+        out += struct.pack("<i", len(r) + 1) + r.encode() + b"\0" + struct.pack("<i", 1000)
+    for line in lines:
+        name, flag, ref, pos, mapq, cigar, _, _, _, seq, qual = line.split("\t")
+        seq = "" if seq == "*" else seq
+        ops, n = [], ""
+        for c in "" if cigar == "*" else cigar:
+            if c.isdigit():
+                n += c
+            else:
+                ops.append(int(n) << 4 | "MIDNSHP=X".index(c))
+                n = ""
+        codes = ["=ACMGRSVTWYHKDBN".index(c) for c in seq] + [0] * (len(seq) % 2)
+        body = struct.pack("<iiBBHHHiiii", refs.index(ref) if ref != "*" else -1, int(pos) - 1, len(name) + 1, int(mapq), 0, len(ops), int(flag), len(seq), -1, -1, 0)
+        body += name.encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
+        body += b"\xff" * len(seq) if qual == "*" else bytes(ord(c) - 33 for c in qual)
+        body += b"NMC\5"  # a tag that is not read
+        if long and len(ops) > 2:  # as a CIGAR of too many operations is kept: a stand-in, and the whole in a tag after others
+            at = 32 + len(name) + 1
+            stand_in = struct.pack("<2I", len(seq) << 4 | 4, 9 << 4 | 3)
+            body = body[:12] + struct.pack("<H", 2) + body[14:at] + stand_in + body[at + 4 * len(ops) :]
+            body += b"RGZCGB\0" + b"ZZBs" + struct.pack("<i2h", 2, 1, 2) + b"CGBI" + struct.pack(f"<i{len(ops)}I", len(ops), *ops)
+        out += struct.pack("<i", len(body)) + body
+    return b"".join(gzip.compress(out[i : i + 200]) for i in range(0, len(out), 200)) + gzip.compress(b"")
+
+
+def sam_lines(k, n):
+    draw, lines = random.Random(k), []
+    for i in range(n):
+        parts = [(draw.randint(1, 9), draw.choice("MIDS=XNHP")) for _ in range(draw.randint(1, 6))]
+        m = sum(x for x, op in parts if op in "MIS=X")
+        seq = "".join(draw.choice("ACGTN") for _ in range(m))
+        qual = "*" if i % 7 == 0 or not m else "".join(chr(33 + draw.randint(0, 60)) for _ in range(m))
+        lines.append(f"q{i}\t{draw.choice((0, 16, 99))}\t{draw.choice(('r', 'other'))}\t{draw.randint(1, 60)}\t{i % 61}\t{''.join(f'{x}{op}' for x, op in parts)}\t*\t0\t0\t{seq or '*'}\t{qual}")
+    return [*lines, "u\t4\t*\t0\t0\t*\t*\t0\t0\tACG\t*", "e\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*"]
+
+
+def test_bam_reads_as_sam_does(spark, tmp_path):
+    for name, k, n in (("one", 1, 150), ("two", 2, 40), ("empty", 3, 0)):
+        lines = sam_lines(k, n) if n else []
+        put(tmp_path, f"{name}.sam", "".join(x + "\n" for x in ["@SQ\tSN:r\tLN:1000", *lines]))
+        (tmp_path / f"{name}.bam").write_bytes(bam_bytes(["other", "r"], lines, long=name == "two"))
+    for region in (None, ("r", 20, 30)):
+        sam = R.sam(spark, str(tmp_path / "*.sam"), region).withColumn("sample", F.regexp_replace("sample", "sam$", "bam"))
+        bam = R.bam(spark, str(tmp_path / "*.bam"), region)
+        assert bam.columns == sam.columns
+        assert rows(bam, "sample", "name") == rows(sam, "sample", "name")
+        assert region or bam.count() == 194
+
+
+def test_bam_that_is_broken_is_an_error(spark, tmp_path):
+    whole = gzip.decompress(bam_bytes(["other", "r"], sam_lines(1, 3)))
+    for name, content, said in (("cut", whole[:-9], "ends within a record"), ("none", b"SAM" + whole[3:], "not a BAM file")):
+        (tmp_path / f"{name}.bam").write_bytes(gzip.compress(content))
+        with pytest.raises(Exception, match=said):
+            R.bam(spark, str(tmp_path / f"{name}.bam")).collect()
