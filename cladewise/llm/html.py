@@ -8,8 +8,8 @@ without a clear sign stay open. In the second pass an open block takes the label
 neighbours. Where a page marks its article, only blocks of the article are text, only they are each other's
 neighbours, and furniture inside the article doesn't count as a neighbour; an article without any decided
 block is good as a whole. Without a marked article all blocks of the page are judged, and a heading follows
-what comes after it. Limit: without a marked article, stop words of four languages alone make a block good, so a
-page in another language gives an empty text.
+what comes after it. On a page without a marked article
+and without a block in a language of the four lists of stop words, length and link density alone decide.
 
 Defined results: null, empty and textless pages give an empty text; character references are decoded as in
 HTML 5; white space inside a block becomes one space; blocks are joined in page order by two line ends; an
@@ -181,8 +181,8 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block, marked: bool) -> str:
-    """The label of a block by itself. marked: the page marks its article."""
+def first_pass(block: Block, marked: bool, known: bool = True) -> str:
+    """The label of a block by itself. marked: the page marks its article; known: its language has stop words here."""
     if block.furniture or marked and not block.article:
         return BAD
     n, share = len(block.text), block.linked / len(block.text)
@@ -196,16 +196,29 @@ def first_pass(block: Block, marked: bool) -> str:
         return BAD
     if n < SHORT:
         return BAD if block.linked else OPEN
+    if not known:  # length and links alone
+        return GOOD if n > LONG else BAD if block.linked else OPEN
     if block.stops >= STOP_HIGH:
         return GOOD if n > LONG or not block.linked else OPEN
     return OPEN if block.stops >= STOP_LOW or n > LONG and not block.linked else BAD
 
 
+def _known(own: list[Block]) -> bool:
+    """Whether any block that could be text has the stop words of a text; a page without one is in a language that the lists do not cover."""
+    for b in own:
+        if not b.furniture and len(b.text) >= SHORT and b.linked <= LINKS * len(b.text):
+            words = _WORD.findall(b.text.lower())
+            if sum(w in _STOP for w in words) >= STOP_LOW * max(1, len(words)):
+                return True
+    return False
+
+
 def classify(own: list[Block]) -> list[Block]:
     """Labels all blocks good or bad."""
     marked = any(b.article and not b.furniture for b in own)
+    known = marked or _known(own)
     for b in own:
-        b.label = first_pass(b, marked)
+        b.label = first_pass(b, marked, known)
     # In a marked article, what stands outside and furniture inside are nobody's neighbours.
     near = [k for k, b in enumerate(own) if not marked or b.article and not b.furniture]
     first = [own[k].label for k in near]

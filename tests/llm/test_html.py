@@ -42,6 +42,12 @@ def test_without_a_marked_article():
     assert extract("<p>Tiny</p>") == ""
 
 
+def test_a_language_without_stop_words_here():
+    prose = "Vanhan kaupungin kadut olivat hiljaisia, ja satamassa kalastajat korjasivat verkkojaan aamuauringossa. " * 4
+    text = f"<body><div id=nav><a href=1>Etusivu</a> <a href=2>Uutiset</a></div><h2>Satama</h2><p>{prose}</p><p>Lyhyt.</p><p>{prose}</p><div><a href=x>yksi pitkä linkki toiselle sivulle</a> <a href=y>toinen pitkä linkki jonnekin muualle</a></div></body>"
+    assert extract(text) == "\n\n".join(["Satama", prose.strip(), "Lyhyt.", prose.strip()])
+
+
 def test_hostile_pages_take_linear_time():
     for bad in ("<a '" * 20_000, "<" * 50_000, '<p class="' * 20_000, "<!--" * 20_000, "<script>" * 5_000, "<div>" * 30_000):
         extract(bad)
