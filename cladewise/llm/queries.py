@@ -8,8 +8,9 @@ from collections.abc import Callable, Iterator
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, html, minhash, mixing, pipeline, planes, quality, suffix, wand, webp
+from . import bpe, chat, html, minhash, mixing, packing, pipeline, planes, quality, suffix, wand, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +83,12 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, ranker).withColumn("held_out", quality.held_out()).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_block_max_wand": op2_block_max_wand,
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_token_planes": op9_token_planes,
     "op10_quality_ranking": op10_quality_ranking,
+    "op11_bounded_space_packing": op11_bounded_space_packing,
 }
 
 #: DuckDB SQL over whole tables, where SQL can express the operator.
