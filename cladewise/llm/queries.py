@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, minhash, mixing, packing, pipeline, planes, quality, suffix, wand, webp
+from . import bpe, chat, html, importance, minhash, mixing, packing, pipeline, planes, quality, suffix, wand, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,13 @@ def op11_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank."""
+    docs = _table(spark, sf_dir, "documents")
+    gains = importance.fit(docs, _table(spark, sf_dir, "benchmark"))
+    return importance.draw(importance.weigh(docs, gains)).select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_block_max_wand": op2_block_max_wand,
@@ -101,7 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_planes": op9_token_planes,
     "op10_quality_ranking": op10_quality_ranking,
     "op11_bounded_space_packing": op11_bounded_space_packing,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 #: DuckDB SQL over whole tables, where SQL can express the operator.
-ORACLE: dict[str, str] = {"op1_chat_perspectives": chat.ORACLE}
+ORACLE: dict[str, str] = {"op1_chat_perspectives": chat.ORACLE, "op12_importance_resampling": importance.ORACLE}
