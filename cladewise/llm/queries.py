@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, importance, minhash, mixing, packing, pipeline, planes, quality, suffix, wand, webp
+from . import alignment, bpe, chat, html, importance, minhash, mixing, packing, pipeline, planes, quality, suffix, wand, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,13 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.draw(importance.weigh(docs, gains)).select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
+    found = alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_block_max_wand": op2_block_max_wand,
@@ -109,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_ranking": op10_quality_ranking,
     "op11_bounded_space_packing": op11_bounded_space_packing,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 #: DuckDB SQL over whole tables, where SQL can express the operator.

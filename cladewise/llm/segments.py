@@ -58,12 +58,13 @@ def starts(raw: np.ndarray, first: np.ndarray, marks: bool = False) -> np.ndarra
     return np.flatnonzero(cut)
 
 
-def split(texts: pa.Array, marks: bool = False, lead: str = "") -> tuple[pa.Array, np.ndarray]:
-    """All segments of all rows, and how many each row has; null and empty rows have none. `lead` comes before each row that is not empty."""
+def split(texts: pa.Array, marks: bool = False, lead: str = "", whole: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """All segments of all rows, and how many each row has; null and empty rows have none. `lead` comes before each row that is not empty; whole: a row is one segment."""
     if lead:
         texts = pc.if_else(pc.greater(pc.binary_length(texts), 0), pc.binary_join_element_wise(pa.scalar(lead), texts, ""), pa.scalar(""))
     raw, offsets = text_bytes(texts)
-    at = starts(raw, offsets[:-1][np.diff(offsets) > 0], marks)
+    first = offsets[:-1][np.diff(offsets) > 0]
+    at = first if whole else starts(raw, first, marks)
     edges = np.append(at, len(raw)).astype(np.int64)
     kind = pa.large_string()
     segments = pa.Array.from_buffers(kind, len(at), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(raw))])
