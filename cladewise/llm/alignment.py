@@ -2,10 +2,13 @@
 
 A is a byte-level vocabulary of the tokenizers library, which gets a blank and the text; B is a sentencepiece model,
 which adds that blank itself. Texts are cut before white space (segments.py) after a look at B's pieces: if one
-could reach across such a place, each text is one segment. Blocks of documents hold numbers of segments and a
-dictionary of their own, so what is joined by segment is a row for each entry of a block's dictionary, not for
-each occurrence. Distinct segments get tokens, groups and links; links are counted over the corpus by pairs of
-ids; a block gets its entries' results back and composes its documents.
+could reach across such a place, each text is one segment.
+
+Blocks of documents hold numbers of segments, the commonest first, and a dictionary of their own, so what is
+shuffled by segment is a row for each entry of a block's dictionary, not for each occurrence. Where entries of one
+segment meet, it is tokenised and aligned, once for a chunk of CHUNK entries. Links are counted over the corpus
+by pairs of ids; then each chunk scores its segments and sends its entries back to their blocks, which compose
+their documents.
 
 Groups lie between byte offsets at which tokens of both sides end. A link is a pair of tokens whose bytes overlap.
 
@@ -22,17 +25,21 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from . import segments
 from .common import chunks, cut_small, staged, text_bytes
 
 #: Bytes of text of a block, apart from its last document.
-BLOCK = 8 << 20
-#: Pairs of ids whose counts (two numbers each) may be broadcast; beyond, they are joined by shuffles.
+BLOCK = 16 << 20
+#: Entries of dictionaries whose segments are aligned together.
+CHUNK = 100_000
+#: Pairs of ids whose counts (three numbers each) may be sent to all tasks; beyond, each chunk gets its own by a join.
 BROADCAST = 2_000_000
 _SIGN = "▁"
 
@@ -107,6 +114,25 @@ def unchanged(texts: pa.Array, b: SideB) -> pa.Array:
     return pa.array([t if t and b.keeps(t) else None for t in texts.to_pylist()], pa.string())
 
 
+def _packed(*arrays: np.ndarray, text: str = "") -> bytes:
+    """Arrays of one length and a text, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([a.tobytes() for a in arrays]) + text.encode())
+
+
+def _unpacked(data: bytes, n: int, *kinds: str) -> tuple[list[np.ndarray], str]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    for kind in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return out, raw[at:].decode()
+
+
+def _row(**columns) -> pa.RecordBatch:
+    """One row; arrays become lists."""
+    made = [pa.array([v]) if isinstance(v, int | bytes) else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v)) for v in columns.values()]
+    return pa.RecordBatch.from_arrays(made, names=list(columns))
+
+
 def _blocks(path_b: str, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, part, n = side_b(path_b), TaskContext.get().partitionId(), 0
@@ -116,18 +142,13 @@ def _blocks(path_b: str, block: int):
             for first, stop in chunks(offsets, block):
                 found, per_row = segments.split(unchanged(texts.slice(first, stop - first), b), lead=" ", whole=not b.apart)
                 own, distinct = segments.numbered(found)
-                lists = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([(part << 32) + n], pa.int64()),
-                        lists(names.slice(first, stop - first), names.type),
-                        lists(pa.array(per_row), pa.int64()),
-                        pa.array([own.astype("<i4").tobytes()], pa.binary()),
-                        lists(distinct, pa.string()),
-                        lists(pa.array(np.bincount(own, minlength=len(distinct))), pa.int64()),
-                    ],
-                    names=["block", "ids", "sizes", "numbers", "segments", "counts"],
-                )
+                counts = np.bincount(own, minlength=len(distinct))
+                order = np.argsort(-counts, kind="stable")
+                rank = np.empty(len(order), "<i4")
+                rank[order] = np.arange(len(order))
+                # By byte planes: frequent segments have small numbers.
+                planes = np.ascontiguousarray(rank[own].view(np.uint8).reshape(-1, 4).T)
+                yield _row(block=(part << 32) + n, ids=names.slice(first, stop - first), sizes=per_row.astype(np.int64), n=len(own), numbers=_packed(planes), segments=distinct.take(pa.array(order)).cast(pa.string()), counts=counts[order].astype(np.int64))
                 n += 1
 
     return run
@@ -158,31 +179,84 @@ def aligned(parts: list[str], a: SideA, b: SideB) -> tuple[list[str], np.ndarray
     return joined, np.stack([np.diff(p, prepend=0) for p in per_part]), np.split(links, per_part[3][:-1])
 
 
-def _align(path_a: str, path_b: str):
+_COLUMNS = {"chunk": "long", "groups": "array<string>", "sizes": "array<long>", "links": "array<long>", "entry_segment": "array<long>", "entry_block": "array<long>", "entry_number": "array<long>", "pairs": "array<long>", "pair_counts": "array<long>"}
+_NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+_KINDS = ["<i4", *["<i8"] * len(_NUMBERS)]
+
+
+def _aligned_chunk(chunk: int, rows: pa.Table, a: SideA, b: SideB) -> pa.RecordBatch:
+    """The segments of some entries (segment, block, number, n), aligned: see _COLUMNS. sizes: n_a, n_b, n_groups and n_links of all segments, one after the other."""
+    own, distinct = segments.numbered(rows.column("segment").combine_chunks())
+    groups, sizes, links = aligned(distinct.to_pylist(), a, b)
+    times = np.bincount(own, weights=rows.column("n").to_numpy(), minlength=len(groups)).astype(np.int64)
+    flat = np.concatenate(links)
+    pairs, place = np.unique(flat, return_inverse=True)
+    counts = np.bincount(place, weights=np.repeat(times, sizes[3])).astype(np.int64)
+    return _row(chunk=chunk, groups=pa.array(groups, pa.string()), sizes=sizes.reshape(-1).astype(np.int64), links=flat, entry_segment=own, entry_block=rows.column("block").combine_chunks(), entry_number=rows.column("number").combine_chunks(), pairs=pairs, pair_counts=counts)
+
+
+def _align(path_a: str, path_b: str, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, part, n = side_a(path_a), side_b(path_b), TaskContext.get().partitionId(), 0
+        a, b, part, n, held = side_a(path_a), side_b(path_b), TaskContext.get().partitionId(), 0, []
         for batch in batches:
-            groups, sizes, links = aligned(batch.column(0).to_pylist(), a, b)
-            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[3])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *links])))
-            key = (np.int64(part) << 40) + n + np.arange(batch.num_rows)
-            n += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key), pa.array(groups, pa.string()), *map(pa.array, sizes), flat], names=["segment", "n", "key", "groups", "n_a", "n_b", "n_groups", "n_links", "links"])
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= chunk:
+                yield _aligned_chunk((part << 32) + n, pa.Table.from_batches(held), a, b)
+                n, held = n + 1, []
+        if sum(x.num_rows for x in held):
+            yield _aligned_chunk((part << 32) + n, pa.Table.from_batches(held), a, b)
 
     return run
 
 
-_NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+def _sent_back(row: dict[str, pa.Array], pairs: np.ndarray, counts: np.ndarray, best: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Of one chunk: block, n, and n entries of it with their results. pairs are in order and hold all of the chunk's."""
+    sizes = row["sizes"].to_numpy().reshape(4, -1)
+    place = np.searchsorted(pairs, row["links"].to_numpy())
+    ends = np.concatenate([[0], np.cumsum(sizes[3])])
+    results = [*sizes, *(np.diff(np.concatenate([[0], np.cumsum(x[place])])[ends]) for x in (best, counts))]
+    of, blocks, numbers = (row[c].to_numpy() for c in ("entry_segment", "entry_block", "entry_number"))
+    order, groups = np.argsort(blocks, kind="stable"), row["groups"].to_pylist()
+    for some in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1):
+        own = of[some]
+        yield int(blocks[some[0]]), len(some), _packed(numbers[some].astype("<i4"), *(x[own].astype("<i8") for x in results), text="\n".join([groups[k] for k in own.tolist()]))
+
+
+def _as_batch(rows: Iterator[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["own", "n", "results"])
+
+
+def _scored(table: Broadcast):
+    """Chunks with the counts of all pairs at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield _as_batch(_sent_back({c: batch.column(c)[k].values for c in batch.schema.names if c != "chunk"}, *table.value))
+
+    return run
+
+
+def _scored_by_join(rows: pa.Table, pairs: pa.Table) -> pa.Table:
+    """One chunk with the counts of its own pairs."""
+    pairs = pairs.sort_by("pair")
+    table = (pairs.column(c).to_numpy() for c in ("pair", "count", "best"))
+    return pa.Table.from_batches([_as_batch(_sent_back({c: rows.column(c)[0].values for c in rows.schema.names if c != "chunk"}, *table))])
 
 
 def _composed(kind: pa.DataType):
     def run(blocks: pa.Table, entries: pa.Table) -> pa.Table:
-        number = entries.column("number").to_numpy()
+        parts = [_unpacked(data, n, *_KINDS) for n, data in zip(entries.column("n").to_pylist(), entries.column("results").to_pylist(), strict=True)]
+        number, *columns = (np.concatenate(x) for x in zip(*(p for p, _ in parts), strict=True))
+        groups = [g for _, text in parts for g in text.split("\n")]
         place = np.empty(len(number), np.int64)
         place[number] = np.arange(len(number))
-        groups = entries.column("groups").to_pylist()
-        own = place[np.frombuffer(blocks.column("numbers")[0].as_py(), "<i4")]
+        n = blocks.column("n")[0].as_py()
+        (planes,), _ = _unpacked(blocks.column("numbers")[0].as_py(), 4 * n, "u1")
+        own = place[np.ascontiguousarray(planes.reshape(4, n).T).view("<i4")[:, 0]]
         edge = np.concatenate([[0], np.cumsum(blocks.column("sizes")[0].values.to_numpy())])
-        sums = [pa.array(np.diff(np.concatenate([[0], np.cumsum(entries.column(name).to_numpy()[own])])[edge])) for name in _NUMBERS]
+        sums = [pa.array(np.diff(np.concatenate([[0], np.cumsum(column[own])])[edge])) for column in columns]
         order, at = own.tolist(), edge.tolist()
         texts = pa.array([";".join([groups[k] for k in order[i:j]]) for i, j in zip(at, at[1:])], pa.string())
         return pa.table([blocks.column("ids")[0].values.cast(kind), *sums, texts], names=["id", *_NUMBERS, "groups"])
@@ -190,31 +264,30 @@ def _composed(kind: pa.DataType):
     return run
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """Of each row: id, n_a, n_b, n_groups, n_links, n_best (links whose pair is as frequent in the corpus as any of their B id), count_sum (their pairs' counts), and groups: A ids, "|", B ids, between ";"."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType
-    schema = StructType().add("block", "long").add("ids", ArrayType(id_type)).add("sizes", ArrayType(LongType())).add("numbers", "binary").add("segments", ArrayType(StringType())).add("counts", ArrayType(LongType()))
+    schema = StructType().add("block", "long").add("ids", ArrayType(id_type)).add("sizes", ArrayType(LongType())).add("n", "long").add("numbers", "binary").add("segments", ArrayType(StringType())).add("counts", ArrayType(LongType()))
     blocks = staged(rows.mapInArrow(_blocks(path_b, block), schema), "alignment-blocks")
-    entries = blocks.select("block", F.posexplode(F.arrays_zip("segments", "counts")).alias("number", "entry")).select("block", "number", F.col("entry.segments").alias("segment"), F.col("entry.counts").alias("n"))
-    distinct = staged(
-        entries.groupBy("segment").agg(F.sum("n").alias("n")).mapInArrow(_align(path_a, path_b), "segment string, n long, key long, groups string, n_a long, n_b long, n_groups long, n_links long, links array<long>"),
-        "alignment-segments",
-    )
-    pairs = distinct.select("n", F.explode("links").alias("pair")).groupBy("pair").agg(F.sum("n").alias("count"))
+    entries = blocks.select("block", F.posexplode(F.arrays_zip("segments", "counts")).alias("number", "entry")).select(F.col("entry.segments").alias("segment"), "block", F.col("number").cast("long").alias("number"), F.col("entry.counts").alias("n"))
+    by_segment = entries.repartition("segment").sortWithinPartitions("segment")
+    aligned_ = staged(by_segment.mapInArrow(_align(path_a, path_b, chunk), ", ".join(f"{n} {k}" for n, k in _COLUMNS.items())), "alignment-chunks", compression="zstd")
+    counted = aligned_.select(F.explode(F.arrays_zip("pairs", "pair_counts")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.pair_counts").alias("count"))
     of_b = Window.partitionBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))
-    pairs = cut_small(pairs.select("pair", "count", (F.col("count") == F.max("count").over(of_b)).cast("long").alias("best")))
-    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST else pairs
-    scores = distinct.select("key", F.explode("links").alias("pair")).join(pairs, "pair").groupBy("key").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    found = distinct.drop("links", "n").join(scores, "key")
-    found = entries.select("block", "number", "segment").join(found, "segment").select(F.col("block").alias("own"), "number", "groups", *_NUMBERS)
+    pairs = cut_small(counted.select("pair", "count", (F.col("count") == F.max("count").over(of_b)).cast("long").alias("best")))
+    own, results = aligned_.drop("pairs", "pair_counts"), "own long, n long, results binary"
+    if pairs.count() <= BROADCAST:
+        table = pairs.toArrow().sort_by("pair")
+        found = own.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast([table.column(c).to_numpy() for c in ("pair", "count", "best")])), results)
+    else:
+        of_chunks = aligned_.select(F.col("chunk").alias("of"), F.explode("pairs").alias("pair")).join(pairs, "pair")
+        found = own.groupBy("chunk").cogroup(of_chunks.groupBy("of")).applyInArrow(_scored_by_join, results)
     schema = StructType().add("id", id_type)
     for name in _NUMBERS:
         schema = schema.add(name, "long")
     # Blocks without any segment have no entries: their documents have no tokens.
-    some = blocks.where(F.size("segments") > 0).select("block", "ids", "sizes", "numbers").groupBy("block").cogroup(found.groupBy("own"))
+    some = blocks.where("n > 0").select("block", "ids", "sizes", "n", "numbers").groupBy("block").cogroup(found.groupBy("own"))
     out = some.applyInArrow(_composed(to_arrow_type(id_type)), schema.add("groups", "string"))
-    none = blocks.where(F.size("segments") == 0).select(F.explode("ids").alias("id"), *(F.lit(0).cast("long").alias(name) for name in _NUMBERS), F.lit("").alias("groups"))
+    none = blocks.where("n = 0").select(F.explode("ids").alias("id"), *(F.lit(0).cast("long").alias(name) for name in _NUMBERS), F.lit("").alias("groups"))
     return out.unionByName(none)

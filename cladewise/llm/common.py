@@ -65,15 +65,15 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, label: str, compression: str | None = None) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/cladewise-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back. The folder stays: the caller may read the result at any time."""
-    return _written(df, label)[0]
+    return _written(df, label, compression)[0]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

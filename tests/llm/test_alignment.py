@@ -107,13 +107,13 @@ def test_every_character_keeps_its_bytes():
             assert held.null_count == 0 and alignment.aligned([" " + text], a, b)[1][3, 0] > 0
 
 
-@pytest.mark.parametrize(("block", "broadcast"), [(1 << 20, 10**6), (300, 10**6), (300, 0)])
-def test_against_plain_loops(spark, whole, monkeypatch, block, broadcast):
+@pytest.mark.parametrize(("block", "broadcast", "chunk"), [(1 << 20, 10**6, 10**5), (300, 10**6, 1), (300, 0, 10**5)])
+def test_against_plain_loops(spark, whole, monkeypatch, block, broadcast, chunk):
     monkeypatch.setattr(alignment, "BROADCAST", broadcast)
     rows = [*enumerate(texts()), (None, "no id"), (3, "same same"), (3, "same same")]
     random.Random(2).shuffle(rows)
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, block int, groups int").repartition(3)
-    got = sorted(map(tuple, alignment.align(df, PATH_A, PATH_B, block=block).collect()), key=str)
+    got = sorted(map(tuple, alignment.align(df, PATH_A, PATH_B, block=block, chunk=chunk).collect()), key=str)
     assert got == brute(whole, rows)
 
 
