@@ -114,12 +114,13 @@ def cuts(rows: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOT
 
 
 def taken(rows: DataFrame, ends: DataFrame) -> DataFrame:
-    """rows with source_size, target and copies: how often the mix takes the row."""
+    """rows with source_size, target and copies: how often the mix takes the row; rows without words are never taken."""
     ends = ends.withColumnRenamed("source", "_source")
     ends = F.broadcast(ends) if ends.count() <= BROADCAST else ends
     joined = rows.join(ends, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     chosen = F.coalesce(F.col("all_of_it"), F.lit(False)) | F.coalesce(F.col("_fine") < F.col("end_fine"), F.lit(False)) | F.coalesce((F.col("_fine") == F.col("end_fine")) & (F.col("_key") <= F.col("last_key")), F.lit(False))
-    return joined.withColumn("copies", F.coalesce(F.col("epochs"), F.lit(0)) + F.when(chosen, 1).otherwise(0))
+    copies = F.coalesce(F.col("epochs"), F.lit(0)) + F.when(chosen, 1).otherwise(0)
+    return joined.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
 
 
 def sizes(docs: DataFrame, **options) -> DataFrame:

@@ -92,7 +92,9 @@ def test_mix_rows_and_edges(spark):
     count = {}
     for r in out.collect():
         count[r.doc_id] = count.get(r.doc_id, 0) + 1
-    assert all(count.get(i, 0) * r["size"] == r.taken for i, r in taken.items())
+    assert all(count.get(i, 0) * r["size"] == r.taken and (r["size"] or i not in count) for i, r in taken.items())
+    bare = spark.createDataFrame([(1, "a b c", "x"), (2, None, "x"), (3, "", "x"), (4, " \n", "x"), (5, None, None)], "doc_id long, text string, source string")
+    assert {r.doc_id for r in mixing.mix(bare).collect()} == {1}
     assert mixing.sizes(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
     empty = spark.createDataFrame([(1, None, None), (None, "", None), (1, None, None)], "doc_id long, text string, source string")
     assert [r.taken for r in mixing.sizes(empty).collect()] == [0, 0, 0]
