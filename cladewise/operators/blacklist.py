@@ -25,17 +25,17 @@ def unknown_names(tips: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def duplicates(tips: DataFrame, sets: DataFrame, raw: float, ratio: float) -> DataFrame:
-    """Of two tips of different hosts in one duplicate set (tree_id, set_id, tip), the rarer goes if it has fewer reads than raw or less than the ratio of the other's."""
+    """Of two tips of different hosts in one duplicate set (tree_id, set_id, tip), the rarer, or of equal ones the later by tip, goes if it has fewer reads than raw or less than the ratio of the other's."""
     rows = sets.join(tips, ["tree_id", "tip"]).where("host is not null")
-    # The commonest tip of another host decides: what any larger tip condemns, the largest one does.
+    # The commonest tip of another host decides, and of several the first: what any other condemns, it does too.
     by_set = Window.partitionBy("tree_id", "set_id")
-    top = F.max(F.struct("reads", "tip", "host")).over(by_set)
-    rows = rows.withColumn("_top", top)
-    other = F.max(F.when(F.col("host") != F.col("_top.host"), F.struct("reads", "tip", "host"))).over(by_set)
+    one = F.struct((-F.col("reads")).alias("less"), "tip", "host", "reads")
+    rows = rows.withColumn("_top", F.min(one).over(by_set))
+    other = F.min(F.when(F.col("host") != F.col("_top.host"), one)).over(by_set)
     rows = rows.withColumn("_against", F.when(F.col("host") != F.col("_top.host"), F.col("_top")).otherwise(other))
-    larger = (F.col("_against.reads") > F.col("reads")) | ((F.col("_against.reads") == F.col("reads")) & (F.col("_against.tip") < F.col("tip")))
+    rarer = (F.col("_against.reads") > F.col("reads")) | ((F.col("_against.reads") == F.col("reads")) & (F.col("_against.tip") < F.col("tip")))
     bad = (F.col("reads") / F.col("_against.reads") < ratio) | (F.col("reads") < raw)
-    return rows.where(larger & bad).select("tree_id", "tip", F.lit("bl_duplicate").alias("status")).distinct()
+    return rows.where(rarer & bad).select("tree_id", "tip", F.lit("bl_duplicate").alias("status")).distinct()
 
 
 def parsimony_contaminants(nodes: DataFrame, raw: float, ratio: float, k: float) -> DataFrame:

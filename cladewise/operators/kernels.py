@@ -67,6 +67,42 @@ class Tree:
         return out
 
 
+class Ancestry:
+    """Common ancestors of many pairs of nodes at once: minima over ranges of the pre-order, in tables of n log n numbers."""
+
+    def __init__(self, t: Tree) -> None:
+        n, parent = len(t.id), np.array(t.parent, np.int64)
+        self.order = np.array(t.down, np.int64)
+        self.place = np.empty(n, np.int64)
+        self.place[self.order] = np.arange(n)
+        level = np.zeros(n, np.int64)
+        for i in t.down:
+            if parent[i] >= 0:
+                level[i] = level[parent[i]] + 1
+        self.level = level
+        # Between two nodes in pre-order, the highest parent is their common ancestor.
+        above = parent[self.order]
+        tables = [np.where(above >= 0, (level[above]) * n + self.place[above], -1)]
+        step = 1
+        while 2 * step <= n:
+            low = tables[-1]
+            tables.append(np.minimum(low[: len(low) - step], low[step:]))
+            step *= 2
+        self.tables, self.n = tables, n
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The lowest common ancestors of a[i] and b[i]."""
+        x, y = np.minimum(self.place[a], self.place[b]), np.maximum(self.place[a], self.place[b])
+        out, wide = a.copy(), y - x
+        k = np.zeros(len(wide), np.int64)
+        k[wide > 0] = np.log2(wide[wide > 0]).astype(np.int64)
+        for j, table in enumerate(self.tables):
+            some = np.flatnonzero((k == j) & (wide > 0))
+            low = np.minimum(table[x[some] + 1], table[y[some] + 1 - (1 << j)])
+            out[some] = self.order[low % self.n]
+        return out
+
+
 def _states_of_tips(t: Tree) -> np.ndarray:
     cost = np.full((len(t.id), len(t.hosts)), np.inf)
     for i in t.up:
@@ -208,60 +244,69 @@ def ancestry_class(c12: int, c21: int, nodes1: int, nodes2: int, tips1: int, tip
 
 
 def classified(rows: list[tuple[str, str | None, str, str | None, float, object]], t: Tree, name: list[str], **options) -> list[tuple]:
-    """Every pair of hosts of a collapsed tree: host_1, host_2, adjacent, contiguous, paths12, paths21, nodes1, nodes2, ancestry, min_dist."""
-    up = {r[0]: r[1] for r in rows}
-    host = {r[0]: r[2] for r in rows}
-    root = {r[0]: t.id.index(r[5]) for r in rows}
-    chain: dict[str, list[str]] = {}
-    for s in up:
-        own = [s]
-        while up[own[-1]] is not None:
-            own.append(up[own[-1]])
-        chain[s] = own
-    of: dict[str, list[str]] = {}
-    for s, h in host.items():
-        if h != UNASSIGNED:
-            of.setdefault(h, []).append(s)
+    """Every pair of hosts of a collapsed tree: host_1, host_2, adjacent, contiguous, paths12, paths21, nodes1, nodes2, ancestry, min_dist.
+
+    What lies between two subgraphs is counted by host: hosts on the way from the root to each, less twice those to
+    where the ways part. The arrays have a row for each subgraph, and a number for each two of them.
+    """
+    number = {r[0]: k for k, r in enumerate(rows)}  # parents before children
+    regions = Tree([r[0] for r in rows], [r[1] for r in rows], [0.0] * len(rows), [None] * len(rows))
+    kinds = [*sorted({r[2] for r in rows} - {UNASSIGNED}), UNASSIGNED]
+    of = np.array([kinds.index(r[2]) for r in rows])
+    at = {n: i for i, n in enumerate(t.id)}
+    root = np.array([at[r[5]] for r in rows])
+    up = np.array([-1 if r[1] is None else number[r[1]] for r in rows])
+    n, n_hosts, depth = len(rows), len(kinds) - 1, np.array(t.depth)
+    # How often each host occurs from the root down to a subgraph, itself included.
+    on = np.zeros((n, len(kinds)), np.int64)
+    for k in range(n):
+        if up[k] >= 0:
+            on[k] = on[up[k]]
+        on[k, of[k]] += 1
+    # For a subgraph and one above it: the child of the upper one through which the way leads.
+    through = np.full((n, n), -1, np.int64)
+    for k in range(n):
+        if up[k] >= 0:
+            through[k] = through[up[k]]
+            through[k, up[k]] = k
+    index, nodes = Ancestry(regions), Ancestry(t)
+    adjacent, apart = np.zeros((n_hosts, n_hosts), bool), np.zeros((n_hosts, n_hosts), bool)
+    least = np.full((n_hosts, n_hosts), np.inf)
+    hosts = np.flatnonzero(of < n_hosts)
+    for a in hosts.tolist():
+        b = hosts[of[hosts] > of[a]]
+        if not len(b):
+            continue
+        mine, met = np.full(len(b), a), index.common(np.full(len(b), a), b)
+
+        def between(h: np.ndarray | int, own: int) -> np.ndarray:
+            return on[mine, h] + on[b, h] - 2 * on[met, h] + (of[met] == h) - own
+
+        inner = index.level[a] + index.level[b] - 2 * index.level[met] - 1
+        free, own, other = between(n_hosts, 0), between(int(of[a]), 1), between(of[b], 1)
+        np.logical_or.at(adjacent[of[a]], of[b], (inner == 0) | (inner == 1) & (free == 1))
+        np.logical_or.at(apart[of[a]], of[b], own + other + free < inner)
+        open_ = (own == 0) & (other == 0)
+        # Nested: from the lower one's root to the upper one; else between the roots.
+        low, high = np.where(met == a, b, mine), np.where(met == a, mine, b)
+        child = np.where((met == a) | (met == b), through[low, high], 0)
+        nested = depth[root[low]] - np.array([depth[t.parent[root[c]]] for c in child.tolist()])
+        beside = depth[root[a]] + depth[root[b]] - 2 * depth[nodes.common(root[mine], root[b])]
+        gap = np.where((met == a) | (met == b), nested, beside)
+        np.minimum.at(least[of[a]], of[b][open_], gap[open_])
+    # Subgraphs of a host (column) that have an ancestor of another (row).
+    below = np.array([(on[of == h] > 0).sum(axis=0) for h in range(n_hosts)]).reshape(n_hosts, -1).T
+    size = np.bincount(of, minlength=len(kinds))
     tips: dict[str, int] = {}
-    for i, h in enumerate(t.host):
+    for h in t.host:
         if h is not None:
             tips[h] = tips.get(h, 0) + 1
-    depth_of = lambda i, j: t.depth[i] + t.depth[j] - 2 * t.depth[t.mrca([i, j])]
-
-    def path(a: str, b: str) -> list[str]:
-        seen = {s: k for k, s in enumerate(chain[a])}
-        for k, s in enumerate(chain[b]):
-            if s in seen:
-                return chain[a][: seen[s] + 1] + chain[b][:k][::-1]
-        return []
-
-    def gap(a: str, b: str) -> float:
-        """Nested: from the lower root up to the other subgraph; else between the roots."""
-        for low, high in ((a, b), (b, a)):
-            if high in chain[low]:
-                i = root[low]
-                total = 0.0
-                while name[i] != high:
-                    total += t.length[i]
-                    i = t.parent[i]
-                return total
-        return depth_of(root[a], root[b])
-
-    out, hosts = [], sorted(of)
-    for x, h1 in enumerate(hosts):
-        for h2 in hosts[x + 1 :]:
-            adjacent, contiguous, best = False, True, float("inf")
-            for a in of[h1]:
-                for b in of[h2]:
-                    inner = [host[s] for s in path(a, b)[1:-1]]
-                    adjacent |= not inner or inner == [UNASSIGNED]
-                    contiguous &= all(h in (h1, h2, UNASSIGNED) for h in inner)
-                    if not any(h in (h1, h2) for h in inner):
-                        best = min(best, gap(a, b))
-            c12 = sum(any(host[s] == h1 for s in chain[b][1:]) for b in of[h2])
-            c21 = sum(any(host[s] == h2 for s in chain[a][1:]) for a in of[h1])
-            kind = ancestry_class(c12, c21, len(of[h1]), len(of[h2]), tips.get(h1, 1), tips.get(h2, 1), **options)
-            out.append((h1, h2, adjacent, contiguous, c12, c21, len(of[h1]), len(of[h2]), kind, best))
+    out = []
+    for x, h1 in enumerate(kinds[:-1]):
+        for y in range(x + 1, n_hosts):
+            h2, c12, c21, n1, n2 = kinds[y], int(below[x, y]), int(below[y, x]), int(size[x]), int(size[y])
+            kind = ancestry_class(c12, c21, n1, n2, tips.get(h1, 1), tips.get(h2, 1), **options)
+            out.append((h1, h2, bool(adjacent[x, y]), not apart[x, y], c12, c21, n1, n2, kind, float(least[x, y])))
     return out
 
 

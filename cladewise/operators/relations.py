@@ -31,6 +31,38 @@ def with_distance(pairs: DataFrame, dist: str = "min_dist", const: str = "norm_c
     return pairs.withColumn("dist", F.col(dist) / F.col(const))
 
 
+def merged(windows: Sequence[DataFrame], constants: DataFrame | None = None, key: str = "tree_id") -> DataFrame:
+    """Classifications of several windows as one table of pairs with host_1 < host_2 and dist.
+
+    Their columns may differ: ancestry may be called path_classification, and a window may have a normalised distance
+    (norm_min_dist) or none; without it dist is min_dist over the tree's norm_const (key, norm_const; 1 without one).
+    A pair of one host, a missing distance or path count, and a pair that comes twice in a tree are errors of the
+    input and stop the run.
+    """
+    rows = None
+    for one in windows:
+        one = one.withColumnRenamed("path_classification", "ancestry") if "path_classification" in one.columns else one
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    if constants is not None:
+        rows = rows.join(constants.select(key, F.col("norm_const").alias("_const")), key, "left")
+    raw = F.col("min_dist") / (F.coalesce(F.col("_const"), F.lit(1.0)) if constants is not None else F.lit(1.0))
+    rows = rows.withColumn("dist", F.coalesce(F.col("norm_min_dist"), raw) if "norm_min_dist" in rows.columns else raw)
+    whole = F.col("dist").isNotNull() & F.col("paths12").isNotNull() & F.col("paths21").isNotNull() & (F.col("host_1") != F.col("host_2"))
+    rows = oriented(rows.drop("norm_min_dist", "_const"))
+    # One order by pair, which the chunks of windows use again.
+    twice = F.lag(key).over(Window.partitionBy("host_1", "host_2").orderBy(key)).eqNullSafe(F.col(key))
+    told = F.concat(F.lit("tree "), F.col(key).cast("string"), F.lit(": the pair "), F.col("host_1"), F.lit(" and "), F.col("host_2"))
+    right = F.when(~F.coalesce(whole, F.lit(False)), F.raise_error(F.concat(told, F.lit(" lacks a distance or paths, or is one host")))).when(twice, F.raise_error(F.concat(told, F.lit(" comes twice")))).otherwise(F.lit(True))
+    return rows.withColumn("_right", right).where("_right").drop("_right")
+
+
+def counts_of_windows(windows: Sequence[DataFrame], spans: DataFrame, constants: DataFrame | None = None, hosts: DataFrame | None = None, min_reads: int = 1, min_tips: int = 1, close: float = 0.025, distant: float = 0.05, w_slide: int | None = None, key: str = "tree_id") -> DataFrame:
+    """From the classifications of trees to counts: merged, with each tree's w_start and w_end (spans), of hosts with enough reads and tips (hosts: key, host, reads, tips), categorised and counted."""
+    rows = merged(windows, constants, key).join(spans.select(key, "w_start", "w_end"), key)
+    rows = rows if hosts is None else with_enough(rows, hosts, min_reads, min_tips)
+    return counts(categorised(rows, close, distant), w_slide=w_slide)
+
+
 def categorised(pairs: DataFrame, close: float = 0.025, distant: float = 0.05) -> DataFrame:
     """cat_dist, basic and CATEGORIES. Close is below `close`; distant is `distant` or above."""
     a, c, anc = F.col("adjacent"), F.col("contiguous"), F.col("ancestry")
@@ -81,10 +113,9 @@ def chunked(pairs: DataFrame, w_slide: int | None = None) -> DataFrame:
     """chunk (runs of windows without a gap), n_windows and effective_n (non-overlapping windows' worth)."""
     step = F.lit(w_slide) if w_slide is not None else F.col("slide")
     rows = pairs if w_slide is not None else pairs.crossJoin(F.broadcast(slide(pairs)))  # one row
-    pair, by_start = Window.partitionBy("host_1", "host_2"), Window.partitionBy("host_1", "host_2").orderBy("w_start")
+    by_start = Window.partitionBy("host_1", "host_2").orderBy("w_start")
     new = F.when(F.lag("w_start").over(by_start) == F.col("w_start") - step, 0).otherwise(1)
     rows = rows.withColumn("_new", new).withColumn("chunk", F.sum("_new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    del pair
     chunk = Window.partitionBy("host_1", "host_2", "chunk")
     width = F.col("w_end") + 1 - F.col("w_start")
     return rows.withColumns({"n_windows": F.count("*").over(chunk), "effective_n": (F.max("w_end").over(chunk) + 1 - F.min("w_start").over(chunk)) / width}).drop("_new", "slide")

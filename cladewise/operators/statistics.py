@@ -76,7 +76,7 @@ def subtree_statistics(up: DataFrame, nodes: DataFrame, tips: DataFrame, key: st
 
     def of(rows: DataFrame, rtt: str, *distances) -> DataFrame:
         far = T.root_to_tip(up, rows.withColumn("is_tip", F.lit(True)), key).select(key, "host", F.col("rtt").alias(rtt))
-        return far.join(T.tip_distances(up, rows, key).groupBy(key, "host").agg(*distances), [key, "host"], "left")
+        return far.join(T.tip_distances(nodes, rows, key).groupBy(key, "host").agg(*distances), [key, "host"], "left")
 
     out = of(tips, "overall_rtt", F.max("dist").alias("max_dist"), F.avg("dist").alias("mean_dist"))
     out = out.join(of(largest, "largest_rtt", F.avg("dist").alias("largest_mean_dist")), [key, "host"]).join(longest_branch(up, nodes, tips, key), [key, "host"], "left")

@@ -5,9 +5,15 @@ nodes: tree_id, node, parent (null at the root), edge_length, is_tip, host (null
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..sources.folders import shared_folder
 from . import kernels as K
@@ -56,12 +62,44 @@ def mrca(up: DataFrame, members: DataFrame, group: str, key: str = "tree_id") ->
     return shared.groupBy(key, group).agg(F.min_by("ancestor", F.struct("far", "ancestor")).alias("mrca"), F.first("n").alias("n"))
 
 
-def tip_distances(up: DataFrame, tips: DataFrame, key: str = "tree_id", within: str = "host") -> DataFrame:
-    """Branch length between each two tips of one host in a tree: via the nearest common ancestor."""
-    own = tips.select(key, within, "node").join(up, [key, "node"]).select(key, within, "node", "ancestor", "dist")
-    other = own.select(key, within, F.col("node").alias("other"), "ancestor", F.col("dist").alias("far"))
-    both = own.join(other, [key, within, "ancestor"]).where("node < other")
-    return both.groupBy(key, within, "node", "other").agg(F.min(F.col("dist") + F.col("far")).alias("dist"))
+#: Pairs of tips that leave a task together.
+PAIRS = 200_000
+
+
+def tip_distances(nodes: DataFrame, tips: DataFrame | None = None, key: str = "tree_id", within: str = "host") -> DataFrame:
+    """Branch length between each two tips of one host in a tree: key, within, node, other, dist. tips (key, within, node) are the tree's own where none are given.
+
+    A task holds one tree with tables of n log n numbers for its common ancestors; its rows are the pairs asked for,
+    and leave in batches, whatever the tree's depth.
+    """
+    tips = nodes.where("is_tip") if tips is None else tips
+    rows = nodes.select(key, "node", "parent", "edge_length").join(tips.select(key, "node", within), [key, "node"], "left")
+    kinds = [rows.schema[c] for c in (key, within)]
+
+    def run(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(list(batches)).sort_by("node")
+        node = part.column("node").to_pylist()
+        t = K.Tree(node, part.column("parent").to_pylist(), part.column("edge_length").to_pylist(), [None] * len(node))
+        index, depth, ids = K.Ancestry(t), np.array(t.depth), np.array(node)
+        of: dict[str, list[int]] = {}
+        for i, h in enumerate(part.column(within).to_pylist()):
+            if h is not None:
+                of.setdefault(h, []).append(i)
+        types = [to_arrow_type(k.dataType) for k in kinds]
+        for h, own in of.items():
+            own_, at = np.array(own), 0
+            while at < len(own) - 1:
+                # As many tips, each with all after it, as make up a batch.
+                stop = min(len(own) - 1, at + max(1, PAIRS // (len(own) - at)))
+                a = np.repeat(np.arange(at, stop), len(own) - 1 - np.arange(at, stop))
+                b = np.concatenate([np.arange(i + 1, len(own)) for i in range(at, stop)])
+                x, y = own_[a], own_[b]
+                dist = depth[x] + depth[y] - 2 * depth[index.common(x, y)]
+                yield pa.RecordBatch.from_arrays([pa.array([group[0].as_py()] * len(a), types[0]), pa.array([h] * len(a), types[1]), pa.array(ids[x]), pa.array(ids[y]), pa.array(dist)], names=[key, within, "node", "other", "dist"])
+                at = stop
+
+    schema = StructType(kinds).add("node", "long").add("other", "long").add("dist", "double")
+    return rows.groupBy(key).applyInArrow(run, schema)
 
 
 def median_tip_distance(distances: DataFrame, key: str = "tree_id") -> DataFrame:
@@ -166,18 +204,35 @@ def collapsed(nodes: DataFrame, method: str = "s", k: float = 0.0, p: float = 0.
     return nodes.select(key, *_COLUMNS).groupBy(key).applyInPandas(run, f"{key} {kind}, split string, parent_split string, host string, parent_host string, length double, root_node long")
 
 
+_CLASSIFIED = "host_1 string, host_2 string, adjacent boolean, contiguous boolean, paths12 long, paths21 long, nodes1 long, nodes2 long, ancestry string, min_dist double"
+
+
+def _classified(t: K.Tree, state: list[str], key: str, value: object, options: dict) -> pd.DataFrame:
+    name, first = K.splits(t, state)
+    out = K.classified(K.collapsed(t, name, first, state), t, name, **options)
+    return pd.DataFrame([(value, *r) for r in out], columns=[key, *(c.split()[0] for c in _CLASSIFIED.split(", "))])
+
+
 def classified(nodes: DataFrame, method: str = "s", k: float = 0.0, p: float = 0.0, key: str = "tree_id", **options) -> DataFrame:
     """Pairs of hosts of each tree with their classification; options as in kernels.ancestry_class."""
 
     def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         t = _tree(rows.assign(reads=1))
-        state, _ = _states(t, method, k, p)
-        name, first = K.splits(t, state)
-        out = K.classified(K.collapsed(t, name, first, state), t, name, **options)
-        return pd.DataFrame([(group[0], *r) for r in out], columns=[key, "host_1", "host_2", "adjacent", "contiguous", "paths12", "paths21", "nodes1", "nodes2", "ancestry", "min_dist"])
+        return _classified(t, _states(t, method, k, p)[0], key, group[0], options)
+
+    kind = nodes.schema[key].dataType.simpleString()
+    return nodes.select(key, *_COLUMNS).groupBy(key).applyInPandas(run, f"{key} {kind}, {_CLASSIFIED}")
+
+
+def classified_states(nodes: DataFrame, key: str = "tree_id", **options) -> DataFrame:
+    """The same of trees whose nodes have a state already (column state: a host or "unassigned")."""
+
+    def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        return _classified(_tree(rows.assign(reads=1)), rows["state"].tolist(), key, group[0], options)
 
     kind = nodes.schema[key].dataType.simpleString()
-    return nodes.select(key, *_COLUMNS).groupBy(key).applyInPandas(run, f"{key} {kind}, host_1 string, host_2 string, adjacent boolean, contiguous boolean, paths12 long, paths21 long, nodes1 long, nodes2 long, ancestry string, min_dist double")
+    return nodes.select(key, *_COLUMNS, "state").groupBy(key).applyInPandas(run, f"{key} {kind}, {_CLASSIFIED}")
 
 
 # -- collapsed trees in SQL: key, split, parent_split, host -------------------------------------------------

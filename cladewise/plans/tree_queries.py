@@ -40,10 +40,10 @@ add("tree_depths", f"WITH {UP} SELECT tree_id, node, round(max(dist), 9) AS dept
 _MRCA = f"WITH {UP}, sz AS (SELECT tree_id, host, count(*) AS n FROM nd WHERE is_tip GROUP BY tree_id, host), co AS (SELECT nd.tree_id, nd.host, up.ancestor, count(*) AS have, sum(hops) AS far FROM nd JOIN up USING (tree_id, node) WHERE nd.is_tip GROUP BY nd.tree_id, nd.host, up.ancestor), mr AS (SELECT tree_id, host, ancestor AS mrca, n FROM (SELECT co.*, sz.n, row_number() OVER (PARTITION BY co.tree_id, co.host ORDER BY far, ancestor) AS k FROM co JOIN sz ON co.tree_id = sz.tree_id AND co.host = sz.host AND co.have = sz.n) q WHERE k = 1)"
 add("host_mrcas", f"{_MRCA} SELECT * FROM mr", lambda s, d: T.mrca(up(s, d), nodes(s, d).where("is_tip").select("tree_id", "host", "node"), "host"))
 _DIST = f"WITH {UP}, td AS (SELECT a.tree_id, a.host, a.node, b.node AS other, min(ua.dist + ub.dist) AS dist FROM nd a JOIN nd b ON a.tree_id = b.tree_id AND a.host = b.host AND a.node < b.node JOIN up ua ON ua.tree_id = a.tree_id AND ua.node = a.node JOIN up ub ON ub.tree_id = b.tree_id AND ub.node = b.node AND ub.ancestor = ua.ancestor WHERE a.is_tip AND b.is_tip GROUP BY a.tree_id, a.host, a.node, b.node)"
-add("tip_distances", f"{_DIST} SELECT tree_id, host, node, other, round(dist, 9) AS dist FROM td", lambda s, d: rounded(T.tip_distances(up(s, d), nodes(s, d).where("is_tip")), "dist"))
-add("median_tip_distances", f"{_DIST} SELECT tree_id, round(median(dist), 9) AS median_dist FROM td GROUP BY tree_id", lambda s, d: rounded(T.median_tip_distance(T.tip_distances(up(s, d), nodes(s, d).where("is_tip"))), "median_dist"))
+add("tip_distances", f"{_DIST} SELECT tree_id, host, node, other, round(dist, 9) AS dist FROM td", lambda s, d: rounded(T.tip_distances(nodes(s, d)), "dist"))
+add("median_tip_distances", f"{_DIST} SELECT tree_id, round(median(dist), 9) AS median_dist FROM td GROUP BY tree_id", lambda s, d: rounded(T.median_tip_distance(T.tip_distances(nodes(s, d))), "median_dist"))
 add("host_distance_statistics", f"{_DIST} SELECT tree_id, host, round(max(dist), 9) AS max_dist, round(avg(dist), 9) AS mean_dist, count(*) AS pairs FROM td GROUP BY tree_id, host",
-    lambda s, d: rounded(T.tip_distances(up(s, d), nodes(s, d).where("is_tip")).groupBy("tree_id", "host").agg(F.max("dist").alias("max_dist"), F.avg("dist").alias("mean_dist"), F.count("*").alias("pairs")), "max_dist", "mean_dist"))
+    lambda s, d: rounded(T.tip_distances(nodes(s, d)).groupBy("tree_id", "host").agg(F.max("dist").alias("max_dist"), F.avg("dist").alias("mean_dist"), F.count("*").alias("pairs")), "max_dist", "mean_dist"))
 add("host_clades", f"WITH {UP}, un AS (SELECT up.tree_id, up.ancestor AS node, min(nd.host) AS lo, max(nd.host) AS hi, count(*) AS tips FROM nd JOIN up USING (tree_id, node) WHERE nd.is_tip GROUP BY up.tree_id, up.ancestor), mo AS (SELECT * FROM un WHERE lo = hi) SELECT mo.tree_id, mo.node, mo.lo AS host, mo.tips FROM mo JOIN nd ON nd.tree_id = mo.tree_id AND nd.node = mo.node WHERE NOT EXISTS (SELECT 1 FROM mo p WHERE p.tree_id = nd.tree_id AND p.node = nd.parent)",
     lambda s, d: T.host_clades(up(s, d), nodes(s, d)))
 add("root_to_tip", f"{_MRCA} SELECT mr.tree_id, mr.host, round(sum(up.dist * nd.reads) / sum(nd.reads), 9) AS rtt, count(*) AS tips, CAST(sum(nd.reads) AS BIGINT) AS reads FROM mr JOIN nd ON nd.tree_id = mr.tree_id AND nd.host = mr.host AND nd.is_tip JOIN up ON up.tree_id = nd.tree_id AND up.node = nd.node AND up.ancestor = mr.mrca GROUP BY mr.tree_id, mr.host",
@@ -96,16 +96,17 @@ add("tips_and_reads", f"WITH {TIPS} SELECT t.tree_id, h.host, count(tp.tip) AS t
     lambda s, d: (lambda t: t.select("tree_id").distinct().crossJoin(F.broadcast(t.select("host").distinct())).join(t.groupBy("tree_id", "host").agg(F.count("*").alias("tips"), F.sum("reads").alias("reads")), ["tree_id", "host"], "left").na.fill(0, ["tips", "reads"]))(host_tips(s, d)))
 add("hosts_of_trees", f"WITH {TIPS} SELECT DISTINCT host FROM tp WHERE host IS NOT NULL", lambda s, d: host_tips(s, d).where("host is not null").select("host").distinct())
 
-_SETS = "SELECT tree_id, node % 6 AS set_id, node AS tip FROM {v_nodes} WHERE is_tip AND node % 6 > 2"
+# Counts repeat within a set, so ties decide too.
+_SETS = "SELECT tree_id, node % 6 AS set_id, node AS tip FROM {v_nodes} WHERE is_tip"
 
 
 def sets(s, d):
-    return nodes(s, d).where("is_tip and node % 6 > 2").select("tree_id", (F.col("node") % 6).alias("set_id"), F.col("node").alias("tip"))
+    return nodes(s, d).where("is_tip").select("tree_id", (F.col("node") % 6).alias("set_id"), F.col("node").alias("tip"))
 
 
 add("blacklist_user", f"WITH {TIPS} SELECT tree_id, tip, 'bl_user_specified' AS status FROM tp WHERE tip % 10 = 3", lambda s, d: B.user_specified(host_tips(s, d), host_tips(s, d).where("tip % 10 = 3").select("tree_id", "tip")))
-add("blacklist_duplicates", f"WITH {TIPS}, ds AS ({_SETS}), m AS (SELECT ds.set_id, tp.* FROM ds JOIN tp USING (tree_id, tip)) SELECT DISTINCT b.tree_id, b.tip, 'bl_duplicate' AS status FROM m a JOIN m b ON a.tree_id = b.tree_id AND a.set_id = b.set_id AND a.host <> b.host AND (a.reads > b.reads OR a.reads = b.reads AND a.tip > b.tip) WHERE b.reads / a.reads < 0.4 OR b.reads < 2",
-    lambda s, d: B.duplicates(host_tips(s, d), sets(s, d), 2, 0.4))
+add("blacklist_duplicates", f"WITH {TIPS}, ds AS ({_SETS}), m AS (SELECT ds.set_id, tp.* FROM ds JOIN tp USING (tree_id, tip)) SELECT DISTINCT b.tree_id, b.tip, 'bl_duplicate' AS status FROM m a JOIN m b ON a.tree_id = b.tree_id AND a.set_id = b.set_id AND a.host <> b.host AND (a.reads > b.reads OR a.reads = b.reads AND a.tip < b.tip) WHERE b.reads / a.reads < 0.4 OR b.reads < 4",
+    lambda s, d: B.duplicates(host_tips(s, d), sets(s, d), 4, 0.4))
 _DUAL = f"WITH {_SUB}, b AS (SELECT host, tree_id, count(DISTINCT subgraph) AS n FROM sg GROUP BY host, tree_id), f AS (SELECT host, count(*) AS trees, count(*) FILTER (n > 1) AS duals, count(*) FILTER (n > 1) / count(*) AS fraction FROM b GROUP BY host)"
 add("dual_fractions", f"{_DUAL} SELECT host, trees, duals, round(fraction, 9) AS fraction FROM f", lambda s, d: rounded(B.dual_fraction(subgraphs(s, d)), "fraction"))
 add("blacklist_duals", f"{_DUAL}, z AS (SELECT tree_id, host, subgraph, row_number() OVER (PARTITION BY tree_id, host ORDER BY sum(reads) DESC, subgraph DESC) AS k FROM sg GROUP BY tree_id, host, subgraph) SELECT sg.tree_id, sg.tip, 'bl_dual_infection_minor_subgraph' AS status FROM sg JOIN b USING (host, tree_id) JOIN f USING (host) JOIN z ON z.tree_id = sg.tree_id AND z.host = sg.host AND z.subgraph = sg.subgraph WHERE b.n > 1 AND (fraction > 0.8 OR z.k > 1)",

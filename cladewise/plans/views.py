@@ -44,6 +44,9 @@ VIEWS = {
         SELECT CAST(floor(c_custkey / 32) AS BIGINT) AS tree_id, 32 + c_custkey % 32 AS node, 'H' || CAST(c_nationkey % 5 AS @text) AS host, 1 + c_custkey % 4 AS reads FROM {customer}
         UNION ALL
         SELECT tree_id, CAST(i AS BIGINT), CAST(NULL AS @text), CAST(NULL AS BIGINT) FROM (SELECT DISTINCT CAST(floor(c_custkey / 32) AS BIGINT) AS tree_id FROM {customer}) t CROSS JOIN @range(1, 31) r) n""",
+    # The same with a state for each node, as a reconstruction would give one; regions of several nodes occur.
+    "v_states": """SELECT *, CASE WHEN is_tip THEN coalesce(host, 'unassigned') WHEN node = 1 OR (node * 7 + tree_id) % 4 = 0 THEN 'unassigned'
+        WHEN node > 15 THEN 'H' || CAST((CAST(floor(node / 4) AS BIGINT) + tree_id) % 5 AS @text) ELSE 'H' || CAST((CAST(floor(node / 2) AS BIGINT) + tree_id * 2) % 5 AS @text) END AS state FROM {v_nodes}""",
     # A collapsed tree: the splits of a tree, with the parent of each.
     "v_collapsed": """SELECT tree_id, split, CASE WHEN split > 1 THEN CAST(floor(split / 2) AS BIGINT) END AS parent_split, host, 1e-3 * (1 + split % 9) AS length FROM (
         SELECT CAST(floor(s_suppkey / 8) AS BIGINT) AS tree_id, s_suppkey % 8 + 1 AS split, CASE WHEN s_suppkey % 5 = 0 THEN 'unassigned' ELSE 'H' || CAST(s_nationkey % 4 AS @text) END AS host FROM {supplier}) x""",

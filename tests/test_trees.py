@@ -60,6 +60,68 @@ def test_splits_and_collapse():
     assert pair[:4] == ("A", "B", True, True) and pair[8] == "noAncestry"
 
 
+def loops(rows, t, name):
+    """Pairs of hosts by plain loops over pairs of subgraphs."""
+    up, host, root = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}, {r[0]: t.id.index(r[5]) for r in rows}
+
+    def chain(s):
+        return [s, *(chain(up[s]) if up[s] is not None else [])]
+
+    def path(a, b):
+        x, y = chain(a), chain(b)
+        met = next(s for s in x if s in y)
+        return x[: x.index(met) + 1] + y[: y.index(met)][::-1]
+
+    def gap(a, b):
+        for low, high in ((a, b), (b, a)):
+            if high in chain(low):
+                i, total = root[low], 0.0
+                while name[i] != high:
+                    total, i = total + t.length[i], t.parent[i]
+                return total
+        return t.depth[root[a]] + t.depth[root[b]] - 2 * t.depth[t.mrca([root[a], root[b]])]
+
+    hosts, out = sorted(set(host.values()) - {K.UNASSIGNED}), []
+    for h1, h2 in itertools.combinations(hosts, 2):
+        one, two = ([s for s in host if host[s] == h] for h in (h1, h2))
+        inner = {(a, b): [host[s] for s in path(a, b)[1:-1]] for a in one for b in two}
+        adjacent = any(x in ([], [K.UNASSIGNED]) for x in inner.values())
+        contiguous = all(set(x) <= {h1, h2, K.UNASSIGNED} for x in inner.values())
+        best = min((gap(a, b) for (a, b), x in inner.items() if not {h1, h2} & set(x)), default=np.inf)
+        c12 = sum(h1 in [host[s] for s in chain(b)[1:]] for b in two)
+        c21 = sum(h2 in [host[s] for s in chain(a)[1:]] for a in one)
+        tips = [sum(h == x for x in t.host) or 1 for h in (h1, h2)]
+        out.append((h1, h2, adjacent, contiguous, c12, c21, len(one), len(two), K.ancestry_class(c12, c21, len(one), len(two), *tips), best))
+    return out
+
+
+def test_pairs_against_plain_loops():
+    several = 0
+    for seed in range(150):
+        t = tree(seed, "ABCDE", 24)
+        rng = random.Random(seed)
+        state = [t.host[i] or K.UNASSIGNED if t.tip[i] else rng.choice([*"ABCDE", K.UNASSIGNED]) for i in range(len(t.id))]
+        for i in t.down:  # regions of several nodes
+            if t.parent[i] >= 0 and not t.tip[i] and rng.random() < 0.6:
+                state[i] = state[t.parent[i]]
+        name, first = K.splits(t, state)
+        rows = K.collapsed(t, name, first, state)
+        got, want = K.classified(rows, t, name), loops(rows, t, name)
+        assert [r[:9] for r in got] == [r[:9] for r in want]
+        assert np.allclose([r[9] for r in got], [r[9] for r in want])
+        several += sum(r[6] > 1 and r[7] > 1 for r in want)
+    assert several > 100
+
+
+def test_common_ancestors():
+    for seed in range(30):
+        t = tree(seed, n=30)
+        a, b = (np.array(x) for x in zip(*itertools.product(range(len(t.id)), repeat=2)))
+        assert K.Ancestry(t).common(a, b).tolist() == [t.mrca([x, y]) for x, y in zip(a.tolist(), b.tolist())]
+    one = K.Tree([5], [None], [0.0], ["A"])
+    assert K.Ancestry(one).common(np.array([0]), np.array([0])).tolist() == [0]
+
+
 def test_ancestry_table():
     f = K.ancestry_class
     assert f(0, 0, 1, 1, 1, 1) == "noAncestry" and f(1, 0, 1, 1, 1, 1) == "anc" and f(0, 1, 1, 1, 1, 1) == "desc"
@@ -149,7 +211,7 @@ def test_closures_of_deep_trees_are_whole(spark):
     assert up.count() == n * (n + 1) // 2 + 2
     assert T.depths(up).agg(F.max("level")).first()[0] == n - 1
     assert [tuple(r) for r in T.mrca(up, nodes.where("is_tip").select("tree_id", "host", "node"), "host").collect()] == [(0, "A", 0, 2)]
-    assert np.isclose(T.tip_distances(up, nodes.where("is_tip")).first().dist, 0.001 * (n - 2) + 2)
+    assert np.isclose(T.tip_distances(nodes).first().dist, 0.001 * (n - 2) + 2)
     assert sorted((r.node, r.parent) for r in T.short_branches_collapsed(nodes, 0.01).where("parent is not null").collect()) == [(n - 1, 0), (n, 0)]
     splits = spark.createDataFrame([(0, i, i - 1 if i else None, "A" if i == 0 else "B" if i == 39 else "unassigned") for i in range(40)], "tree_id long, split long, parent_split long, host string")
     assert [(r.host_1, r.host_2, r.paths, r.nodes) for r in T.split_paths(splits).collect()] == [("A", "B", 1, 1)]
