@@ -3,9 +3,9 @@
 Each distinct shingle set is one class, so copies cost one row. Bands of the full minima give candidate
 buckets; packed low bits of the minima give a collision-corrected estimate by bit counts; what passes it is
 confirmed on full sets. Buckets are never expanded into pairs: every member meets the bucket's first member and
-confirmed links are contracted; where much is left, members meet other first members in further rounds. Buckets
-that still hold several components are then compared in blocks of bounded size inside tasks, which hold the
-blocks' full sets: a pair is counted only if it is across components, if its estimate is high enough and if what
+confirmed links are contracted; where much is left, members meet other first members in further rounds. Of the buckets
+that still hold several components, large ones are split into narrower ones by further minima. What is left is
+compared in blocks of bounded size inside tasks, which hold the blocks' full sets: a pair is counted only if it is across components, if its estimate is high enough and if what
 the two share with anyone in the blocks can suffice; a task gives out only the links that join components.
 
 Defined results: null or wordless text has an empty set and is linked with nothing; fewer words than the
@@ -293,6 +293,29 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solved()
 
 
+#: Low bits of so many minima make a narrower bucket; a word of a signature has so many of these.
+NARROW, NARROW_OF_WORD = 5, 3
+
+
+def narrowed(filled: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
+    """filled (slot, key), with each bucket of more than BLOCK members and several components split into narrower ones.
+
+    A narrower bucket asks for the same low bits of NARROW further minima: of 96 such, a pair at the threshold shares
+    none with probability 2 in 10**13. So a member of a hot bucket makes 96 rows at most, however large the bucket
+    is, and of these only those stay that meet another component.
+    """
+    labelled = filled.select("slot", "key").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    mixed = labelled.groupBy("slot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    rows = labelled.join(mixed.select("slot", "size"), "slot")
+    large = rows.where(F.col("size") > BLOCK).join(classes.select("key", "sign"), "key")
+    width = NARROW * BITS
+    parts = F.flatten(F.transform("sign", lambda v, i: F.array(*[F.xxhash64("slot", i, F.lit(k), F.shiftrightunsigned(v, k * width).bitwiseAND(F.lit((1 << width) - 1))) for k in range(NARROW_OF_WORD)])))
+    large = large.select("key", "label", F.explode(parts).alias("slot"))
+    met = large.groupBy("slot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    large = large.join(met.select("slot"), "slot", "left_semi")
+    return rows.where(F.col("size") <= BLOCK).select("slot", "key").unionByName(large.select("slot", "key"))
+
+
 def _compared_in_tasks(filled: DataFrame, label: DataFrame, classes: DataFrame, full: DataFrame) -> DataFrame:
     """Links that join the components that are left in any bucket."""
     member = filled.select("slot", "key").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -342,6 +365,7 @@ def _linked(filled: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scr
             links = links.unionByName(found)
             label = cut_small(components(links))
     if work:
+        filled = cut_small(narrowed(filled, label, classes))
         found = cut_small(_compared_in_tasks(filled, label, classes, full))
         if found.limit(1).count():
             links = links.unionByName(found)

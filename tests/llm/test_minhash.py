@@ -106,3 +106,19 @@ def test_null_ids_meet_their_own_texts_only(spark):
     rows = [(None, " ".join(x[:k])) for x in (one, two) for k in (40, 39, 38, 20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.n_shingles, r.component_id, r.kept, r.n_links > 0) for r in near_duplicates(df).collect()) == sorted((len(t.split()) - 4, None, False, len(t.split()) > 20) for _, t in rows)
+
+
+def test_rows_of_a_hot_bucket_grow_with_its_members_only(spark):
+    import cladewise.llm.minhash as m
+
+    def rows(n):
+        # One bucket of n members; two and two are alike in three quarters of their signatures.
+        words = "transform(sequence(1, 32), i -> xxhash64(id div 2, i, if(i % 4 = 0, id, 0)))"
+        classes = spark.range(n).selectExpr("cast(cast(id as string) as binary) as key", f"{words} as sign")
+        found = m.narrowed(classes.selectExpr("7L as slot", "key"), spark.createDataFrame([], "node binary, label binary"), classes)
+        meet = found.groupBy("slot").agg(m.F.collect_set(m.F.floor(m.F.col("key").cast("string").cast("long") / 2)).alias("pairs"), m.F.count("*").alias("n"))
+        assert meet.where("n > size(pairs)").select(m.F.explode("pairs").alias("pair")).distinct().count() == n // 2
+        return found.count()
+
+    few, many = rows(10_000), rows(50_000)
+    assert many < 8 * few and many < 96 * 50_000
