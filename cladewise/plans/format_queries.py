@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import readers, sinks
+from ..sources import bam, readers, sinks
 from ..sources.folders import new_path
 from .views import oracle, view
 
@@ -13,7 +13,7 @@ _TIP = "'T' || CAST(tree_id AS @text) || '_' || CAST(node AS @text)"
 #: What the samples' files are called, where one is there for each nation.
 _MANIFEST = "SELECT 'bams/' || id || '.bam' AS bam, 'refs/R' || CAST(length(region) AS @text) || '.fasta' AS ref, CASE WHEN length(id) % 2 = 0 THEN 'alias_' || id END AS alias FROM {v_meta}"
 #: Reads as alignments: clipped, matched, deleted and matched again, in all 8 bases.
-_SAM = """SELECT name, first_pos AS pos, seq, q % 3 AS clip, 2 + q % 2 AS one, 1 + q % 4 AS gap, 6 - q % 3 - q % 2 AS two, q FROM {v_reads}"""
+_SAM = """SELECT sample, name, first_pos AS pos, seq, q % 3 AS clip, 2 + q % 2 AS one, 1 + q % 4 AS gap, 6 - q % 3 - q % 2 AS two, q FROM {v_reads}"""
 _WINDOW_NAME = "CAST(w_start AS @text) || '_to_' || CAST(w_end AS @text)"
 
 
@@ -146,27 +146,60 @@ def nexus_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trees(spark, sf_dir, True)
 
 
-def _sam(spark: SparkSession, sf_dir: str) -> str:
-    path = new_path(spark, "sam")
+def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample and the columns of SAM text."""
     cigar = F.concat(F.when(F.col("clip") > 0, F.concat("clip", F.lit("S"))).otherwise(F.lit("")), "one", F.lit("M"), "gap", F.lit("D"), "two", F.lit("M"))
     qual = F.when(F.col("q") % 7 == 0, F.lit("*")).otherwise(F.repeat(F.char(F.col("q") + 40), F.lit(8)))
-    rows = _sql(spark, sf_dir, _SAM)
-    line = F.concat_ws("\t", "name", F.lit("0"), F.lit("r"), "pos", F.lit("60"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), "seq", qual)
-    rows.select(line.alias("value")).write.text(path)
+    return _sql(spark, sf_dir, _SAM).select("sample", "name", F.lit(0).alias("flag"), F.lit("r").alias("ref"), "pos", F.lit(60).alias("mapq"), cigar.alias("cigar"), "seq", qual.alias("qual"))
+
+
+def _sam(spark: SparkSession, sf_dir: str) -> str:
+    path = new_path(spark, "sam")
+    line = F.concat_ws("\t", "name", "flag", "ref", "pos", "mapq", "cigar", F.lit("*"), F.lit("0"), F.lit("0"), "seq", "qual")
+    _alignments(spark, sf_dir).select(line.alias("value")).write.text(path)
     return path
 
 
-def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = readers.sam(spark, _sam(spark, sf_dir))
+#: The reference of all reads, and its length.
+_REFERENCES = [("r", 100_000)]
+
+
+def _bam(spark: SparkSession, sf_dir: str) -> str:
+    path = new_path(spark, "bam")
+    bam.write(_alignments(spark, sf_dir), path, _REFERENCES)
+    return f"{path}/*/*.bam"
+
+
+def _summed(reads: DataFrame) -> DataFrame:
     placed = F.filter("positions", lambda p: p.isNotNull())
     quality = F.aggregate("quals", F.lit(0).cast("long"), lambda s, q: s + q)
     return reads.select("name", "seq", F.array_min(placed).cast("long").alias("first_pos"), F.array_max(placed).cast("long").alias("last_pos"), F.size(placed).cast("long").alias("placed"), F.size("positions").cast("long").alias("bases"), quality.alias("quality"))
 
 
+def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summed(readers.sam(spark, _sam(spark, sf_dir)))
+
+
+def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summed(readers.bam(spark, _bam(spark, sf_dir)))
+
+
 def sam_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.sam(spark, _sam(spark, sf_dir), ("r", 900, 1300)).select("name", F.col("pos").cast("long").alias("pos"))
 
 
+def bam_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.bam(spark, _bam(spark, sf_dir), ("r", 900, 1300)).select("name", F.col("pos").cast("long").alias("pos"))
+
+
+def bam_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of the names on a list, written as BAM files of their own and read again."""
+    path = new_path(spark, "bam-subset")
+    wanted = _sql(spark, sf_dir, "SELECT name FROM {v_reads} WHERE q % 4 = 1")
+    bam.write_named(_alignments(spark, sf_dir), wanted, path, _REFERENCES)
+    return _summed(readers.bam(spark, f"{path}/*/*.bam"))
+
+
 def coordinate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     coords = view(spark, sf_dir, "v_aligned").where("base <> '-'").groupBy("pos", F.concat(F.lit("w"), "window_id").alias("sample")).agg(F.min("seq_id").alias("place"))
     return sinks.coordinate_table(coords, [f"w{i}" for i in range(20)])
@@ -200,7 +233,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fasta_round_trip, manifest_round_trip, manifest_faults, names_round_trip, table_round_trip, duplicate_sets_round_trip, user_blacklist_round_trip, normalisation_round_trip, tree_constants_round_trip,
-        recombination_round_trip, blacklist_report_round_trip, read_names_round_trip, tips_with_wrong_counts, window_exploration_round_trip, chains_round_trip, newick_round_trip, nexus_round_trip, sam_round_trip, sam_region,
+        recombination_round_trip, blacklist_report_round_trip, read_names_round_trip, tips_with_wrong_counts, window_exploration_round_trip, chains_round_trip, newick_round_trip, nexus_round_trip, sam_round_trip, sam_region, bam_round_trip, bam_region, bam_subset,
         coordinate_table, named_reads, files_of_trees, half_matched_files,
     )
 }
@@ -208,6 +241,9 @@ QUERIES = {
 _TREES = f"""SELECT {_TIP} AS label, CASE WHEN parent IS NOT NULL THEN 'T' || CAST(tree_id AS @text) || '_' || CAST(parent AS @text) END AS parent_label,
     round(edge_length, 9) AS edge_length, NOT EXISTS (SELECT 1 FROM {{v_nodes}} c WHERE c.tree_id = n.tree_id AND c.parent = n.node) AS is_tip, host FROM {{v_nodes}} n"""
 
+_SUMMED = f"""SELECT name, seq, pos AS first_pos, pos + one + gap + two - 1 AS last_pos, 8 - clip AS placed, CAST(8 AS BIGINT) AS bases, CASE WHEN q % 7 > 0 THEN 8 * (q + 7) END AS quality FROM ({_SAM}) s"""
+_REGION = f"SELECT name, pos FROM ({_SAM}) s WHERE pos <= 1300 AND pos + one + gap + two - 1 >= 900"
+
 ORACLE = {
     k: oracle(v)
     for k, v in {
@@ -232,9 +268,11 @@ ORACLE = {
         "chains_round_trip": "SELECT sample, pair_id, value FROM {v_draws}",
         "newick_round_trip": _TREES,
         "nexus_round_trip": _TREES,
-        "sam_round_trip": f"""SELECT name, seq, pos AS first_pos, pos + one + gap + two - 1 AS last_pos, 8 - clip AS placed, CAST(8 AS BIGINT) AS bases,
-            CASE WHEN q % 7 > 0 THEN 8 * (q + 7) END AS quality FROM ({_SAM}) s""",
-        "sam_region": f"SELECT name, pos FROM ({_SAM}) s WHERE pos <= 1300 AND pos + one + gap + two - 1 >= 900",
+        "sam_round_trip": _SUMMED,
+        "bam_round_trip": _SUMMED,
+        "bam_subset": f"{_SUMMED} WHERE name IN (SELECT name FROM {{v_reads}} WHERE q % 4 = 1)",
+        "sam_region": _REGION,
+        "bam_region": _REGION,
         "coordinate_table": "SELECT pos, " + ", ".join(f"min(CASE WHEN window_id = {i} THEN seq_id END) AS w{i}" for i in range(20)) + " FROM {v_aligned} WHERE base <> '-' GROUP BY pos",
         "named_reads": """WITH w AS (SELECT DISTINCT CAST(pos AS @text) || '_' || CAST(pos % 6 AS @text) AS name FROM {v_norm}) SELECT w.name, r.sample, r.seq FROM w LEFT JOIN {v_reads} r ON r.name = w.name""",
         "files_of_trees": f"""SELECT 'tree.InWindow_' || {_WINDOW_NAME} || '.tree' AS tree, CASE WHEN window_id % 3 > 0 THEN 'dup_' || {_WINDOW_NAME} || '.csv' END AS other FROM {{v_windows}}""",

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 import re
-import struct
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bam as bam_files
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"))
@@ -96,90 +95,12 @@ def _placed(rows: DataFrame, region: tuple[str, int, int] | None) -> DataFrame:
     return rows.drop("qual", "last").withColumnRenamed("file", "sample")
 
 
-# Fixed values of the BAM format: operations and bases by code.
-_OPERATIONS = "MIDNSHP=X"
-_BASES = "=ACMGRSVTWYHKDBN"
-_SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}  # bytes of a tag's value by its type
-
-_RAW = "file string, name string, flag int, ref string, pos int, mapq int, cigar string, seq string, qual string"
-
-
-def _long_cigar(row: bytes, at: int) -> tuple[int, ...]:
-    """The operations in a record's tag CG; none without it."""
-    while at < len(row):
-        tag, kind = row[at : at + 2], chr(row[at + 2])
-        at += 3
-        if kind in "ZH":
-            at = row.index(0, at) + 1
-        elif kind == "B":
-            n = struct.unpack_from("<i", row, at + 1)[0]
-            if tag == b"CG":
-                return struct.unpack_from(f"<{n}I", row, at + 5)
-            at += 5 + n * _SIZES[chr(row[at])]
-        else:
-            at += _SIZES[kind]
-    return ()
-
-
-def parse_bam(content: bytes) -> Iterator[tuple]:
-    """name, flag, ref, pos (from 1), mapq, cigar, seq, qual of each record, as SAM text has them; records are inflated as they are read.
-
-    A CIGAR of too many operations for its field is taken from its tag. A file that is no BAM or ends within a record is an error.
-    """
-    stream = gzip.GzipFile(fileobj=io.BytesIO(content))
-
-    def take(n: int) -> bytes:
-        got = stream.read(n)
-        if len(got) < n:
-            raise ValueError("the BAM file ends within a record")
-        return got
-
-    if stream.read(4) != b"BAM\1":
-        raise ValueError("not a BAM file")
-    take(struct.unpack("<i", take(4))[0])  # header text
-    refs = []
-    for _ in range(struct.unpack("<i", take(4))[0]):
-        refs.append(take(struct.unpack("<i", take(4))[0])[:-1].decode())
-        take(4)
-    pairs = [a + b for a in _BASES for b in _BASES]
-    shown = bytes(min(q + 33, 126) for q in range(256))
-    while size := stream.read(4):
-        row = take(struct.unpack("<i", size)[0])
-        ref, pos, n_name, mapq, _, n_ops, flag, n_seq = struct.unpack_from("<iiBBHHHi", row)
-        at = 32 + n_name
-        ops = struct.unpack_from(f"<{n_ops}I", row, at)
-        name, at = row[32 : at - 1].decode(), at + 4 * n_ops
-        half = (n_seq + 1) // 2
-        if n_ops == 2 and ops[0] == n_seq << 4 | 4 and ops[1] & 15 == 3:
-            ops = _long_cigar(row, at + half + n_seq) or ops
-        seq = "".join(map(pairs.__getitem__, row[at : at + half]))[:n_seq]
-        qual = row[at + half : at + half + n_seq]
-        cigar = "".join(f"{x >> 4}{_OPERATIONS[x & 15]}" for x in ops)
-        yield name, flag, refs[ref] if ref >= 0 else "*", pos + 1, mapq, cigar or "*", seq or "*", "*" if not qual or qual[0] == 255 else qual.translate(shown).decode()
-
-
 def bam(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None) -> DataFrame:
-    """BAM files, with the columns of sam; no index is needed.
+    """BAM files, with the columns of sam; a file is read by as many tasks as it has splits, and needs no index.
 
-    A file is one task, as a sample is one file, and at most 2 GB, the bound of Spark's binary files. Reads of
-    other references and those right of the region go before they leave the task.
+    Reads right of the region go before they are decoded.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in _RAW.split(", ")]
-        for batch in batches:
-            for where, content in zip(batch["path"], batch["content"]):
-                file, out = where.rsplit("/", 1)[-1], []
-                for r in parse_bam(content):
-                    if region is None or r[2] == region[0] and r[3] <= region[2]:
-                        out.append((file, *r))
-                    if len(out) == 10_000:
-                        yield pd.DataFrame(out, columns=columns)
-                        out = []
-                yield pd.DataFrame(out, columns=columns)
-
-    found = spark.read.format("binaryFile").load(path).select("path", "content")
-    return _placed(found.mapInPandas(run, _RAW), region)
+    return _placed(bam_files.records(spark, path, None if region is None else region[2]), region)
 
 
 _TOKEN = re.compile(r"\[[^\]]*\]|'(?:[^']|'')*'|[(),:;]|[^\s(),:;\[\]']+")

@@ -1,10 +1,11 @@
-import gzip
 import random
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from cladewise.sources import bam as M
 from cladewise.sources import readers as R
 from cladewise.sources import sinks as S
 
@@ -78,6 +79,12 @@ def test_small_tables(spark, tmp_path):
     assert both.count() == 1 and odd.count() == 1
 
 
+def member(data):
+    """A gzip member with its length in an extra field, from the published layout."""
+    body = zlib.compress(data, wbits=-15)
+    return b"\x1f\x8b\x08\x04" + bytes(4) + b"\0\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
 def bam_bytes(refs, lines, long=False):
     """A BAM file of SAM lines, in members of 200 bytes so that records cross them, written from the published layout."""
     out = b"BAM\1" + struct.pack("<i", 3) + b"@CO" + struct.pack("<i", len(refs))
@@ -104,7 +111,7 @@ def bam_bytes(refs, lines, long=False):
             body = body[:12] + struct.pack("<H", 2) + body[14:at] + stand_in + body[at + 4 * len(ops) :]
             body += b"RGZCGB\0" + b"ZZBs" + struct.pack("<i2h", 2, 1, 2) + b"CGBI" + struct.pack(f"<i{len(ops)}I", len(ops), *ops)
         out += struct.pack("<i", len(body)) + body
-    return b"".join(gzip.compress(out[i : i + 200]) for i in range(0, len(out), 200)) + gzip.compress(b"")
+    return b"".join(member(out[i : i + 200]) for i in range(0, len(out), 200)) + member(b"")
 
 
 def sam_lines(k, n):
@@ -132,8 +139,91 @@ def test_bam_reads_as_sam_does(spark, tmp_path):
 
 
 def test_bam_that_is_broken_is_an_error(spark, tmp_path):
-    whole = gzip.decompress(bam_bytes(["other", "r"], sam_lines(1, 3)))
-    for name, content, said in (("cut", whole[:-9], "ends within a record"), ("none", b"SAM" + whole[3:], "not a BAM file")):
-        (tmp_path / f"{name}.bam").write_bytes(gzip.compress(content))
+    whole = b"".join(M.inflated(x) for x in blocks_of(bam_bytes(["other", "r"], sam_lines(1, 3))))
+    good = member(whole)
+    wrong = good[:-8] + bytes([good[-8] ^ 1]) + good[-7:]
+    for name, content, said in (("cut", member(whole[:-9]), "ends within a record"), ("none", member(b"SAM" + whole[3:]), "not a BAM file"), ("sum", wrong, "checksum"), ("half", good[:-3], "isn't whole"), ("text", b"no blocks", "no whole block")):
+        (tmp_path / f"{name}.bam").write_bytes(content)
         with pytest.raises(Exception, match=said):
             R.bam(spark, str(tmp_path / f"{name}.bam")).collect()
+
+
+def blocks_of(raw):
+    out = []
+    while raw:
+        n = M.block_size(raw)
+        out, raw = [*out, raw[:n]], raw[n:]
+    return out
+
+
+@pytest.fixture
+def small_splits(spark):
+    for k, v in (("spark.sql.files.maxPartitionBytes", "1500"), ("spark.sql.files.openCostInBytes", "0")):
+        spark.conf.set(k, v)
+    yield
+    for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.unset(k)
+
+
+def test_one_bam_file_in_many_tasks(spark, tmp_path, small_splits):
+    lines = sam_lines(5, 400)
+    # One record longer than several splits.
+    draw = random.Random(2)
+    lines.insert(200, "long\t0\tr\t7\t9\t9000M\t*\t0\t0\t" + "".join(draw.choice("ACGT") for _ in range(9000)) + "\t" + "".join(chr(33 + draw.randint(0, 60)) for _ in range(9000)))
+    raw = bam_bytes(["other", "r"], lines)
+    (tmp_path / "x.bam").write_bytes(raw)
+    put(tmp_path, "x.sam", "".join(x + "\n" for x in lines))
+    for region in (None, ("r", 20, 30)):
+        bam = R.bam(spark, str(tmp_path / "x.bam"), region)
+        sam = R.sam(spark, str(tmp_path / "x.sam"), region).withColumn("sample", F.lit("x.bam"))
+        assert rows(bam, "name") == rows(sam, "name")
+    # Several tasks have records of their own.
+    found = M.records(spark, str(tmp_path / "x.bam"))
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 5
+
+
+def test_first_bytes_of_a_block_within_a_block(spark, tmp_path):
+    rows_ = b"".join(M.encoded(f"q{i}", 0, 0, i + 1, 9, "4M", "ACGT", "IIII") + b"" for i in range(5))
+    tagged = M.encoded("t", 0, 0, 9, 9, "4M", "ACGT", "IIII")
+    tagged = struct.pack("<i", len(tagged) - 4 + 12) + tagged[4:] + b"XYBc" + struct.pack("<i", 4) + M.MAGIC
+    data = M.header([("r", 99)]) + rows_ + tagged
+    press = zlib.compressobj(0, zlib.DEFLATED, -15)
+    body = press.compress(data) + press.flush()
+    block = M.MAGIC + bytes(4) + b"\0\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+    assert M.MAGIC in body
+    (tmp_path / "x.bam").write_bytes(block + M.EMPTY)
+    assert {r.name for r in M.records(spark, str(tmp_path / "x.bam")).collect()} == {"t", *(f"q{i}" for i in range(5))}
+
+
+def test_bam_is_written_and_read_again(spark, tmp_path, small_splits):
+    lines = sam_lines(8, 600)
+    put(tmp_path, "x.sam", "".join(x + "\n" for x in lines))
+    fields = [x.split("\t") for x in lines]
+    many = "".join("1M1I" for _ in range(40_000))
+    reads = [(f"s{i % 3}", f[0], int(f[1]), f[2], int(f[3]), int(f[4]), f[5], f[9], f[10]) for i, f in enumerate(fields)] + [("s1", "steps", 0, "r", 3, 9, many, "A" * 80_000, "*")]
+    df = spark.createDataFrame(reads, "sample string, name string, flag int, ref string, pos int, mapq int, cigar string, seq string, qual string").repartition(4)
+    out = str(tmp_path / "out")
+    M.write(df, out, [("other", 1000), ("r", 1000)])
+    got = M.records(spark, f"{out}/*/*.bam")
+    assert sorted(map(str, got.drop("file").collect())) == sorted(map(str, df.drop("sample").collect()))
+    for f in (tmp_path / "out").glob("*/*.bam"):
+        raw = f.read_bytes()
+        data = b"".join(M.inflated(x) for x in blocks_of(raw))
+        assert raw.endswith(M.EMPTY) and data.startswith(b"BAM\1")
+    with pytest.raises(Exception, match="other"):
+        M.write(df, str(tmp_path / "bad"), [("r", 1000)])
+
+
+def test_named_reads_as_bam(spark, tmp_path):
+    df = spark.createDataFrame([("s", n, 0, "r", k, 9, "2M", "AC", "II") for k, n in enumerate("abcd", 1)], "sample string, name string, flag int, ref string, pos int, mapq int, cigar string, seq string, qual string")
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    M.write_named(df, names("d", "a", "a"), str(tmp_path / "out"), [("r", 9)])
+    assert [r.name for r in M.records(spark, str(tmp_path / "out/*/*.bam")).orderBy("pos").collect()] == ["a", "d"]
+    with pytest.raises(ValueError, match="'y'"):
+        M.write_named(df, names("a", "y"), str(tmp_path / "no"), [("r", 9)])
+    assert not (tmp_path / "no").exists()
+
+
+def test_bins():
+    assert [M._bin(a, b) for a, b in ((0, 1), (16_383, 16_385), (1 << 26, (1 << 26) + 1), (0, 1 << 29), (-1, 0))] == [4681, 585, 4681 + (1 << 12), 0, 4680]
+
