@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions import reads as R
 
@@ -209,57 +214,107 @@ def alignment_summary(bases: DataFrame, threshold: float, window: str = "window_
 # -- order-dependent merges, by (window, sample) -----------------------------------------------------------
 
 
-def _bytes(seqs: list[str]) -> np.ndarray:
+def _codes(seqs: list[str]) -> np.ndarray:
     """One row of characters for each sequence, padded with 0: two rows differ in as many places as their lengths and common places do."""
     wide = max(map(len, seqs), default=0)
     return np.array(seqs, dtype=f"U{max(1, wide)}").view(np.uint32).reshape(len(seqs), -1) if seqs else np.zeros((0, 1), np.uint32)
 
 
-def absorb_common_first(counts: list[tuple[str, int]], threshold: int) -> dict[str, int]:
-    """Commonest first, each sequence that is left takes all rarer ones within the threshold; what was taken takes nothing.
+def pieces(tips: DataFrame, threshold: int, window: str = "window_id", sample: str = "sample") -> DataFrame:
+    """window, sample, wide (the longest sequence), part, piece, seq: each sequence cut at the same threshold + 1 places of its group. Two within the threshold have a piece in common."""
+    n = threshold + 1
+    rows = tips.select(window, sample, "seq", F.max(F.length("seq")).over(Window.partitionBy(window, sample)).alias("wide"))
+    edge = lambda i: F.floor(F.lit(i) * F.col("wide") / n).cast("int")
+    cut = F.array(*[F.substr("seq", edge(i) + 1, edge(i + 1) - edge(i)) for i in range(n)])
+    return rows.select(window, sample, "wide", F.posexplode(cut).alias("part", "piece"), "seq")
+
+
+def similar_pairs(tips: DataFrame, threshold: int, window: str = "window_id", sample: str = "sample") -> DataFrame:
+    """Pairs of a group's sequences within the threshold, once each: window, sample, a, b. Only sequences with a piece in common are compared."""
+    rows = pieces(tips, threshold, window, sample).repartition(window, sample, "part", "piece").sortWithinPartitions(window, sample, "part", "piece", "seq")
+    rows = rows.select(F.struct(window, sample, "part", "piece").alias("group"), window, sample, "wide", "part", "seq")
+
+    def found(held: list[tuple]) -> pa.RecordBatch:
+        (_, w, s, wide, part, _), seqs = held[0], [r[5] for r in held]
+        text, edges, one, two = _codes(seqs), np.arange(threshold + 1) * max(1, wide) // (threshold + 1), [], []
+        text = np.pad(text, ((0, 0), (0, max(1, wide) - text.shape[1])))
+        for i in range(len(seqs) - 1):
+            differ = text[i + 1 :] != text[i]
+            near = differ.sum(axis=1) <= threshold
+            # A pair that has an earlier piece in common is found there.
+            for e in range(part):
+                near &= differ[:, edges[e] : edges[e + 1]].any(axis=1)
+            for j in np.flatnonzero(near).tolist():
+                one.append(seqs[i])
+                two.append(seqs[i + 1 + j])
+        n = len(one)
+        return pa.RecordBatch.from_arrays([pa.array([w] * n, kinds[0]), pa.array([s] * n, kinds[1]), pa.array(one, pa.string()), pa.array(two, pa.string())], names=[window, sample, "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != held[0][0]:
+                    if len(held) > 1:
+                        yield found(held)
+                    held = []
+                held.append(row)
+        if len(held) > 1:
+            yield found(held)
+
+    fields = [tips.schema[window], tips.schema[sample]]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    return rows.mapInArrow(run, StructType(fields).add("a", "string").add("b", "string"))
+
+
+def absorb_common_first(counts: list[tuple[str, int]], near: Mapping[str, list[str]]) -> dict[str, int]:
+    """Commonest first, each sequence that is left takes all rarer ones that are near; what was taken takes nothing.
 
     Among equal counts nothing is taken: looking goes from rare to common and ends at the first untaken equal count.
     """
-    rows = sorted(counts, key=lambda r: (r[1], r[0]))
-    total, text = dict(counts), _bytes([s for s, _ in rows])
-    size, left = np.array([n for _, n in rows]), np.ones(len(rows), bool)
-    for i in range(len(rows) - 1, -1, -1):
-        if not left[i]:
-            continue
-        rarer = np.flatnonzero(left[: np.searchsorted(size, size[i])])
-        near = rarer[(text[rarer] != text[i]).sum(axis=1) <= threshold]
-        left[near] = False
-        for j in near.tolist():
-            total[rows[i][0]] += total.pop(rows[j][0])
+    size, total = dict(counts), dict(counts)
+    for seq, n in sorted(counts, key=lambda r: (r[1], r[0]), reverse=True):
+        for other in near.get(seq, ()) if seq in total else ():
+            if size[other] < n and other in total:
+                total[seq] += total.pop(other)
     return total
 
 
-def absorb_rare_first(counts: list[tuple[str, int]], threshold: int) -> dict[str, int]:
-    """Rarest first, each sequence goes to the commonest one within the threshold; counts move up in chains.
+def absorb_rare_first(counts: list[tuple[str, int]], near: Mapping[str, list[str]], threshold: int) -> dict[str, int]:
+    """Rarest first, each sequence goes to the commonest one that is near; counts move up in chains.
 
-    Looking goes from common to rare and ends where the lengths alone differ by more.
+    Looking goes from common to rare and ends where the lengths alone differ by more than the threshold.
     """
     rows = [r[0] for r in sorted(counts, key=lambda r: (-r[1], r[0]))]
-    total, text, size = dict(counts), _bytes(rows), np.array(list(map(len, rows)))
-    for i in range(len(rows) - 1, 0, -1):
-        apart = np.flatnonzero(np.abs(size[:i] - size[i]) > threshold)
-        until = int(apart[0]) if len(apart) else i
-        near = np.flatnonzero((text[:until] != text[i]).sum(axis=1) <= threshold)
-        if len(near):
-            total[rows[near[0]]] += total.pop(rows[i])
+    total, place = dict(counts), {s: i for i, s in enumerate(rows)}
+    first: dict[int, int] = {}
+    for i, s in enumerate(rows):
+        first.setdefault(len(s), i)
+    for s in reversed(rows[1:]):
+        until = min((i for n, i in first.items() if abs(n - len(s)) > threshold), default=len(rows))
+        best = min((place[o] for o in near.get(s, ())), default=len(rows))
+        if best < min(until, place[s]):
+            total[rows[best]] += total.pop(s)
     return total
 
 
 def similar_merged(tips: DataFrame, threshold: int, version: str = "A", window: str = "window_id", sample: str = "sample") -> DataFrame:
-    """tips (window, sample, seq, n) after merging; a group is one sample's unique sequences in one window."""
-    merge = absorb_common_first if version == "A" else absorb_rare_first
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = merge(list(zip(rows["seq"], rows["n"].astype(int))), threshold)
-        return pd.DataFrame({window: key[0], sample: key[1], "seq": list(out), "n": list(out.values())})
-
-    w, s = (tips.schema[c].dataType.simpleString() for c in (window, sample))
-    return tips.select(window, sample, "seq", F.col("n").cast("long").alias("n")).groupBy(window, sample).applyInPandas(run, f"{window} {w}, {sample} {s}, seq string, n long")
+    """tips (window, sample, seq, n) after merging. Similar pairs are found over all groups at once; the ordered pass takes one sample's sequences in one window, and its pairs."""
+    fields = [tips.schema[window], tips.schema[sample]]
+
+    def run(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, list[str]] = {}
+        for a, b in zip(pairs["a"], pairs["b"]):
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+        counts = list(zip(rows["seq"], rows["n"].astype(int)))
+        out = absorb_common_first(counts, near) if version == "A" else absorb_rare_first(counts, near, threshold)
+        w, s = (rows[c].iloc[0] for c in (window, sample)) if len(rows) else (None, None)
+        return pd.DataFrame({window: w, sample: s, "seq": list(out), "n": list(out.values())})
+
+    found = similar_pairs(tips, threshold, window, sample).select(F.col(window).alias("_w"), F.col(sample).alias("_s"), "a", "b")
+    held = tips.select(window, sample, "seq", F.col("n").cast("long").alias("n")).groupBy(window, sample)
+    return held.cogroup(found.groupBy("_w", "_s")).applyInPandas(run, StructType(fields).add("seq", "string").add("n", "long"))
 
 
 def recombination_metric(seqs: list[str], gap_aware: bool = False, to_diversity: bool = False) -> tuple[float, tuple[str, str, str] | None]:

@@ -75,11 +75,18 @@ def test_columns_of_gaps_go_and_no_sequence_does(spark):
     assert Q.QUERIES["all_columns_with_bases"](spark, sf).select("seq_id").distinct().count() == view(spark, sf, "customer").count()
 
 
+def near(counts, threshold):
+    """Sequences within the threshold of each."""
+    apart = lambda a, b: abs(len(a) - len(b)) + sum(x != y for x, y in zip(a, b))
+    return {a: [b for b, _ in counts if a != b and apart(a, b) <= threshold] for a, _ in counts}
+
+
 def test_merges_keep_counts_and_their_order():
     counts = [("AAAA", 10), ("AAAT", 4), ("AATT", 2), ("CCCC", 2), ("CCCA", 2)]
-    assert R.absorb_common_first(counts, 1) == {"AAAA": 14, "AATT": 2, "CCCC": 2, "CCCA": 2}
-    assert R.absorb_rare_first(counts, 1) == {"AAAA": 16, "CCCA": 4}
-    assert R.absorb_rare_first([("AAAA", 3), ("AAAAAA", 2), ("AAAC", 1)], 1) == {"AAAA": 4, "AAAAAA": 2}
+    assert R.absorb_common_first(counts, near(counts, 1)) == {"AAAA": 14, "AATT": 2, "CCCC": 2, "CCCA": 2}
+    assert R.absorb_rare_first(counts, near(counts, 1), 1) == {"AAAA": 16, "CCCA": 4}
+    some = [("AAAA", 3), ("AAAAAA", 2), ("AAAC", 1)]
+    assert R.absorb_rare_first(some, near(some, 1), 1) == {"AAAA": 4, "AAAAAA": 2}
 
 
 @pytest.mark.parametrize("seqs, metric", [(["AAAAAAA", "AAAACCC", "CCCCCCC"], 1.0), (["A-AAAA", "A-AAA-", "AAAA-A"], 0.0), (["AA", "AC"], 0.0)])
@@ -164,9 +171,38 @@ def test_merging_by_plain_loops():
         seqs = {"".join(rng.choice("AC") for _ in range(rng.choice([4, 5, 6]))) for _ in range(rng.randrange(1, 12))}
         counts = [(s, rng.randrange(1, 6)) for s in sorted(seqs)]
         for threshold in (0, 1, 2):
-            assert R.absorb_common_first(counts, threshold) == common_first(counts, threshold)
-            assert R.absorb_rare_first(counts, threshold) == rare_first(counts, threshold)
-    assert R.absorb_common_first([], 1) == {} and R.absorb_rare_first([], 1) == {}
+            assert R.absorb_common_first(counts, near(counts, threshold)) == common_first(counts, threshold)
+            assert R.absorb_rare_first(counts, near(counts, threshold), threshold) == rare_first(counts, threshold)
+    assert R.absorb_common_first([], {}) == {} and R.absorb_rare_first([], {}, 1) == {}
+
+
+@pytest.mark.parametrize("threshold", [0, 1, 3])
+def test_similar_sequences_over_many_groups(spark, threshold):
+    import random
+
+    rng = random.Random(threshold)
+    base = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(8)]
+    groups = {}
+    for g in range(6):
+        seqs = set()
+        for _ in range(60 if g else 1):
+            s = list(rng.choice(base))
+            for _ in range(rng.randrange(5)):
+                s[rng.randrange(60)] = rng.choice("ACGT-")
+            seqs.add("".join(s)[: 60 - rng.choice([0, 0, 0, 1, 2])])
+        groups[g // 2, f"s{g % 2}"] = [(s, rng.randrange(1, 5)) for s in sorted(seqs)]
+    df = spark.createDataFrame([(w, h, s, n) for (w, h), own in groups.items() for s, n in own], "window_id int, sample string, seq string, n long")
+    for version, plain in (("A", lambda c: R.absorb_common_first(c, near(c, threshold))), ("B", lambda c: R.absorb_rare_first(c, near(c, threshold), threshold))):
+        got = {}
+        for r in R.similar_merged(df, threshold, version).collect():
+            got.setdefault((r.window_id, r.sample), {})[r.seq] = r.n
+        assert got == {k: plain(c) for k, c in groups.items()}
+    pairs = [tuple(sorted((r.a, r.b))) + (r.window_id, r["sample"]) for r in R.similar_pairs(df, threshold).collect()]
+    want = {(*sorted((a, b)), *k) for k, c in groups.items() for a, others in near(c, threshold).items() for b in others}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    # Pairs of different origin share no piece: far fewer are compared than there are.
+    together = R.pieces(df, threshold).groupBy("window_id", "sample", "part", "piece").count().selectExpr("sum(count * (count - 1) / 2) AS n").first().n
+    assert together < (threshold + 1) * 0.3 * sum(len(c) * (len(c) - 1) / 2 for c in groups.values())
 
 
 def test_insert_sizes_take_all_reads(spark):
