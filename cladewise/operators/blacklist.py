@@ -42,9 +42,9 @@ def parsimony_contaminants(nodes: DataFrame, raw: float, ratio: float, k: float)
     """Host by host, with all other tips unassigned: subgraphs with few reads, or a small share of the host's, go. A single subgraph goes if its host has few reads. Labels are the tips."""
 
     def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for host in sorted(set(rows["host"].dropna())):
-            t = _tree(rows.assign(host=rows["host"].where(rows["host"] == host), reads=rows["reads"]))
+        out, whole = [], _tree(rows)
+        for host in whole.hosts[:-1]:
+            t = whole.of_host(host)
             state = K.trace(t, K.parsimony(t, k), k)
             name, _ = K.splits(t, state)
             reads: dict[str, float] = {}

@@ -5,6 +5,8 @@ Ties that are random elsewhere are broken by order of the hosts here, so results
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 
 UNASSIGNED = "unassigned"
@@ -39,6 +41,12 @@ class Tree:
             if self.parent[i] >= 0:
                 self.depth[i] = self.depth[self.parent[i]] + self.length[i]
 
+    def of_host(self, host: str) -> Tree:
+        """The same tree in which only that host's tips have a host."""
+        out = copy(self)
+        out.host, out.hosts = [h if h == host else None for h in self.host], [host, UNASSIGNED]
+        return out
+
     def ancestors(self, i: int) -> list[int]:
         """The node itself, its parent, and so on."""
         out = [i]
@@ -103,71 +111,104 @@ class Ancestry:
         return out
 
 
-def _states_of_tips(t: Tree) -> np.ndarray:
-    cost = np.full((len(t.id), len(t.hosts)), np.inf)
-    for i in t.up:
-        if t.tip[i]:
-            cost[i, t.hosts.index(t.host[i]) if t.host[i] is not None else -1] = 0
-    return cost
+class Costs:
+    """What method s knows of a node: its hosts (the tips' below it), the least cost of each as the node's state, the branch length that leads to its tips, and `rest`, the cost of unassigned and of all other hosts."""
+
+    __slots__ = ("cost", "hosts", "own", "rest")
+
+    def __init__(self, hosts: np.ndarray, cost: np.ndarray, own: np.ndarray, rest: float) -> None:
+        self.hosts, self.cost, self.own, self.rest = hosts, cost, own, rest
 
+    def paid(self, weight: float, k: float) -> np.ndarray:
+        """The cost of each host with what a change to it costs."""
+        return self.cost + weight + (k * self.own if k else 0.0)
 
-def parsimony(t: Tree, k: float = 0.0) -> np.ndarray:
-    """Method s: the least cost of each state at each node. A change to a host costs the tip's weight (1 inside) and k times the subtree cost; a change to unassigned is free."""
-    cost, own, n = _states_of_tips(t), t.subtree_costs(), len(t.hosts)
+
+def parsimony(t: Tree, k: float = 0.0) -> list[Costs]:
+    """Method s: the least cost of each state at each node. A change to a host costs the tip's weight (1 inside) and k times the subtree cost; a change to unassigned is free.
+
+    A node holds numbers for the hosts below it only: any other host costs as much as unassigned, and never less
+    as a change.
+    """
+    number = {h: x for x, h in enumerate(t.hosts)}
+    none, at = np.zeros(0), np.zeros(0, np.int64)
+    out: list[Costs] = [Costs(at, none, none, 0.0)] * len(t.id)
     for i in t.up:
         if t.tip[i]:
+            if t.host[i] is not None:
+                out[i] = Costs(np.array([number[t.host[i]]]), np.zeros(1), np.zeros(1), np.inf)
             continue
-        total = np.zeros(n)
+        hosts, less, own, rest = [], [], [], 0.0
         for c in t.children[i]:
-            total += _change(t, c, cost[c], own[c], k).min(axis=1)
-        cost[i] = total
-    return cost
-
-
-def _change(t: Tree, c: int, cost: np.ndarray, own: np.ndarray, k: float) -> np.ndarray:
-    """[above, below]: cost below with what the change to it costs."""
-    n = len(t.hosts)
-    paid = cost + (t.weight[c] if t.tip[c] else 1.0) + (k * own if k else 0.0)
-    paid = np.where(np.isnan(paid), np.inf, paid)
-    out = np.tile(paid, (n, 1))
-    out[:, -1] = cost[-1]
-    out[np.arange(n), np.arange(n)] = cost
+            x = out[c]
+            # Whatever the state above is, below comes at most what unassigned or the best change costs.
+            most = min(x.rest, float(x.paid(t.weight[c] if t.tip[c] else 1.0, k).min(initial=np.inf)))
+            rest += most
+            hosts.append(x.hosts)
+            less.append(np.minimum(x.cost, most) - most)
+            own.append(x.own + t.length[c])
+        found, place = np.unique(np.concatenate(hosts), return_inverse=True)
+        add = lambda values: np.bincount(place, weights=np.concatenate(values), minlength=len(found))  # noqa: B023, E731
+        out[i] = Costs(found, rest + add(less), add(own), rest)
     return out
 
 
-def trace(t: Tree, cost: np.ndarray, k: float = 0.0, p: float = 0.0) -> list[str]:
+def trace(t: Tree, costs: list[Costs], k: float = 0.0, p: float = 0.0) -> list[str]:
     """States from the root, which is unassigned: the cheapest; of unassigned and the parent's state, the first on branches over p; other ties by order."""
-    own, state = t.subtree_costs(), [len(t.hosts) - 1] * len(t.id)
+    free = len(t.hosts) - 1
+    state = [free] * len(t.id)
     for i in t.down:
         for c in t.children[i]:
-            costs = _change(t, c, cost[c], own[c], k)[state[i]]
-            best = np.flatnonzero(costs == costs.min())
-            if len(best) > 1 and len(t.hosts) - 1 in best and state[i] in best:
-                state[c] = len(t.hosts) - 1 if t.length[c] > p else state[i]
+            x, up = costs[c], state[i]
+            options = x.paid(t.weight[c] if t.tip[c] else 1.0, k)
+            same = np.flatnonzero(x.hosts == up)
+            kept = float(x.cost[same[0]]) if len(same) else np.inf if t.tip[c] and up != free else x.rest
+            options[same] = kept
+            least = min(kept, x.rest, float(options.min(initial=np.inf)))
+            best = sorted({*x.hosts[options == least].tolist(), *([up] if kept == least else []), *([free] if x.rest == least else [])})
+            if len(best) > 1 and free in best and up in best:
+                state[c] = free if t.length[c] > p else up
             else:
-                state[c] = int(best[0])
+                state[c] = best[0]
     return [t.hosts[s] for s in state]
 
 
+def _states_of_tips(t: Tree) -> np.ndarray:
+    cost = np.full((len(t.id), len(t.hosts)), np.inf)
+    for i in t.up:
+        if t.tip[i]:
+            cost[i, t.hosts.index(t.host[i]) if t.host[i] is not None else -1] = 0
+    return cost
+
+
 def continuation(t: Tree, k: float, p: float) -> tuple[np.ndarray, list[str]]:
-    """Method f: to unassigned costs p; to the same host the branch; to another host (1/k - p) times the weight."""
+    """Method f: to unassigned costs p; to the same host the branch; to another host (1/k - p) times the weight. The costs are a row of numbers for each node, one for each host."""
     n = len(t.hosts)
     cost = _states_of_tips(t)
 
-    def change(c: int) -> np.ndarray:
-        out = np.tile(cost[c] + (1 / k - p) * (t.weight[c] if t.tip[c] else 1.0), (n, 1))
-        for h in range(n - 1):
-            out[h, h] = cost[c, h] + t.length[c]
-        out[:, -1] = cost[c, -1] + p
-        return out
+    def options(c: int) -> tuple[np.ndarray, np.ndarray]:
+        """By state below: the cost from another state above, and from the same."""
+        other = cost[c] + (1 / k - p) * (t.weight[c] if t.tip[c] else 1.0)
+        same = cost[c] + t.length[c]
+        other[-1] = same[-1] = cost[c, -1] + p
+        return other, same
 
     for i in t.up:
         if not t.tip[i]:
-            cost[i] = sum(change(c).min(axis=1) for c in t.children[i])
+            cost[i] = 0.0
+            for c in t.children[i]:
+                other, same = options(c)
+                # The best other state is the least but one's own.
+                first = int(other.argmin())
+                rest = np.full(n, other[first])
+                rest[first] = np.delete(other, first).min(initial=np.inf)
+                cost[i] += np.minimum(same, rest)
     state = [n - 1] * len(t.id)
     for i in t.down:
         for c in t.children[i]:
-            state[c] = int(np.argmin(change(c)[state[i]]))
+            other, same = options(c)
+            other[state[i]] = same[state[i]]
+            state[c] = int(np.argmin(other))
     return cost, [t.hosts[s] for s in state]
 
 

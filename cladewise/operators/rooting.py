@@ -1,4 +1,4 @@
-"""Re-rooting on an outgroup and pruning of tips; a group is one tree."""
+"""Re-rooting on an outgroup and pruning of tips; a group is one tree, and each step one pass over its nodes."""
 
 from __future__ import annotations
 
@@ -6,68 +6,96 @@ from collections.abc import Collection
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-Rows = dict[object, tuple[object, float]]  # node -> parent (None at the root), length of the branch above
+Rows = dict[int, tuple[int | None, float]]  # node -> parent (None at the root), length of the branch above
 
 
-def _children(rows: Rows) -> dict[object, list]:
-    out: dict[object, list] = {n: [] for n in rows}
-    for n, (p, _) in sorted(rows.items(), key=lambda r: str(r[0])):
-        if p is not None:
-            out[p].append(n)
+def _children(rows: Rows) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {n: [] for n in rows}
+    for n in sorted(rows):
+        if rows[n][0] is not None:
+            out[rows[n][0]].append(n)
     return out
 
 
-def _without_chains(rows: Rows, tips: Collection) -> Rows:
-    """Inner nodes with one child go, their branches add up; so do inner nodes without any."""
-    rows = dict(rows)
-    while True:
-        kids = _children(rows)
-        odd = next((n for n in sorted(rows, key=str) if n not in tips and len(kids[n]) < 2), None)
-        if odd is None or len(rows) == 1:
-            return rows
-        parent, length = rows.pop(odd)
-        for c in kids[odd]:
-            rows[c] = (parent, rows[c][1] + length if parent is not None else 0.0)
-
-
-def rerooted(rows: Rows, outgroup: object) -> Rows:
-    """The root becomes the node that the outgroup hangs on; branches on the way to the old root turn round."""
+def contracted(rows: Rows, drop: Collection = ()) -> tuple[Rows, dict[int, int | None]]:
+    """The tree without the tips in drop, without inner nodes that then have no tips, and with nodes of one child merged into that child, their branches added up. Also where each node went: itself, the node that it merged into, or None."""
+    kids, gone = _children(rows), set(drop)
+    order = [n for n, (p, _) in rows.items() if p is None]
+    for n in order:  # grows: parents before children
+        order.extend(kids[n])
+    out: Rows = {}
+    stands: dict[int, tuple[int, float]] = {}  # what is left of a node's subtree: its top node, and the branch above that
+    went: dict[int, int | None] = {}
+    for n in reversed(order):
+        length = rows[n][1]
+        below = [stands[c] for c in kids[n] if c in stands]
+        if not kids[n] and n not in gone or len(below) > 1:
+            for top, branch in below:
+                out[top] = (n, branch)
+            stands[n], went[n] = (n, length), n
+        elif below:
+            stands[n], went[n] = (below[0][0], below[0][1] + length), below[0][0]
+        else:
+            went[n] = None
+    for n in order:
+        if rows[n][0] is None and n in stands:
+            out[stands[n][0]] = (None, 0.0)
+    return out, went
+
+
+def turned(rows: Rows, outgroup: int) -> Rows:
+    """The root becomes a node of two children: the outgroup with its branch, and the rest with a branch of length 0. Branches on the way to the old root turn round; the new root is numbered after all others. A tree whose root has these two children stays."""
     if outgroup not in rows or rows[outgroup][0] is None:
         return dict(rows)
-    tips = {n for n, c in _children(rows).items() if not c}
-    path = [rows[outgroup][0]]
+    beside = rows[outgroup][0]
+    if rows[beside][0] is None and len(_children(rows)[beside]) == 2:
+        return dict(rows)
+    path = [beside]
     while rows[path[-1]][0] is not None:
         path.append(rows[path[-1]][0])
-    out = dict(rows)
+    out, root = dict(rows), max(rows) + 1
     for low, high in zip(path, path[1:]):
         out[high] = (low, rows[low][1])
-    out[path[0]] = (None, 0.0)
-    return _without_chains(out, tips)
+    out[root], out[beside], out[outgroup] = (None, 0.0), (root, 0.0), (root, rows[outgroup][1])
+    return out
+
+
+def rerooted(rows: Rows, outgroup: int) -> Rows:
+    """turned(), without the node of one child that the old root may be then."""
+    return contracted(turned(rows, outgroup))[0]
 
 
 def pruned(rows: Rows, drop: Collection) -> Rows:
     """Without the tips in drop, and without the inner nodes that then split nothing."""
-    tips = {n for n, c in _children(rows).items() if not c}
-    return _without_chains({n: v for n, v in rows.items() if n not in tips or n not in set(drop)}, tips - set(drop))
+    return contracted(rows, drop)[0]
 
 
 def processed(nodes: DataFrame, outgroups: DataFrame, drops: DataFrame | None = None, key: str = "tree_id") -> DataFrame:
-    """key, node, parent, edge_length after rooting on each tree's outgroup (key, outgroup) and dropping tips (key, drop).
+    """key, node, parent, edge_length, old after rooting on each tree's outgroup (key, outgroup) and dropping tips (key, drop).
 
-    A tree without an outgroup keeps its root.
+    A tree without an outgroup is rooted on its root's first child if that root has over two children, and keeps
+    its root otherwise. Each node of the tree before comes as `old`, with the node that it is or has merged into
+    (null if nothing is left of it); parent and edge_length stand where old is that node itself. A new root has no old.
     """
     rows = nodes.join(outgroups.select(key, "outgroup"), key, "left")
-    rows = rows.withColumn("dropped", rows["node"] * 0 == 1) if drops is None else rows.join(drops.selectExpr(key, "drop AS node", "true AS dropped").distinct(), [key, "node"], "left")
+    rows = rows.withColumn("dropped", F.lit(False)) if drops is None else rows.join(drops.selectExpr(key, "drop AS node", "true AS dropped").distinct(), [key, "node"], "left")
 
     def run(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        tree: Rows = {int(r.node): (None if pd.isna(r.parent) else int(r.parent), float(r.edge_length)) for r in part.itertuples()}
-        out = part["outgroup"].dropna()
-        if len(out):
-            tree = rerooted(tree, int(out.iloc[0]))
-        gone = {int(r.node) for r in part.itertuples() if r.dropped is True}
-        tree = pruned(tree, gone) if gone else tree
-        return pd.DataFrame([(group[0], n, p, x) for n, (p, x) in sorted(tree.items())], columns=[key, "node", "parent", "edge_length"]).astype({"parent": "Int64"})
+        before: Rows = {int(r.node): (None if pd.isna(r.parent) else int(r.parent), float(r.edge_length)) for r in part.itertuples()}
+        given, kids = part["outgroup"].dropna(), _children(before)
+        tops = [c for n, (p, _) in before.items() if p is None for c in kids[n]]
+        outgroup = int(given.iloc[0]) if len(given) else tops[0] if len(tops) > 2 else None
+        tree, went = contracted(before if outgroup is None else turned(before, outgroup), {int(r.node) for r in part.itertuples() if r.dropped is True and not kids[int(r.node)]})
+        out = [(group[0], n, *tree[n], n if n in before else None) for n in sorted(tree)]
+        out += [(group[0], went[old], None, None, old) for old in sorted(set(before) - set(tree))]
+        return pd.DataFrame(out, columns=[key, "node", "parent", "edge_length", "old"]).astype({"node": "Int64", "parent": "Int64", "old": "Int64"})
 
     kind = nodes.schema[key].dataType.simpleString()
-    return rows.select(key, "node", "parent", "edge_length", "outgroup", "dropped").groupBy(key).applyInPandas(run, f"{key} {kind}, node long, parent long, edge_length double")
+    return rows.select(key, "node", "parent", "edge_length", "outgroup", "dropped").groupBy(key).applyInPandas(run, f"{key} {kind}, node long, parent long, edge_length double, old long")
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """Of processed(): the nodes of the tree as it is now."""
+    return rows.where("old is null or old = node").drop("old")

@@ -166,7 +166,7 @@ def _tree(rows: pd.DataFrame) -> K.Tree:
 def _states(t: K.Tree, method: str, k: float, p: float) -> tuple[list[str], float]:
     if method == "s":
         cost = K.parsimony(t, k)
-        return K.trace(t, cost, k, p), float(cost[t.roots[0], -1])
+        return K.trace(t, cost, k, p), float(cost[t.roots[0]].rest)
     if method == "f":
         cost, state = K.continuation(t, k or 1.0, p)
         return state, float(cost[t.roots[0], -1])

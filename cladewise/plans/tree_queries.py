@@ -72,7 +72,27 @@ def _level(k: int) -> str:
 
 add("parsimony_root_costs", f"WITH nd AS (SELECT * FROM {{v_nodes}}){_LEVEL}{''.join(_level(k) for k in range(5, 0, -1))} SELECT tree_id, round(c, 9) AS root_cost FROM c1 WHERE h = 'unassigned'",
     lambda s, d: rounded(T.reconstructed(nodes(s, d)), "root_cost").where("node = 1").select("tree_id", "root_cost"))
-add("trees_rooted", None, lambda s, d: rounded(G.processed(nodes(s, d), nodes(s, d).where("is_tip").groupBy("tree_id").agg(F.min("node").alias("outgroup")), nodes(s, d).where("is_tip and node % 9 = 4").select("tree_id", F.col("node").alias("drop"))), "edge_length"))
+
+def rooted(s, d):
+    """Rooted on each tree's first tip, without every ninth of the nodes that are tips."""
+    tips = nodes(s, d).where("is_tip")
+    return G.processed(nodes(s, d), tips.groupBy("tree_id").agg(F.min("node").alias("outgroup")), tips.where("node % 9 = 4").select("tree_id", F.col("node").alias("drop")))
+
+
+# The way from the outgroup to the old root turns round under a new root; then tips go, and what is left with one branch below merges with it.
+_ROOTED = """RECURSIVE nd AS (SELECT * FROM {v_nodes}), og AS (SELECT tree_id, min(node) AS out FROM nd WHERE is_tip GROUP BY tree_id),
+pa AS (SELECT og.tree_id, nd.parent AS node, nd.node AS via, 0 AS k FROM og JOIN nd ON nd.tree_id = og.tree_id AND nd.node = og.out UNION ALL SELECT pa.tree_id, nd.parent, nd.node, pa.k + 1 FROM pa JOIN nd ON nd.tree_id = pa.tree_id AND nd.node = pa.node WHERE nd.parent IS NOT NULL),
+nr AS (SELECT tree_id, max(node) + 1 AS root FROM nd GROUP BY tree_id),
+tu AS (SELECT nd.tree_id, nd.node, CASE WHEN nd.node = og.out OR pa.k = 0 THEN nr.root WHEN pa.k > 0 THEN pa.via ELSE nd.parent END AS parent, CASE WHEN pa.k = 0 THEN 0 WHEN pa.k > 0 THEN v.edge_length ELSE nd.edge_length END AS edge_length
+  FROM nd JOIN og ON og.tree_id = nd.tree_id JOIN nr ON nr.tree_id = nd.tree_id LEFT JOIN pa ON pa.tree_id = nd.tree_id AND pa.node = nd.node LEFT JOIN nd v ON v.tree_id = pa.tree_id AND v.node = pa.via UNION ALL SELECT tree_id, root, NULL, 0 FROM nr),
+lv AS (SELECT tree_id, node FROM nd n WHERE NOT EXISTS (SELECT 1 FROM nd c WHERE c.tree_id = n.tree_id AND c.parent = n.node) AND NOT (is_tip AND node % 9 = 4)),
+us AS (SELECT tree_id, node, node AS anc, 0 AS hops, CAST(0 AS DOUBLE) AS dist FROM tu UNION ALL SELECT us.tree_id, us.node, tu.parent, us.hops + 1, us.dist + tu.edge_length FROM us JOIN tu ON tu.tree_id = us.tree_id AND tu.node = us.anc WHERE tu.parent IS NOT NULL),
+fu AS (SELECT DISTINCT us.tree_id, us.anc AS node FROM us JOIN lv ON lv.tree_id = us.tree_id AND lv.node = us.node),
+st AS (SELECT tree_id, node FROM lv UNION SELECT tu.tree_id, tu.parent FROM tu JOIN fu ON fu.tree_id = tu.tree_id AND fu.node = tu.node WHERE tu.parent IS NOT NULL GROUP BY tu.tree_id, tu.parent HAVING count(*) > 1)"""
+add("trees_rooted", f"WITH {_ROOTED} SELECT st.tree_id, st.node, arg_min(us.anc, us.hops) AS parent, round(coalesce(min(us.dist), 0), 9) AS edge_length FROM st LEFT JOIN (SELECT us.* FROM us JOIN st a ON a.tree_id = us.tree_id AND a.node = us.anc WHERE us.hops > 0) us ON us.tree_id = st.tree_id AND us.node = st.node GROUP BY st.tree_id, st.node",
+    lambda s, d: rounded(G.kept(rooted(s, d)), "edge_length"))
+add("nodes_of_rooted_trees", f"WITH {_ROOTED} SELECT nd.tree_id, nd.node AS old, m.node FROM nd LEFT JOIN (SELECT us.tree_id, us.anc AS old, arg_min(us.node, us.hops) AS node FROM us JOIN st ON st.tree_id = us.tree_id AND st.node = us.node GROUP BY us.tree_id, us.anc) m ON m.tree_id = nd.tree_id AND m.old = nd.node",
+    lambda s, d: rooted(s, d).where("old is not null").select("tree_id", "old", "node"))
 add("parsimony_states", None, lambda s, d: rounded(T.reconstructed(nodes(s, d), "s", 2.0, 0.002), "root_cost"))
 add("continuation_states", None, lambda s, d: rounded(T.reconstructed(nodes(s, d), "f", 0.05, 5.0), "root_cost"))
 add("majority_states", None, lambda s, d: T.reconstructed(nodes(s, d), "r").select("tree_id", "node", "state", "split", "first"))

@@ -45,11 +45,72 @@ def test_parsimony_against_all_assignments():
                     state[i] = s
                 best = min(best, cost_of(t, state, k))
             cost = K.parsimony(t, k)
-            assert np.isclose(cost[t.roots[0], -1], best)
+            assert np.isclose(cost[t.roots[0]].rest, best)
             state = K.trace(t, cost, k, 0.2)
             assert np.isclose(cost_of(t, state, k), best) and all(state[i] == (t.host[i] or K.UNASSIGNED) for i in range(len(t.id)) if t.tip[i])
 
 
+def all_states(t, k, p):
+    """Costs of all states of all nodes in one array, and the states that follow: no host is left out anywhere."""
+    n, own = len(t.hosts), t.subtree_costs()
+    cost = np.full((len(t.id), n), np.inf)
+
+    def change(c):
+        paid = cost[c] + (t.weight[c] if t.tip[c] else 1.0) + (k * own[c] if k else 0.0)
+        out = np.tile(np.where(np.isnan(paid), np.inf, paid), (n, 1))
+        out[:, -1] = cost[c, -1]
+        out[np.arange(n), np.arange(n)] = cost[c]
+        return out
+
+    for i in t.up:
+        if t.tip[i]:
+            cost[i, t.hosts.index(t.host[i]) if t.host[i] else -1] = 0
+        else:
+            cost[i] = sum(change(c).min(axis=1) for c in t.children[i])
+    state = [n - 1] * len(t.id)
+    for i in t.down:
+        for c in t.children[i]:
+            row = change(c)[state[i]]
+            best = np.flatnonzero(row == row.min())
+            tie = len(best) > 1 and n - 1 in best and state[i] in best
+            state[c] = (n - 1 if t.length[c] > p else state[i]) if tie else int(best[0])
+    return float(cost[t.roots[0], -1]), [t.hosts[s] for s in state]
+
+
+def test_states_without_those_of_absent_hosts():
+    for seed in range(120):
+        t = tree(seed, "ABCDEF"[: 2 + seed % 5], 18)
+        t.length = [x * 4 // 1 / 8 for x in t.length]  # sums without rounding, so that ties are ties
+        for k, p in ((0.0, 0.0), (2.0, 0.2), (1.0, 5.0)):
+            cost = K.parsimony(t, k)
+            want, states = all_states(t, k, p)
+            assert cost[t.roots[0]].rest == want and K.trace(t, cost, k, p) == states
+            assert all(len(x.hosts) <= len(set(t.hosts)) for x in cost)
+
+
+def test_continuation_against_all_changes():
+    for seed in range(40):
+        t = tree(seed, "ABCD", 14)
+        k, p, n = 0.05, 0.3, len(t.hosts)
+        cost, states = K.continuation(t, k, p)
+        want = K._states_of_tips(t)
+
+        def change(c):
+            out = np.tile(want[c] + (1 / k - p) * (t.weight[c] if t.tip[c] else 1.0), (n, 1))
+            for h in range(n - 1):
+                out[h, h] = want[c, h] + t.length[c]
+            out[:, -1] = want[c, -1] + p
+            return out
+
+        for i in t.up:
+            if not t.tip[i]:
+                want[i] = sum(change(c).min(axis=1) for c in t.children[i])
+        assert np.allclose(cost, want)
+        for i in t.down:
+            for c in t.children[i]:
+                assert np.isclose(change(c)[t.hosts.index(states[i]), t.hosts.index(states[c])], change(c)[t.hosts.index(states[i])].min())
+
+
 def test_splits_and_collapse():
     t = K.Tree([0, 1, 2, 3, 4, 5, 6], [None, 0, 0, 1, 1, 2, 2], [0, 1, 1, 1, 1, 1, 1], [None, None, None, "A", "A", "A", "B"])
     state = ["unassigned", "A", "unassigned", "A", "A", "A", "B"]
@@ -188,20 +249,46 @@ def test_rooting_and_pruning_keep_distances():
             d, n = d + rows[n][1], rows[n][0]
         return d + up[n]
 
-    for seed in range(20):
+    for seed in range(60):
         t = tree(seed)
         rows = {t.id[i]: (None if t.parent[i] < 0 else t.id[t.parent[i]], t.length[i]) for i in range(len(t.id))}
         tips = [t.id[i] for i in range(len(t.id)) if t.tip[i]]
         new = G.rerooted(rows, tips[0])
-        root = next(n for n, (p, _) in new.items() if p is None)
-        assert new[tips[0]][0] == root
+        (root,) = [n for n, (p, _) in new.items() if p is None]
+        two = [n for n, (p, _) in new.items() if p == root]
+        assert len(two) == 2 and tips[0] in two
+        if root not in rows:
+            assert new[tips[0]][1] == rows[tips[0]][1] and sum(new[n][1] for n in two) == rows[tips[0]][1]
         less = G.pruned(new, tips[1:3])
         for x, kept in ((new, tips), (less, [n for n in tips if n not in tips[1:3]])):
             assert {n for n in x if n in tips} == set(kept)
+            assert all(sum(p == n for p, _ in x.values()) != 1 for n in x)
             for a, b in itertools.combinations(kept, 2):
                 assert np.isclose(far(x, a, b), far(rows, a, b))
 
 
+def test_contracted_nodes_tell_where_they_went():
+    from cladewise.operators import rooting as G
+
+    rows = {1: (None, 0.0), 2: (1, 1.0), 3: (2, 2.0), 4: (3, 4.0), 5: (3, 8.0), 6: (1, 16.0), 7: (1, 32.0)}
+    assert G.contracted(rows, [5, 7]) == ({1: (None, 0.0), 4: (1, 7.0), 6: (1, 16.0)}, {1: 1, 2: 4, 3: 4, 4: 4, 5: None, 6: 6, 7: None})
+    assert G.contracted(rows, [4, 5, 6, 7])[0] == {}
+    assert G.contracted(rows, [4, 5, 6]) == ({7: (None, 0.0)}, {1: 7, 2: None, 3: None, 4: None, 5: None, 6: None, 7: 7})
+    star = {1: (None, 0.0), 2: (1, 1.0), 3: (1, 2.0), 4: (1, 3.0)}
+    assert G.rerooted(star, 2) == {5: (None, 0.0), 1: (5, 0.0), 2: (5, 1.0), 3: (1, 2.0), 4: (1, 3.0)}
+    deep = {i: (i - 1 if i else None, 1.0) for i in range(20_000)}
+    assert G.contracted(deep)[0] == {19_999: (None, 0.0)}
+
+
+def test_roots_of_many_children_are_resolved(spark):
+    from cladewise.operators import rooting as G
+
+    nodes = spark.createDataFrame([(1, 1, None, 0.0), (1, 2, 1, 1.0), (1, 3, 1, 2.0), (1, 4, 1, 3.0), (2, 1, None, 0.0), (2, 2, 1, 1.0), (2, 3, 1, 2.0)], "tree_id long, node long, parent long, edge_length double")
+    out = G.processed(nodes, spark.createDataFrame([], "tree_id long, outgroup long"))
+    assert sorted((r.tree_id, r.node, r.parent, r.edge_length) for r in G.kept(out).where("parent is not null").collect()) == [(1, 1, 5, 0.0), (1, 2, 5, 1.0), (1, 3, 1, 2.0), (1, 4, 1, 3.0), (2, 2, 1, 1.0), (2, 3, 1, 2.0)]
+    assert {(r.node, r.old) for r in out.where("tree_id = 1").collect()} == {(5, None), (1, 1), (2, 2), (3, 3), (4, 4)}
+
+
 def test_closures_of_deep_trees_are_whole(spark):
     n = 100  # a caterpillar: deeper than 64
     rows = [(0, i, i - 1 if i else None, 0.001 if 0 < i < n - 1 else 1.0, i == n - 1, "A", 1) for i in range(n)]
