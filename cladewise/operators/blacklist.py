@@ -5,12 +5,16 @@ tips: tree_id, tip, host (null: no host's tip), reads.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import kernels as K
-from .trees import _tree
+from .rooting import pruned_trees
+from .trees import _cut, _tree
 
 ORDER = ("bl_user_specified", "bl_duplicate", "bl_parsimony_contaminant", "bl_dual_infection_minor_subgraph", "bl_too_few_tips", "bl_too_few_reads", "downsampled")
 
@@ -38,30 +42,33 @@ def duplicates(tips: DataFrame, sets: DataFrame, raw: float, ratio: float) -> Da
     return rows.where(rarer & bad).select("tree_id", "tip", F.lit("bl_duplicate").alias("status")).distinct()
 
 
-def parsimony_contaminants(nodes: DataFrame, raw: float, ratio: float, k: float) -> DataFrame:
-    """Host by host, with all other tips unassigned: subgraphs with few reads, or a small share of the host's, go. A single subgraph goes if its host has few reads. Labels are the tips."""
+def host_splits(nodes: DataFrame, k: float) -> DataFrame:
+    """Tips with their subgraphs, host by host with all other tips unassigned: tree_id, host, subgraph, tip, reads. Labels are the tips; a group is one tree."""
 
     def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out, whole = [], _tree(rows)
         for host in whole.hosts[:-1]:
             t = whole.of_host(host)
-            state = K.trace(t, K.parsimony(t, k), k)
-            name, _ = K.splits(t, state)
-            reads: dict[str, float] = {}
-            tips: dict[str, list] = {}
-            for i in range(len(t.id)):
-                if t.tip[i] and t.host[i] == host:
-                    reads[name[i]] = reads.get(name[i], 0) + t.weight[i]
-                    tips.setdefault(name[i], []).append(t.id[i])
-            total = sum(reads.values())
-            for s, n in reads.items():
-                if n < raw or len(reads) > 1 and n / total < ratio:
-                    out += [(group[0], x) for x in tips[s]]
-        return pd.DataFrame(out, columns=["tree_id", "node"])
+            name, _ = K.splits(t, K.trace(t, K.parsimony(t, k), k))
+            out += [(group[0], host, name[i], t.id[i], int(t.weight[i])) for i in range(len(t.id)) if t.host[i] == host]
+        return pd.DataFrame(out, columns=["tree_id", "host", "subgraph", "tip", "reads"])
 
     kind = nodes.schema["tree_id"].dataType.simpleString()
-    found = nodes.select("tree_id", "node", "parent", "edge_length", "host", "reads").groupBy("tree_id").applyInPandas(run, f"tree_id {kind}, node long")
-    return found.withColumn("status", F.lit("bl_parsimony_contaminant"))
+    return nodes.select("tree_id", "node", "parent", "edge_length", "host", "reads").groupBy("tree_id").applyInPandas(run, f"tree_id {kind}, host string, subgraph string, tip long, reads long")
+
+
+def rare_subgraphs(splits: DataFrame, raw: float, ratio: float) -> DataFrame:
+    """Tips of subgraphs with few reads, or with a small share of the host's reads in the tree. A host's only subgraph goes if it has few reads. splits: tree_id, host, subgraph, tip, reads."""
+    size = splits.groupBy("tree_id", "host", "subgraph").agg(F.sum("reads").alias("_n"))
+    host = Window.partitionBy("tree_id", "host")
+    size = size.withColumns({"_all": F.sum("_n").over(host), "_k": F.count("*").over(host)})
+    go = size.where((F.col("_n") < raw) | (F.col("_k") > 1) & (F.col("_n") / F.col("_all") < ratio))
+    return splits.join(go.select("tree_id", "host", "subgraph"), ["tree_id", "host", "subgraph"], "left_semi").select("tree_id", "tip", F.lit("bl_parsimony_contaminant").alias("status"))
+
+
+def parsimony_contaminants(nodes: DataFrame, raw: float, ratio: float, k: float) -> DataFrame:
+    """rare_subgraphs of host_splits."""
+    return rare_subgraphs(host_splits(nodes, k), raw, ratio)
 
 
 def dual_fraction(splits: DataFrame) -> DataFrame:
@@ -87,13 +94,78 @@ def too_few(tips: DataFrame, min_tips: int = 1, min_reads: int = 1) -> DataFrame
 def downsampled(tips: DataFrame, n: int, keep_short: bool = True, seed: int = 1) -> DataFrame:
     """Exactly n reads of each host and tree, drawn without replacement: tree_id, tip, host, drawn (0: the tip goes).
 
-    Reads are ranked by a hash of tree, tip and read number; hosts short of n keep all, or none.
+    Tips are gone through in order; each gets its part of what is left to draw by a hypergeometric variate, so a tip
+    is one row however many reads it has. Draws follow a hash of seed, tree and host. Hosts short of n keep all,
+    or none.
     """
-    host = Window.partitionBy("tree_id", "host")
-    each = tips.where("host is not null").withColumn("_all", F.sum("reads").over(host)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("reads").cast("int"))))
-    order = host.orderBy(F.xxhash64(F.lit(seed), "tree_id", "tip", "_k"), "tip", "_k")
-    taken = F.col("_i") <= n if keep_short else (F.col("_i") <= n) & (F.col("_all") >= n)
-    return each.withColumn("_i", F.row_number().over(order)).groupBy("tree_id", "tip", "host").agg(F.count_if(taken).alias("drawn"))
+    rows = tips.where("host is not null").select("tree_id", "host", "tip", F.col("reads").cast("long").alias("reads"), F.xxhash64(F.lit(seed), "tree_id", "host").alias("own_seed"))
+    kinds = {c: rows.schema[c] for c in ("tree_id", "tip", "host")}
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("tip")
+        reads = rows.column("reads").to_numpy()
+        if reads.sum() <= n:
+            drawn = reads if keep_short or reads.sum() == n else np.zeros_like(reads)
+        else:
+            rng, drawn, left, rest = np.random.Generator(np.random.PCG64(rows.column("own_seed")[0].as_py() & (1 << 64) - 1)), [], n, int(reads.sum())
+            for own in reads.tolist():
+                rest -= own
+                drawn.append(int(rng.hypergeometric(own, rest, left)) if left and own else 0)
+                left -= drawn[-1]
+            drawn = np.array(drawn, np.int64)
+        return pa.table([*(rows.column(c) for c in kinds), pa.array(drawn)], names=[*kinds, "drawn"])
+
+    return rows.groupBy("tree_id", "host").applyInArrow(run, StructType([*kinds.values()]).add("drawn", "long"))
+
+
+def cleaned_in_order(
+    nodes: DataFrame, listed: DataFrame | None = None, sets: DataFrame | None = None, raw: float = 0, ratio: float = 0, k: float = 0, dual_threshold: float | None = None, min_tips: int = 1, min_reads: int = 1, most_reads: int | None = None, keep_short: bool = True, splits: DataFrame | None = None,
+) -> DataFrame:
+    """The six steps one after the other: tree_id, tip, kept, status, drawn (reads left of a tip; null without downsampling).
+
+    A step sees the tips that earlier steps left, in trees pruned to them: listed ones go (listed: tree_id, tip),
+    then duplicates (sets), rare subgraphs by parsimony (k over 0; or of the given splits), minor subgraphs of duals,
+    hosts with few tips, hosts with few reads (a host's tips and reads are counted anew), and last what is not drawn.
+    Tips of no host are only ever listed. A list that is there already and later steps add up. Duals are told by
+    the subgraphs of the step before, so they need it.
+    """
+    every = nodes.where("is_tip").select("tree_id", F.col("node").alias("tip"), "host", "reads")
+    gone: DataFrame | None = None
+
+    def left(rows: DataFrame) -> DataFrame:
+        return rows if gone is None else rows.join(gone.select("tree_id", "tip"), ["tree_id", "tip"], "left_anti")
+
+    def take(found: DataFrame) -> None:
+        nonlocal gone
+        found = found.select("tree_id", "tip", "status").distinct()
+        # Each step reads what all earlier ones took: the list is cut, a row for each tip that goes.
+        gone = _cut(found if gone is None else gone.unionByName(found))
+
+    if listed is not None:
+        take(user_specified(every, listed))
+    if sets is not None:
+        take(duplicates(left(every), left(sets), raw, ratio))
+    if k > 0 or splits is not None:
+        if splits is None:
+            splits = _cut(host_splits(nodes if gone is None else pruned_trees(nodes, gone), k))
+        take(rare_subgraphs(left(splits), raw, ratio))
+    if dual_threshold is not None:
+        if splits is None:
+            raise ValueError("minor subgraphs of duals need subgraphs: give k or splits")
+        take(duals(left(splits), dual_threshold))
+    if min_tips > 1:
+        take(too_few(left(every), min_tips))
+    if min_reads > 1:
+        take(too_few(left(every), 1, min_reads))
+    drawn = None
+    if most_reads is not None:
+        drawn = _cut(downsampled(left(every), most_reads, keep_short))
+        take(drawn.where("drawn = 0").withColumn("status", F.lit("downsampled")))
+    rows = every.select("tree_id", "tip")
+    rows = rows.withColumn("status", F.lit("included")) if gone is None else rows.join(gone, ["tree_id", "tip"], "left").withColumn("status", F.coalesce("status", F.lit("included")))
+    rows = rows.withColumn("kept", F.col("status") == "included")
+    rows = rows.withColumn("drawn", F.lit(None).cast("long")) if drawn is None else rows.join(drawn.select("tree_id", "tip", "drawn"), ["tree_id", "tip"], "left")
+    return rows.select("tree_id", "tip", "kept", "status", "drawn")
 
 
 def report(tips: DataFrame, *steps: DataFrame) -> DataFrame:

@@ -94,10 +94,21 @@ def cross_sample_duplicates(tips: DataFrame, window: str = "window_id", sample:
     return a.join(b, [window, "seq"]).where("sample_1 < sample_2")
 
 
-def contaminants(pairs: DataFrame, ratio: float, window: str = "window_id") -> DataFrame:
-    """Of duplicates, the rarer sample where the counts differ by the ratio: window, sample, seq, once each."""
-    which = F.when(F.col("n_1") / F.col("n_2") >= ratio, F.col("sample_2")).when(F.col("n_1") / F.col("n_2") <= 1 / ratio, F.col("sample_1"))
-    return pairs.select(window, which.alias("sample"), "seq").where("sample is not null").distinct()
+def sequence_classes(tips: DataFrame, window: str = "window_id", sample: str = "sample") -> DataFrame:
+    """One row for each sequence of a window that several samples have: window, seq, samples, top (n and sample of the commonest), second (the largest n of another sample)."""
+    best = F.max(F.struct("n", sample)).over(Window.partitionBy(window, "seq"))
+    rows = tips.select(window, "seq", sample, "n", best.alias("top"))
+    return rows.groupBy(window, "seq", "top").agg(F.count("*").alias("samples"), F.max(F.when(F.col(sample) != F.col(f"top.{sample}"), F.col("n"))).alias("second")).where("second is not null")
+
+
+def contaminants(tips: DataFrame, ratio: float, window: str = "window_id", sample: str = "sample") -> DataFrame:
+    """Samples whose count of a sequence is so much rarer than another sample's: window, sample, seq. A sequence's largest count decides for all but its own sample, and the second largest for that one, so no pairs are made."""
+    by_class = Window.partitionBy(window, "seq")
+    top = F.max(F.struct("n", sample)).over(by_class)
+    rows = tips.select(window, sample, "seq", "n").withColumn("_top", top)
+    second = F.max(F.when(F.col(sample) != F.col(f"_top.{sample}"), F.col("n"))).over(by_class)
+    rows = rows.withColumn("_other", F.when(F.col(sample) == F.col(f"_top.{sample}"), second).otherwise(F.col("_top.n")))
+    return rows.where(F.col("_other") / F.col("n") >= ratio).select(window, sample, "seq")
 
 
 def duplicate_sets(tips: DataFrame, window: str = "window_id") -> DataFrame:
@@ -317,6 +328,44 @@ def similar_merged(tips: DataFrame, threshold: int, version: str = "A", window:
     return held.cogroup(found.groupBy("_w", "_s")).applyInPandas(run, StructType(fields).add("seq", "string").add("n", "long"))
 
 
+def recombination_of(array: np.ndarray, first: int, stop: int, gap_aware: bool = False) -> tuple[int, tuple[int, int, int] | None]:
+    """The largest score of (parent, parent, recombinant) with the first parent from first to stop - 1 and the second after it, and the first such rows. array: the columns that differ, a row for each sequence.
+
+    No score exceeds half of the sites at which the parents differ, so only pairs that can beat the best so far
+    are tried with a third sequence.
+    """
+    best, found, n = 0, None, len(array)
+    bases = array != "-" if array.dtype.kind == "U" else array != ord("-")
+    for i in range(first, min(stop, n - 1)):
+        apart = array[i + 1 :] != array[i]
+        if not gap_aware:
+            apart &= bases[i + 1 :] & bases[i]
+        half = apart.sum(axis=1) // 2
+        for x in np.flatnonzero(half > best).tolist():
+            if half[x] <= best:
+                continue
+            j, differ = i + 1 + x, apart[x]
+            rest = array[:, differ]
+            sides = (rest == array[i, differ]).astype(np.int32) - (rest == array[j, differ])
+            left = np.cumsum(sides, axis=1)
+            right = left[:, -1:] - left[:, :-1]
+            left = left[:, :-1]
+            unlike, each = np.abs(left - right), np.arange(n)
+            at = unlike.argmax(axis=1)
+            score = np.where(unlike[each, at] > 0, np.minimum(np.abs(left), np.abs(right))[each, at], 0)
+            score[[i, j]] = 0
+            k = int(score.argmax())
+            if score[k] > best:
+                best, found = int(score[k]), (i, j, k)
+    return best, found
+
+
+def _differing(seqs: list[str]) -> tuple[np.ndarray, int]:
+    """Characters of the columns that differ, and how many columns have a base."""
+    array = _codes(seqs)
+    return array[:, (array != array[0]).any(axis=0)], int((array != ord("-")).any(axis=0).sum())
+
+
 def recombination_metric(seqs: list[str], gap_aware: bool = False, to_diversity: bool = False) -> tuple[float, tuple[str, str, str] | None]:
     """The largest recombination score of any (parent, parent, recombinant), and these.
 
@@ -327,40 +376,41 @@ def recombination_metric(seqs: list[str], gap_aware: bool = False, to_diversity:
     """
     if len(seqs) < 3:
         return 0.0, None
-    array = np.array([list(s) for s in seqs])
-    columns = int((array != "-").any(axis=0).sum())
-    array = array[:, (array != array[0]).any(axis=0)]
-    best, found = 0, None
-    for i in range(len(seqs)):
-        for j in range(i + 1, len(seqs)):
-            differ = array[i] != array[j]
-            if not gap_aware:
-                differ &= (array[i] != "-") & (array[j] != "-")
-            if differ.sum() < 2:
-                continue
-            one, two, rest = array[i, differ], array[j, differ], array[:, differ]
-            sides = (rest == one).astype(int) - (rest == two)
-            left = np.cumsum(sides, axis=1)[:, :-1]
-            right = sides.sum(axis=1, keepdims=True) - left
-            apart, each = np.abs(left - right), np.arange(len(seqs))
-            at = apart.argmax(axis=1)
-            score = np.where(apart[each, at] > 0, np.minimum(np.abs(left), np.abs(right))[each, at], 0)
-            score[[i, j]] = 0
-            k = int(score.argmax())
-            if score[k] > best:
-                best, found = int(score[k]), (seqs[i], seqs[j], seqs[k])
-    return best / max(1, (array.shape[1] if to_diversity else columns) // 2), found
+    array, columns = _differing(seqs)
+    best, found = recombination_of(array, 0, len(seqs), gap_aware)
+    return best / max(1, (array.shape[1] if to_diversity else columns) // 2), None if found is None else tuple(seqs[x] for x in found)
 
 
-def recombination(aligned: DataFrame, *keys: str, gap_aware: bool = False) -> DataFrame:
-    """Of each group of aligned sequences: metric, parent_1, parent_2, recombinant (null if 0)."""
+#: First parents of a tile: each is paired with all sequences after it.
+TILE = 64
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        metric, found = recombination_metric(sorted(rows["seq"]), gap_aware)
-        return pd.DataFrame([[*key, metric, *(found or (None, None, None))]], columns=[*keys, "metric", "parent_1", "parent_2", "recombinant"])
 
-    kinds = ", ".join(f"{k} {aligned.schema[k].dataType.simpleString()}" for k in keys)
-    return aligned.select(*keys, "seq").groupBy(*keys).applyInPandas(run, f"{kinds}, metric double, parent_1 string, parent_2 string, recombinant string")
+def recombination(aligned: DataFrame, *keys: str, gap_aware: bool = False, tile: int = TILE) -> DataFrame:
+    """Of each group of aligned sequences: metric, parent_1, parent_2, recombinant (null if 0).
+
+    A group's sequences go to a task for each tile of first parents, so a task holds one alignment and the pairs
+    of its tile; the tiles' best are compared afterwards.
+    """
+    # Of equal sequences two are enough: a third adds no pair and no triple of its own.
+    some = aligned.groupBy(*keys, "seq").agg(F.array_repeat("seq", F.least(F.count("*"), F.lit(2)).cast("int")).alias("copies"))
+    whole = some.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("copies"))).alias("seqs"))
+    tiles = whole.withColumn("tile", F.explode(F.sequence(F.lit(0), F.floor((F.size("seqs") - 1) / tile)))).repartition(*keys, "tile")
+    schema = StructType([aligned.schema[c] for c in keys]).add("score", "long").add("half", "long").add("i", "long").add("j", "long").add("parent_1", "string").add("parent_2", "string").add("recombinant", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for seqs, own in zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True):
+                array, columns = _differing(seqs)
+                best, found = recombination_of(array, own * tile, (own + 1) * tile, gap_aware) if len(seqs) > 2 else (0, None)
+                out.append((best, max(1, columns // 2), *(found[:2] if found else (None, None)), *((seqs[x] for x in found) if found else (None,) * 3)))
+            made = [pa.array(c, pa.int64() if x < 4 else pa.string()) for x, c in enumerate(zip(*out, strict=True))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *made], names=schema.names)
+
+    found = tiles.mapInArrow(run, schema)
+    top = F.min_by(F.struct("score", "half", "parent_1", "parent_2", "recombinant"), F.struct((-F.col("score")).alias("s"), F.col("i").isNull().alias("none"), "i", "j"))
+    best = found.groupBy(*keys).agg(top.alias("t"))
+    return best.select(*keys, (F.col("t.score") / F.col("t.half")).alias("metric"), *[F.when(F.col("t.score") > 0, F.col(f"t.{c}")).alias(c) for c in ("parent_1", "parent_2", "recombinant")])
 
 
 def kept_reads(votes: DataFrame, rule: str = "majority") -> DataFrame:

@@ -99,3 +99,17 @@ def processed(nodes: DataFrame, outgroups: DataFrame, drops: DataFrame | None =
 def kept(rows: DataFrame) -> DataFrame:
     """Of processed(): the nodes of the tree as it is now."""
     return rows.where("old is null or old = node").drop("old")
+
+
+def pruned_trees(nodes: DataFrame, gone: DataFrame, key: str = "tree_id") -> DataFrame:
+    """nodes of the trees without the tips in gone (key, tip), roots as they are; other columns stay with their nodes."""
+    rows = nodes.join(gone.select(key, F.col("tip").alias("node"), F.lit(True).alias("dropped")).distinct(), [key, "node"], "left")
+
+    def run(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        before: Rows = {int(r.node): (None if pd.isna(r.parent) else int(r.parent), float(r.edge_length)) for r in part.itertuples()}
+        tree, _ = contracted(before, {int(r.node) for r in part.itertuples() if r.dropped is True})
+        return pd.DataFrame([(group[0], n, *tree[n]) for n in sorted(tree)], columns=[key, "node", "parent", "edge_length"]).astype({"parent": "Int64"})
+
+    kind = nodes.schema[key].dataType.simpleString()
+    out = rows.select(key, "node", "parent", "edge_length", "dropped").groupBy(key).applyInPandas(run, f"{key} {kind}, node long, parent long, edge_length double")
+    return out.join(nodes.drop("parent", "edge_length"), [key, "node"])

@@ -65,9 +65,9 @@ add("ranked_tips", f"WITH {RANKED} SELECT * FROM l WHERE n >= 2", lambda s, d: R
 add("tip_labels", f"WITH {RANKED} SELECT label, sample AS host, n AS reads FROM l", lambda s, d: labelled(s, d).select("label", FR.host_of(F.col("label")).alias("host"), FR.reads_of(F.col("label")).alias("reads")))
 add("cross_sample_duplicates", f"WITH {TIPS}, {PAIRS} SELECT * FROM p", lambda s, d: R.cross_sample_duplicates(tips(s, d)))
 add("contaminants", f"WITH {TIPS}, {PAIRS} SELECT DISTINCT window_id, CASE WHEN n_1 / n_2 >= 2 THEN sample_2 ELSE sample_1 END AS sample, seq FROM p WHERE n_1 / n_2 >= 2 OR n_1 / n_2 <= 0.5",
-    lambda s, d: R.contaminants(R.cross_sample_duplicates(tips(s, d)), 2))
+    lambda s, d: R.contaminants(tips(s, d), 2))
 add("without_contaminants", f"WITH {TIPS}, {PAIRS}, c AS (SELECT DISTINCT window_id, CASE WHEN n_1 / n_2 >= 2 THEN sample_2 ELSE sample_1 END AS sample, seq FROM p WHERE n_1 / n_2 >= 2 OR n_1 / n_2 <= 0.5) SELECT t.* FROM t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.window_id = t.window_id AND c.sample = t.sample AND c.seq = t.seq)",
-    lambda s, d: R.without(tips(s, d), R.contaminants(R.cross_sample_duplicates(tips(s, d)), 2), "window_id", "sample", "seq"))
+    lambda s, d: R.without(tips(s, d), R.contaminants(tips(s, d), 2), "window_id", "sample", "seq"))
 add("duplicate_sets", f"WITH {RANKED} SELECT window_id, string_agg(label, ',' ORDER BY label) AS labels, count(*) AS n, count(*) <> count(DISTINCT sample) AS repeated_sample FROM l GROUP BY window_id, seq HAVING count(*) > 1",
     lambda s, d: R.duplicate_sets(labelled(s, d)).withColumn("labels", F.array_join("labels", ",")))
 SAMPLES = [f"S{i}" for i in range(25)]  # one for each nation
@@ -123,4 +123,6 @@ add("processed_reads", None, lambda s, d: R.processed(arrays(s, d), F.col("first
 add("merged_mates", None, lambda s, d: R.merged_mates(templates(arrays(s, d)).select("sample", "name", "seq", "positions", "quals")))
 add("similar_merged_a", None, lambda s, d: R.similar_merged(tips(s, d), 1, "A"))
 add("similar_merged_b", None, lambda s, d: R.similar_merged(tips(s, d), 1, "B"))
-add("recombination_metric", None, lambda s, d: R.recombination(R.reassembled(bases(s, d), "window_id", "seq_id").withColumn("part", F.floor(F.col("seq_id") / 400)), "window_id", "part"))
+add("recombination_metric", None, lambda s, d: R.recombination(R.reassembled(bases(s, d), "window_id", "seq_id"), "window_id"))
+add("sequence_classes", f"WITH {TIPS} SELECT window_id, seq, samples, top_n, top_sample, second FROM (SELECT window_id, seq, count(*) AS samples, max(n) AS top_n, arg_max(sample, (n, sample)) AS top_sample, list_sort(list(n), 'DESC')[2] AS second FROM t GROUP BY window_id, seq) x WHERE samples > 1",
+    lambda s, d: R.sequence_classes(tips(s, d)).select("window_id", "seq", "samples", F.col("top.n").alias("top_n"), F.col("top.sample").alias("top_sample"), "second"))

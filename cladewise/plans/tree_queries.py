@@ -135,7 +135,8 @@ add("blacklist_too_few", f"WITH {TIPS} SELECT tree_id, tip, CASE WHEN t < 6 THEN
     lambda s, d: B.too_few(host_tips(s, d), 6, 16))
 add("blacklist_report", f"WITH {TIPS}, u AS (SELECT tree_id, tip, CASE WHEN tip % 10 = 3 THEN 'bl_user_specified' WHEN t < 6 THEN 'bl_too_few_tips' END AS st FROM (SELECT *, count(*) OVER (PARTITION BY tree_id, host) AS t FROM tp) x) SELECT tree_id, tip, st IS NULL AS kept, coalesce(st, 'included') AS status FROM u",
     lambda s, d: B.report(host_tips(s, d), B.too_few(host_tips(s, d), 6), B.user_specified(host_tips(s, d), host_tips(s, d).where("tip % 10 = 3").select("tree_id", "tip"))))
-add("downsampled_reads", f"WITH {TIPS} SELECT tree_id, host, least(CAST(sum(reads) AS BIGINT), 7) AS drawn FROM tp GROUP BY tree_id, host", lambda s, d: B.downsampled(host_tips(s, d), 7).groupBy("tree_id", "host").agg(F.sum("drawn").alias("drawn")))
+add("downsampled_reads", f"WITH {TIPS} SELECT tree_id, host, least(CAST(sum(reads) AS BIGINT), 7) AS drawn, 0 AS over FROM tp GROUP BY tree_id, host",
+    lambda s, d: B.downsampled(host_tips(s, d), 7).join(host_tips(s, d).select("tree_id", "tip", "reads"), ["tree_id", "tip"]).groupBy("tree_id", "host").agg(F.sum("drawn").alias("drawn"), F.count_if((F.col("drawn") < 0) | (F.col("drawn") > F.col("reads"))).cast("int").alias("over")))
 add("blacklist_parsimony", None, lambda s, d: B.parsimony_contaminants(nodes(s, d), 3, 0.2, 2.0))
 
 
@@ -144,6 +145,27 @@ def split_tips(s, d):
     return nodes(s, d).where("is_tip and host is not null").select("tree_id", "host", "node", "reads", F.concat("host", F.lit("-SPLIT"), F.col("node") % 3).alias("subgraph"))
 
 
+def listed(s, d):
+    return host_tips(s, d).where("tip % 10 = 3").select("tree_id", "tip")
+
+
+# Each step on what the one before left.
+_CHAIN = f"""{_SUB}, bu AS (SELECT tree_id, tip FROM tp WHERE tip % 10 = 3), t1 AS (SELECT * FROM tp ANTI JOIN bu USING (tree_id, tip)),
+m AS (SELECT ds.set_id, t1.* FROM ({_SETS}) ds JOIN t1 USING (tree_id, tip)),
+bd AS (SELECT DISTINCT b.tree_id, b.tip FROM m a JOIN m b ON a.tree_id = b.tree_id AND a.set_id = b.set_id AND a.host <> b.host AND (a.reads > b.reads OR a.reads = b.reads AND a.tip < b.tip) WHERE b.reads / a.reads < 0.3 OR b.reads < 2),
+t2 AS (SELECT * FROM t1 ANTI JOIN bd USING (tree_id, tip)), s2 AS (SELECT * FROM sg SEMI JOIN t2 USING (tree_id, tip)),
+z2 AS (SELECT *, sum(n) OVER (PARTITION BY tree_id, host) AS al, count(*) OVER (PARTITION BY tree_id, host) AS k FROM (SELECT tree_id, host, subgraph, sum(reads) AS n FROM s2 GROUP BY tree_id, host, subgraph) x),
+bp AS (SELECT s2.tree_id, s2.tip FROM s2 JOIN z2 USING (tree_id, host, subgraph) WHERE n < 2 OR k > 1 AND n / al < 0.3), s3 AS (SELECT * FROM s2 ANTI JOIN bp USING (tree_id, tip)),
+z3 AS (SELECT *, count(*) OVER (PARTITION BY tree_id, host) AS k, row_number() OVER (PARTITION BY tree_id, host ORDER BY n DESC, subgraph DESC) AS r FROM (SELECT tree_id, host, subgraph, sum(reads) AS n FROM s3 GROUP BY tree_id, host, subgraph) x),
+f3 AS (SELECT host, count(*) FILTER (k > 1) / count(*) AS fraction FROM (SELECT DISTINCT tree_id, host, k FROM z3) x GROUP BY host),
+bm AS (SELECT s3.tree_id, s3.tip FROM s3 JOIN z3 USING (tree_id, host, subgraph) JOIN f3 USING (host) WHERE k > 1 AND (fraction > 0.6 OR r > 1)),
+t4 AS (SELECT * FROM t2 ANTI JOIN bp USING (tree_id, tip) ANTI JOIN bm USING (tree_id, tip)), bt AS (SELECT tree_id, tip FROM (SELECT *, count(*) OVER (PARTITION BY tree_id, host) AS n FROM t4) x WHERE n < 2),
+t5 AS (SELECT * FROM t4 ANTI JOIN bt USING (tree_id, tip)), br AS (SELECT tree_id, tip FROM (SELECT *, sum(reads) OVER (PARTITION BY tree_id, host) AS n FROM t5) x WHERE n < 7),
+al AS (SELECT *, 'bl_user_specified' AS status FROM bu UNION ALL SELECT *, 'bl_duplicate' FROM bd UNION ALL SELECT *, 'bl_parsimony_contaminant' FROM bp UNION ALL SELECT *, 'bl_dual_infection_minor_subgraph' FROM bm UNION ALL SELECT *, 'bl_too_few_tips' FROM bt UNION ALL SELECT *, 'bl_too_few_reads' FROM br)"""
+add("cleaned_in_order", f"WITH {_CHAIN} SELECT tp.tree_id, tp.tip, status IS NULL AS kept, coalesce(status, 'included') AS status FROM tp LEFT JOIN al USING (tree_id, tip)",
+    lambda s, d: B.cleaned_in_order(nodes(s, d), listed(s, d), sets(s, d), 2, 0.3, dual_threshold=0.6, min_tips=2, min_reads=7, splits=subgraphs(s, d)).drop("drawn"))
+# The same with the trees' own subgraphs, pruned before they are found, and downsampling.
+add("cleaned_trees", None, lambda s, d: B.cleaned_in_order(nodes(s, d), listed(s, d), sets(s, d), 2, 0.3, 2.0, 0.6, 2, 3, 12))
 add("subtree_statistics", None, lambda s, d: rounded(S.subtree_statistics(up(s, d), nodes(s, d), split_tips(s, d)), *S.STATISTICS))
 add("window_statistics", None, lambda s, d: rounded(S.window_statistics(up(s, d), nodes(s, d), split_tips(s, d), split_tips(s, d), view(s, d, "v_norm").withColumnRenamed("pos", "tree_id")), *S.STATISTICS, *[f"normalised_{c}" for c in S.STATISTICS]))
 add("host_descent", None, lambda s, d: S.host_descent(up(s, d), split_tips(s, d)))

@@ -59,3 +59,51 @@ def test_duplicates_by_pairs(spark, raw, ratio):
     frame = spark.createDataFrame(tips, "tree_id long, tip long, host string, reads long")
     got = B.duplicates(frame, spark.createDataFrame(sets, "tree_id long, set_id long, tip long"), raw, ratio)
     assert {r.tip for r in got.collect()} == want
+
+
+def test_draws_without_replacement(spark):
+    own = [1, 0, 5, 10, 34]
+    tips = spark.range(3000).selectExpr("id AS tree_id", "explode(array(1L, 2L, 3L, 4L, 5L)) AS tip").selectExpr("tree_id", "tip", "'A' AS host", "element_at(array(1L, 0L, 5L, 10L, 34L), cast(tip AS int)) AS reads")
+    rows = B.downsampled(tips, 12).collect()
+    by_tip = {t: [r.drawn for r in rows if r.tip == t] for t in range(1, 6)}
+    total = {}
+    for r in rows:
+        total[r.tree_id] = total.get(r.tree_id, 0) + r.drawn
+    assert set(total.values()) == {12} and len(total) == 3000
+    for t, n in enumerate(own, 1):
+        mean, spread = 12 * n / 50, 12 * (n / 50) * (1 - n / 50) * (50 - 12) / 49
+        got = sum(by_tip[t]) / 3000
+        assert max(by_tip[t]) <= n and abs(got - mean) < 5 * (spread / 3000) ** 0.5 + 1e-9
+        assert abs(sum((x - mean) ** 2 for x in by_tip[t]) / 3000 - spread) < 0.15 * spread + 1e-9
+    # Chi-square of the commonest tip's draws against the hypergeometric law.
+    from math import comb
+
+    law = {k: 3000 * comb(34, k) * comb(16, 12 - k) / comb(50, 12) for k in range(13)}
+    chi = sum((sum(x == k for x in by_tip[5]) - e) ** 2 / e for k, e in law.items() if e > 5)
+    assert chi < 30
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, B.downsampled(tips.repartition(7), 12).collect()))
+
+
+def test_hosts_short_of_reads(spark):
+    tips = spark.createDataFrame([(1, 1, "A", 2), (1, 2, "A", 3), (1, 3, None, 9), (1, 4, "B", 10**6)], "tree_id long, tip long, host string, reads long")
+    assert {(r.tip, r.drawn) for r in B.downsampled(tips, 6).collect()} == {(1, 2), (2, 3), (4, 6)}
+    assert {(r.tip, r.drawn) for r in B.downsampled(tips, 6, keep_short=False).collect()} == {(1, 0), (2, 0), (4, 6)}
+
+
+def test_each_step_sees_what_is_left(spark):
+    nodes = spark.createDataFrame(
+        [(1, 1, None, 0.0, False, None, 0), (1, 2, 1, 1.0, True, "A", 9), (1, 3, 1, 1.0, False, None, 0), (1, 4, 3, 1.0, True, "A", 1), (1, 5, 3, 1.0, True, "B", 1)],
+        "tree_id long, node long, parent long, edge_length double, is_tip boolean, host string, reads long",
+    )
+    listed = spark.createDataFrame([(1, 2)], "tree_id long, tip long")
+    sets = spark.createDataFrame([(1, 1, 2), (1, 1, 5)], "tree_id long, set_id long, tip long")
+    status = lambda **x: {r.tip: r.status for r in B.cleaned_in_order(nodes, **x).collect()}
+    assert status() == {2: "included", 4: "included", 5: "included"}
+    assert status(sets=sets, raw=2) == {2: "included", 4: "included", 5: "bl_duplicate"}
+    # Without tip 2 nothing is a duplicate of tip 5, and A has one tip.
+    assert status(listed=listed, sets=sets, raw=2) == {2: "bl_user_specified", 4: "included", 5: "included"}
+    assert status(listed=listed, min_tips=2) == {2: "bl_user_specified", 4: "bl_too_few_tips", 5: "bl_too_few_tips"}
+    # The root is unassigned, so A has two subgraphs, one of which is rare.
+    assert status(k=1.0, raw=2, ratio=0.0) == {2: "included", 4: "bl_parsimony_contaminant", 5: "bl_parsimony_contaminant"}
+    with pytest.raises(ValueError):
+        status(dual_threshold=0.5)

@@ -209,3 +209,27 @@ def test_insert_sizes_take_all_reads(spark):
     sf = "/root/testdata/sf0.001"
     of_reads = F.sum(F.when(F.col("kind") == "overlapping", 2 * F.col("n")).otherwise(F.col("n")))
     assert Q.QUERIES["insert_sizes"](spark, sf).agg(of_reads).first()[0] == view(spark, sf, "v_reads").count()
+
+
+@pytest.mark.parametrize("tile", [1, 3, 64])
+def test_recombination_by_tiles(spark, tile):
+    import random
+
+    rng = random.Random(tile)
+    groups = {g: [s for s in ("".join(rng.choice("ACG-") for _ in range(12)) for _ in range(8)) for _ in range(rng.choice([1, 1, 3]))] for g in range(6)} | {9: ["ACGT", "ACGA"]}
+    df = spark.createDataFrame([(g, s) for g, own in groups.items() for s in own], "window_id long, seq string")
+    for gap_aware in (False, True):
+        got = {r.window_id: (r.metric, (r.parent_1, r.parent_2, r.recombinant)) for r in R.recombination(df, "window_id", gap_aware=gap_aware, tile=tile).collect()}
+        want = {g: R.recombination_metric(sorted(own), gap_aware) for g, own in groups.items()}
+        assert got == {g: (m, found or (None, None, None)) for g, (m, found) in want.items()}
+
+
+def test_contaminants_by_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(w, h, s, rng.randrange(1, 12)) for w in range(3) for h in "abcdefg" for s in ("AA", "CC", "GG") if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "window_id int, sample string, seq string, n long")
+    for ratio in (2.0, 3.0, 1.0):
+        want = {(w, h, s) for w, h, s, n in rows if any(x == w and t == s and g != h and m / n >= ratio for x, g, t, m in rows)}
+        assert {tuple(r) for r in R.contaminants(df, ratio).collect()} == want
