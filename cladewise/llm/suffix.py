@@ -367,9 +367,8 @@ def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = HOT)
     covered = whole.unionByName(found.join(live.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_anti"))
     hits = seen.select("id", "th", "anchor", "context", "lo").join(covered, ["anchor", "context"])
     moved = F.transform("ranges", lambda r: F.struct((r["from"] + F.col("lo")).alias("from"), (r["to"] + F.col("lo")).alias("to")))
-    # Equal rows have equal ranges: each is told once.
-    hits = hits.select("id", "th", F.explode(moved).alias("r")).distinct()
-    out = staged(hits.groupBy("id", "th").agg(F.collect_list("r").alias("ranges")), "spans")
+    # Equal rows have equal ranges: each list is told once. Lists stay whole, so a common passage makes no more rows than its documents have anchors.
+    out = staged(hits.select("id", "th", moved.alias("r")).groupBy("id", "th").agg(F.flatten(F.collect_set("r")).alias("ranges")), "spans")
     scratch.drop()
     return out
 
