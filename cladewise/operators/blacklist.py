@@ -182,6 +182,15 @@ def report(tips: DataFrame, *steps: DataFrame) -> DataFrame:
     return rows.join(first, ["tree_id", "tip"], "left").select("tree_id", "tip", F.col("status").isNull().alias("kept"), F.coalesce("status", F.lit("included")).alias("status"))
 
 
+def attached(tips: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Tips (tree_id, tip) with their aligned sequence (tree_id, tip, seq). A tree's alignment has each of its tips once and no other name; else the run stops."""
+    both = tips.select("tree_id", "tip", F.lit(True).alias("_there")).join(sequences.select("tree_id", "tip", "seq"), ["tree_id", "tip"], "full")
+    times = F.count("*").over(Window.partitionBy("tree_id", "tip"))
+    told = lambda what: F.raise_error(F.concat(F.lit("tree "), F.col("tree_id").cast("string"), F.lit(f": {what} "), F.col("tip").cast("string")))
+    right = F.when(F.col("_there").isNull(), told("no tip has the name")).when(F.col("seq").isNull(), told("no sequence has the name")).when(times > 1, told("more than one has the name")).otherwise(F.lit(True))
+    return both.withColumn("_right", right).where("_right").select("tree_id", "tip", "seq")
+
+
 def cleaned(sequences: DataFrame, status: DataFrame) -> DataFrame:
-    """Aligned sequences (tree_id, tip, seq) without those of tips that go."""
-    return sequences.join(status.where("not kept").select("tree_id", "tip"), ["tree_id", "tip"], "left_anti")
+    """Aligned sequences (tree_id, tip, seq) without those of tips that go. Tips and sequences have to have the same names."""
+    return attached(status.where("kept or not kept"), sequences).join(status.where("not kept").select("tree_id", "tip"), ["tree_id", "tip"], "left_anti")

@@ -41,12 +41,13 @@ def proportions(flows: DataFrame, *within: str) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, *keys: str, value: str = "value", shares: dict[str, float] = QUANTILES) -> DataFrame:
-    """Named quantiles (linear interpolation) and a label "median [lower-upper]" in percent."""
+    """Named quantiles (linear interpolation); labelled() puts them into words."""
     out = rows.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, shares.values()))).alias("_p")).select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(shares)])
     return out
 
 
 def labelled(rows: DataFrame) -> DataFrame:
+    """rows with a label "median [lower - upper]" in percent of one decimal, halves to even."""
     percent = lambda c: F.concat(F.bround(F.col(c) * 100, 1).cast("decimal(20,1)").cast("string"), F.lit("%"))
     return rows.withColumn("label", F.concat(percent("m"), F.lit(" ["), percent("cl"), F.lit(" - "), percent("cu"), F.lit("]")))
 
@@ -98,8 +99,8 @@ def imputed(rows: DataFrame, column: str, *by: str) -> DataFrame:
 def flow_posterior(obs: np.ndarray, source: np.ndarray, recipient: np.ndarray, prior: list[np.ndarray], steps: int, seed: int, joint: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
     """Metropolis within Gibbs. Counts are Poisson with rate flow * xi_source * xi_recipient; flows have Gamma(0.8 / n, b) priors.
 
-    obs: counts by pair; source, recipient: sampling categories of the pairs; prior: draws of each category's
-    sampling probability. Odd steps propose one category's probability from its prior and weigh it by the
+    obs: counts by pair; source, recipient: numbers of the pairs' unknown sampling probabilities; prior: draws of
+    each of these. Odd steps propose one category's probability from its prior and weigh it by the
     likelihood of all pairs it takes part in, even steps draw the flows. joint: the probability and its pairs' flows
     are proposed together, the flows from their conditional, so that the ratio has the flows integrated out.
     Returns log flows and probabilities by step, and the share of proposals that were accepted.
@@ -144,18 +145,23 @@ def flow_posterior(obs: np.ndarray, source: np.ndarray, recipient: np.ndarray, p
 def flow_draws(obs: DataFrame, prior: DataFrame, chains: int = 4, steps: int = 200, seed: int = 42, joint: bool = False) -> DataFrame:
     """Posterior draws: chain, sample, source, recipient, value (log flow), accepted. Chains run side by side.
 
-    obs (source, recipient, obs) and prior (category, p) are a study's category tables: pairs of population
-    groups, not its people; each chain needs all of them and gets them with its group.
+    obs (source, recipient, obs) and prior (category, p, and who: "source", "recipient" or null) are a study's
+    category tables: pairs of population groups, not its people; each chain needs all of them and gets them with
+    its group. A category may have a prior for each role; a prior without a role, or a table without the column,
+    stands for both, and a category without a prior for one of its roles is an error.
     """
-    rows = obs.select(F.lit(0).alias("kind"), "source", "recipient", F.col("obs").cast("double").alias("x")).unionByName(prior.select(F.lit(1).alias("kind"), F.col("category").alias("source"), F.lit(None).cast("string").alias("recipient"), F.col("p").alias("x")))
+    prior = prior if "who" in prior.columns else prior.withColumn("who", F.lit(None).cast("string"))
+    rows = obs.select(F.lit(0).alias("kind"), "source", "recipient", F.col("obs").cast("double").alias("x")).unionByName(prior.select(F.lit(1).alias("kind"), F.col("category").alias("source"), F.col("who").alias("recipient"), F.col("p").alias("x")))
     rows = rows.withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(chains))))
 
     def run(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
         pairs = part[part["kind"] == 0].sort_values(["source", "recipient"])
-        draws = {c: np.sort(g["x"].to_numpy()) for c, g in part[part["kind"] == 1].groupby("source")}
-        names = sorted(draws)
-        code = {c: i for i, c in enumerate(names)}
-        flow, _, accepted = flow_posterior(pairs["x"].to_numpy(), pairs["source"].map(code).to_numpy(), pairs["recipient"].map(code).to_numpy(), [draws[c] for c in names], steps, seed + int(group[0]), joint)
+        draws = {(c, None if pd.isna(w) else w): np.sort(g["x"].to_numpy()) for (c, w), g in part[part["kind"] == 1].groupby(["source", "recipient"], dropna=False)}
+        # A prior for both roles is one unknown for both.
+        names = sorted(draws, key=lambda n: (n[0], n[1] or ""))
+        code = {n: i for i, n in enumerate(names)}
+        of = lambda who: np.array([code[c, who] if (c, who) in code else code[c, None] for c in pairs[who]])
+        flow, _, accepted = flow_posterior(pairs["x"].to_numpy(), of("source"), of("recipient"), [draws[c] for c in names], steps, seed + int(group[0]), joint)
         n = len(pairs)
         return pd.DataFrame({"chain": int(group[0]), "sample": np.repeat(np.arange(1, steps + 1), n), "source": np.tile(pairs["source"].to_numpy(), steps), "recipient": np.tile(pairs["recipient"].to_numpy(), steps), "value": flow.reshape(-1), "accepted": accepted})
 

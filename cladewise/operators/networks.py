@@ -5,12 +5,17 @@ dc: host_1, host_2, categorisation, dist_level, type, k, k_eff, n, n_eff, score
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.folders import shared_folder
 from .kernels import edmonds
+from .reports import numbered
 
 LINK = ("close_and_adjacent_cat", "close.and.adjacent", "not.close.or.nonadjacent")
 SCORES, AMBIGUOUS = "close_and_adjacent_and_ancestry_cat", "complex.or.no.ancestry"
@@ -38,29 +43,53 @@ def with_metadata(rows: DataFrame, meta: DataFrame, key: str = "id") -> DataFram
     return rows
 
 
-def components(edges: DataFrame, a: str = "host_1", b: str = "host_2", checkpoint: bool = True) -> DataFrame:
-    """Weak components of an edge list: id, label (the least id). Alternating star contraction; the lineage is cut in every round."""
-    spark = edges.sparkSession
+#: Links that one task may hold whole (two names each); beyond, stars are contracted by joins.
+ONE_TASK = 200_000
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and the least id that it is linked with, over all links (u, v) of the task."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-    def cut(df: DataFrame) -> DataFrame:
-        if not checkpoint:
-            return df.persist()
-        shared_folder(spark)
-        return df.checkpoint()
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([top(x) for x in up], kind)], names=["id", "label"])
 
-    own = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    links, before = cut(own.where("u <> v").distinct()), None
+
+def components(edges: DataFrame, a: str = "host_1", b: str = "host_2", most: int = ONE_TASK) -> DataFrame:
+    """Weak components of an edge list: id, label (the least id).
+
+    The links are cut once and counted. Up to `most` are labelled in one task; more by alternating star contraction,
+    whose lineage is cut in every round, until a round changes no link.
+    """
+    shared_folder(edges.sparkSession)
+    own = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint()
+    if own.count() <= most:
+        return own.coalesce(1).mapInArrow(_labelled, StructType().add("id", own.schema["u"].dataType).add("label", own.schema["u"].dataType))
+    links = own.where("u <> v")
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(links.join(least, "u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        links = cut(small.where("u <> v").distinct())
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        now = small.where("u <> v").distinct().checkpoint()
+        # Links only ever point to lesser ids: a round that gives none that is new, and loses none, is the last.
+        done = now.join(links, ["u", "v"], "left_anti").isEmpty() and links.join(now, ["u", "v"], "left_anti").isEmpty()
+        links = now
+        if done:
             break
-        before = now
     label = links.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "id")
     ids = own.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     return ids.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -71,7 +100,8 @@ def networks(dc: DataFrame, neff_cut: float = 3) -> DataFrame:
     group, yes, _ = LINK
     pairs = dc.where((F.col("categorisation") == group) & (F.col("type") == yes) & (F.col("n_eff") > neff_cut)).select("host_1", "host_2")
     found = components(pairs)
-    size = found.groupBy("label").agg(F.count("*").alias("size")).withColumn("network", F.row_number().over(Window.orderBy(F.col("size").desc(), "label")).cast("long"))
+    size = found.groupBy("label").agg(F.count("*").alias("size")).withColumn("_order", F.struct((-F.col("size")).alias("n"), "label")).checkpoint()
+    size = numbered(size, "_order", "network").drop("_order")
     return found.join(size, "label").select("id", "network", "size")
 
 

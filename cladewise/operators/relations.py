@@ -161,7 +161,7 @@ def summary(pairs: DataFrame, min_threshold: float = 0, dist_threshold: float =
 
 def _arrow(rows: DataFrame, arrow_threshold: float, total: float) -> DataFrame:
     shown = (F.col("total_12") >= arrow_threshold * total) | (F.col("total_21") >= arrow_threshold * total)
-    text = lambda x: F.regexp_replace(F.regexp_replace(F.bround(x / total, 2).cast("decimal(20,2)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    text = lambda x: F.regexp_replace(F.regexp_replace(F.bround(F.round(x / total, 9), 2).cast("decimal(20,2)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     largest = F.greatest("total_12", "total_21")
     back = shown & (F.col("total_12") <= F.col("total_21"))
     return rows.select(

@@ -89,7 +89,7 @@ def window_statistics(up: DataFrame, nodes: DataFrame, tips: DataFrame, hosts: D
     A host that a tree lacks has counts of 0 and null statistics. recombination (key, host, recombination_metric)
     keeps the hosts that it has; duals (key, host, dual_count) may lack some.
     """
-    all_rows = nodes.select(key).distinct().crossJoin(F.broadcast(hosts.select("host").distinct()))  # hosts: the study's list
+    all_rows = nodes.select(key).distinct().crossJoin(hosts.select("host").distinct())
     counts = tips.groupBy(key, "host").agg(F.count("*").alias("tips"), F.sum("reads").alias("reads"), F.countDistinct("subgraph").alias("subgraphs"))
     clades = T.host_clades(up, nodes, key).groupBy(key, "host").agg(F.count("*").alias("clades"))
     rows = all_rows.join(counts, [key, "host"], "left").join(clades, [key, "host"], "left").na.fill(0, ["tips", "reads", "subgraphs", "clades"])

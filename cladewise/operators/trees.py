@@ -260,6 +260,13 @@ def split_paths(splits: DataFrame, key: str = "tree_id") -> DataFrame:
     return found.join(nodes, [key, "host_2"])
 
 
+def tips_and_reads(tips: DataFrame, key: str = "tree_id") -> DataFrame:
+    """Tips and reads of every host in every tree, 0 where a tree lacks it: key, host, tips, reads. The grid is trees x hosts, as asked for."""
+    counts = tips.where("host is not null").groupBy(key, "host").agg(F.count("*").alias("tips"), F.sum("reads").alias("reads"))
+    grid = tips.select(key).distinct().crossJoin(counts.select("host").distinct())
+    return grid.join(counts, [key, "host"], "left").na.fill(0, ["tips", "reads"])
+
+
 def read_proportions(splits: DataFrame, key: str = "tree_id", host: str = "host") -> DataFrame:
     """A host's reads by subgraph as shares, largest first, filled with 0 up to the most subgraphs of any host and tree."""
     by = splits.groupBy(key, host, "split").agg(F.sum("reads").alias("reads"))

@@ -8,36 +8,66 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def explicit_over(bounds: DataFrame, *keys: str) -> DataFrame:
+    """Of lists of places (keys, bounds), two for each window: keys, window_id, w_start, w_end. A list has pairs of places from 1 on, each in order; another list stops the run."""
+    pair = F.transform(F.sequence(F.lit(0), F.floor(F.size("bounds") / 2).cast("int") - 1), lambda i: F.struct(i.cast("long").alias("window_id"), F.get("bounds", 2 * i).cast("long").alias("w_start"), F.get("bounds", 2 * i + 1).cast("long").alias("w_end")))
+    right = (F.size("bounds") >= 2) & (F.size("bounds") % 2 == 0)
+    rows = bounds.select(*keys, F.explode(F.when(right, pair).otherwise(F.raise_error(F.lit("an even number of window bounds is needed")))).alias("w")).select(*keys, "w.*")
+    in_order = (F.col("w_start") >= 1) & (F.col("w_start") < F.col("w_end"))
+    return rows.withColumn("w_end", F.when(in_order, F.col("w_end")).otherwise(F.raise_error(F.lit("window bounds start at 1, and a window's start lies before its end")).cast("long")))
+
+
 def explicit_windows(spark: SparkSession, bounds: Sequence[int]) -> DataFrame:
     """Pairs of a flat list: window_id, w_start, w_end. The list has pairs of places from 1 on, each in order."""
     if len(bounds) % 2 or not bounds:
         raise ValueError("an even number of window bounds is needed")
     if any(b < 1 for b in bounds) or any(a >= b for a, b in zip(bounds[::2], bounds[1::2])):
         raise ValueError("window bounds start at 1, and a window's start lies before its end")
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(bounds[::2], bounds[1::2]))], "window_id long, w_start long, w_end long")
+    return explicit_over(spark.range(1).select(F.array(*[F.lit(b).cast("long") for b in bounds]).alias("bounds")))
+
+
+def _span(spark: SparkSession, start: int, end: int) -> DataFrame:
+    return spark.range(1).select(F.lit(start).cast("long").alias("first"), F.lit(end).cast("long").alias("last"))
+
+
+def sliding_over(spans: DataFrame, width: int, overlap: int, *keys: str) -> DataFrame:
+    """Of stretches (keys, first, last) windows of a width that overlap: keys, window_id, w_start, w_end. A negative overlap leaves gaps; a stretch shorter than the width has none."""
+    if width - overlap < 1:
+        raise ValueError("windows must move on")
+    step = width - overlap
+    rows = spans.where(F.col("first") + width - 1 <= F.col("last")).select(*keys, "first", F.explode(F.sequence("first", F.col("last") - width + 1, F.lit(step).cast("long"))).alias("w_start"))
+    return rows.select(*keys, F.floor((F.col("w_start") - F.col("first")) / step).alias("window_id"), "w_start", (F.col("w_start") + width - 1).alias("w_end"))
 
 
 def sliding_windows(spark: SparkSession, width: int, overlap: int, start: int, end: int) -> DataFrame:
     """Windows of a width that overlap; a negative overlap leaves gaps. The last one ends at `end` or before."""
     if width - overlap < 1 or start + width - 1 > end:
         raise ValueError("at least one window must fit, and windows must move on")
-    rows = spark.range(1).select(F.explode(F.sequence(*[F.lit(x).cast("long") for x in (start, end - width + 1, width - overlap)])).alias("w_start"))
-    return rows.select(F.floor((F.col("w_start") - start) / (width - overlap)).alias("window_id"), "w_start", (F.col("w_start") + width - 1).alias("w_end"))
+    return sliding_over(_span(spark, start, end), width, overlap)
+
+
+def exploratory_over(spans: DataFrame, widths: Sequence[int], *keys: str) -> DataFrame:
+    """Of stretches (keys, first, last) for each width windows side by side: keys, width, w_start, w_end."""
+    rows = spans.select("*", F.explode(F.array(*[F.lit(w).cast("long") for w in widths])).alias("width")).where(F.col("first") + F.col("width") - 1 <= F.col("last"))
+    rows = rows.select(*keys, "width", F.explode(F.sequence("first", F.col("last") - F.col("width") + 1, F.col("width"))).alias("w_start"))
+    return rows.withColumn("w_end", F.col("w_start") + F.col("width") - 1)
 
 
 def exploratory_windows(spark: SparkSession, widths: Sequence[int], start: int, end: int) -> DataFrame:
     """For each width windows side by side: width, w_start, w_end."""
-    rows = spark.createDataFrame([(w,) for w in widths], "width long").where(F.lit(start) + F.col("width") - 1 <= end)
-    rows = rows.withColumn("w_start", F.explode(F.sequence(F.lit(start).cast("long"), F.lit(end).cast("long") - F.col("width") + 1, F.col("width"))))
-    return rows.withColumn("w_end", F.col("w_start") + F.col("width") - 1)
+    return exploratory_over(_span(spark, start, end), widths)
+
+
+def increment_over(spans: DataFrame, width: int, increment: int | None = None, *keys: str) -> DataFrame:
+    """Of stretches (keys, first, last) starts at fixed steps (a tenth of the width, 1 at least): keys, w_start, w_end. Another window ends with the stretch if the last one doesn't."""
+    step, top = increment or max(1, width // 10), F.col("last") - width + 1
+    starts = F.array_distinct(F.concat(F.sequence(F.col("first"), top, F.lit(step).cast("long")), F.array(top)))
+    return spans.where(top >= F.col("first")).select(*keys, F.explode(starts).alias("w_start")).withColumn("w_end", F.col("w_start") + width - 1)
 
 
 def increment_windows(spark: SparkSession, width: int, end: int, increment: int | None = None) -> DataFrame:
     """Starts at fixed steps (a tenth of the width, 1 at least); another window ends with the end if the last one doesn't."""
-    step = increment or max(1, width // 10)
-    rows = spark.range(1).select(F.explode(F.sequence(*[F.lit(x).cast("long") for x in (1, end - width + 1, step)])).alias("w_start"))
-    last = spark.range(1).select(F.lit(end - width + 1).cast("long").alias("w_start"))
-    return rows.unionByName(last).distinct().withColumn("w_end", F.col("w_start") + width - 1)
+    return increment_over(_span(spark, 1, end), width, increment)
 
 
 def informative_windows(columns: DataFrame, width: float, overlap: int, key: str = "aln") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import flows as W
 from ..operators import networks as N
+from ..operators import trees as T
 from ..operators import relations as R
 from .relation_queries import SCORES, dwin, rounded
 from .views import oracle, view
@@ -38,7 +39,16 @@ add("pairs_with_repeated_metadata", f"{SCORES}{_LINKED}, m AS (SELECT * FROM (SE
     lambda s, d: N.with_metadata(linked(s, d), view(s, d, "v_meta_twice")))
 add("network_components", SCORES.replace("WITH ", "WITH RECURSIVE ", 1) + _LINKED + ", ed AS (SELECT host_1 AS a, host_2 AS b FROM lk UNION SELECT host_2, host_1 FROM lk), rc AS (SELECT DISTINCT a AS id, a AS label FROM ed UNION SELECT ed.b, rc.label FROM rc JOIN ed ON ed.a = rc.id) SELECT id, min(label) AS label FROM rc GROUP BY id",
     lambda s, d: N.components(linked(s, d)))
-add("most_likely_chains", None, lambda s, d: (lambda c: N.decorated(N.chains(N.directions(N.network_edges(c, N.networks(c, 8), 8))), c).select("network", "host_1", "host_2", "link_12", "link_21", *[F.round(x, 9).alias(x) for x in ("score_linked", "score_dir_12", "score_dir_21", "score_nw_12", "score_nw_21")]))(dc(s, d).persist()))
+def most_likely_chains(s, d):
+    c = T._cut(dc(s, d))  # read by the networks, their edges and the scores
+    nets = T._cut(N.networks(c, 8))
+    found = N.decorated(N.chains(N.directions(N.network_edges(c, nets, 8))), c)
+    return rounded(found.select("network", "host_1", "host_2", "link_12", "link_21", "score_linked", "score_dir_12", "score_dir_21", "score_nw_12", "score_nw_21"), "score_linked", "score_dir_12", "score_dir_21", "score_nw_12", "score_nw_21")
+
+
+add("most_likely_chains", None, most_likely_chains)
+# Components by rounds of joins as well, as for links that no task can hold.
+add("network_components_by_rounds", ORACLE["network_components"], lambda s, d: N.components(linked(s, d), most=0))
 
 
 def draws(s, d):
@@ -69,6 +79,12 @@ add("flow_grid", "SELECT s.source, r.recipient, coalesce(o.obs, 0) AS obs FROM (
     lambda s, d: (lambda o: W.grid_counts(o.where("obs % 2 = 0"), o, o).select("source", "recipient", "obs"))(view(s, d, "v_dobs")))
 add("flow_diagnostics", "SELECT pair_id, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS sd, round(median(value), 9) AS median, round(quantile_cont(value, 0.025), 9) AS lower, round(quantile_cont(value, 0.975), 9) AS upper FROM {v_draws} GROUP BY pair_id",
     lambda s, d: rounded(W.diagnostics(draws(s, d), "pair_id"), "mean", "sd", "median", "lower", "upper").drop("ess"))
+_PCT = "CAST(CAST(round_even(round({c} * 1000, 6) / 10, 1) AS DECIMAL(20,1)) AS VARCHAR) || '%'"
+add("flow_labels", f"WITH {_FLOWS}, q AS (SELECT source, recipient, {_Q} FROM (SELECT source, recipient, value / sum(value) OVER (PARTITION BY sample) AS value FROM fl) x GROUP BY source, recipient) SELECT source, recipient, " + _PCT.replace("{c}", "m") + " || ' [' || " + _PCT.replace("{c}", "cl") + " || ' - ' || " + _PCT.replace("{c}", "cu") + " || ']' AS label FROM q",
+    lambda s, d: W.labelled(W.quantiles(W.proportions(flows(s, d)), "source", "recipient")).select("source", "recipient", "label"))
+add("flow_lowest", "SELECT pair_id, round(avg(value), 9) AS mean FROM {v_draws} GROUP BY pair_id ORDER BY avg(value) LIMIT 10", lambda s, d: rounded(W.lowest(W.diagnostics(draws(s, d), "pair_id"), "mean"), "mean").select("pair_id", "mean"))
+add("flow_errors", "WITH t AS (SELECT pair_id, avg(value) AS truth FROM {v_draws} GROUP BY pair_id) SELECT replicate, round(avg(abs(v - truth)), 9) AS mae, round(max(abs(v - truth)), 9) AS worst FROM (SELECT sample % 5 AS replicate, pair_id, avg(value) AS v FROM {v_draws} GROUP BY sample % 5, pair_id) e JOIN t USING (pair_id) GROUP BY replicate",
+    lambda s, d: rounded(W.errors(draws(s, d).groupBy((F.col("sample") % 5).alias("replicate"), "pair_id").agg(F.avg("value").alias("value")), draws(s, d).groupBy("pair_id").agg(F.avg("value").alias("truth")), "pair_id"), "mae", "worst"))
 add("distinct_sources", "SELECT b.c_mktsegment AS recipient, count(DISTINCT o_custkey) AS sources FROM orders JOIN customer b ON b.c_custkey = (o_orderkey * 7) % 150 + 1 GROUP BY b.c_mktsegment",
     lambda s, d: (lambda o, c: o.join(c, F.col("c_custkey") == (F.col("o_orderkey") * 7) % 150 + 1).groupBy(F.col("c_mktsegment").alias("recipient")).agg(F.countDistinct("o_custkey").alias("sources")))(view(s, d, "orders"), view(s, d, "customer")))
 add("age_bands", "SELECT CAST(floor(p_size / 5) * 5 AS BIGINT) AS band, count(*) AS n FROM part GROUP BY 1", lambda s, d: view(s, d, "part").groupBy(W.band(F.col("p_size"), 5).cast("long").alias("band")).agg(F.count("*").alias("n")))
@@ -76,3 +92,12 @@ add("mean_imputed", "SELECT c_custkey, round(coalesce(x, avg(x) OVER (PARTITION
     lambda s, d: rounded(W.imputed(view(s, d, "customer").withColumn("x", F.when(F.col("c_custkey") % 4 > 0, F.col("c_acctbal"))), "x", "c_mktsegment"), "x").select("c_custkey", "x"))
 add("flow_posterior", None, lambda s, d: rounded(W.flow_draws(view(s, d, "v_dobs"), view(s, d, "customer").select(F.col("c_mktsegment").alias("category"), (0.2 + (F.col("c_custkey") % 50) / 100).alias("p")).distinct(), 2, 60), "value"))
 add("flow_posterior_joint", None, lambda s, d: rounded(W.flow_draws(view(s, d, "v_dobs"), view(s, d, "customer").select(F.col("c_mktsegment").alias("category"), (0.2 + (F.col("c_custkey") % 50) / 100).alias("p")).distinct(), 2, 60, joint=True), "value"))
+
+
+def priors(s, d):
+    """Sampling probabilities of each category, others as a source than as a recipient."""
+    p = view(s, d, "customer").select(F.col("c_mktsegment").alias("category"), (0.2 + (F.col("c_custkey") % 50) / 100).alias("p"), F.when(F.col("c_custkey") % 2 == 0, "source").otherwise("recipient").alias("who"))
+    return p.withColumn("p", F.when(F.col("who") == "source", F.col("p")).otherwise(F.col("p") / 2)).distinct()
+
+
+add("flow_posterior_by_role", None, lambda s, d: rounded(W.flow_draws(view(s, d, "v_dobs"), priors(s, d), 2, 60, joint=True), "value"))

@@ -57,11 +57,11 @@ SCORES = f"WITH {CATS}{CHUNKS}{COUNTS}"
 
 add("pair_categories", f"WITH {CATS} SELECT tree_id, host_1, host_2, round(dist, 9) AS dist, cat_dist, basic, {', '.join(R.CATEGORIES)} FROM w",
     lambda s, d: rounded(dwin(s, d), "dist").select("tree_id", "host_1", "host_2", "dist", "cat_dist", "basic", *R.CATEGORIES))
-add("pair_orientation", """SELECT tree_id, host_2 AS host_1, host_1 AS host_2, paths21 AS paths12, paths12 AS paths21, nodes2 AS nodes1, nodes1 AS nodes2, ancestry FROM {v_pairs} WHERE FALSE
-    UNION ALL SELECT tree_id, host_1, host_2, paths12, paths21, nodes1, nodes2, ancestry FROM {v_pairs}""",
-    lambda s, d: R.oriented(view(s, d, "v_pairs").select("tree_id", F.when(F.col("tree_id") % 2 == 0, F.col("host_1")).otherwise(F.col("host_2")).alias("host_1"), F.when(F.col("tree_id") % 2 == 0, F.col("host_2")).otherwise(F.col("host_1")).alias("host_2"),
-        *[F.when(F.col("tree_id") % 2 == 0, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("paths12", "paths21"), ("paths21", "paths12"), ("nodes1", "nodes2"), ("nodes2", "nodes1"))],
-        F.when((F.col("tree_id") % 2 == 0) | F.col("ancestry").isin("complex", "noAncestry"), F.col("ancestry")).when(F.col("ancestry") == "anc", "desc").when(F.col("ancestry") == "desc", "anc").when(F.col("ancestry") == "multiAnc", "multiDesc").otherwise("multiAnc").alias("ancestry"))))
+# A third of the pairs come the other way round.
+add("pair_orientation", """WITH x AS (SELECT tree_id, CASE WHEN (paths12 + nodes1) % 3 = 0 THEN host_2 ELSE host_1 END AS a, CASE WHEN (paths12 + nodes1) % 3 = 0 THEN host_1 ELSE host_2 END AS b, paths12, paths21, nodes1, nodes2, ancestry FROM {v_pairs})
+    SELECT tree_id, least(a, b) AS host_1, greatest(a, b) AS host_2, CASE WHEN b < a THEN paths21 ELSE paths12 END AS paths12, CASE WHEN b < a THEN paths12 ELSE paths21 END AS paths21, CASE WHEN b < a THEN nodes2 ELSE nodes1 END AS nodes1, CASE WHEN b < a THEN nodes1 ELSE nodes2 END AS nodes2,
+    CASE WHEN b > a THEN ancestry WHEN ancestry = 'anc' THEN 'desc' WHEN ancestry = 'desc' THEN 'anc' WHEN ancestry = 'multiAnc' THEN 'multiDesc' WHEN ancestry = 'multiDesc' THEN 'multiAnc' ELSE ancestry END AS ancestry FROM x""",
+    lambda s, d: R.oriented(view(s, d, "v_pairs").withColumn("turn", (F.col("paths12") + F.col("nodes1")) % 3 == 0).select("tree_id", F.when(F.col("turn"), F.col("host_2")).otherwise(F.col("host_1")).alias("host_1"), F.when(F.col("turn"), F.col("host_1")).otherwise(F.col("host_2")).alias("host_2"), "paths12", "paths21", "nodes1", "nodes2", "ancestry")))
 add("pair_plot_labels", f"WITH {CATS} SELECT tree_id, host_1, host_2, CASE WHEN basic LIKE 'anc\\_%' ESCAPE '\\' THEN 'ancestral' WHEN basic LIKE 'desc\\_%' ESCAPE '\\' THEN 'descendant' WHEN basic LIKE 'sib%' THEN 'sibling' WHEN basic LIKE 'int%' THEN 'intermingled' ELSE 'other' END AS topology, round(greatest(dist, 0.001), 9) AS shown_dist FROM w",
     lambda s, d: rounded(R.plot_labels(dwin(s, d)), "shown_dist").select("tree_id", "host_1", "host_2", "topology", "shown_dist"))
 add("pairs_with_enough_reads", """SELECT p.tree_id, p.host_1, p.host_2, h1.reads AS reads_1, h1.tips AS tips_1, h2.reads AS reads_2, h2.tips AS tips_2 FROM {v_pairs} p JOIN {v_hosts} h1 ON h1.tree_id = p.tree_id AND h1.host = p.host_1
@@ -93,5 +93,5 @@ add("simplified_summary", f"""WITH {_D}{_summary('adjacent AND dist < 0.06')}, w
     lambda s, d: R.simplified(R.summary(pairs(s, d), 1, 0.06), 0.15, 40))
 add("simplified_multinomial", f"""{SCORES}, wi AS (SELECT * FROM (SELECT host_1, host_2, coalesce(sum(CASE WHEN type = '12' THEN score END), 0) AS total_12, coalesce(sum(CASE WHEN type = '21' THEN score END), 0) AS total_21,
   coalesce(sum(CASE WHEN type LIKE 'complex%' THEN score END), 0) AS total_equiv FROM sc WHERE categorisation = 'close_and_adjacent_and_ancestry_cat' AND type NOT LIKE 'not.close%' GROUP BY 1, 2) x WHERE total_12 + total_21 + total_equiv >= 0.2)
-  SELECT host_1, host_2, arrow FROM (""" + _ARROW.replace("AT", "0.13").replace("TT", "1.0") + ") z",
-    lambda s, d: R.simplified_multinomial(R.counts(dwin(s, d)), 0.2, 0.13).select("host_1", "host_2", "arrow"))
+  """ + _ARROW.replace("AT", "0.13").replace("TT", "1.0"),
+    lambda s, d: R.simplified_multinomial(R.counts(dwin(s, d)), 0.2, 0.13))

@@ -113,7 +113,7 @@ _SUB = TIPS + ", sg AS (SELECT *, host || '-SPLIT' || CASE WHEN tree_id % 3 = 0
 _SHARES = f"WITH {_SUB}, b AS (SELECT tree_id, host, subgraph, sum(reads) AS r FROM sg GROUP BY tree_id, host, subgraph), sh AS (SELECT *, r / sum(r) OVER (PARTITION BY tree_id, host) AS share, row_number() OVER (PARTITION BY tree_id, host ORDER BY r DESC) AS k FROM b) SELECT tree_id, host, round(sum(CASE WHEN k = 1 THEN share ELSE 0 END), 9) AS p1, round(sum(CASE WHEN k = 2 THEN share ELSE 0 END), 9) AS p2, round(sum(CASE WHEN k = 3 THEN share ELSE 0 END), 9) AS p3 FROM sh GROUP BY tree_id, host"
 add("read_proportions", _SHARES, lambda s, d: rounded(T.read_proportions(subgraphs(s, d).withColumnRenamed("subgraph", "split")).select("tree_id", "host", *[F.col("shares")[i].alias(f"p{i + 1}") for i in range(3)]), "p1", "p2", "p3"))
 add("tips_and_reads", f"WITH {TIPS} SELECT t.tree_id, h.host, count(tp.tip) AS tips, CAST(coalesce(sum(tp.reads), 0) AS BIGINT) AS reads FROM (SELECT DISTINCT tree_id FROM tp) t CROSS JOIN (SELECT DISTINCT host FROM tp) h LEFT JOIN tp ON tp.tree_id = t.tree_id AND tp.host = h.host GROUP BY t.tree_id, h.host",
-    lambda s, d: (lambda t: t.select("tree_id").distinct().crossJoin(F.broadcast(t.select("host").distinct())).join(t.groupBy("tree_id", "host").agg(F.count("*").alias("tips"), F.sum("reads").alias("reads")), ["tree_id", "host"], "left").na.fill(0, ["tips", "reads"]))(host_tips(s, d)))
+    lambda s, d: T.tips_and_reads(host_tips(s, d)))
 add("hosts_of_trees", f"WITH {TIPS} SELECT DISTINCT host FROM tp WHERE host IS NOT NULL", lambda s, d: host_tips(s, d).where("host is not null").select("host").distinct())
 
 # Counts repeat within a set, so ties decide too.
@@ -145,6 +145,16 @@ def split_tips(s, d):
     return nodes(s, d).where("is_tip and host is not null").select("tree_id", "host", "node", "reads", F.concat("host", F.lit("-SPLIT"), F.col("node") % 3).alias("subgraph"))
 
 
+def sequences(s, d):
+    """An alignment of each tree's tips."""
+    return host_tips(s, d).select("tree_id", "tip", F.concat(F.repeat(F.lit("AC"), (F.col("tip") % 5).cast("int")), "host", F.lit("-")).alias("seq"))
+
+
+_SEQUENCES = "SELECT tree_id, tip, repeat('AC', CAST(tip % 5 AS INT)) || host || '-' AS seq FROM tp"
+add("cleaned_alignments", f"WITH {TIPS} SELECT * FROM ({_SEQUENCES}) x WHERE tip % 10 <> 3", lambda s, d: B.cleaned(sequences(s, d), B.report(host_tips(s, d), B.user_specified(host_tips(s, d), host_tips(s, d).where("tip % 10 = 3")))))
+add("attached_alignments", f"WITH {TIPS} {_SEQUENCES}", lambda s, d: B.attached(host_tips(s, d), sequences(s, d)))
+
+
 def listed(s, d):
     return host_tips(s, d).where("tip % 10 = 3").select("tree_id", "tip")
 
@@ -168,6 +178,11 @@ add("cleaned_in_order", f"WITH {_CHAIN} SELECT tp.tree_id, tp.tip, status IS NUL
 add("cleaned_trees", None, lambda s, d: B.cleaned_in_order(nodes(s, d), listed(s, d), sets(s, d), 2, 0.3, 2.0, 0.6, 2, 3, 12))
 add("subtree_statistics", None, lambda s, d: rounded(S.subtree_statistics(up(s, d), nodes(s, d), split_tips(s, d)), *S.STATISTICS))
 add("window_statistics", None, lambda s, d: rounded(S.window_statistics(up(s, d), nodes(s, d), split_tips(s, d), split_tips(s, d), view(s, d, "v_norm").withColumnRenamed("pos", "tree_id")), *S.STATISTICS, *[f"normalised_{c}" for c in S.STATISTICS]))
-add("host_descent", None, lambda s, d: S.host_descent(up(s, d), split_tips(s, d)))
-add("paths_around_nodes", None, lambda s, d: S.path_exists(up(s, d), nodes(s, d).where("parent is not null").select("tree_id", F.col("node").alias("node_1"), F.lit(1).cast("long").alias("node_2"), F.greatest(F.lit(1), F.floor(F.col("node") / 4)).alias("node_3"))))
-add("reachable_tips", None, lambda s, d: S.reachable_tips(up(s, d), nodes(s, d), nodes(s, d).where("node % 5 = 2").select("tree_id", "node"), nodes(s, d).where("not is_tip").select("tree_id", F.col("node").alias("start"))))
+_ABOVE = "ab AS (SELECT tree_id, node, ancestor FROM up WHERE hops > 0), rc AS (SELECT DISTINCT nd.tree_id, nd.host, ab.ancestor FROM nd JOIN ab USING (tree_id, node) WHERE nd.is_tip AND nd.host IS NOT NULL)"
+add("host_descent", f"""{_MRCA}, {_ABOVE}, pr AS (SELECT a.tree_id, a.host AS host_1, b.host AS host_2, a.mrca AS m1, b.mrca AS m2 FROM mr a JOIN mr b ON a.tree_id = b.tree_id AND a.host < b.host WHERE a.host IS NOT NULL AND b.host IS NOT NULL),
+    fl AS (SELECT pr.*, EXISTS (SELECT 1 FROM ab WHERE ab.tree_id = pr.tree_id AND ab.node = m2 AND ab.ancestor = m1) AS o1, EXISTS (SELECT 1 FROM ab WHERE ab.tree_id = pr.tree_id AND ab.node = m1 AND ab.ancestor = m2) AS o2,
+    EXISTS (SELECT 1 FROM rc WHERE rc.tree_id = pr.tree_id AND rc.host = host_1 AND rc.ancestor = m2) AS r1, EXISTS (SELECT 1 FROM rc WHERE rc.tree_id = pr.tree_id AND rc.host = host_2 AND rc.ancestor = m1) AS r2 FROM pr)
+    SELECT tree_id, host_1, host_2, o1 AND NOT r1 AS descends_12, o2 AND NOT r2 AS descends_21, m1 = m2 OR o1 AND r1 OR o2 AND r2 AS intermingled FROM fl""", lambda s, d: S.host_descent(up(s, d), split_tips(s, d)))
+# The way to the root: its nodes are those above.
+add("paths_around_nodes", f"WITH {UP}, q AS (SELECT tree_id, node AS node_1, CAST(1 AS BIGINT) AS node_2, greatest(1, node // 4) AS node_3 FROM nd WHERE parent IS NOT NULL) SELECT q.*, node_1 = node_2 OR node_3 = node_2 OR NOT EXISTS (SELECT 1 FROM up WHERE up.tree_id = q.tree_id AND up.node = node_1 AND up.ancestor = node_3) AS open FROM q", lambda s, d: S.path_exists(up(s, d), nodes(s, d).where("parent is not null").select("tree_id", F.col("node").alias("node_1"), F.lit(1).cast("long").alias("node_2"), F.greatest(F.lit(1), F.floor(F.col("node") / 4)).alias("node_3"))))
+add("reachable_tips", f"WITH {UP}, pt AS (SELECT up.tree_id, up.node, arg_min(up.ancestor, up.hops) AS part FROM up WHERE up.ancestor = 1 OR up.ancestor % 5 = 2 GROUP BY up.tree_id, up.node) SELECT a.tree_id, a.node AS start, b.node AS tip FROM pt a JOIN pt b ON a.tree_id = b.tree_id AND a.part = b.part JOIN nd x ON x.tree_id = a.tree_id AND x.node = a.node JOIN nd y ON y.tree_id = b.tree_id AND y.node = b.node WHERE NOT x.is_tip AND y.is_tip", lambda s, d: S.reachable_tips(up(s, d), nodes(s, d), nodes(s, d).where("node % 5 = 2").select("tree_id", "node"), nodes(s, d).where("not is_tip").select("tree_id", F.col("node").alias("start"))))

@@ -27,7 +27,8 @@ VIEWS = {
                @day(l_shipdate) AS first_pos, @day(l_shipdate) + CAST(l_quantity AS BIGINT) + 130 AS last_pos,
                l_partkey % 5 * 4097 + l_partkey % 6 AS k, CAST(floor(l_discount * 100 + 0.5) AS BIGINT) + CAST(floor(l_tax * 100 + 0.5) AS BIGINT) AS q
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey)""",
-    "v_windows": "SELECT CAST(i AS BIGINT) AS window_id, CAST(1 + i * 61 AS BIGINT) AS w_start, CAST(90 + i * 61 AS BIGINT) AS w_end FROM @range(0, 40)",
+    # Windows of 90 days, as far as there are reads.
+    "v_windows": "SELECT i AS window_id, 1 + i * 61 AS w_start, 90 + i * 61 AS w_end FROM (SELECT DISTINCT CAST(floor(@day(l_shipdate) / 61) AS BIGINT) AS i FROM {lineitem}) x",
     # Hosts of trees: one tree for each window, present hosts with tips and reads.
     "v_hosts": """SELECT o_orderkey % 40 AS tree_id, 'H' || CAST(c_nationkey AS @text) AS host, count(*) AS tips, CAST(sum(1 + o_custkey % 5) AS BIGINT) AS reads
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_custkey % 3 > 0 GROUP BY o_orderkey % 40, c_nationkey""",

@@ -19,12 +19,18 @@ def _spans(s, d):
     return W.spanning(view(s, d, "v_reads"), view(s, d, "v_windows"))
 
 
-add("windows_sliding", "SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS BIGINT) AS window_id, CAST(i AS BIGINT) AS w_start, CAST(i + 299 AS BIGINT) AS w_end FROM (SELECT unnest(generate_series(1000, 8001, 1000)) AS i) x",
-    lambda s, d: W.sliding_windows(s, 300, -700, 1000, 8300))
-add("windows_explicit", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(90 AS BIGINT)), (1, 61, 150)) t(window_id, w_start, w_end)", lambda s, d: W.explicit_windows(s, [1, 90, 61, 150]))
-add("windows_exploratory", "SELECT CAST(w AS BIGINT) AS width, CAST(i AS BIGINT) AS w_start, CAST(i + w - 1 AS BIGINT) AS w_end FROM (SELECT w, unnest(generate_series(1, 1000 - w + 1, w)) AS i FROM (VALUES (100), (250), (400)) t(w)) x",
-    lambda s, d: W.exploratory_windows(s, [100, 250, 400, 2000], 1, 1000))
-add("windows_increment", "SELECT CAST(i AS BIGINT) AS w_start, CAST(i + 99 AS BIGINT) AS w_end FROM (SELECT unnest(generate_series(1, 905, 10)) AS i UNION SELECT 905) x", lambda s, d: W.increment_windows(s, 100, 1004))
+def stretches(s, d):
+    """From the first to the last place of each sample's reads."""
+    return view(s, d, "v_reads").groupBy("sample").agg(F.min("first_pos").cast("long").alias("first"), F.max("last_pos").cast("long").alias("last"))
+
+
+_SPANS = "WITH sp AS (SELECT sample, CAST(min(first_pos) AS BIGINT) AS lo, CAST(max(last_pos) AS BIGINT) AS hi FROM {v_reads} GROUP BY sample)"
+add("windows_sliding", f"{_SPANS} SELECT sample, (i - lo) // 200 AS window_id, i AS w_start, i + 299 AS w_end FROM (SELECT sample, lo, unnest(generate_series(lo, hi - 299, 200)) AS i FROM sp) x", lambda s, d: W.sliding_over(stretches(s, d), 300, 100, "sample"))
+add("windows_explicit", f"{_SPANS} SELECT sample, k AS window_id, CASE k WHEN 0 THEN 1 ELSE lo + 60 END AS w_start, CASE k WHEN 0 THEN lo + 90 ELSE hi END AS w_end FROM sp, (SELECT unnest([CAST(0 AS BIGINT), 1]) AS k) q",
+    lambda s, d: W.explicit_over(stretches(s, d).select("sample", F.array(F.lit(1).cast("long"), F.col("first") + 90, F.col("first") + 60, F.col("last")).alias("bounds")), "sample"))
+add("windows_exploratory", f"{_SPANS} SELECT sample, w AS width, i AS w_start, i + w - 1 AS w_end FROM (SELECT sample, w, unnest(generate_series(lo, hi - w + 1, w)) AS i FROM sp, (SELECT unnest([CAST(100 AS BIGINT), 250, 400, 9000]) AS w) q) x",
+    lambda s, d: W.exploratory_over(stretches(s, d), [100, 250, 400, 9000], "sample"))
+add("windows_increment", f"{_SPANS} SELECT sample, i AS w_start, i + 99 AS w_end FROM (SELECT sample, unnest(generate_series(lo, hi - 99, 10)) AS i FROM sp UNION SELECT sample, hi - 99 FROM sp) x", lambda s, d: W.increment_over(stretches(s, d), 100, None, "sample"))
 _SHARES = "SELECT window_id AS aln, pos, avg(CASE WHEN base <> '-' THEN 1e0 ELSE 0e0 END) AS share FROM {v_aligned} GROUP BY window_id, pos"
 add("windows_informative", f"""WITH RECURSIVE sh AS ({_SHARES}),
     st AS (SELECT DISTINCT aln, CAST(1 AS BIGINT) AS w_start FROM sh

@@ -16,6 +16,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, memory:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
+        # Checkpoints that nothing refers to any more are deleted; Spark keeps them without this.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

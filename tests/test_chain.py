@@ -107,3 +107,30 @@ def test_each_step_sees_what_is_left(spark):
     assert status(k=1.0, raw=2, ratio=0.0) == {2: "included", 4: "bl_parsimony_contaminant", 5: "bl_parsimony_contaminant"}
     with pytest.raises(ValueError):
         status(dual_threshold=0.5)
+
+
+def test_alignments_have_the_names_of_their_trees(spark):
+    tips = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "tree_id long, tip long")
+    rows = [(1, 1, "AC"), (1, 2, "A-"), (2, 1, "GG")]
+    frame = lambda some: spark.createDataFrame(some, "tree_id long, tip long, seq string")
+    assert sorted(map(tuple, B.attached(tips, frame(rows)).collect())) == rows
+    status = tips.withColumn("kept", R.F.col("tip") == 1)
+    assert sorted(map(tuple, B.cleaned(frame(rows), status).collect())) == [rows[0], rows[2]]
+    for bad, said in ((rows[:2], "no sequence"), ([*rows, (2, 9, "G")], "no tip"), ([*rows, rows[0]], "more than one")):
+        with pytest.raises(PySparkException, match=said):
+            B.cleaned(frame(bad), status).collect()
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_components_in_one_task_and_by_rounds(spark, most):
+    from cladewise.operators import networks as N
+
+    rng = random.Random(3)
+    edges = [(f"h{rng.randrange(60):02d}", f"h{rng.randrange(60):02d}") for _ in range(40)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(70)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.id: r.label for r in N.components(spark.createDataFrame(edges, "host_1 string, host_2 string"), most=most).collect()}
+    assert got == label
+    assert N.components(spark.createDataFrame([], "host_1 string, host_2 string"), most=most).count() == 0

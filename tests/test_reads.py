@@ -99,6 +99,13 @@ def test_explicit_windows_are_checked(spark):
     for bad in ([1], [0, 5], [5, 5], []):
         with pytest.raises(ValueError):
             W.explicit_windows(spark, bad)
+    for bad in ([1], [0, 5], [5, 5]):
+        with pytest.raises(Exception, match="window bounds"):
+            W.explicit_over(spark.createDataFrame([(1, bad)], "k int, bounds array<long>"), "k").collect()
+    spans = spark.createDataFrame([("a", 5, 40), ("b", 1, 9), ("c", 1, 10)], "ref string, first long, last long")
+    assert [tuple(r) for r in W.sliding_over(spans, 10, 0, "ref").orderBy("ref", "w_start").collect()] == [("a", 0, 5, 14), ("a", 1, 15, 24), ("a", 2, 25, 34), ("c", 0, 1, 10)]
+    assert [tuple(r) for r in W.increment_over(spans, 10, 13, "ref").orderBy("ref", "w_start").collect()] == [("a", 5, 14), ("a", 18, 27), ("a", 31, 40), ("c", 1, 10)]
+    assert W.exploratory_over(spans, [10, 36, 99], "ref").where("ref = 'a'").count() == 4
     assert [r.w_start for r in W.sliding_windows(spark, 300, -700, 1000, 8300).collect()] == list(range(1000, 8001, 1000))
 
 

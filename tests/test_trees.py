@@ -235,6 +235,24 @@ def test_posterior_recovers_flows():
     assert 300 < W.effective_size(np.random.default_rng(1).normal(size=500)) <= 700
 
 
+def test_priors_of_a_category_by_role(spark):
+    """Fixed probabilities: the flows' means follow from counts over both roles' probabilities."""
+    seen = {("a", "a"): 400.0, ("a", "b"): 300.0, ("b", "a"): 200.0, ("b", "b"): 100.0}
+    rate = {("a", "source"): 0.8, ("a", "recipient"): 0.2, ("b", "source"): 0.4, ("b", "recipient"): 0.5}
+    obs = spark.createDataFrame([(a, b, n) for (a, b), n in seen.items()], "source string, recipient string, obs double")
+    prior = spark.createDataFrame([(c, w, p) for (c, w), p in rate.items()], "category string, who string, p double")
+    for joint in (False, True):
+        rows = W.flow_draws(obs, prior, 1, 400, joint=joint).collect()
+        for (a, b), n in seen.items():
+            got = np.mean([np.exp(r.value) for r in rows if (r.source, r.recipient) == (a, b)])
+            assert abs(got / (n / (rate[a, "source"] * rate[b, "recipient"])) - 1) < 0.03
+    both = prior.where("who = 'source'").drop("who")
+    got = [np.exp(r.value) for r in W.flow_draws(obs, both, 1, 400).collect() if (r.source, r.recipient) == ("a", "b")]
+    assert abs(np.mean(got) / (300 / (0.8 * 0.4)) - 1) < 0.03
+    with pytest.raises(Exception, match="KeyError"):
+        W.flow_draws(obs, prior.where("category = 'a' or who = 'source'"), 1, 2).collect()
+
+
 def test_rooting_and_pruning_keep_distances():
     from cladewise.operators import rooting as G
 
