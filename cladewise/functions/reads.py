@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def first_place(positions: Column) -> Column:
     return F.try_element_at(F.filter(positions, lambda p: p.isNotNull()), F.lit(1))
 
@@ -28,19 +35,20 @@ def spans_window(positions: Column, left: Column, right: Column, exact: bool = F
 
 def recovered_ends(positions: Column) -> Column:
     """Clipped ends (leading and trailing nulls) get the places that follow from the mapped part; they may lie outside the reference."""
-    i = _first_index(positions)
-    n = F.size(positions)
-    j = n - 1 - _first_index(F.reverse(positions))
-    a, b = first_place(positions), last_place(positions)
-    return F.when(i < 0, positions).otherwise(F.transform(positions, lambda p, k: F.when(k < i, a - (i - k)).when(k > j, b + (k - j)).otherwise(p)))
+    ends = F.struct(_first_index(positions).alias("i"), (F.size(positions) - 1 - _first_index(F.reverse(positions))).alias("j"), first_place(positions).alias("a"), last_place(positions).alias("b"))
+    place = lambda e: lambda p, k: F.when(k < e["i"], e["a"] - (e["i"] - k)).when(k > e["j"], e["b"] + (k - e["j"])).otherwise(p)
+    return let(ends, lambda e: F.when(e["i"] < 0, positions).otherwise(F.transform(positions, place(e))))
+
+
+def _range(good: Column) -> Column:
+    """a: index from 1 of the first true entry, n: entries up to the last one; 0 without any."""
+    a, z = F.array_position(good, True).cast("int"), F.array_position(F.reverse(good), True).cast("int")
+    return F.struct(a.alias("a"), F.when(a == 0, 0).otherwise(F.size(good) - z + 1 - a + 1).cast("int").alias("n"))
 
 
-def trim_range(quals: Column, least: int) -> tuple[Column, Column]:
-    """Index from 1 of the first base of that quality, and the number of bases up to the last one; 0 without any."""
-    good = F.transform(quals, lambda q: q >= least)
-    a = F.array_position(good, True).cast("int")
-    z = F.array_position(F.reverse(good), True).cast("int")
-    return a, F.when(a == 0, 0).otherwise(F.size(quals) - z + 1 - a + 1).cast("int")
+def trim_range(quals: Column, least: int) -> Column:
+    """Index a from 1 of the first base of that quality, and the number n of bases up to the last one; 0 without any."""
+    return let(F.transform(quals, lambda q: q >= least), _range)
 
 
 def low_quality(quals: Column, least: int) -> Column:
@@ -48,12 +56,9 @@ def low_quality(quals: Column, least: int) -> Column:
     return F.size(F.filter(quals, lambda q: q < least)) >= 2
 
 
-def cut_to_window(positions: Column, left: Column, right: Column) -> tuple[Column, Column]:
-    """Index from 1 and number of the bases from the first place at or after left to the last at or before right."""
-    own = F.transform(positions, lambda p: F.coalesce((p >= left) & (p <= right), F.lit(False)))
-    a = F.array_position(own, True).cast("int")
-    z = F.array_position(F.reverse(own), True).cast("int")
-    return a, F.when(a == 0, 0).otherwise(F.size(positions) - z + 1 - a + 1).cast("int")
+def cut_to_window(positions: Column, left: Column, right: Column) -> Column:
+    """Index a from 1 and number n of the bases from the first place at or after left to the last at or before right."""
+    return let(F.transform(positions, lambda p: F.coalesce((p >= left) & (p <= right), F.lit(False))), _range)
 
 
 def gap_share(seq: Column, gap: str = "-") -> Column:

@@ -25,19 +25,30 @@ def kept_flags(reads: DataFrame, proper_only: bool = False) -> DataFrame:
 
 
 def processed(reads: DataFrame, left: Column, right: Column, trim: int | None = None, low: int | None = None, recover: bool = False, keep_overhangs: bool = False, exact: bool = False) -> DataFrame:
-    """recover, span, trim, span again, quality, cut: reads (seq, positions, quals) that stay, as they stay."""
-    rows = reads.withColumn("positions", R.recovered_ends(F.col("positions"))) if recover else reads
-    rows = rows.where(R.spans_window(F.col("positions"), left, right, exact))
-
-    def sliced(df: DataFrame, a: Column, n: Column) -> DataFrame:
-        df = df.withColumns({"_a": a, "_n": n}).where("_n > 0")
-        return df.withColumns({"seq": F.substr("seq", F.col("_a"), F.col("_n")), "positions": F.slice("positions", F.col("_a"), F.col("_n")), "quals": F.slice("quals", F.col("_a"), F.col("_n"))}).drop("_a", "_n")
-
-    if trim is not None:
-        rows = sliced(rows, *R.trim_range(F.col("quals"), trim)).where(R.spans_window(F.col("positions"), left, right, exact))
-    if low is not None:
-        rows = rows.where(~R.low_quality(F.col("quals"), low))
-    return rows if keep_overhangs or exact else sliced(rows, *R.cut_to_window(F.col("positions"), left, right))
+    """recover, span, trim, span again, quality, cut: reads (seq, positions, quals) that stay, as they stay.
+
+    The steps are one expression over a read's arrays, in which each step's result is computed once.
+    """
+
+    def sliced(x: Column, at: Column) -> Column:
+        """The bases from at.a on, at.n of them; null if there are none."""
+        part = lambda r: F.struct(F.substr(x["seq"], r["a"], r["n"]).alias("seq"), F.slice(x["positions"], r["a"], r["n"]).alias("positions"), F.slice(x["quals"], r["a"], r["n"]).alias("quals"))
+        return R.let(at, lambda r: F.when(r["n"] > 0, part(r)))
+
+    def ended(x: Column) -> Column:
+        good = x.isNotNull() if low is None else ~R.low_quality(x["quals"], low)
+        return F.when(good, x if keep_overhangs or exact else sliced(x, R.cut_to_window(x["positions"], left, right)))
+
+    def trimmed(x: Column) -> Column:
+        if trim is None:
+            return ended(x)
+        return R.let(sliced(x, R.trim_range(x["quals"], trim)), lambda y: F.when(R.spans_window(y["positions"], left, right, exact), ended(y)))
+
+    first = F.struct(F.col("seq").alias("seq"), (R.recovered_ends(F.col("positions")) if recover else F.col("positions")).alias("positions"), F.col("quals").alias("quals"))
+    whole = R.let(first, lambda x: F.when(R.spans_window(x["positions"], left, right, exact), trimmed(x)))
+    others = [c for c in reads.columns if c not in ("seq", "positions", "quals")]
+    kept = F.explode(F.filter(F.array(whole), lambda x: x.isNotNull()))
+    return reads.select(*others, kept.alias("_kept")).select(*others, "_kept.*").select(*reads.columns)
 
 
 def merged_mates(reads: DataFrame) -> DataFrame:

@@ -119,7 +119,9 @@ add("reads_not_used_before", """WITH l AS (SELECT window_id, coalesce(w_start <=
     k AS (SELECT *, row_number() OVER (PARTITION BY sample, name, run ORDER BY window_id) AS k FROM r)
     SELECT window_id, sample, name FROM k CROSS JOIN LATERAL (SELECT unnest(generate_series(1, n)) AS i) c WHERE k % 2 = 1""",
     lambda s, d: R.not_used_before(spans(s, d).select("window_id", "sample", "name"), view(s, d, "v_windows")))
-add("processed_reads", None, lambda s, d: R.processed(arrays(s, d), F.col("first_pos") + 2, F.col("first_pos") + 5, trim=8, low=4, recover=True).select("sample", "name", "seq", F.size("positions").alias("n")))
+add("processed_reads", """WITH x AS (SELECT sample, name, seq, list_transform(range(0, 8), lambda i: (q * 7 + i * 5) % 40) AS l FROM {v_reads}),
+    y AS (SELECT *, list_min(list_filter(range(0, 8), lambda i: l[i + 1] >= 8)) AS a, list_max(list_filter(range(0, 8), lambda i: l[i + 1] >= 8)) AS z FROM x)
+    SELECT sample, name, substr(seq, 3, 4) AS seq, CAST(4 AS INT) AS n FROM y WHERE a <= 2 AND z >= 5 AND len(list_filter(range(a, z + 1), lambda i: l[i + 1] < 4)) < 2""", lambda s, d: R.processed(arrays(s, d), F.col("first_pos") + 2, F.col("first_pos") + 5, trim=8, low=4, recover=True).select("sample", "name", "seq", F.size("positions").alias("n")))
 add("merged_mates", None, lambda s, d: R.merged_mates(templates(arrays(s, d)).select("sample", "name", "seq", "positions", "quals")))
 add("similar_merged_a", None, lambda s, d: R.similar_merged(tips(s, d), 1, "A"))
 add("similar_merged_b", None, lambda s, d: R.similar_merged(tips(s, d), 1, "B"))

@@ -23,8 +23,9 @@ def test_ends_are_recovered(spark):
 def test_spans_trims_and_qualities(spark):
     spans = lambda p, a, b: one(spark, "p array<int>", (p,), FR.spans_window(F.col("p"), F.lit(a), F.lit(b)))[0]
     assert spans([None, 3, 4, 9], 3, 9) and not spans([3, 4], 2, 4) and not spans([None], 1, 1)
-    assert one(spark, "q array<int>", ([1, 9, 2, 9, 1],), *FR.trim_range(F.col("q"), 5)) == (2, 3)
-    assert one(spark, "q array<int>", ([1, 1],), *FR.trim_range(F.col("q"), 5))[1] == 0
+    both = lambda r: (r["a"], r["n"])
+    assert one(spark, "q array<int>", ([1, 9, 2, 9, 1],), *both(FR.trim_range(F.col("q"), 5))) == (2, 3)
+    assert one(spark, "q array<int>", ([1, 1],), *both(FR.trim_range(F.col("q"), 5)))[1] == 0
     low = lambda q: one(spark, "q array<int>", (q,), FR.low_quality(F.col("q"), 5))[0]
     assert not low([9, 4, 9]) and low([4, 4, 9])
 
