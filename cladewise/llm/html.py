@@ -5,11 +5,12 @@ never text. The first pass looks at each block alone: what stands in furniture (
 sidebars, notices, adverts, forms, comments of readers; by tag, role, class or id) is bad; of the rest, the
 density of stop words, the length and the link density tell good blocks from bad ones, and short blocks
 without a clear sign stay open. In the second pass an open block takes the label of its nearest decided
-neighbours. Where a page marks its article, only blocks of the article are text, only they are each other's
-neighbours, and furniture inside the article doesn't count as a neighbour; an article without any decided
-block is good as a whole. Without a marked article all blocks of the page are judged, and a heading follows
-what comes after it. On a page without a marked article
-and without a block in a language of the four lists of stop words, length and link density alone decide.
+neighbours, the nearer one if they differ. Furniture is nobody's neighbour, and where no neighbour is decided, open
+blocks are good. Where a page marks its article, only blocks of the article are text and each other's neighbours;
+the mark counts as a sign, so that short blocks with stop words, headings and all longer blocks are good at once
+and an open block is bad between two bad ones only, but links and notices are bad inside it too. Without a marked article all blocks of the page are judged, and a
+heading follows what comes after it. On a page without a marked article and without a block in a language of the
+four lists of stop words, length and link density alone decide.
 
 Defined results: null, empty and textless pages give an empty text; character references are decoded as in
 HTML 5; white space inside a block becomes one space; blocks are joined in page order by two line ends; an
@@ -63,6 +64,8 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WORD = re.compile(r"[^\W\d_]+")
+#: How a line about rights begins.
+_RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\b)", re.I)
 
 
 @dataclass
@@ -181,6 +184,13 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _is_notice(block: Block, words: list[str]) -> bool:
+    """A short line about rights, or one that only names furniture, such as a call to share."""
+    if len(block.text) >= SHORT or block.heading:
+        return False
+    return bool(_RIGHTS.match(block.text)) or any(w in _NAMES for w in words) and all(w in _NAMES or w in _STOP for w in words)
+
+
 def first_pass(block: Block, marked: bool, known: bool = True) -> str:
     """The label of a block by itself. marked: the page marks its article; known: its language has stop words here."""
     if block.furniture or marked and not block.article:
@@ -188,8 +198,10 @@ def first_pass(block: Block, marked: bool, known: bool = True) -> str:
     n, share = len(block.text), block.linked / len(block.text)
     words = _WORD.findall(block.text.lower())
     block.stops = sum(w in _STOP for w in words) / max(1, len(words))
+    if _is_notice(block, words):
+        return BAD
     if marked:
-        if share > LINK_LIST and block.links > 2:
+        if share > LINK_LIST and not block.heading or share > LINKS and block.links > 2 and block.stops < STOP_LOW:
             return BAD
         return GOOD if n >= SHORT or block.stops >= STOP_LOW or block.heading else OPEN
     if share > LINKS:
@@ -219,8 +231,8 @@ def classify(own: list[Block]) -> list[Block]:
     known = marked or _known(own)
     for b in own:
         b.label = first_pass(b, marked, known)
-    # In a marked article, what stands outside and furniture inside are nobody's neighbours.
-    near = [k for k, b in enumerate(own) if not marked or b.article and not b.furniture]
+    # Furniture, and what stands outside a marked article, are nobody's neighbours.
+    near = [k for k, b in enumerate(own) if not b.furniture and (b.article or not marked)]
     first = [own[k].label for k in near]
     before: list[tuple[str, int]] = []
     label, reach = "", 0
@@ -234,11 +246,11 @@ def classify(own: list[Block]) -> list[Block]:
         if first[i] == OPEN:
             sides = [s for s in (before[i], after) if s[0]]
             if not sides:
-                b.label = GOOD if marked else BAD
+                b.label = GOOD
+            elif marked:  # the mark stands against one bad neighbour, not against two
+                b.label = BAD if [s[0] for s in sides] == [BAD, BAD] else GOOD
             elif len({s[0] for s in sides}) == 1:
                 b.label = sides[0][0]
-            elif marked:
-                b.label = GOOD
             elif b.heading:
                 b.label = GOOD if after[0] == GOOD and after[1] <= HEADING_REACH else BAD
             else:
