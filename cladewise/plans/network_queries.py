@@ -75,8 +75,8 @@ add("flow_ratios", f"WITH {_FLOWS}, w AS (SELECT sample, coalesce(sum(CASE WHEN
     lambda s, d: rounded(W.ratios(flows(s, d), [("01/10", ("g0", "g1"), ("g1", "g0"))]), *W.QUANTILES))
 add("flow_thinning", "SELECT sample, pair_id FROM (SELECT sample, pair_id, dense_rank() OVER (ORDER BY sample) AS r FROM {v_draws}) x WHERE r > floor((SELECT count(DISTINCT sample) FROM {v_draws}) * 0.1) AND (r - floor((SELECT count(DISTINCT sample) FROM {v_draws}) * 0.1) - 1) % 3 = 0",
     lambda s, d: W.thinned(draws(s, d), 0.1, 3).select("sample", "pair_id"))
-add("flow_grid", "SELECT s.source, r.recipient, coalesce(o.obs, 0) AS obs FROM (SELECT DISTINCT source FROM {v_dobs}) s CROSS JOIN (SELECT DISTINCT recipient FROM {v_dobs}) r LEFT JOIN (SELECT * FROM {v_dobs} WHERE obs % 2 = 0) o ON o.source = s.source AND o.recipient = r.recipient",
-    lambda s, d: (lambda o: W.grid_counts(o.where("obs % 2 = 0"), o, o).select("source", "recipient", "obs"))(view(s, d, "v_dobs")))
+add("flow_grid", "SELECT s.source, r.recipient, coalesce(o.obs, 0) AS obs FROM (SELECT DISTINCT source FROM {v_dobs_nations}) s CROSS JOIN (SELECT DISTINCT recipient FROM {v_dobs_nations}) r LEFT JOIN {v_dobs_nations} o ON o.source = s.source AND o.recipient = r.recipient",
+    lambda s, d: (lambda o: W.grid_counts(o, o, o).select("source", "recipient", "obs"))(view(s, d, "v_dobs_nations")))
 add("flow_diagnostics", "SELECT pair_id, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS sd, round(median(value), 9) AS median, round(quantile_cont(value, 0.025), 9) AS lower, round(quantile_cont(value, 0.975), 9) AS upper FROM {v_draws} GROUP BY pair_id",
     lambda s, d: rounded(W.diagnostics(draws(s, d), "pair_id"), "mean", "sd", "median", "lower", "upper").drop("ess"))
 _PCT = "CAST(CAST(round_even(round({c} * 1000, 6) / 10, 1) AS DECIMAL(20,1)) AS VARCHAR) || '%'"

@@ -59,6 +59,9 @@ VIEWS = {
     "v_draws": "SELECT CAST(floor(event_id / 20) AS BIGINT) AS sample, event_id % 20 AS pair_id, ln(1 + abs(value)) AS value FROM {events}",
     "v_dobs": """SELECT a.c_mktsegment AS source, b.c_mktsegment AS recipient, count(*) AS obs FROM {orders} o JOIN {customer} a ON o.o_custkey = a.c_custkey
         JOIN {customer} b ON b.c_custkey = (o.o_orderkey * 7) % 150 + 1 GROUP BY a.c_mktsegment, b.c_mktsegment""",
+    # The same by nation: many pairs of categories, of which some are never seen in small tables.
+    "v_dobs_nations": """SELECT a.c_nationkey AS source, b.c_nationkey AS recipient, count(*) AS obs FROM {orders} o JOIN {customer} a ON o.o_custkey = a.c_custkey
+        JOIN {customer} b ON b.c_custkey = (o.o_orderkey * 7) % 150 + 1 GROUP BY a.c_nationkey, b.c_nationkey""",
     "v_meta": "SELECT 'H' || CAST(n_nationkey AS @text) AS id, n_name AS name, r_name AS region FROM {nation} JOIN {region} ON n_regionkey = r_regionkey",
     # Hosts with several rows, none of which has the least of every column.
     "v_meta_twice": "SELECT id, name, region FROM {v_meta} UNION ALL SELECT id, 'A' || region, 'Z' || name FROM {v_meta} WHERE length(name) % 2 = 0",

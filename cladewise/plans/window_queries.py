@@ -37,12 +37,12 @@ add("windows_informative", f"""WITH RECURSIVE sh AS ({_SHARES}),
       UNION ALL SELECT n.aln, greatest(n.w_end - 2, n.w_start + 1) FROM (SELECT st.aln, st.w_start, (SELECT min(pos) FROM (SELECT pos, sum(share) OVER (ORDER BY pos) AS c FROM sh WHERE sh.aln = st.aln AND sh.pos >= st.w_start) q WHERE c >= 6 - 1e-9) AS w_end FROM st) n WHERE n.w_end IS NOT NULL)
     SELECT aln, w_start, CAST(w_end AS BIGINT) AS w_end FROM (SELECT st.aln, st.w_start, (SELECT min(pos) FROM (SELECT pos, sum(share) OVER (ORDER BY pos) AS c FROM sh WHERE sh.aln = st.aln AND sh.pos >= st.w_start) q WHERE c >= 6 - 1e-9) AS w_end FROM st) z WHERE w_end IS NOT NULL""",
     lambda s, d: W.informative_windows(view(s, d, "v_aligned").groupBy(F.col("window_id").alias("aln"), "pos").agg(F.avg((F.col("base") != "-").cast("double")).alias("share")), 6, 2))
-add("windows_missing", """WITH p AS (SELECT host_1, host_2, w_start FROM {v_pairs} WHERE tree_id % 7 <> 3), k AS (SELECT DISTINCT host_1, host_2 FROM p),
+add("windows_missing", """WITH p AS (SELECT host_1, host_2, w_start FROM {v_pairs}), k AS (SELECT DISTINCT host_1, host_2 FROM p),
     st AS (SELECT min(g) AS step FROM (SELECT w_start - lag(w_start) OVER (ORDER BY w_start) AS g FROM (SELECT DISTINCT w_start FROM p) q) r), gr AS (SELECT unnest(generate_series((SELECT min(w_start) FROM p), (SELECT max(w_start) FROM p), (SELECT step FROM st))) AS w_start),
     mi AS (SELECT k.host_1, k.host_2, gr.w_start FROM k CROSS JOIN gr WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.host_1 = k.host_1 AND p.host_2 = k.host_2 AND p.w_start = gr.w_start)),
     ru AS (SELECT *, w_start - (SELECT step FROM st) * row_number() OVER (PARTITION BY host_1, host_2 ORDER BY w_start) AS run FROM mi)
     SELECT host_1, host_2, CAST(min(w_start) AS BIGINT) AS gap_start, CAST(max(w_start) AS BIGINT) AS gap_end, count(*) AS n FROM ru GROUP BY host_1, host_2, run""",
-    lambda s, d: W.missing_windows(view(s, d, "v_pairs").where("tree_id % 7 <> 3"), ["host_1", "host_2"]))
+    lambda s, d: W.missing_windows(view(s, d, "v_pairs"), ["host_1", "host_2"]))
 add("windows_overlap_previous", "SELECT window_id, w_start, w_end, coalesce((lag(w_start) OVER o <= w_start AND w_start <= lag(w_end) OVER o) OR (w_start <= lag(w_start) OVER o AND lag(w_start) OVER o <= w_end), FALSE) AS overlaps FROM {v_windows} WINDOW o AS (ORDER BY window_id)",
     lambda s, d: W.overlaps_previous(view(s, d, "v_windows")))
 add("window_names", "SELECT window_id, 'run_' || CAST(w_start AS VARCHAR) || '_to_' || CAST(w_end AS VARCHAR) || '.tree' AS name, w_start AS s, w_end AS e, (w_start + w_end) / 2 AS x FROM {v_windows}",
