@@ -108,3 +108,15 @@ def test_query_against_plain_loops(spark):
 def test_query_and_sql_agree(spark):
     got, want, names, own = compared(spark, QUERIES["op12_importance_resampling"], ORACLE["op12_importance_resampling"], SF)
     assert names == own and got == want and len(got) == 200
+
+
+def test_a_text_longer_than_a_piece():
+    rng = random.Random(9)
+    text = " ".join(rng.choice(["The", "ing", "É7", "x" * 90, "日本"]) + str(rng.randrange(1000)) for _ in range(600_000)) + "y" * 200_000
+    assert len(text.encode()) > importance.PIECE
+    some = ["before", text, None, "after it"]
+    raw, offsets = text_bytes(pa.array(some))
+    n_words, ((per_row, got),) = importance.features(raw, offsets)
+    want = [words(t) for t in some]
+    assert n_words.tolist() == per_row.tolist() == [len(w) for w in want]
+    assert got.tolist() == [bucket(w) for x in want for w in x]

@@ -117,3 +117,12 @@ def test_query(spark):
     for r in out:
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     assert sum(1024 - n for n in used.values() if n & (n - 1)) < 0.01 * sum(used.values())
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["The", "ing", "é", "日本", "it's", "x|y"]) + rng.choice(["", ".", ",", "\n"]) for _ in range(300_000))
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, "z" * 100_000)], "doc_id long, text string")
+    library = Tokenizer.from_file(PATH)
+    want = {1: [*library.encode(text, add_special_tokens=False).ids, 0], 2: [*library.encode("short", add_special_tokens=False).ids, 0], 3: [*library.encode("z" * 100_000, add_special_tokens=False).ids, 0]}
+    assert held(packing.pack(df, PATH), want, 1024) < 0.001 * sum(map(len, want.values()))
