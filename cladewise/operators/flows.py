@@ -12,13 +12,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reports import numbered
+
 QUANTILES = {"cl": 0.025, "il": 0.25, "m": 0.5, "iu": 0.75, "cu": 0.975}
 
 
 def thinned(draws: DataFrame, burn_in: float = 0.0, every: int = 1, key: str = "sample", group: Sequence[str] = ()) -> DataFrame:
-    """Without the first share of samples, then every k-th one."""
-    order = Window.partitionBy(*group).orderBy(key)
-    ranked = draws.select(*group, key).distinct().withColumns({"_r": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy(*group))})
+    """Without the first share of samples, then every k-th one; by group, or of all samples, which are then numbered by ranges."""
+    own = draws.select(*group, key).distinct()
+    if group:
+        ranked = own.withColumns({"_r": F.row_number().over(Window.partitionBy(*group).orderBy(key)), "_n": F.count("*").over(Window.partitionBy(*group))})
+    else:
+        ranked = numbered(own, key, "_r").crossJoin(F.broadcast(own.agg(F.count("*").alias("_n"))))  # one row
     skip = F.floor(F.col("_n") * F.lit(burn_in))
     kept = ranked.where((F.col("_r") > skip) & ((F.col("_r") - skip - 1) % every == 0)).select(*group, key)
     return draws.join(kept, [*group, key], "left_semi")

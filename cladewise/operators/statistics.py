@@ -75,7 +75,7 @@ def subtree_statistics(up: DataFrame, nodes: DataFrame, tips: DataFrame, key: st
     largest = tips.join(winner, [key, "host", "subgraph"])
 
     def of(rows: DataFrame, rtt: str, *distances) -> DataFrame:
-        far = T.root_to_tip(up, rows.withColumn("is_tip", F.lit(True)), key).select(key, "host", F.col("rtt").alias(rtt))
+        far = T.root_to_tip(nodes, rows, key).select(key, "host", F.col("rtt").alias(rtt))
         return far.join(T.tip_distances(nodes, rows, key).groupBy(key, "host").agg(*distances), [key, "host"], "left")
 
     out = of(tips, "overall_rtt", F.max("dist").alias("max_dist"), F.avg("dist").alias("mean_dist"))
@@ -91,7 +91,7 @@ def window_statistics(up: DataFrame, nodes: DataFrame, tips: DataFrame, hosts: D
     """
     all_rows = nodes.select(key).distinct().crossJoin(hosts.select("host").distinct())
     counts = tips.groupBy(key, "host").agg(F.count("*").alias("tips"), F.sum("reads").alias("reads"), F.countDistinct("subgraph").alias("subgraphs"))
-    clades = T.host_clades(up, nodes, key).groupBy(key, "host").agg(F.count("*").alias("clades"))
+    clades = T.host_clades(nodes, key).groupBy(key, "host").agg(F.count("*").alias("clades"))
     rows = all_rows.join(counts, [key, "host"], "left").join(clades, [key, "host"], "left").na.fill(0, ["tips", "reads", "subgraphs", "clades"])
     rows = rows.join(subtree_statistics(up, nodes, tips, key), [key, "host"], "left").join(constants.select(key, "norm_const"), key, "left")
     rows = rows.withColumns({f"normalised_{c}": F.col(c) / F.coalesce("norm_const", F.lit(1.0)) for c in STATISTICS}).drop("norm_const")

@@ -5,7 +5,7 @@ nodes: tree_id, node, parent (null at the root), edge_length, is_tip, host (null
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,9 +49,42 @@ def closure(nodes: DataFrame, key: str = "tree_id") -> DataFrame:
     return own.unionByName(paths)
 
 
-def depths(up: DataFrame, key: str = "tree_id") -> DataFrame:
-    """Distance of each node from the root."""
-    return up.groupBy(key, "node").agg(F.max("dist").alias("depth"), F.max("hops").alias("level"))
+def _by_tree(nodes: DataFrame, key: str, run: Callable[[K.Tree, dict[str, list]], dict[str, list]], schema: StructType, *more: str) -> DataFrame:
+    """run(tree, columns by name) for each tree, whose rows are in order of their nodes; it gives columns without the key, which is added. Nothing grows with a tree's depth."""
+    kind = nodes.schema[key]
+
+    def one(group: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        part = part.sort_by("node")
+        rows = {c: part.column(c).to_pylist() for c in part.column_names}
+        found = run(K.Tree(rows["node"], rows["parent"], rows["edge_length"], [None] * part.num_rows), rows)
+        n = len(next(iter(found.values())))
+        made = [pa.array([group[0].as_py()] * n, to_arrow_type(kind.dataType)), *(pa.array(found[f.name], to_arrow_type(f.dataType)) for f in schema.fields)]
+        return pa.table(made, names=[key, *schema.names])
+
+    return nodes.select(key, "node", "parent", "edge_length", *more).groupBy(key).applyInArrow(one, StructType([kind, *schema.fields]))
+
+
+def depths(nodes: DataFrame, key: str = "tree_id") -> DataFrame:
+    """Each node's distance from the root (depth) and number of branches to it (level)."""
+    run = lambda t, rows: {"node": rows["node"], "depth": t.depth, "level": K.Ancestry(t).level.tolist()}
+    return _by_tree(nodes, key, run, StructType().add("node", "long").add("depth", "double").add("level", "long"))
+
+
+def to_mrca(nodes: DataFrame, members: DataFrame, group: str, key: str = "tree_id") -> DataFrame:
+    """Members (key, group, node; a node in one group) with their group's most recent common ancestor: key, group, node, mrca, dist (the branch length up to it)."""
+    rows = nodes.drop(group).join(members.select(key, "node", group), [key, "node"], "left")
+
+    def run(t: K.Tree, rows: dict[str, list]) -> dict[str, list]:
+        index, of = K.Ancestry(t), {}
+        for i, g in enumerate(rows[group]):
+            if g is not None:
+                of.setdefault(g, []).append(i)
+        ends = [(min(own, key=index.place.__getitem__), max(own, key=index.place.__getitem__)) for own in of.values()]
+        tops = index.common(*(np.array(x, np.int64) for x in zip(*ends, strict=True))).tolist() if ends else []
+        flat = [(g, i, top) for (g, own), top in zip(of.items(), tops, strict=True) for i in own]
+        return {group: [g for g, _, _ in flat], "node": [t.id[i] for _, i, _ in flat], "mrca": [t.id[m] for _, _, m in flat], "dist": [t.depth[i] - t.depth[m] for _, i, m in flat]}
+
+    return _by_tree(rows, key, run, StructType([members.schema[group]]).add("node", "long").add("mrca", "long").add("dist", "double"), group)
 
 
 def mrca(up: DataFrame, members: DataFrame, group: str, key: str = "tree_id") -> DataFrame:
@@ -106,20 +139,29 @@ def median_tip_distance(distances: DataFrame, key: str = "tree_id") -> DataFrame
     return distances.groupBy(key).agg(F.median("dist").alias("median_dist"))
 
 
-def host_clades(up: DataFrame, nodes: DataFrame, key: str = "tree_id") -> DataFrame:
+def host_clades(nodes: DataFrame, key: str = "tree_id") -> DataFrame:
     """Maximal nodes all of whose tips are one host's: key, node, host, tips."""
-    tips = nodes.where("is_tip").select(key, "node", "host")
-    under = tips.join(up, [key, "node"]).groupBy(key, "ancestor").agg(F.min("host").alias("lo"), F.max("host").alias("hi"), F.count("*").alias("tips"), F.count("host").alias("known"))
-    mono = under.where("lo = hi and tips = known").select(key, F.col("ancestor").alias("node"), F.col("lo").alias("host"), "tips")
-    above = nodes.select(key, "node", "parent").join(mono, [key, "node"])
-    return above.join(mono.select(key, F.col("node").alias("parent")), [key, "parent"], "left_anti").select(key, "node", "host", "tips")
-
-
-def root_to_tip(up: DataFrame, nodes: DataFrame, key: str = "tree_id") -> DataFrame:
-    """Read-weighted mean distance from a host's MRCA to its tips; 0 for one tip."""
-    tips = nodes.where("is_tip and host is not null").select(key, "host", "node", "reads")
-    top = mrca(up, tips.select(key, "host", "node"), "host", key).select(key, "host", F.col("mrca").alias("ancestor"))
-    far = tips.join(top, [key, "host"]).join(up.select(key, "node", "ancestor", "dist"), [key, "node", "ancestor"])
+
+    def run(t: K.Tree, rows: dict[str, list]) -> dict[str, list]:
+        # Of each node: its tips' only host (None: several, or a tip without), and how many there are. Inner nodes without tips count for nothing.
+        host, tips = [None] * len(t.id), [0] * len(t.id)
+        for i in t.up:
+            below = [c for c in t.children[i] if tips[c]]
+            if rows["is_tip"][i]:
+                host[i], tips[i] = rows["host"][i], 1
+            elif below:
+                hosts = {host[c] for c in below}
+                host[i], tips[i] = hosts.pop() if len(hosts) == 1 else None, sum(tips[c] for c in below)
+        top = [i for i in t.down if host[i] is not None and (t.parent[i] < 0 or host[t.parent[i]] is None)]
+        return {"node": [t.id[i] for i in top], "host": [host[i] for i in top], "tips": [tips[i] for i in top]}
+
+    return _by_tree(nodes, key, run, StructType().add("node", "long").add("host", "string").add("tips", "long"), "is_tip", "host")
+
+
+def root_to_tip(nodes: DataFrame, tips: DataFrame | None = None, key: str = "tree_id") -> DataFrame:
+    """Read-weighted mean distance from a host's MRCA to its tips (key, host, node, reads; the tree's own where none are given); 0 for one tip: key, host, rtt, tips, reads."""
+    tips = (nodes.where("is_tip") if tips is None else tips).where("host is not null").select(key, "host", "node", "reads")
+    far = to_mrca(nodes.drop("reads"), tips, "host", key).join(tips.select(key, "node", "reads"), [key, "node"])
     return far.groupBy(key, "host").agg((F.sum(F.col("dist") * F.col("reads")) / F.sum("reads")).alias("rtt"), F.count("*").alias("tips"), F.sum("reads").alias("reads"))
 
 

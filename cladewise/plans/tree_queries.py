@@ -36,18 +36,18 @@ UP = "RECURSIVE nd AS (SELECT * FROM {v_nodes}), up AS (SELECT tree_id, node, no
 TIPS = "tp AS (SELECT tree_id, node AS tip, host, reads FROM {v_nodes} WHERE is_tip)"
 
 add("tree_closure", f"WITH {UP} SELECT tree_id, node, ancestor, CAST(hops AS BIGINT) AS hops, round(dist, 9) AS dist FROM up", lambda s, d: rounded(up(s, d), "dist").withColumn("hops", F.col("hops").cast("long")))
-add("tree_depths", f"WITH {UP} SELECT tree_id, node, round(max(dist), 9) AS depth, CAST(max(hops) AS BIGINT) AS level FROM up GROUP BY tree_id, node", lambda s, d: rounded(T.depths(up(s, d)), "depth").withColumn("level", F.col("level").cast("long")))
+add("tree_depths", f"WITH {UP} SELECT tree_id, node, round(max(dist), 9) AS depth, CAST(max(hops) AS BIGINT) AS level FROM up GROUP BY tree_id, node", lambda s, d: rounded(T.depths(nodes(s, d)), "depth"))
 _MRCA = f"WITH {UP}, sz AS (SELECT tree_id, host, count(*) AS n FROM nd WHERE is_tip GROUP BY tree_id, host), co AS (SELECT nd.tree_id, nd.host, up.ancestor, count(*) AS have, sum(hops) AS far FROM nd JOIN up USING (tree_id, node) WHERE nd.is_tip GROUP BY nd.tree_id, nd.host, up.ancestor), mr AS (SELECT tree_id, host, ancestor AS mrca, n FROM (SELECT co.*, sz.n, row_number() OVER (PARTITION BY co.tree_id, co.host ORDER BY far, ancestor) AS k FROM co JOIN sz ON co.tree_id = sz.tree_id AND co.host = sz.host AND co.have = sz.n) q WHERE k = 1)"
-add("host_mrcas", f"{_MRCA} SELECT * FROM mr", lambda s, d: T.mrca(up(s, d), nodes(s, d).where("is_tip").select("tree_id", "host", "node"), "host"))
+add("host_mrcas", f"{_MRCA} SELECT * FROM mr", lambda s, d: T.to_mrca(nodes(s, d), nodes(s, d).where("is_tip").select("tree_id", "host", "node"), "host").groupBy("tree_id", "host").agg(F.first("mrca").alias("mrca"), F.count("*").alias("n")))
 _DIST = f"WITH {UP}, td AS (SELECT a.tree_id, a.host, a.node, b.node AS other, min(ua.dist + ub.dist) AS dist FROM nd a JOIN nd b ON a.tree_id = b.tree_id AND a.host = b.host AND a.node < b.node JOIN up ua ON ua.tree_id = a.tree_id AND ua.node = a.node JOIN up ub ON ub.tree_id = b.tree_id AND ub.node = b.node AND ub.ancestor = ua.ancestor WHERE a.is_tip AND b.is_tip GROUP BY a.tree_id, a.host, a.node, b.node)"
 add("tip_distances", f"{_DIST} SELECT tree_id, host, node, other, round(dist, 9) AS dist FROM td", lambda s, d: rounded(T.tip_distances(nodes(s, d)), "dist"))
 add("median_tip_distances", f"{_DIST} SELECT tree_id, round(median(dist), 9) AS median_dist FROM td GROUP BY tree_id", lambda s, d: rounded(T.median_tip_distance(T.tip_distances(nodes(s, d))), "median_dist"))
 add("host_distance_statistics", f"{_DIST} SELECT tree_id, host, round(max(dist), 9) AS max_dist, round(avg(dist), 9) AS mean_dist, count(*) AS pairs FROM td GROUP BY tree_id, host",
     lambda s, d: rounded(T.tip_distances(nodes(s, d)).groupBy("tree_id", "host").agg(F.max("dist").alias("max_dist"), F.avg("dist").alias("mean_dist"), F.count("*").alias("pairs")), "max_dist", "mean_dist"))
 add("host_clades", f"WITH {UP}, un AS (SELECT up.tree_id, up.ancestor AS node, min(nd.host) AS lo, max(nd.host) AS hi, count(*) AS tips FROM nd JOIN up USING (tree_id, node) WHERE nd.is_tip GROUP BY up.tree_id, up.ancestor), mo AS (SELECT * FROM un WHERE lo = hi) SELECT mo.tree_id, mo.node, mo.lo AS host, mo.tips FROM mo JOIN nd ON nd.tree_id = mo.tree_id AND nd.node = mo.node WHERE NOT EXISTS (SELECT 1 FROM mo p WHERE p.tree_id = nd.tree_id AND p.node = nd.parent)",
-    lambda s, d: T.host_clades(up(s, d), nodes(s, d)))
+    lambda s, d: T.host_clades(nodes(s, d)))
 add("root_to_tip", f"{_MRCA} SELECT mr.tree_id, mr.host, round(sum(up.dist * nd.reads) / sum(nd.reads), 9) AS rtt, count(*) AS tips, CAST(sum(nd.reads) AS BIGINT) AS reads FROM mr JOIN nd ON nd.tree_id = mr.tree_id AND nd.host = mr.host AND nd.is_tip JOIN up ON up.tree_id = nd.tree_id AND up.node = nd.node AND up.ancestor = mr.mrca GROUP BY mr.tree_id, mr.host",
-    lambda s, d: rounded(T.root_to_tip(up(s, d), nodes(s, d)), "rtt"))
+    lambda s, d: rounded(T.root_to_tip(nodes(s, d)), "rtt"))
 add("multifurcation_threshold", "SELECT tree_id, round(CASE WHEN min(edge_length) > 0.25 / 300 THEN -1 WHEN min(edge_length) = 0 THEN 1e-9 ELSE min(edge_length) * 1.0001 END, 9) AS threshold FROM {v_nodes} WHERE parent IS NOT NULL GROUP BY tree_id",
     lambda s, d: rounded(T.threshold_guess(nodes(s, d), 300), "threshold"))
 add("short_branches_collapsed", f"WITH {UP}, go AS (SELECT tree_id, node FROM nd WHERE NOT is_tip AND parent IS NOT NULL AND edge_length < 0.0025) SELECT nd.tree_id, nd.node, (SELECT arg_min(up.ancestor, up.hops) FROM up WHERE up.tree_id = nd.tree_id AND up.node = nd.node AND up.hops > 0 AND NOT EXISTS (SELECT 1 FROM go WHERE go.tree_id = up.tree_id AND go.node = up.ancestor)) AS parent, round(edge_length, 9) AS edge_length FROM nd WHERE NOT EXISTS (SELECT 1 FROM go WHERE go.tree_id = nd.tree_id AND go.node = nd.node)",

@@ -314,7 +314,9 @@ def test_closures_of_deep_trees_are_whole(spark):
     nodes = spark.createDataFrame(rows, "tree_id long, node long, parent long, edge_length double, is_tip boolean, host string, reads long")
     up = T.closure(nodes)
     assert up.count() == n * (n + 1) // 2 + 2
-    assert T.depths(up).agg(F.max("level")).first()[0] == n - 1
+    assert T.depths(nodes).agg(F.max("level")).first()[0] == n - 1
+    assert sorted((r.host, r.node, r.mrca, round(r.dist, 9)) for r in T.to_mrca(nodes, nodes.where("is_tip").select("tree_id", "host", "node"), "host").collect()) == [("A", n - 1, 0, round(0.001 * (n - 2) + 1, 9)), ("A", n, 0, 1.0)]
+    assert [(r.node, r.host, r.tips) for r in T.host_clades(nodes).collect()] == [(0, "A", 2)]
     assert [tuple(r) for r in T.mrca(up, nodes.where("is_tip").select("tree_id", "host", "node"), "host").collect()] == [(0, "A", 0, 2)]
     assert np.isclose(T.tip_distances(nodes).first().dist, 0.001 * (n - 2) + 2)
     assert sorted((r.node, r.parent) for r in T.short_branches_collapsed(nodes, 0.01).where("parent is not null").collect()) == [(n - 1, 0), (n, 0)]
