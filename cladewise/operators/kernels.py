@@ -10,6 +10,8 @@ from copy import copy
 import numpy as np
 
 UNASSIGNED = "unassigned"
+#: Pairs of subgraphs that are looked at together.
+PAIRS = 200_000
 
 
 class Tree:
@@ -313,28 +315,36 @@ def classified(rows: list[tuple[str, str | None, str, str | None, float, object]
     index, nodes = Ancestry(regions), Ancestry(t)
     adjacent, apart = np.zeros((n_hosts, n_hosts), bool), np.zeros((n_hosts, n_hosts), bool)
     least = np.full((n_hosts, n_hosts), np.inf)
-    hosts = np.flatnonzero(of < n_hosts)
-    for a in hosts.tolist():
-        b = hosts[of[hosts] > of[a]]
+    above = np.array([depth[t.parent[i]] if t.parent[i] >= 0 else 0.0 for i in root.tolist()])
+    # Subgraphs in order of their hosts: a subgraph is paired with all of later hosts, so many of them at a time.
+    hosts = np.argsort(of, kind="stable")[: int((of < n_hosts).sum())]
+    later = len(hosts) - np.searchsorted(of[hosts], of[hosts], side="right")
+    first, count = 0, np.concatenate([[0], np.cumsum(later)])
+    while first < len(hosts) and count[-1] > count[first]:
+        stop = max(first + 1, int(np.searchsorted(count, count[first] + PAIRS, side="right")) - 1)
+        times = later[first:stop]
+        mine = np.repeat(hosts[first:stop], times)
+        b = hosts[np.repeat(len(hosts) - times, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        first = stop
         if not len(b):
             continue
-        mine, met = np.full(len(b), a), index.common(np.full(len(b), a), b)
+        met = index.common(mine, b)
 
         def between(h: np.ndarray | int, own: int) -> np.ndarray:
-            return on[mine, h] + on[b, h] - 2 * on[met, h] + (of[met] == h) - own
+            return on[mine, h] + on[b, h] - 2 * on[met, h] + (of[met] == h) - own  # noqa: B023
 
-        inner = index.level[a] + index.level[b] - 2 * index.level[met] - 1
-        free, own, other = between(n_hosts, 0), between(int(of[a]), 1), between(of[b], 1)
-        np.logical_or.at(adjacent[of[a]], of[b], (inner == 0) | (inner == 1) & (free == 1))
-        np.logical_or.at(apart[of[a]], of[b], own + other + free < inner)
-        open_ = (own == 0) & (other == 0)
+        inner = index.level[mine] + index.level[b] - 2 * index.level[met] - 1
+        free, own, other = between(n_hosts, 0), between(of[mine], 1), between(of[b], 1)
+        np.logical_or.at(adjacent, (of[mine], of[b]), (inner == 0) | (inner == 1) & (free == 1))
+        np.logical_or.at(apart, (of[mine], of[b]), own + other + free < inner)
         # Nested: from the lower one's root to the upper one; else between the roots.
-        low, high = np.where(met == a, b, mine), np.where(met == a, mine, b)
-        child = np.where((met == a) | (met == b), through[low, high], 0)
-        nested = depth[root[low]] - np.array([depth[t.parent[root[c]]] for c in child.tolist()])
-        beside = depth[root[a]] + depth[root[b]] - 2 * depth[nodes.common(root[mine], root[b])]
-        gap = np.where((met == a) | (met == b), nested, beside)
-        np.minimum.at(least[of[a]], of[b][open_], gap[open_])
+        low, high = np.where(met == mine, b, mine), np.where(met == mine, mine, b)
+        within = (met == mine) | (met == b)
+        gap = np.where(within, depth[root[low]] - above[np.where(within, through[low, high], 0)], 0.0)
+        beside = ~within
+        gap[beside] = depth[root[mine[beside]]] + depth[root[b[beside]]] - 2 * depth[nodes.common(root[mine[beside]], root[b[beside]])]
+        open_ = (own == 0) & (other == 0)
+        np.minimum.at(least, (of[mine[open_]], of[b[open_]]), gap[open_])
     # Subgraphs of a host (column) that have an ancestor of another (row).
     below = np.array([(on[of == h] > 0).sum(axis=0) for h in range(n_hosts)]).reshape(n_hosts, -1).T
     size = np.bincount(of, minlength=len(kinds))

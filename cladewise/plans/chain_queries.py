@@ -34,7 +34,7 @@ def constants(s, d):
 
 def windows(s, d):
     """Classifications as three kinds of files have them: plain, under another name and turned round, and with a distance that is normalised already."""
-    rows = T.classified_states(states(s, d))
+    rows = T._cut(T.classified_states(states(s, d)))  # read by each of the three kinds
     turned = {"host_1": "host_2", "host_2": "host_1", "paths12": "paths21", "paths21": "paths12", "nodes1": "nodes2", "nodes2": "nodes1"}
     back = F.when(F.col("ancestry") == "anc", "desc").when(F.col("ancestry") == "desc", "anc").otherwise(F.col("ancestry"))
     return [

@@ -156,7 +156,9 @@ def loops(rows, t, name):
     return out
 
 
-def test_pairs_against_plain_loops():
+@pytest.mark.parametrize("at_once", [3, 200_000])
+def test_pairs_against_plain_loops(monkeypatch, at_once):
+    monkeypatch.setattr(K, "PAIRS", at_once)
     several = 0
     for seed in range(150):
         t = tree(seed, "ABCDE", 24)
