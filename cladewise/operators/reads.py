@@ -253,7 +253,10 @@ def pieces(tips: DataFrame, threshold: int, window: str = "window_id", sample: s
 
 def similar_pairs(tips: DataFrame, threshold: int, window: str = "window_id", sample: str = "sample") -> DataFrame:
     """Pairs of a group's sequences within the threshold, once each: window, sample, a, b. Only sequences with a piece in common are compared."""
-    rows = pieces(tips, threshold, window, sample).repartition(window, sample, "part", "piece").sortWithinPartitions(window, sample, "part", "piece", "seq")
+    rows = pieces(tips, threshold, window, sample).repartition(window, sample, "part", "piece")
+    # A piece that one sequence has alone leaves before any Python.
+    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(window, sample, "part", "piece"))).where("_n > 1")
+    rows = rows.sortWithinPartitions(window, sample, "part", "piece", "seq")
     rows = rows.select(F.struct(window, sample, "part", "piece").alias("group"), window, sample, "wide", "part", "seq")
 
     def found(held: list[tuple]) -> pa.RecordBatch:
@@ -321,7 +324,7 @@ def absorb_rare_first(counts: list[tuple[str, int]], near: Mapping[str, list[str
 
 
 def similar_merged(tips: DataFrame, threshold: int, version: str = "A", window: str = "window_id", sample: str = "sample") -> DataFrame:
-    """tips (window, sample, seq, n) after merging. Similar pairs are found over all groups at once; the ordered pass takes one sample's sequences in one window, and its pairs."""
+    """tips (window, sample, seq, n; read twice, so cut them if they are dear) after merging. Similar pairs are found over all groups at once; the ordered pass takes one sample's sequences in one window, and its pairs."""
     fields = [tips.schema[window], tips.schema[sample]]
 
     def run(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as FR
 from ..operators import reads as R
+from ..operators import trees as T
 from ..operators import windows as W
 from .relation_queries import rounded
 from .views import oracle, view
@@ -123,8 +124,8 @@ add("processed_reads", """WITH x AS (SELECT sample, name, seq, list_transform(ra
     y AS (SELECT *, list_min(list_filter(range(0, 8), lambda i: l[i + 1] >= 8)) AS a, list_max(list_filter(range(0, 8), lambda i: l[i + 1] >= 8)) AS z FROM x)
     SELECT sample, name, substr(seq, 3, 4) AS seq, CAST(4 AS INT) AS n FROM y WHERE a <= 2 AND z >= 5 AND len(list_filter(range(a, z + 1), lambda i: l[i + 1] < 4)) < 2""", lambda s, d: R.processed(arrays(s, d), F.col("first_pos") + 2, F.col("first_pos") + 5, trim=8, low=4, recover=True).select("sample", "name", "seq", F.size("positions").alias("n")))
 add("merged_mates", None, lambda s, d: R.merged_mates(templates(arrays(s, d)).select("sample", "name", "seq", "positions", "quals")))
-add("similar_merged_a", None, lambda s, d: R.similar_merged(tips(s, d), 1, "A"))
-add("similar_merged_b", None, lambda s, d: R.similar_merged(tips(s, d), 1, "B"))
+add("similar_merged_a", None, lambda s, d: R.similar_merged(T._cut(tips(s, d)), 1, "A"))
+add("similar_merged_b", None, lambda s, d: R.similar_merged(T._cut(tips(s, d)), 1, "B"))
 add("recombination_metric", None, lambda s, d: R.recombination(R.reassembled(bases(s, d), "window_id", "seq_id"), "window_id"))
 add("sequence_classes", f"WITH {TIPS} SELECT window_id, seq, samples, top_n, top_sample, second FROM (SELECT window_id, seq, count(*) AS samples, max(n) AS top_n, arg_max(sample, (n, sample)) AS top_sample, list_sort(list(n), 'DESC')[2] AS second FROM t GROUP BY window_id, seq) x WHERE samples > 1",
     lambda s, d: R.sequence_classes(tips(s, d)).select("window_id", "seq", "samples", F.col("top.n").alias("top_n"), F.col("top.sample").alias("top_sample"), "second"))
