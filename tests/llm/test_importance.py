@@ -4,10 +4,8 @@ import random
 import re
 import zlib
 
-import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from cladewise.llm import importance
 from cladewise.llm.common import text_bytes

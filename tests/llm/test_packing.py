@@ -5,7 +5,6 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cladewise.llm import packing, segments
