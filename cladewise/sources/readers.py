@@ -198,9 +198,13 @@ def blacklist_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a tip and its reads: file, tip, name."""
-    parts = F.split("value", r"\s*,\s*")
-    return _lines(spark, path).where("trim(value) <> ''").select("file", parts[0].alias("tip"), F.explode(F.slice(parts, 2, F.size(parts))).alias("name"))
+    """Lines of a tip and its reads: file, tip, name.
+
+    A line is split before its names become rows: beside explode, the tip would be split off the whole line once for each name.
+    """
+    lines = _lines(spark, path).where("trim(value) <> ''").select("file", F.split("value", r"\s*,\s*").alias("parts"))
+    tips = lines.select("file", F.col("parts")[0].alias("tip"), F.slice("parts", 2, F.size("parts")).alias("names"))
+    return tips.select("file", "tip", F.explode("names").alias("name"))
 
 
 def window_exploration(spark: SparkSession, path: str) -> DataFrame:

@@ -32,6 +32,14 @@ def test_manifest_and_names(spark, tmp_path):
         R.names(spark, put(tmp_path, "none.txt", "\n \n"))
 
 
+def test_a_tip_with_many_reads_is_split_once(spark, tmp_path):
+    df = R.read_names(spark, put(tmp_path, "r.csv", "t1," + ",".join(f"q{i}" for i in range(5000)) + "\nt2,q5000\n")).select("tip", "name")
+    # Nothing above the rows of names splits a line again, once for each name.
+    above, _, below = df._jdf.queryExecution().optimizedPlan().toString().partition("Generate")
+    assert "split(" not in above and "split(" in below
+    assert sorted(rows(df, "name")) == sorted([("t1", f"q{i}") for i in range(5000)] + [("t2", "q5000")])
+
+
 def test_fasta_round_trip(spark, tmp_path):
     df = R.fasta(spark, put(tmp_path, "s.fasta", ">one x\nAC\ngt\n>two\nA-GT\n"))
     assert rows(df.select("seq_id", "seq"), "seq_id") == [("one", "ACGT"), ("two", "A-GT")]
