@@ -241,3 +241,26 @@ def test_contaminants_by_pairs(spark):
     for ratio in (2.0, 3.0, 1.0):
         want = {(w, h, s) for w, h, s, n in rows if any(x == w and t == s and g != h and m / n >= ratio for x, g, t, m in rows)}
         assert {tuple(r) for r in R.contaminants(df, ratio).collect()} == want
+
+
+def test_reads_meet_their_orders_once(spark, monkeypatch):
+    from cladewise.operators import windows as W
+    from cladewise.plans import read_queries, views
+
+    sf = "/root/testdata/sf0.001"
+    needs = {n: views.view(spark, sf, n) for n in ("lineitem", "orders", "customer")}
+    plain, own = spark.sql(views._spelled(views.VIEWS["v_reads"], "spark"), **needs), views.view(spark, sf, "v_reads")
+    assert own.dtypes == plain.dtypes and own.exceptAll(plain).isEmpty() and plain.exceptAll(own).isEmpty()
+    few = sorted(map(tuple, read_queries.tips(spark, sf).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = read_queries.tips(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        # Rows of lineitem are shuffled by order only: not by customer afterwards, nor by bin.
+        assert plan.index("SortMergeJoin [l_orderkey") < plan.index("SortMergeJoin [o_custkey") and "hashpartitioning(_bin" not in plan
+        monkeypatch.setattr(W, "FEW", 0)
+        many = read_queries.tips(spark, sf)
+        assert "hashpartitioning(_bin" in many._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, many.collect())) == few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
