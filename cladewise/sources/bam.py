@@ -16,6 +16,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,8 +36,11 @@ BLOCK = 60_000
 CHAIN, LOOK = 5, 1 << 20
 
 _FIXED = struct.Struct("<iiBBHHHiiii")
-_PAIRS = [a + b for a in BASES for b in BASES]
+#: Hexadecimal digits of the bases' codes, to bases and back; what is no base is N.
+_FROM_HEX = str.maketrans("0123456789abcdef", BASES)
+_TO_HEX = bytes(b"0123456789abcdef"[BASES.find(c) if (c := chr(x).upper()) in BASES else 15] for x in range(256))
 _SHOWN = bytes(min(q + 33, 126) for q in range(256))
+_HIDDEN = bytes((x - 33) % 256 for x in range(256))
 
 
 # -- blocks ------------------------------------------------------------------------------------------------
@@ -90,6 +94,18 @@ def _long_cigar(row: bytes, at: int) -> tuple[int, ...]:
     return ()
 
 
+@lru_cache(maxsize=1 << 14)
+def _shown_cigar(ops: tuple[int, ...]) -> str:
+    return "".join([f"{x >> 4}{OPERATIONS[x & 15]}" for x in ops])
+
+
+@lru_cache(maxsize=1 << 14)
+def _operations(cigar: str) -> tuple[tuple[int, ...], int, bytes]:
+    """A CIGAR's operations, the places that they take on the reference, and their bytes."""
+    ops = tuple(int(n) << 4 | OPERATIONS.index(op) for n, op in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar))
+    return ops, sum(x >> 4 for x in ops if x & 15 in (0, 2, 3, 7, 8)), struct.pack(f"<{len(ops)}I", *ops)
+
+
 def decoded(row: bytes) -> tuple:
     """name, flag, number of the reference, pos (from 1), mapq, cigar, seq, qual of a record, as SAM text has them. A CIGAR of too many operations for its field is taken from its tag."""
     ref, pos, n_name, mapq, _, n_ops, flag, n_seq = struct.unpack_from("<iiBBHHHi", row)
@@ -99,25 +115,33 @@ def decoded(row: bytes) -> tuple:
     half = (n_seq + 1) // 2
     if n_ops == 2 and ops[0] == n_seq << 4 | 4 and ops[1] & 15 == 3:
         ops = _long_cigar(row, at + half + n_seq) or ops
-    seq = "".join(map(_PAIRS.__getitem__, row[at : at + half]))[:n_seq]
+    seq = row[at : at + half].hex().translate(_FROM_HEX)[:n_seq]
     qual = row[at + half : at + half + n_seq]
-    cigar = "".join(f"{x >> 4}{OPERATIONS[x & 15]}" for x in ops)
+    # Long lists of operations are not kept.
+    cigar = _shown_cigar(ops) if len(ops) < 64 else _shown_cigar.__wrapped__(ops)
     return name, flag, ref, pos + 1, mapq, cigar or "*", seq or "*", "*" if not qual or qual[0] == 255 else qual.translate(_SHOWN).decode()
 
 
 def encoded(name: str, flag: int, ref: int, pos: int, mapq: int, cigar: str, seq: str, qual: str) -> bytes:
     """A record of these values, with its length; without mates and tags, but for CG if there are over 65,535 operations."""
-    ops = [int(n) << 4 | OPERATIONS.index(op) for n, op in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar)]
-    bases = [] if seq == "*" else [max(BASES.find(c), 0) if c in BASES else 15 for c in seq.upper()]
-    last = pos - 1 + max(1, sum(x >> 4 for x in ops if x & 15 in (0, 2, 3, 7, 8)))
-    tag = b""
-    if len(ops) > 65_535:
-        tag = b"CGBI" + struct.pack(f"<i{len(ops)}I", len(ops), *ops)
-        ops = [len(bases) << 4 | 4, (last - pos + 1) << 4 | 3]
-    row = _FIXED.pack(ref, pos - 1, len(name.encode()) + 1, mapq, _bin(pos - 1, last), len(ops), flag, len(bases), -1, -1, 0)
-    row += name.encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops)
-    row += bytes(a << 4 | b for a, b in zip(bases[::2], [*bases[1::2], 0]))
-    row += b"\xff" * len(bases) if qual == "*" or len(qual) != len(bases) else bytes(ord(c) - 33 for c in qual)
+    ops, span, packed = _operations(cigar) if len(cigar) < 256 else _operations.__wrapped__(cigar)
+    n = 0 if seq == "*" else len(seq)
+    last = pos - 1 + max(1, span)
+    tag, n_ops = b"", len(ops)
+    if n_ops > 65_535:
+        tag = b"CGBI" + struct.pack("<i", n_ops) + packed
+        packed, n_ops = struct.pack("<2I", n << 4 | 4, (last - pos + 1) << 4 | 3), 2
+    own = name.encode()
+    row = _FIXED.pack(ref, pos - 1, len(own) + 1, mapq, _bin(pos - 1, last), n_ops, flag, n, -1, -1, 0)
+    row += own + b"\0" + packed
+    if n:
+        row += bytes.fromhex((seq.encode("latin-1", "replace").translate(_TO_HEX) + b"0" * (n % 2)).decode())
+    if qual == "*" or len(qual) != n:
+        row += b"\xff" * n
+    elif n and min(qual) < "!":
+        raise ValueError(f"a quality of {name} is no printable character")
+    else:
+        row += qual.encode("latin-1").translate(_HIDDEN)
     return struct.pack("<i", len(row) + len(tag)) + row + tag
 
 

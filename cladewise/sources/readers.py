@@ -78,7 +78,7 @@ def sam(spark: SparkSession, path: str, region: tuple[str, int, int] | None = No
 def _placed(rows: DataFrame, region: tuple[str, int, int] | None) -> DataFrame:
     """Reads in the columns of SAM text with a place for each base; those that overlap the region, if there is one."""
     parts = F.regexp_extract_all("cigar", F.lit(r"([0-9]+[MIDNSHP=X])"))
-    step = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^([0-9]+)", 1).cast("int").alias("n"), F.right(p, F.lit(1)).alias("op")))
+    step = F.transform(parts, lambda p: F.struct(F.substr(p, F.lit(1), F.length(p) - 1).cast("int").alias("n"), F.right(p, F.lit(1)).alias("op")))
     none = F.array().cast("array<int>")
 
     def walk(state, p):

@@ -235,3 +235,15 @@ def test_named_reads_as_bam(spark, tmp_path):
 def test_bins():
     assert [M._bin(a, b) for a, b in ((0, 1), (16_383, 16_385), (1 << 26, (1 << 26) + 1), (0, 1 << 29), (-1, 0))] == [4681, 585, 4681 + (1 << 12), 0, 4680]
 
+
+
+def test_bam_codec_keeps_odd_values():
+    for seq, shown in (("acgtn", "ACGTN"), ("AC.x-", "ACNNN"), ("=MRSVWYHKDB", "=MRSVWYHKDB"), ("*", "*"), ("A", "A")):
+        row = M.encoded("n", 0, 0, 5, 60, "*", seq, "*")
+        assert M.decoded(row[4:])[6:] == (shown, "*")
+    assert M.decoded(M.encoded("n", 0, 0, 5, 60, "2S3M1D1M", "ACGTAC", "!~IIII")[4:]) == ("n", 0, 0, 5, 60, "2S3M1D1M", "ACGTAC", "!~IIII")
+    # A CIGAR is parsed once for all records that have it.
+    held = M._operations.cache_info().hits
+    assert M.encoded("m", 0, 0, 9, 60, "2S3M1D1M", "ACGTAC", "*")[4:8] == struct.pack("<i", 0) and M._operations.cache_info().hits == held + 1
+    with pytest.raises(ValueError, match="printable"):
+        M.encoded("n", 0, 0, 5, 60, "2M", "AC", "\tI")
