@@ -134,3 +134,45 @@ def test_components_in_one_task_and_by_rounds(spark, most):
     got = {r.id: r.label for r in N.components(spark.createDataFrame(edges, "host_1 string, host_2 string"), most=most).collect()}
     assert got == label
     assert N.components(spark.createDataFrame([], "host_1 string, host_2 string"), most=most).count() == 0
+
+
+def some_trees(n):
+    """Rows tree_id, node, parent, edge_length, host, reads of random trees; some have a tip as root, two roots or a host called unassigned."""
+    rng, out = random.Random(5), []
+    for g in range(n):
+        size = rng.choice([1, 2, 3, 10, 40])
+        ids = rng.sample(range(1, 200), size)
+        rows = [(g, ids[j], ids[max(0, j - rng.randint(1, 4))] if j else None, rng.choice([0.0, 0.1, 0.25, 0.3, None]), rng.choice([None, "A", "B", "C"]), rng.choice([None, 1, 2, 7])) for j in range(size)]
+        rows += [(g, 500, None, 0.0, "A", 3)] if g % 7 == 3 else []
+        out.append(sorted(((*r[:4], "unassigned" if g % 11 == 5 and r[4] == "B" else r[4], r[5]) for r in rows), key=lambda r: r[1]))
+    return out
+
+
+@pytest.mark.parametrize("numbers", [10**6, 20])
+@pytest.mark.parametrize("k", [0.0, 1.0, 20.0])
+def test_subgraphs_of_many_trees_at_once(monkeypatch, k, numbers):
+    from cladewise.operators import kernels as K
+
+    monkeypatch.setattr(K, "NUMBERS", numbers)
+    trees = some_trees(150)
+    want = [(t[0][0], *x) for t in trees for x in K._plain_host_subgraphs(*([r[c] for r in t] for c in range(1, 6)), k)]
+    rows = [r for t in trees for r in t]
+    got = list(zip(*K.host_subgraphs(*([r[c] for r in rows] for c in range(6)), k)))
+    assert sorted(got) == sorted(want) and any("-SPLIT2" in x[2] for x in want)
+
+
+def test_trees_go_on_in_the_next_batch_and_not_one_by_one(spark, monkeypatch):
+    from cladewise.operators import kernels as K
+
+    trees = [t for t in some_trees(60) if len(t) > 1 and t[0][0] % 7 != 3 and t[0][0] % 11 != 5]
+    want = sorted((t[0][0], *x) for t in trees for x in K._plain_host_subgraphs(*([r[c] for r in t] for c in range(1, 6)), 2.0))
+    nodes = spark.createDataFrame([r for t in trees for r in t], "tree_id long, node long, parent long, edge_length double, host string, reads long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(tuple, B.host_splits(nodes, 2.0).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    monkeypatch.setattr(K, "parsimony", None)
+    rows = [r for t in trees for r in t]
+    assert sorted(zip(*K.host_subgraphs(*([r[c] for r in rows] for c in range(6)), 2.0))) == want
