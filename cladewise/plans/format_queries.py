@@ -131,10 +131,10 @@ def chains_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _trees(spark: SparkSession, sf_dir: str, nexus: bool) -> DataFrame:
     path = new_path(spark, "trees")
     nodes = _sql(spark, sf_dir, f"SELECT CAST(tree_id AS @text) AS file, node, parent, edge_length, {_TIP} AS label, CASE WHEN is_tip THEN map('INDIVIDUAL', host) ELSE map() END AS annotations FROM {{v_nodes}}")
-    sinks.annotated_trees(nodes, nexus).write.partitionBy("file").text(path)
-    found = readers.trees(spark, f"{path}/*/*.txt")
-    labels = found.select("path", F.col("node").alias("parent"), F.col("label").alias("parent_label"))
-    rows = found.join(labels, ["path", "parent"], "left")
+    sinks.write_trees(nodes, path, nexus)
+    found = readers.trees(spark, path)
+    labels = found.select("path", "tree", F.col("node").alias("parent"), F.col("label").alias("parent_label"))
+    rows = found.join(labels, ["path", "tree", "parent"], "left")
     return rows.select("label", "parent_label", F.round("edge_length", 9).alias("edge_length"), "is_tip", F.col("annotations")["INDIVIDUAL"].alias("host"))
 
 

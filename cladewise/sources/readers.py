@@ -103,19 +103,28 @@ def bam(spark: SparkSession, path: str, region: tuple[str, int, int] | None = No
     return _placed(bam_files.records(spark, path, None if region is None else region[2]), region)
 
 
+#: Nodes of trees that are given out together.
+ROWS = 10_000
 _TOKEN = re.compile(r"\[[^\]]*\]|'(?:[^']|'')*'|[(),:;]|[^\s(),:;\[\]']+")
 
 
-def parse_newick(text: str) -> list[tuple[int, int | None, float | None, str | None, dict[str, str]]]:
-    """node, parent, length, label and [&key=value] annotations of each node; the root is 0. Also takes the tree of a NEXUS file."""
-    if text.lstrip()[:6].upper() == "#NEXUS":
-        found = re.search(r"(?im)^\s*u?tree\s[^=]*=\s*(.*?;)", text, re.S)
-        table = dict(re.findall(r"(?m)^\s*(\d+)\s+'?([^\s,']+)'?,?\s*$", m[1])) if (m := re.search(r"(?is)translate(.*?);", text)) else {}
-        nodes = parse_newick(re.sub(r"^\s*\[&[RU]\]", "", found[1] if found else ";"))
-        return [(n, p, x, table.get(label, label) if label else label, a) for n, p, x, label, a in nodes]
+Nodes = list[tuple[int, int | None, float | None, str | None, dict[str, str]]]
+
+
+def _newicks(text: str, at_most: int | None = None) -> Iterator[Nodes]:
+    """The trees of a text, each up to its semicolon; the last may lack it."""
     out: list[list] = [[0, None, None, None, {}]]
-    at, stack, length_next = 0, [], False
-    for token in _TOKEN.findall(text):
+    at, stack, length_next, read = 0, [], False, False
+    for found in _TOKEN.finditer(text):
+        token = found[0]
+        if token == ";":
+            yield [tuple(x) for x in out]
+            at_most = at_most and at_most - 1
+            if at_most == 0:
+                return
+            out, at, stack, length_next, read = [[0, None, None, None, {}]], 0, [], False, False
+            continue
+        read = True
         if token == "(":
             stack.append(at)
             out.append([len(out), at, None, None, {}])
@@ -128,8 +137,6 @@ def parse_newick(text: str) -> list[tuple[int, int | None, float | None, str | N
         elif token == ":":
             length_next = True
             continue
-        elif token == ";":
-            break
         elif token[0] == "[":
             if token.startswith("[&"):
                 out[at][4].update((k.strip(), v.strip().strip('"')) for k, _, v in (x.partition("=") for x in token[2:-1].split(",")))
@@ -139,21 +146,48 @@ def parse_newick(text: str) -> list[tuple[int, int | None, float | None, str | N
         else:
             out[at][3] = token[1:-1].replace("''", "'") if token[0] == "'" else token
         length_next = False
-    return [tuple(x) for x in out]
+    if read:
+        yield [tuple(x) for x in out]
+
+
+def parse_trees(text: str) -> Iterator[Nodes]:
+    """All trees of a newick or NEXUS file: node, parent, length, label and [&key=value] annotations of each node; a root is 0."""
+    if text.lstrip()[:6].upper() != "#NEXUS":
+        yield from _newicks(text)
+        return
+    table = dict(re.findall(r"(?m)^\s*(\d+)\s+'?([^\s,']+)'?,?\s*$", m[1])) if (m := re.search(r"(?is)translate(.*?);", text)) else {}
+    heads = list(re.finditer(r"(?im)^\s*u?tree\s(?:'(?:[^']|'')*'|[^='])*=\s*(?:\[&[RU]\])?", text))
+    for head, after in zip(heads, [*heads[1:], None]):
+        for nodes in _newicks(text[head.end() : after.start() if after else None], 1):
+            yield [(n, p, x, table.get(label, label) if label else label, a) for n, p, x, label, a in nodes] if table else nodes
+
+
+def parse_newick(text: str) -> Nodes:
+    """The first tree of a text."""
+    return next(parse_trees(text), [(0, None, None, None, {})])
 
 
 def trees(spark: SparkSession, path: str) -> DataFrame:
-    """file, node, parent, edge_length, is_tip, label, annotations, path; newick or NEXUS, one tree a file. Files in different folders may share a name, never a path."""
+    """file, node, parent, edge_length, is_tip, label, annotations, path, tree (from 0, in the order of the file); newick or NEXUS, any number of trees a file. Files in different folders may share a name, never a path. A task holds one file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, path, text in zip(batch["file"], batch["path"], batch["value"]):
-                nodes = parse_newick(text)
-                parents = {p for _, p, _, _, _ in nodes}
-                yield pd.DataFrame([(name, n, p, x, n not in parents, label, a, path) for n, p, x, label, a in nodes], columns=["file", "node", "parent", "edge_length", "is_tip", "label", "annotations", "path"]).astype({"parent": "Int64"})
+                rows: list[tuple] = []
+                for tree, nodes in enumerate(parse_trees(text)):
+                    parents = {p for _, p, _, _, _ in nodes}
+                    rows += [(name, n, p, x, n not in parents, label, a, path, tree) for n, p, x, label, a in nodes]
+                    if len(rows) >= ROWS:
+                        yield frame(rows)
+                        rows = []
+                if rows:
+                    yield frame(rows)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["file", "node", "parent", "edge_length", "is_tip", "label", "annotations", "path", "tree"]).astype({"parent": "Int64"})
 
     whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"))
-    return whole.mapInPandas(run, "file string, node long, parent long, edge_length double, is_tip boolean, label string, annotations map<string,string>, path string")
+    return whole.mapInPandas(run, "file string, node long, parent long, edge_length double, is_tip boolean, label string, annotations map<string,string>, path string, tree long")
 
 
 def matched(trees_: DataFrame, others: DataFrame) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Trees of a file.
+TREES = 500
+
 
 def write_fasta(sequences: DataFrame, path: str, *by: str) -> None:
     """seq_id and seq as records, in folders by the given columns."""
@@ -92,6 +97,35 @@ def annotated_trees(nodes: DataFrame, nexus: bool = False) -> DataFrame:
     return nodes.select("file", "node", "parent", "edge_length", "label", "annotations").groupBy("file").applyInPandas(run, "file string, text string")
 
 
+def write_trees(nodes: DataFrame, path: str, nexus: bool = False, most: int = TREES) -> None:
+    """Files of up to so many trees each: newick by line, or NEXUS with one block of trees. nodes: file (the tree's name), node, parent, edge_length, label, annotations (map)."""
+
+    def document(found: list[tuple[str, str]]) -> str:
+        if not nexus:
+            return "\n".join(text for _, text in found) + "\n"
+        names = ("'" + name.replace("'", "''") + "'" if re.search(r"[^\w.]", name) else name for name, _ in found)
+        return "#NEXUS\nBEGIN TREES;\n" + "".join(f"\ttree {name} = [&R] {text}\n" for name, (_, text) in zip(names, found)) + "END;\n"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, found = None, [], []
+        for batch in batches:
+            for name, *node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own and name != at:
+                    found.append((at, to_newick(own)))
+                    own = []
+                    if len(found) == most:
+                        yield pa.RecordBatch.from_arrays([pa.array([document(found)])], names=["text"])
+                        found = []
+                at = name
+                own.append((*node[:-1], dict(node[-1] or ())))
+        if own:
+            found.append((at, to_newick(own)))
+            yield pa.RecordBatch.from_arrays([pa.array([document(found)])], names=["text"])
+
+    rows = nodes.select("file", "node", "parent", "edge_length", "label", "annotations").repartition("file").sortWithinPartitions("file")
+    rows.mapInArrow(run, "text string").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def batches(frames: Iterator[DataFrame], path: str) -> None:
     """Appends groups of sweeps as they come."""
     for f in frames:

@@ -73,6 +73,27 @@ def test_nexus_and_tree_tables(spark, tmp_path):
     assert "(A[&INDIVIDUAL=h]:1,B:2)" in back and [x[3] for x in R.parse_newick(back)] == [None, "A", "B"]
 
 
+@pytest.mark.parametrize("nexus", [False, True])
+def test_many_trees_in_few_files(spark, tmp_path, nexus):
+    """A tree in a file of several is read whole, and there are as many files as needed, not one for each tree."""
+    names = ["t1", "it's", "a = b", "x.y", *(f"w {i}" for i in range(40))]
+    nodes = [(f, *row) for k, f in enumerate(names) for row in ((0, None, None, None, {}), (1, 0, 0.5 + k, f"{f};(1)", {"INDIVIDUAL": "h"}), (2, 0, 2.0, "b", {}))]
+    df = spark.createDataFrame(nodes, "file string, node long, parent long, edge_length double, label string, annotations map<string,string>")
+    S.write_trees(df, str(tmp_path / "out"), nexus, most=5)
+    files = [p.read_text() for p in (tmp_path / "out").glob("*.txt")]
+    assert 9 <= len(files) < 20 and all(len(list(R.parse_trees(t))) <= 5 for t in files)
+    back = R.trees(spark, str(tmp_path / "out"))
+    assert back.select("path", "tree").distinct().count() == len(names) and back.where("node = 0").count() == len(names)
+    got = sorted((r.label, r.edge_length, r.is_tip, r.annotations) for r in back.where("node = 1").collect())
+    assert got == sorted((f"{f};(1)", 0.5 + k, True, {"INDIVIDUAL": "h"}) for k, f in enumerate(names))
+
+
+def test_every_tree_of_a_nexus_file(spark, tmp_path):
+    text = "#NEXUS\nbegin trees;\ntranslate\n1 A,\n2 B\n;\ntree s = [&R] (1:1,2:2);\nutree * t = (2:3,1:4);\nend;\n"
+    df = R.trees(spark, put(tmp_path, "s.tree", text))
+    assert rows(df.where("is_tip").select("tree", "label", "edge_length"), "tree", "label") == [(0, "A", 1.0), (0, "B", 2.0), (1, "A", 4.0), (1, "B", 3.0)]
+
+
 def test_small_tables(spark, tmp_path):
     assert rows(R.duplicates(spark, put(tmp_path, "d.csv", "a,b\n\nc , d,e\n")).groupBy("set_id").agg(F.count("*").alias("n")).select("n"), "n") == [(2,), (3,)]
     assert rows(R.tree_constants(spark, put(tmp_path, "c.csv", "t1,2.5\nt1,9\nt2,x\n")), "file") == [("t1", 2.5), ("t2", 1.0)]
