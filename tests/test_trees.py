@@ -237,6 +237,26 @@ def test_posterior_recovers_flows():
     assert 300 < W.effective_size(np.random.default_rng(1).normal(size=500)) <= 700
 
 
+def test_effective_size_of_long_chains(monkeypatch):
+    """As all autocorrelations give it, without finding all of them (the square of the length)."""
+
+    def plain(x):
+        x = x - x.mean()
+        rho, total = [x[: len(x) - k] @ x[k:] / (x @ x) for k in range(len(x))], 0.0
+        for k in range(1, len(x) - 1, 2):
+            if rho[k] + rho[k + 1] <= 0:
+                break
+            total += rho[k] + rho[k + 1]
+        return len(x) / (1 + 2 * total)
+
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(np, "correlate", None)
+    for n in (4, 5, 50, 701):
+        for x in (rng.normal(size=n), rng.normal(size=n).cumsum(), np.sin(np.arange(n) / 60)):
+            assert np.isclose(W.effective_size(x), plain(x), rtol=1e-9)
+    assert W.effective_size(rng.normal(size=2_000_000)) > 1_500_000
+
+
 def test_priors_of_a_category_by_role(spark):
     """Fixed probabilities: the flows' means follow from counts over both roles' probabilities."""
     seen = {("a", "a"): 400.0, ("a", "b"): 300.0, ("b", "a"): 200.0, ("b", "b"): 100.0}
