@@ -4,7 +4,8 @@ The decoder reads prefix codes (simple and normal, with groups by tile), back-re
 map and the colour cache, and inverts the predictor, cross-colour, subtract-green and palette transforms; it
 gives pixel arrays. Symbols are not read one by one: tables tell at once, for each bit, which token would begin
 there and where it would end; the tokens are then followed from the first bit on, and copies and cached colours
-are resolved together as pointers to earlier pixels. Only images of a few pixels are read symbol by symbol.
+are resolved together as pointers to earlier pixels. Only images of a few pixels are read symbol by symbol. Where
+there are many files, their images are read side by side instead, a token of each at a time.
 
 A payload is stored as the red, green and blue samples of an image 64 pixels wide (wider in steps of 64 where
 the format's height ends), with fitted codes and back-references, and at least one transform: a palette where the
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import chunks, shared_folder, text_bytes
 
 STEP = 192
 WIDTH, MOST = 64, 1 << 14
@@ -74,6 +75,12 @@ class Reader:
         self.at += n
         return out
 
+    @cached_property
+    def words(self) -> memoryview:
+        """At each byte it and the next seven, as one number; 64 more bytes of nothing at the end."""
+        raw = self.data + bytes(72)
+        return memoryview(np.ndarray(len(raw) - 8, np.uint64, raw, strides=(1,)).copy())
+
     @cached_property
     def triples(self) -> np.ndarray:
         """At each byte it and the next three, as one number; 16 more bytes of nothing at the end."""
@@ -136,6 +143,27 @@ def stream_codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, bits
 
 
+@lru_cache(maxsize=4096)
+def _small_stream_codes(lengths: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    codes, bits = stream_codes(np.array(lengths))
+    return codes.tolist(), bits.tolist()
+
+
+def all_stream_codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """stream_codes() of each row."""
+    bits = lengths.copy()
+    bits[np.count_nonzero(bits, axis=1) < 2] = 0
+    row, symbol = bits.nonzero()
+    own = bits[row, symbol]
+    by = np.argsort((row << 4) + own, kind="stable")
+    row, symbol, own = row[by], symbol[by], own[by]
+    # Complete codes cover the whole range of 16 bits, row by row.
+    step = 1 << (16 - own)
+    out = np.zeros_like(bits)
+    out[row, symbol] = _REVERSED[step.cumsum() - step & 0xFFFF]
+    return out, bits
+
+
 class Code:
     """A prefix code, as a table over the next bits: symbol * 16 + bits."""
 
@@ -174,6 +202,10 @@ def _small(lengths: tuple[int, ...]) -> Code:
     return Code(np.array(lengths))
 
 
+#: Symbols of the code length code that stand for runs: the shortest, and the bits of what is added.
+_RUNS = {16: (3, 2), 17: (3, 3), 18: (11, 7)}
+
+
 def read_code(r: Reader, size: int) -> Code:
     # The same bits for the same alphabet are the same code: red and blue often share theirs.
     begin = r.at
@@ -189,28 +221,33 @@ def read_code(r: Reader, size: int) -> Code:
         own[CODE_LENGTH_ORDER[k]] = packed >> 3 * k & 7
     code = _small(tuple(own))
     left = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else size
-    # All that can follow, as one number.
-    first, entries, mask = r.at >> 3, code.entries, (1 << code.wide) - 1
-    rest, used = int.from_bytes(r.data[first : first + 2 * size + 16], "little") >> (r.at & 7), 0
+    words, entries, mask, bit = r.words, code.entries, (1 << code.wide) - 1, r.at
     lengths: list[int] = []
-    before = 8
-    while len(lengths) < size and left:
-        left -= 1
-        x = entries[rest & mask]
-        n, s = x & 15, x >> 4
-        rest >>= n
-        used += n
-        if s < 16:
-            lengths.append(s)
-            before = s or before
-            continue
-        base, more = ((3, 2), (3, 3), (11, 7))[s - 16]
-        lengths += [before if s == 16 else 0] * (base + (rest & (1 << more) - 1))
-        rest >>= more
-        used += more
+    before, note, open_ = 8, lengths.append, size
+    try:
+        while open_ > 0 and left:
+            left -= 1
+            w = words[bit >> 3] >> (bit & 7)
+            x = entries[w & mask]
+            n = x & 15
+            if x < 256:
+                bit += n
+                x >>= 4
+                note(x)
+                open_ -= 1
+                if x:
+                    before = x
+                continue
+            base, more = _RUNS[x >> 4]
+            k = base + (w >> n & (1 << more) - 1)
+            lengths += [before if x < 272 else 0] * k
+            open_ -= k
+            bit += n + more
+    except IndexError:
+        raise ValueError("the image ends too early") from None
+    r.at = bit
     if len(lengths) > size:
         raise ValueError("too many code lengths")
-    r.at += used
     if r.at > 8 * len(r.data):
         raise ValueError("the image ends too early")
     out, n, r.at = Code(np.array(lengths + [0] * (size - len(lengths)))), r.at - begin, begin
@@ -219,52 +256,72 @@ def read_code(r: Reader, size: int) -> Code:
     return out
 
 
+#: Tokens of code lengths: a length, or 19 and more for the runs of symbols 17 and 18. Each one's symbol, what is added, and its bits.
+_TOKENS = [(k, 0, 0) for k in range(19)] + [(17, k, 3) for k in range(8)] + [(18, k, 7) for k in range(128)]
+
+
+#: Tokens of code lengths: a length, or 19 and more for the runs of symbols 17 and 18. Each one's symbol, what is added, and its bits.
+_TOKENS = [(k, 0, 0) for k in range(19)] + [(17, k, 3) for k in range(8)] + [(18, k, 7) for k in range(128)]
+
+
 @lru_cache(maxsize=4096)
-def _zeros(n: int) -> list[tuple[int, int, int]]:
-    """A run of n lengths of 0 as symbols of the code length code, each with its further bits."""
+def _zeros(n: int) -> list[int]:
+    """A run of n lengths of 0 as tokens."""
     out = []
     while n >= 11:
         k = min(n, 138)
-        out.append((18, k - 11, 7))
+        out.append(27 + k - 11)
         n -= k
-    return out + ([(17, n - 3, 3)] if n >= 3 else [(0, 0, 0)] * n)
+    return out + ([19 + n - 3] if n >= 3 else [0] * n)
 
 
 def write_code(w: Writer, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Writes the lengths of a code fitted to the counts; its stream_codes()."""
+    return stream_codes(write_lengths(w, count))
+
+
+def write_lengths(w: Writer, count: np.ndarray) -> np.ndarray:
+    """Writes the lengths of a code fitted to the counts, and gives them."""
     used = count.nonzero()[0]
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
         symbols = used.tolist() or [0]
         for value, n in ((1, 1), (len(symbols) == 2, 1), (1, 1), *((s, 8) for s in symbols)):
             w.bits(value, n)
-        code, bits = np.zeros(len(count), np.int32), np.zeros(len(count), np.int32)
-        if len(used) == 2:
-            code[used[1]], bits[used] = 1, 1
-        return code, bits
+        lengths = np.zeros(len(count), np.int64)
+        lengths[used] = 1
+        return lengths
     lengths = fitted(count)
-    used = lengths.nonzero()[0]
-    tokens: list[tuple[int, int, int]] = []
-    place = 0
-    for s, x in zip(used.tolist(), lengths[used].tolist(), strict=True):
-        if s > place:
-            tokens += _zeros(s - place)
-        tokens.append((x, 0, 0))
-        place = s + 1
+    tokens: list[int] = []
+    note, place = tokens.append, 0
+    for k, x in zip(used.tolist(), lengths[used].tolist(), strict=True):
+        if k > place:
+            tokens += _zeros(k - place)
+        note(x)
+        place = k + 1
     tokens += _zeros(len(count) - place)
-    own = fitted(np.bincount([t[0] for t in tokens], minlength=19), 7)
-    codes, bits = (x.tolist() for x in stream_codes(own))
+    met = sorted(set(tokens))
+    often = np.bincount(tokens).tolist()
+    uses = [0] * 19
+    for t in met:
+        uses[_TOKENS[t][0]] += often[t]
+    own = fitted(np.array(uses), 7)
     own = own.tolist()
+    codes, bits = _small_stream_codes(tuple(own))
     n = max(4, 1 + max(k for k, s in enumerate(CODE_LENGTH_ORDER) if own[s]))
     value, at = (n - 4) << 1, 5  # a normal code
     for k in range(n):
         value |= own[CODE_LENGTH_ORDER[k]] << at
         at += 3
     at += 1  # lengths for the whole alphabet
-    for t, more, extra in tokens:
-        value |= (codes[t] | more << bits[t]) << at
-        at += bits[t] + extra
-    w.bits(value, at)
-    return stream_codes(lengths)
+    text = {}
+    for t in met:
+        k, more, extra = _TOKENS[t]
+        text[t] = format(codes[k] | more << bits[k], f"0{bits[k] + extra}b") if bits[k] + extra else ""
+    # The first token's bits are the lowest.
+    tokens.reverse()
+    all_bits = "".join([text[t] for t in tokens])
+    w.bits(value | (int(all_bits, 2) if all_bits else 0) << at, at + len(all_bits))
+    return lengths
 
 
 def fitted(count: np.ndarray, most: int = 15) -> np.ndarray:
@@ -343,6 +400,15 @@ SPAN = 1 << 18
 
 def read_pixels(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
     """ARGB words, in rows. top: the image itself, whose codes may differ by tile."""
+    return _read(r, *_image_codes(r, width, height, top))
+
+
+def _read(r: Reader, codes: list[list[Code]], group_of: np.ndarray | None, width: int, total: int, cache_bits: int) -> np.ndarray:
+    return (_one_by_one if total < FEW else _by_tables)(r, codes, group_of, width, total, cache_bits)
+
+
+def _image_codes(r: Reader, width: int, height: int, top: bool) -> tuple[list[list[Code]], np.ndarray | None, int, int, int]:
+    """What stands before an image's tokens: groups of codes, each pixel's group, width, pixels, and bits of the cache."""
     cache_bits = r.bits(4) if r.bits(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
@@ -354,8 +420,7 @@ def read_pixels(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
         tiles = (read_pixels(r, across, _up(height, 1 << tile_bits), False) >> 8 & 0xFFFF).astype(np.int64)
         n = np.arange(total)
         group_of, groups = tiles[(n // width >> tile_bits) * across + (n % width >> tile_bits)], int(tiles.max()) + 1
-    codes = [_read_group(r, cache_bits) for _ in range(groups)]
-    return (_one_by_one if total < FEW else _by_tables)(r, codes, group_of, width, total, cache_bits)
+    return [_read_group(r, cache_bits) for _ in range(groups)], group_of, width, total, cache_bits
 
 
 def _one_by_one(r: Reader, groups: list[list[Code]], group_of: np.ndarray | None, width: int, total: int, cache_bits: int) -> np.ndarray:
@@ -528,23 +593,156 @@ def _by_tables(r: Reader, groups: list[list[Code]], group_of: np.ndarray | None,
     return out[root]
 
 
-def _repeats(argb: np.ndarray) -> list[tuple[int, int, int]]:
-    """Back-references (pixel, length, distance), from left to right: runs of pixels whose next three last stood at one distance."""
+#: Of each green symbol, and of 256 + each prefix of a distance: 0 a literal, 1 a copy, 2 a cached colour; the least number of a prefix, and the bits of what is added.
+_KIND = np.repeat([0, 1, 2], [256, 24, 1 << 11])
+_MORE = np.concatenate([np.zeros(256, np.int64), np.maximum(np.arange(40) - 2, 0) >> 1, np.zeros(1 << 11, np.int64)])
+_LEAST = np.concatenate([np.ones(256, np.int64), np.where(np.arange(40) < 4, np.arange(40) + 1, ((2 + (np.arange(40) & 1)) << _MORE[256:296]) + 1), np.ones(1 << 11, np.int64)])
+#: Tokens between two looks at which images have ended, and images that are read side by side at least.
+STRIDE, SIDES = 16, 32
+
+
+def _side_by_side(images: list[tuple[Reader, list[list[Code]], np.ndarray | None, int, int, int]]) -> list[np.ndarray]:
+    """Pixels of images whose alpha has no bits, the same in all groups of codes: each step reads a token of every image that has not ended."""
+    n = len(images)
+    total, cache_bits = (np.array([x[k] for x in images]) for k in (4, 5))
+    size = np.array([len(x[0].data) for x in images])
+    gap = STRIDE * 16  # steps behind an image's end read into the next one's bytes, and are left out
+    raw = b"".join(x[0].data for x in images) + bytes(gap)
+    words = np.ndarray(len(raw) - 7, np.uint64, raw, strides=(1,)).astype(np.int64)
+    words &= (1 << 62) - 1
+    begin = np.cumsum(size) - size
+    # Entries: symbol * 256 + bits of the code and of what is added. The first is a table of one symbol without bits.
+    sets = [codes for x in images for codes in x[1]]
+    groups = np.array([len(x[1]) for x in images])
+    first_set = np.cumsum(groups) - groups
+    tables, held, masks = [np.zeros(1, np.int32)], np.zeros((len(sets), 4), np.int64), np.zeros((len(sets), 4), np.int64)
+    # The set of each pixel of images with tiles; of others, one number for all their pixels.
+    by_pixel = [x[2] is not None for x in images]
+    set_of = np.concatenate([x[2] + k if x[2] is not None else np.full(1, k) for x, k in zip(images, first_set, strict=True)])
+    set_at = np.cumsum(np.where(by_pixel, total, 1)) - np.where(by_pixel, total, 1)
+    set_step = np.where(by_pixel, total - 1, 0)
+    place = 1
+    for i, codes in enumerate(sets):
+        for k, code in enumerate((codes[0], codes[1], codes[2], codes[4])):
+            symbol = code.table.astype(np.int32) >> 4
+            entry = symbol << 8 | (code.table & 15)
+            if k in (0, 3):
+                entry += np.where(symbol < 280, _MORE[symbol], 0).astype(np.int32) if k == 0 else _MORE[256 + symbol].astype(np.int32)
+            held[i, k], masks[i, k] = place, len(entry) - 1
+            tables.append(entry)
+            place += len(entry)
+    table = np.concatenate(tables)
+    zero = np.zeros(len(sets), np.int64)
+    # By set and kind of token: what follows green, and what follows that.
+    then, then_mask = (np.stack([x[:, 1], x[:, 3], zero], axis=1).reshape(-1) for x in (held, masks))
+    last, last_mask = (np.stack([x[:, 2], zero, zero], axis=1).reshape(-1) for x in (held, masks))
+    lane = np.argsort(-total, kind="stable")
+    bit, at = (8 * begin + [x[0].at for x in images])[lane], np.zeros(n, np.int64)
+    notes: list[tuple[np.ndarray, ...]] = []
+    while len(lane):
+        one, begins, most = set_of[set_at[lane]], set_at[lane], set_step[lane]
+        tiled = most.any()
+        green, green_mask, three = held[one, 0], masks[one, 0], 3 * one
+        for _ in range(STRIDE):
+            if tiled:
+                one = set_of[begins + np.minimum(at, most)]
+                green, green_mask, three = held[one, 0], masks[one, 0], 3 * one
+            w = words[bit >> 3] >> (bit & 7)
+            x = table[green + (w & green_mask)]
+            symbol, step = x >> 8, x & 255
+            kind = _KIND[symbol]
+            of = three + kind
+            length = None
+            copy = (kind == 1).nonzero()[0]
+            if len(copy):
+                s = symbol[copy]
+                length = _LEAST[s] + (w[copy] >> (step[copy] - _MORE[s]) & (1 << _MORE[s]) - 1)
+            w >>= step
+            y = table[then[of] + (w & then_mask[of])]
+            w >>= y & 255
+            z = table[last[of] + (w & last_mask[of])]
+            notes.append((lane, at, bit, x, y, z))
+            bit = bit + step + (y & 255) + (z & 255)
+            at = at + 1
+            if length is not None:
+                at[copy] += length - 1
+        left = (at < total[lane]).nonzero()[0]
+        if len(left) < len(lane):
+            lane, at, bit = lane[left], at[left], bit[left]
+        if (bit > 8 * (begin + size)[lane]).any():
+            raise ValueError("the image ends too early")
+    lane, at, bit, x, y, z = (np.concatenate(c) for c in zip(*notes, strict=True))
+    good = (at < total[lane]).nonzero()[0]
+    lane, at, bit, x, y, z = (c[good] for c in (lane, at, bit, x, y, z))
+    if (bit + (x & 255) + (y & 255) + (z & 255) > 8 * (begin + size)[lane]).any():
+        raise ValueError("the image ends too early")
+    first = np.cumsum(total) - total
+    pixel, symbol = first[lane] + at, x >> 8
+    every = int(total.sum())
+    alpha = np.array([int(c[1][0][3].table[0]) >> 4 << 24 for c in images], np.int64)
+    out, source = np.zeros(every, np.uint32), np.arange(every)
+    kind = _KIND[symbol]
+    plain, copy, hit = ((kind == k).nonzero()[0] for k in range(3))
+    out[pixel[plain]] = alpha[lane[plain]] | (y[plain] >> 8).astype(np.int64) << 16 | symbol[plain] << 8 | z[plain] >> 8
+    if len(copy):
+        near = np.stack([_near_distances(c[3]) for c in images])
+        own, bits = lane[copy], bit[copy]
+        w = words[bits >> 3] >> (bits & 7)
+        k = (x[copy] & 255) - _MORE[symbol[copy]]
+        length = _LEAST[symbol[copy]] + (w >> k & (1 << _MORE[symbol[copy]]) - 1)
+        prefix = 256 + (y[copy] >> 8)
+        bits = bits + (x[copy] & 255) + (y[copy] & 255) - _MORE[prefix]
+        d = _LEAST[prefix] + (words[bits >> 3] >> (bits & 7) & (1 << _MORE[prefix]) - 1)
+        d = np.where(d > len(NEAR), d - len(NEAR), near[own, np.minimum(d, len(NEAR)) - 1])
+        if (d > at[copy]).any() or (at[copy] + length > total[own]).any():
+            raise ValueError("a back-reference leaves the image")
+        target = np.repeat(pixel[copy] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        source[target] = target - np.repeat(d, length)
+    root = _roots(source)
+    if len(hit):
+        hits = pixel[hit]
+        some = np.repeat(cache_bits > 0, total).nonzero()[0]
+        image = np.repeat(np.arange(n), total)[some]
+        slot = np.zeros(every, np.int64)
+        slot[some] = (out[some] * np.uint32(CACHE_MULTIPLIER)).astype(np.int64) >> (32 - cache_bits[image])
+        slot[hits] = symbol[hit] - 280
+        slot = slot[root[some]] + (image << 11)
+        # As in _by_tables(): the last pixel before with the same place in the image's cache.
+        order = np.argsort(slot, kind="stable")
+        same = slot[order[1:]] == slot[order[:-1]]
+        before = np.full(every, -1)
+        before[some[order[1:][same]]] = some[order[:-1][same]]
+        none = hits[before[hits] < 0]
+        before[none] = none
+        source[hits] = before[hits]
+        root = _roots(source)
+    return np.split(out[root], first[1:])
+
+
+def _repeats(argb: np.ndarray, image: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Back-references (pixel, length, distance), from left to right: runs of pixels whose next three last stood at one distance. image: of several images in a row, each pixel's."""
     n = len(argb) - 2
     if n < 2:
         return []
     wide = argb.astype(np.uint64)
     key = (wide[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (wide[2:] * np.uint64(0x165667B19E3779F9))
+    if image is not None:
+        key += image[:-2].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     order = np.argsort(key, kind="stable")
-    a, b = order[:-1], order[1:]
-    same = (key[a] == key[b]) & (argb[a] == argb[b]) & (argb[a + 1] == argb[b + 1]) & (argb[a + 2] == argb[b + 2])
+    near = np.flatnonzero(key[order[:-1]] == key[order[1:]])
+    a, b = order[near], order[near + 1]
+    same = (argb[a] == argb[b]) & (argb[a + 1] == argb[b + 1]) & (argb[a + 2] == argb[b + 2])
+    if image is not None:
+        same &= (image[a] == image[b + 2]) & (image[a] == image[a + 2])
     distance = np.zeros(n, np.int64)
     distance[b[same]] = (b - a)[same]
     edge = np.flatnonzero(np.diff(distance, prepend=0, append=0))
+    d = distance[edge[:-1]]
+    some = np.flatnonzero(d)
     out, at = [], 0
-    for first, stop, d in zip(edge.tolist(), edge[1:].tolist(), distance[edge[:-1]].tolist(), strict=False):
+    for first, stop, d in zip(edge[:-1][some].tolist(), edge[1:][some].tolist(), d[some].tolist(), strict=True):
         first = max(first, at)
-        if not d or first >= stop:
+        if first >= stop:
             continue
         left = stop + 2 - first
         while left >= 3:
@@ -564,9 +762,36 @@ def _near_codes(width: int) -> np.ndarray:
     return out
 
 
+def _tile_groups(tiles: int) -> np.ndarray:
+    """The image of tiles' groups, which take turns."""
+    return (np.arange(tiles) % 2 * 256 + 0xFF000000).astype(np.uint32)
+
+
+def _write_plain(w: Writer, argb: np.ndarray) -> None:
+    """write_pixels() of literals only."""
+    w.bits(0, 1)
+    blue, green, red, alpha = _channels(argb).T
+    shared = np.bincount(red, minlength=256) + np.bincount(blue, minlength=256)  # as in write_pixels()
+    code, size = write_code(w, np.bincount(green, minlength=280))
+    value, bits = code[green].astype(np.int64), size[green].astype(np.int64)
+    before = w.n
+    code, size = write_code(w, shared)
+    w.bits(w.value >> before, w.n - before)
+    parts = [(code[red], size[red]), (code[blue], size[blue])]
+    code, size = write_code(w, np.bincount(alpha, minlength=256))
+    write_lengths(w, np.zeros(40, np.int64))
+    for more, n in (*parts, (code[alpha], size[alpha])):
+        value |= more.astype(np.int64) << bits
+        bits += n
+    w.codes(value, bits)
+
+
 def write_pixels(w: Writer, argb: np.ndarray, width: int, top: bool, cache_bits: int = 0, references: bool = False, tile_bits: int = 0) -> None:
     """Fitted codes; back-references; a colour cache; two groups of codes by tile."""
     total = len(argb)
+    if not (top or cache_bits or references):
+        _write_plain(w, argb)
+        return
     copies = np.array(_repeats(argb) if references else [], np.int64).reshape(-1, 3)
     step = np.zeros(total + 1, np.int64)
     np.add.at(step, copies[:, 0], 1)
@@ -593,7 +818,7 @@ def write_pixels(w: Writer, argb: np.ndarray, width: int, top: bool, cache_bits:
         if tile_bits:
             across, down = _up(width, 1 << tile_bits), _up(_up(total, width), 1 << tile_bits)
             w.bits(tile_bits - 2, 3)
-            write_pixels(w, (np.arange(across * down) % 2 * 256 + 0xFF000000).astype(np.uint32), across, False)
+            write_pixels(w, _tile_groups(across * down), across, False)
             groups = min(2, across * down)
             group = ((start // width >> tile_bits) * across + (start % width >> tile_bits)) % 2
     near, d = _near_codes(width), copies[:, 2]
@@ -627,6 +852,112 @@ def write_pixels(w: Writer, argb: np.ndarray, width: int, top: bool, cache_bits:
     w.codes(values.reshape(-1), bits.reshape(-1))
 
 
+#: Larger images are written one by one.
+LARGE = 1 << 16
+
+
+def _written_side_by_side(images: list[tuple[Writer, np.ndarray, int, int, int]]) -> list[bytes]:
+    """The streams of writers, each after write_pixels(w, argb, width, True, cache_bits, True, tile_bits): all but the codes is done for all images at once."""
+    n, sizes = len(images), 280 + (1 << 11)
+    argb, total = np.concatenate([x[1] for x in images]), np.array([len(x[1]) for x in images])
+    cache_bits = np.array([x[3] for x in images])
+    image = np.repeat(np.arange(n), total)
+    copies = np.array(_repeats(argb, image), np.int64).reshape(-1, 3)
+    step = np.zeros(len(argb) + 1, np.int8)
+    step[copies[:, 0]] += 1
+    step[copies[:, 0] + copies[:, 1]] -= 1
+    # 0: a literal, 1: a copy, 2: a cached colour, 3: within a copy
+    kind = np.cumsum(step[:-1], dtype=np.int8) * np.int8(3)
+    kind[copies[:, 0]] = 1
+    some = np.flatnonzero(np.repeat(cache_bits > 0, total))
+    slot = np.zeros(len(argb), np.int64)
+    slot[some] = (argb[some] * np.uint32(CACHE_MULTIPLIER)).astype(np.int64) >> (32 - cache_bits[image[some]])
+    place = slot[some] + (image[some] << 11)
+    by = np.argsort(place, kind="stable")
+    hit = some[by[1:][(place[by[1:]] == place[by[:-1]]) & (argb[some[by[1:]]] == argb[some[by[:-1]]])]]
+    kind[hit[kind[hit] == 0]] = 2
+    start = np.flatnonzero(kind < 3)
+    kind, pixel, of = kind[start], argb[start].astype(np.int64), image[start]
+    copy, lit = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
+    widths, which = np.unique([x[2] for x in images], return_inverse=True)
+    near = np.zeros((len(widths), 8 * int(widths[-1]) + 9), np.int64)
+    for row, width in zip(near, widths.tolist(), strict=True):
+        row[: 8 * width + 9] = _near_codes(width)
+    d = copies[:, 2]
+    short = near[which[of[copy]], np.minimum(d, near.shape[1] - 1)]
+    length, far = _prefixes(copies[:, 1]), _prefixes(np.where((d < near.shape[1]) & (short > 0), short, d + len(NEAR)))
+    green = np.where(kind == 2, 280 + slot[start], pixel >> 8 & 255)
+    green[copy] = 256 + length[0]
+    red, blue, alpha = (pixel[lit] >> shift & 255 for shift in (16, 0, 24))
+    # Sets of codes: one for an image, two for one with tiles.
+    across, tiles = (np.array([f(len(a), width, t) if t else 1 for _, a, width, _, t in images]) for f in (lambda _, width, t: _up(width, 1 << t), lambda n, width, t: _up(width, 1 << t) * _up(_up(n, width), 1 << t)))
+    groups = np.minimum(2, tiles)
+    first_set = np.cumsum(groups) - groups
+    group = first_set[of]
+    tiled = np.flatnonzero(groups[of] > 1)
+    if len(tiled):
+        own, width, tile_bits = of[tiled], np.array([x[2] for x in images])[of[tiled]], np.array([x[4] for x in images])[of[tiled]]
+        at = start[tiled] - (np.cumsum(total) - total)[own]
+        group[tiled] += ((at // width >> tile_bits) * across[own] + (at % width >> tile_bits)) % 2
+    sets = int(groups.sum())
+    count = lambda at, symbol, size: np.bincount(group[at] * size + symbol, minlength=sets * size).reshape(sets, size)
+    counts = count(slice(None), green, sizes), count(lit, red, 256) + count(lit, blue, 256), count(lit, alpha, 256), count(copy, far[0], 40)
+    lengths = [np.zeros(c.shape, np.int64) for c in counts]
+    for i, (w, _, _, cached, tile_bits) in enumerate(images):
+        w.bits(bool(cached), 1)
+        if cached:
+            w.bits(cached, 4)
+        w.bits(bool(tile_bits), 1)
+        if tile_bits:
+            w.bits(tile_bits - 2, 3)
+            _write_plain(w, _tile_groups(int(tiles[i])))
+        for g in range(first_set[i], first_set[i] + groups[i]):
+            for k, c in enumerate(counts):
+                own = c[g, : 280 + (1 << cached if cached else 0)] if k == 0 else c[g]
+                before = w.n
+                lengths[k][g, : len(own)] = write_lengths(w, own)
+                if k == 1:  # red and blue have one code
+                    w.bits(w.value >> before, w.n - before)
+    codes, bits = zip(*map(all_stream_codes, lengths), strict=True)
+    # A token's parts as one number of 60 bits at most.
+    value, size = codes[0][group, green], bits[0][group, green]
+
+    def add(at: np.ndarray, more: np.ndarray, n_bits: np.ndarray) -> None:
+        value[at] |= more << size[at]
+        size[at] += n_bits
+
+    for k, symbol in ((1, red), (1, blue), (2, alpha)):
+        add(lit, codes[k][group[lit], symbol], bits[k][group[lit], symbol])
+    add(copy, length[1], length[2])
+    add(copy, codes[3][group[copy], far[0]], bits[3][group[copy], far[0]])
+    add(copy, far[1], far[2])
+    # Each stream begins at a word; its first bits, which its writer has, are laid over it afterwards.
+    heads = [(w.bytes(), sum(map(len, w.parts))) for w, *_ in images]
+    tokens = np.bincount(of, minlength=n)
+    end = np.cumsum(size)
+    edge = np.append(0, end)[np.cumsum(np.append(0, tokens))]
+    head = np.array([x for _, x in heads])
+    whole = head + np.diff(edge)
+    words = whole + 127 >> 6
+    base = np.cumsum(words) - words
+    at = end - size - edge[of] + head[of] + (base[of] << 6)
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    value = value.view(np.uint64)
+    out = np.zeros(int(words.sum()) + 1, np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    out[word[first]] = np.add.reduceat(value << shift, first)
+    over = np.flatnonzero((at & 63) + size > 64)
+    out[word[over] + 1] += value[over] >> (np.uint64(64) - shift[over])
+    raw, streams = out.tobytes(), []
+    for (own, _), b, n_bits in zip(heads, base.tolist(), whole.tolist(), strict=True):
+        stream = bytearray(raw[8 * b : 8 * b + _up(n_bits, 8)])
+        if own:
+            own = own[:-1] + bytes([own[-1] | stream[len(own) - 1]]) if len(stream) >= len(own) else own
+            stream[: len(own)] = own
+        streams.append(bytes(stream))
+    return streams
+
+
 # -- transforms --------------------------------------------------------------------------------------------
 
 
@@ -802,8 +1133,8 @@ def invert_palette(argb: np.ndarray, width: int, height: int, table: np.ndarray)
 # -- files -------------------------------------------------------------------------------------------------
 
 
-def decode(data: bytes) -> np.ndarray:
-    """A lossless WebP file's pixels: an array (height, width, 4) of red, green, blue and alpha."""
+def _opened(data: bytes) -> tuple[int, int, list[tuple], tuple]:
+    """Of a lossless WebP file: width, height, transforms to undo, and its reader and what _image_codes() gives."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
     (size,) = struct.unpack_from("<I", data, 16)
@@ -828,7 +1159,10 @@ def decode(data: bytes) -> np.ndarray:
             own = _up(own, 1 << _bundle(len(table)))
         else:
             undo.append((kind, own, None, 0))
-    argb = read_pixels(r, own, height, True)
+    return width, height, undo, (r, *_image_codes(r, own, height, True))
+
+
+def _undone(argb: np.ndarray, width: int, height: int, undo: list[tuple]) -> np.ndarray:
     for kind, across, image, bits in reversed(undo):
         if kind == PREDICTOR:
             argb = invert_predictor(argb, across, image, bits)
@@ -841,6 +1175,21 @@ def decode(data: bytes) -> np.ndarray:
     return _channels(argb.reshape(height, width))[:, :, [2, 1, 0, 3]]
 
 
+def decode(data: bytes) -> np.ndarray:
+    """A lossless WebP file's pixels: an array (height, width, 4) of red, green, blue and alpha."""
+    width, height, undo, image = _opened(data)
+    return _undone(_read(*image), width, height, undo)
+
+
+def decode_all(files: Sequence[bytes]) -> list[np.ndarray]:
+    """decode() of each. Images are read side by side, but for the longest ones (a step for a few images is no gain), and those that have bits for alpha."""
+    opened = [_opened(data) for data in files]
+    fit = [i for i, (*_, (_, codes, _, _, total, _)) in enumerate(opened) if total >= FEW and not any(own[3].wide or own[3].table[0] != codes[0][3].table[0] for own in codes)]
+    fit = sorted(fit, key=lambda i: opened[i][3][4])[: -SIDES or None]
+    pixels = dict(zip(fit, _side_by_side([opened[i][3] for i in fit]), strict=True)) if fit else {}
+    return [_undone(pixels[i] if i in pixels else _read(*image), width, height, undo) for i, (width, height, undo, image) in enumerate(opened)]
+
+
 def _file(stream: bytes) -> bytes:
     odd = b"\0" * (len(stream) & 1)
     return struct.pack("<4sI4s4sI", b"RIFF", 12 + len(stream) + len(odd), b"WEBP", b"VP8L", len(stream)) + stream + odd
@@ -848,6 +1197,13 @@ def _file(stream: bytes) -> bytes:
 
 def encode(rgba: np.ndarray, transforms: Sequence[int] = (), cache_bits: int = 0, references: bool = True, tile_bits: int = 0, bits: int = 5, modes: Sequence[int] | None = None) -> bytes:
     """Fitted codes and whatever is asked for; predictor modes (fitted, or those given in turn) and colour elements vary by tile."""
+    w, argb, own = _prepared(rgba, transforms, bits, modes)
+    write_pixels(w, argb, own, True, cache_bits, references, tile_bits)
+    return _file(w.bytes())
+
+
+def _prepared(rgba: np.ndarray, transforms: Sequence[int], bits: int = 5, modes: Sequence[int] | None = None) -> tuple[Writer, np.ndarray, int]:
+    """What stands before the image itself, the image's ARGB words, and its width."""
     height, width, _ = rgba.shape
     argb = np.ascontiguousarray(rgba[:, :, [2, 1, 0, 3]]).view(np.uint32).reshape(-1)
     w, own = Writer(), width
@@ -882,8 +1238,7 @@ def encode(rgba: np.ndarray, transforms: Sequence[int] = (), cache_bits: int = 0
             argb = (np.bitwise_or.reduce(packed, axis=2).reshape(-1) << np.uint32(8) | np.uint32(0xFF000000)).astype(np.uint32)
             own = _up(own, 1 << shift)
     w.bits(0, 1)
-    write_pixels(w, argb, own, True, cache_bits, references, tile_bits)
-    return _file(w.bytes())
+    return w, argb, own
 
 
 # -- payloads ----------------------------------------------------------------------------------------------
@@ -909,8 +1264,8 @@ FORMS = (
 PALETTE_PIXELS = 4
 
 
-def store(payload: bytes) -> bytes:
-    """A payload as a file. The image may end with blanks that are not of the payload."""
+def _form(payload: bytes) -> tuple[np.ndarray, Sequence[int], int, int]:
+    """A payload's pixels, and its file's transforms, bits of the colour cache and of the tiles of codes. The image may end with blanks that are not of the payload."""
     rows = len(payload) // (3 * WIDTH)
     across = _up(rows, MOST)
     height = _up(rows, across)
@@ -919,11 +1274,34 @@ def store(payload: bytes) -> bytes:
     pixels[:, :, :3] = samples.reshape(height, across * WIDTH, 3)
     transforms, cache_bits, tile_bits = FORMS[zlib.crc32(payload) % len(FORMS)]
     first = pixels.reshape(-1, 4)[:1024].view(np.uint32)
-    if len(set(first[:, 0].tolist())) <= 256 and PALETTE_PIXELS * len(np.unique(pixels.view(np.uint32))) <= min(height * across * WIDTH, 256 * PALETTE_PIXELS):
+    if len(np.unique(first)) <= 256 and PALETTE_PIXELS * len(np.unique(pixels.view(np.uint32))) <= min(height * across * WIDTH, 256 * PALETTE_PIXELS):
         transforms = (PALETTE,)
+    return pixels, transforms, cache_bits, tile_bits
+
+
+def store(payload: bytes) -> bytes:
+    """A payload as a file."""
+    pixels, transforms, cache_bits, tile_bits = _form(payload)
     return encode(pixels, transforms, cache_bits, True, tile_bits)
 
 
+def store_all(payloads: Sequence[bytes]) -> list[bytes]:
+    """store() of each, the same bytes. Images are written side by side, but for those of over LARGE pixels."""
+    out, side = [b""] * len(payloads), []
+    for i, payload in enumerate(payloads):
+        pixels, transforms, cache_bits, tile_bits = _form(payload)
+        w, argb, own = _prepared(pixels, transforms)
+        if len(argb) > LARGE:
+            write_pixels(w, argb, own, True, cache_bits, True, tile_bits)
+            out[i] = _file(w.bytes())
+        else:
+            side.append((i, w, argb, own, cache_bits, tile_bits))
+    if side:
+        for (i, *_), stream in zip(side, _written_side_by_side([x[1:] for x in side]), strict=True):
+            out[i] = _file(stream)
+    return out
+
+
 def load(media: bytes, n: int) -> tuple[bytes, np.ndarray]:
     """The first n bytes of a file's samples, and its pixels."""
     pixels = decode(media)
@@ -938,17 +1316,27 @@ def feature(pixels: np.ndarray) -> str:
     sums = np.add.reduceat(np.add.reduceat(light, down, axis=0), across, axis=1)
     tall, wide = np.maximum(np.diff(np.append(down, height)), 1), np.diff(np.append(across, width))
     tiles = sums * light.size > light.sum() * tall[:, None] * wide
-    code = int("".join("01"[int(x)] for x in tiles.reshape(-1)), 2)
+    code = np.packbits(tiles).tobytes().hex()
     red, green, blue = (pixels[:, :, :3].reshape(-1, 3).sum(axis=0, dtype=np.int64) * 1000 // light.size).tolist()
-    return f"{width}x{height} {red},{green},{blue} {code:016x}"
+    return f"{width}x{height} {red},{green},{blue} {code}"
+
+
+#: Texts, or files, that are taken side by side: so many, or of so many bytes.
+FILES, FILES_BYTES = 2048, 4 << 20
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    _, offsets = text_bytes(batch.column(column))
+    for begin, end in chunks(offsets, FILES_BYTES):
+        for at in range(begin, end, FILES):
+            yield batch.slice(at, min(end - at, FILES))
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1)
-        for at in range(0, len(texts), 512):
-            own = [(x.as_py() or "").encode() for x in texts.slice(at, 512)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array(list(map(len, own)), pa.int64()), pa.array([store(padded(x)) for x in own], pa.binary())], names=["id", "n_bytes", "media"])
+        for part in _parts(batch, 1):
+            own = [(x.as_py() or "").encode() for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, own)), pa.int64()), pa.array(store_all([padded(x) for x in own]), pa.binary())], names=["id", "n_bytes", "media"])
 
 
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -967,16 +1355,16 @@ def write_media(df: DataFrame) -> DataFrame:
 
 
 def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in batches:
-        out = []
-        for n, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            data = x.as_py()
-            payload, pixels = load(data, max(1, _up(n, STEP)) * STEP)
-            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(pixels)))
-        columns = list(zip(*out, strict=True)) or [[]] * 6
-        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", "n_bytes", *names])
+        for part in _parts(batch, 2):
+            files, out = [x.as_py() for x in part.column(2)], []
+            for n, data, pixels in zip(part.column(1).to_pylist(), files, decode_all(files), strict=True):
+                payload = pixels[:, :, :3].tobytes()[: max(1, _up(n, STEP)) * STEP]
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(pixels)))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", "n_bytes", *names])
 
 
 def features(table: DataFrame, id_col: str = "doc_id") -> DataFrame:

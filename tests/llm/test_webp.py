@@ -179,3 +179,36 @@ def test_frames(spark):
         assert r.media_bytes == len(webp.store(payload)) and r.media_sha256 == hashlib.sha256(webp.store(payload)).hexdigest()
     assert got[2].feature == got[3].feature and got[0].feature == got[1].feature
     assert webp.features(webp.media(df.limit(0))).count() == 0
+
+
+def test_many_files_at_once_are_what_each_is_alone(monkeypatch):
+    """Of all forms, with images of a few and of very many pixels, and with ends cut off."""
+    text = b"".join(b"%d words and then some more of the same, " % (k * k) for k in range(200))
+    payloads = [webp.padded(text[7 * k : 7 * k + (k * 131) % 6000]) for k in range(150)] + [webp.padded(text * 40), webp.padded(b""), webp.padded("é".encode() * 900)]
+    alone = [webp.store(x) for x in payloads]
+    assert {webp.zlib.crc32(x) % len(webp.FORMS) for x in payloads} == set(range(len(webp.FORMS)))
+    for large, sides in ((1 << 16, 32), (64, 1), (1 << 16, 0)):
+        monkeypatch.setattr(webp, "LARGE", large)
+        monkeypatch.setattr(webp, "SIDES", sides)
+        assert webp.store_all(payloads) == alone
+        got = webp.decode_all(alone)
+        for x, data, pixels in zip(payloads, alone, got, strict=True):
+            assert pixels[:, :, :3].tobytes()[: len(x)] == x and np.array_equal(pixels, webp.decode(data))
+    odd = [webp.encode(picture(k, 20 + k, 30, 50 if k % 2 else None), (), 3 * (k % 3), True, 3 * (k % 2)) for k in range(12)]
+    for data, pixels in zip(odd, webp.decode_all(odd), strict=True):
+        assert np.array_equal(pixels, webp.decode(data))
+    with pytest.raises(ValueError):
+        webp.decode_all([*alone[20:60], alone[60][: len(alone[60]) // 2]])
+    assert webp.store_all([]) == [] and webp.decode_all([]) == []
+
+
+def test_reading_and_writing_calls_are_not_made_for_each_file(monkeypatch):
+    """Tokens of a batch are read and written together, so that small files do not pay for each call alone."""
+    calls = []
+    for name in ("_by_tables", "write_pixels"):
+        monkeypatch.setattr(webp, name, lambda *a, f=getattr(webp, name), name=name: (calls.append((name, *a[3:4])), f(*a))[1])
+    rng = np.random.default_rng(7)
+    payloads = [webp.padded(bytes(rng.integers(32, 122, 900 + k, dtype=np.uint8))) for k in range(200)]
+    files = webp.store_all(payloads)
+    assert [x[:, :, :3].tobytes()[: len(p)] for p, x in zip(payloads, webp.decode_all(files), strict=True)] == payloads
+    assert sum(name == "_by_tables" for name, _ in calls) <= webp.SIDES and ("write_pixels", True) not in calls
