@@ -1322,7 +1322,7 @@ def feature(pixels: np.ndarray) -> str:
 
 
 #: Texts, or files, that are taken side by side: so many, or of so many bytes.
-FILES, FILES_BYTES = 2048, 4 << 20
+FILES, FILES_BYTES = 512, 4 << 20
 
 
 def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
