@@ -256,8 +256,80 @@ def read_code(r: Reader, size: int) -> Code:
     return out
 
 
-#: Tokens of code lengths: a length, or 19 and more for the runs of symbols 17 and 18. Each one's symbol, what is added, and its bits.
-_TOKENS = [(k, 0, 0) for k in range(19)] + [(17, k, 3) for k in range(8)] + [(18, k, 7) for k in range(128)]
+#: Of each symbol of the code length code: the length it gives, how many at least, and the bits of what is added.
+_GIVEN = np.append(np.arange(16), [0, 0, 0])
+_AT_LEAST = np.append(np.ones(16, np.int64), [3, 3, 11])
+_ADDED = np.append(np.zeros(16, np.int64), [2, 3, 7])
+
+
+def _read_codes(readers: Sequence[Reader], sizes: Sequence[int], base: Sequence[int], words: np.ndarray) -> list[Code]:
+    """read_code() of each: each step reads a length of every normal code that has not ended. base: where the readers' bytes begin in what words has."""
+    out, many = [None] * len(readers), []
+    for i, (r, size) in enumerate(zip(readers, sizes, strict=True)):
+        first = r.seen(63)
+        n = 4 + (first >> 1 & 15)
+        # Simple codes, codes that only some symbols have, and the same bits again are read at once.
+        if first & 1 or first >> 5 + 3 * n & 1 or r.last is not None and r.last[0] == size and r.seen(r.last[1]) == r.last[2]:
+            out[i] = read_code(r, size)
+        else:
+            many.append((i, first >> 5, n))
+    if len(many) < max(1, SIDES):
+        for i, *_ in many:
+            out[i] = read_code(readers[i], sizes[i])
+        return out
+    tables, held, masks, begin = [], [], [], []
+    place = 0
+    for i, packed, n in many:
+        own = [0] * 19
+        for k in range(n):
+            own[CODE_LENGTH_ORDER[k]] = packed >> 3 * k & 7
+        code = _small(tuple(own))
+        tables.append(code.table)
+        held.append(place)
+        masks.append(len(code.table) - 1)
+        begin.append(8 * base[i] + readers[i].at + 6 + 3 * n)
+        place += len(code.table)
+    table, held, mask, bit = np.concatenate(tables).astype(np.int64), np.array(held), np.array(masks), np.array(begin)
+    size = np.array([sizes[i] for i, *_ in many])
+    lane, at, before = np.arange(len(many)), np.zeros(len(many), np.int64), np.full(len(many), 8)
+    notes: list[tuple[np.ndarray, ...]] = []
+    while len(lane):
+        for _ in range(8):  # what is read behind a code's end is left out
+            w = words[bit >> 3] >> (bit & 7)
+            x = table[held + (w & mask)]
+            symbol, n = x >> 4, x & 15
+            more = _ADDED[symbol]
+            count = _AT_LEAST[symbol] + (w >> n & (1 << more) - 1)
+            given = np.where(symbol == 16, before, _GIVEN[symbol])
+            before = np.where(symbol < 16, np.where(symbol > 0, symbol, before), before)
+            bit = bit + n + more
+            notes.append((lane, at, given, count, bit))
+            at = at + count
+        left = np.flatnonzero(at < size[lane])
+        if len(left) < len(lane):
+            lane, at, before, bit, held, mask = (c[left] for c in (lane, at, before, bit, held, mask))
+        if len(bit) and int(bit.max()) >> 3 > len(words) - 64:
+            raise ValueError("the image ends too early")
+    lane, at, given, count, bit = (np.concatenate(c) for c in zip(*notes, strict=True))
+    good = at < size[lane]
+    lane, at, given, count, bit = (c[good] for c in (lane, at, given, count, bit))
+    if (at + count > size[lane]).any():
+        raise ValueError("too many code lengths")
+    end = np.zeros(len(many), np.int64)
+    np.maximum.at(end, lane, bit)
+    some = np.flatnonzero(given)
+    n, wide = count[some], int(size.max())
+    lengths = np.zeros((len(many), wide), np.int64)
+    lengths.reshape(-1)[np.repeat(lane[some] * wide + at[some] - np.cumsum(n) + n, n) + np.arange(n.sum())] = np.repeat(given[some], n)
+    for k, (i, *_) in enumerate(many):
+        r = readers[i]
+        n = int(end[k]) - 8 * base[i] - r.at
+        if r.at + n > 8 * len(r.data):
+            raise ValueError("the image ends too early")
+        out[i] = Code(lengths[k, : sizes[i]])
+        r.last = sizes[i], n, r.seen(n), out[i]
+        r.at += n
+    return out
 
 
 #: Tokens of code lengths: a length, or 19 and more for the runs of symbols 17 and 18. Each one's symbol, what is added, and its bits.
@@ -376,8 +448,9 @@ def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(small, value, 2 * high + (value >> extra & 1)), np.where(small, 0, value & (1 << extra) - 1), np.where(small, 0, extra)
 
 
-def _read_group(r: Reader, cache_bits: int) -> list[Code]:
-    return [read_code(r, size) for size in (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
+def _sizes(cache_bits: int) -> tuple[int, ...]:
+    """Of the alphabets of a group of codes."""
+    return 256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40
 
 
 def _near(d: int, width: int) -> int:
@@ -400,7 +473,27 @@ SPAN = 1 << 18
 
 def read_pixels(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
     """ARGB words, in rows. top: the image itself, whose codes may differ by tile."""
-    return _read(r, *_image_codes(r, width, height, top))
+    if top or width * height > SAME:
+        return _read(r, *_image_codes(r, width, height, top))
+    # Images of a few tiles are often the same: the same bits are the same pixels.
+    key, begin = (width, height, r.peek(48)), r.at
+    for n, bits, pixels in _SEEN.get(key, ()):
+        if begin + n <= 8 * len(r.data) and r.seen(n) == bits:
+            r.at += n
+            return pixels
+    pixels = _read(r, *_image_codes(r, width, height, False))
+    pixels.flags.writeable = False
+    n, r.at = r.at - begin, begin
+    if len(_SEEN) >= 4096:
+        _SEEN.clear()
+    _SEEN[key] = (*_SEEN.get(key, ())[-7:], (n, r.seen(n), pixels))
+    r.at += n
+    return pixels
+
+
+#: Pixels of images whose bits are kept for the next image like it, and such images by size and first bits.
+SAME = 16
+_SEEN: dict[tuple[int, int, int], tuple[tuple[int, int, np.ndarray], ...]] = {}
 
 
 def _read(r: Reader, codes: list[list[Code]], group_of: np.ndarray | None, width: int, total: int, cache_bits: int) -> np.ndarray:
@@ -409,6 +502,12 @@ def _read(r: Reader, codes: list[list[Code]], group_of: np.ndarray | None, width
 
 def _image_codes(r: Reader, width: int, height: int, top: bool) -> tuple[list[list[Code]], np.ndarray | None, int, int, int]:
     """What stands before an image's tokens: groups of codes, each pixel's group, width, pixels, and bits of the cache."""
+    groups, group_of, cache_bits = _image_head(r, width, height, top)
+    return [[read_code(r, size) for size in _sizes(cache_bits)] for _ in range(groups)], group_of, width, width * height, cache_bits
+
+
+def _image_head(r: Reader, width: int, height: int, top: bool) -> tuple[int, np.ndarray | None, int]:
+    """How many groups of codes an image has, each pixel's group, and bits of the cache."""
     cache_bits = r.bits(4) if r.bits(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
@@ -420,7 +519,7 @@ def _image_codes(r: Reader, width: int, height: int, top: bool) -> tuple[list[li
         tiles = (read_pixels(r, across, _up(height, 1 << tile_bits), False) >> 8 & 0xFFFF).astype(np.int64)
         n = np.arange(total)
         group_of, groups = tiles[(n // width >> tile_bits) * across + (n % width >> tile_bits)], int(tiles.max()) + 1
-    return [_read_group(r, cache_bits) for _ in range(groups)], group_of, width, total, cache_bits
+    return groups, group_of, cache_bits
 
 
 def _one_by_one(r: Reader, groups: list[list[Code]], group_of: np.ndarray | None, width: int, total: int, cache_bits: int) -> np.ndarray:
@@ -520,7 +619,9 @@ def _walk(spans: list[_Span], group_of: np.ndarray | None, bit: int, bits: int,
         place = np.array(places, np.int64)
         return place, at + np.arange(len(place)), bit, at + len(place)
     # Tokens past the last pixel are left out afterwards; an image has few bits behind it.
-    while bit < bits and len(places) < left:
+    for _ in range(left):
+        if bit >= bits:
+            break
         note(bit)
         bit = end[bit]
     place = np.array(places, np.int64)
@@ -708,7 +809,7 @@ def _side_by_side(images: list[tuple[Reader, list[list[Code]], np.ndarray | None
         slot[hits] = symbol[hit] - 280
         slot = slot[root[some]] + (image << 11)
         # As in _by_tables(): the last pixel before with the same place in the image's cache.
-        order = np.argsort(slot, kind="stable")
+        order = _in_order(slot)
         same = slot[order[1:]] == slot[order[:-1]]
         before = np.full(every, -1)
         before[some[order[1:][same]]] = some[order[:-1][same]]
@@ -719,6 +820,21 @@ def _side_by_side(images: list[tuple[Reader, list[list[Code]], np.ndarray | None
     return np.split(out[root], first[1:])
 
 
+#: Bits of a place in one number with what it is sorted by.
+PLACE = 24
+
+
+def _in_order(key: np.ndarray) -> np.ndarray:
+    """np.argsort(key, kind="stable") of numbers below 2**40; sorting whole numbers takes less time."""
+    if len(key) > 1 << PLACE:
+        return np.argsort(key, kind="stable")
+    both = key.astype(np.uint64) << np.uint64(PLACE)
+    both |= np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    both &= np.uint64((1 << PLACE) - 1)
+    return both.view(np.int64)
+
+
 def _repeats(argb: np.ndarray, image: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Back-references (pixel, length, distance), from left to right: runs of pixels whose next three last stood at one distance. image: of several images in a row, each pixel's."""
     n = len(argb) - 2
@@ -726,10 +842,11 @@ def _repeats(argb: np.ndarray, image: np.ndarray | None = None) -> list[tuple[in
         return []
     wide = argb.astype(np.uint64)
     key = (wide[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (wide[2:] * np.uint64(0x165667B19E3779F9))
-    if image is not None:
-        key += image[:-2].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    order = np.argsort(key, kind="stable")
-    near = np.flatnonzero(key[order[:-1]] == key[order[1:]])
+    # Places of equal pixels in several images come image by image.
+    key >>= np.uint64(PLACE)
+    order = _in_order(key)
+    key = key[order]
+    near = np.flatnonzero(key[:-1] == key[1:])
     a, b = order[near], order[near + 1]
     same = (argb[a] == argb[b]) & (argb[a + 1] == argb[b + 1]) & (argb[a + 2] == argb[b + 2])
     if image is not None:
@@ -768,7 +885,22 @@ def _tile_groups(tiles: int) -> np.ndarray:
 
 
 def _write_plain(w: Writer, argb: np.ndarray) -> None:
-    """write_pixels() of literals only."""
+    """write_pixels() of literals only. Images of a few tiles are often the same."""
+    if len(argb) > SAME:
+        _write_literals(w, argb)
+    else:
+        w.bits(*_small_plain(argb.tobytes()))
+
+
+@lru_cache(maxsize=4096)
+def _small_plain(argb: bytes) -> tuple[int, int]:
+    w = Writer()
+    _write_literals(w, np.frombuffer(argb, np.uint32))
+    raw, n = w.bytes(), sum(map(len, w.parts))
+    return int.from_bytes(raw, "little"), n
+
+
+def _write_literals(w: Writer, argb: np.ndarray) -> None:
     w.bits(0, 1)
     blue, green, red, alpha = _channels(argb).T
     shared = np.bincount(red, minlength=256) + np.bincount(blue, minlength=256)  # as in write_pixels()
@@ -873,7 +1005,7 @@ def _written_side_by_side(images: list[tuple[Writer, np.ndarray, int, int, int]]
     slot = np.zeros(len(argb), np.int64)
     slot[some] = (argb[some] * np.uint32(CACHE_MULTIPLIER)).astype(np.int64) >> (32 - cache_bits[image[some]])
     place = slot[some] + (image[some] << 11)
-    by = np.argsort(place, kind="stable")
+    by = _in_order(place)
     hit = some[by[1:][(place[by[1:]] == place[by[:-1]]) & (argb[some[by[1:]]] == argb[some[by[:-1]]])]]
     kind[hit[kind[hit] == 0]] = 2
     start = np.flatnonzero(kind < 3)
@@ -1032,13 +1164,16 @@ def invert_predictor(argb: np.ndarray, width: int, image: np.ndarray, bits: int)
         where = {k: (own == k).nonzero()[0] for k in kinds - {1}}
         left = (own == 1)[:, None] if 1 in kinds else None
         start = np.maximum.accumulate(np.where(own == 1, 0, column))
+        shifted = not kinds <= {1, 2, 14, 15, 0}
         for y in range(max(1, tile << bits), min(height, (tile + 1) << bits)):
             row, above = out[y], out[y - 1]
             if len(kinds) == 1:
                 row += above
                 continue
             row[0] += above[0]
-            right, corner = np.concatenate([above[1:], row[:1]]), np.concatenate([above[:1], above[:-1]])
+            right = corner = above
+            if shifted:
+                right, corner = np.concatenate([above[1:], row[:1]]), np.concatenate([above[:1], above[:-1]])
             if not kinds <= {0, 14, 15, *ROWWISE}:
                 for x in range(1, width):
                     row[x] += predicted(int(own[x]), row[x - 1], above[x], right[x], corner[x])
@@ -1063,7 +1198,9 @@ def apply_predictor(argb: np.ndarray, width: int, bits: int, modes: Sequence[int
         cost = []
         for kind in ROWWISE:
             d = own - predicted(kind, left, above, right, corner)
-            size = np.minimum(d, -d).sum(axis=2, dtype=np.int64)
+            d = np.minimum(d, -d).view(np.uint32)[:, :, 0]
+            d = (d & np.uint32(0xFF00FF)) + (d >> np.uint32(8) & np.uint32(0xFF00FF))
+            size = ((d & np.uint32(0xFFFF)) + (d >> np.uint32(16))).astype(np.int64)  # the channels' sum
             cost.append(np.add.reduceat(np.add.reduceat(size, np.arange(down) << bits, axis=0), np.arange(across) << bits, axis=1))
         chosen = np.array(ROWWISE)[np.argmin(cost, axis=0)].reshape(-1)
     else:
@@ -1134,7 +1271,7 @@ def invert_palette(argb: np.ndarray, width: int, height: int, table: np.ndarray)
 
 
 def _opened(data: bytes) -> tuple[int, int, list[tuple], tuple]:
-    """Of a lossless WebP file: width, height, transforms to undo, and its reader and what _image_codes() gives."""
+    """Of a lossless WebP file: width, height, transforms to undo, and its reader at the image itself, which is so wide."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
     (size,) = struct.unpack_from("<I", data, 16)
@@ -1159,7 +1296,7 @@ def _opened(data: bytes) -> tuple[int, int, list[tuple], tuple]:
             own = _up(own, 1 << _bundle(len(table)))
         else:
             undo.append((kind, own, None, 0))
-    return width, height, undo, (r, *_image_codes(r, own, height, True))
+    return width, height, undo, (r, own)
 
 
 def _undone(argb: np.ndarray, width: int, height: int, undo: list[tuple]) -> np.ndarray:
@@ -1177,13 +1314,32 @@ def _undone(argb: np.ndarray, width: int, height: int, undo: list[tuple]) -> np.
 
 def decode(data: bytes) -> np.ndarray:
     """A lossless WebP file's pixels: an array (height, width, 4) of red, green, blue and alpha."""
-    width, height, undo, image = _opened(data)
-    return _undone(_read(*image), width, height, undo)
+    width, height, undo, (r, own) = _opened(data)
+    return _undone(_read(r, *_image_codes(r, own, height, True)), width, height, undo)
+
+
+def _with_codes(opened: list[tuple]) -> Iterator[tuple]:
+    """Each file with its reader and what _image_codes() gives; codes are read side by side."""
+    readers = [r for *_, (r, _) in opened]
+    heads = [_image_head(r, own, height, True) for _, height, _, (r, own) in opened]
+    raw = b"".join(r.data for r in readers) + bytes(256)
+    words = np.ndarray(len(raw) - 7, np.uint64, raw, strides=(1,)).astype(np.int64)
+    words &= (1 << 62) - 1
+    base = np.append(0, np.cumsum([len(r.data) for r in readers])).tolist()
+    codes: list[list[Code]] = [[] for _ in opened]
+    for k in range(5 * max((groups for groups, *_ in heads), default=0)):
+        own = [i for i, (groups, *_) in enumerate(heads) if 5 * groups > k]
+        read = _read_codes([readers[i] for i in own], [_sizes(heads[i][2])[k % 5] for i in own], [base[i] for i in own], words)
+        for i, code in zip(own, read, strict=True):
+            codes[i].append(code)
+    for i, (one, (groups, group_of, cache_bits)) in enumerate(zip(opened, heads, strict=True)):
+        width = one[3][1]
+        yield one, (readers[i], [codes[i][5 * g : 5 * g + 5] for g in range(groups)], group_of, width, width * one[1], cache_bits)
 
 
 def decode_all(files: Sequence[bytes]) -> list[np.ndarray]:
     """decode() of each. Images are read side by side, but for the longest ones (a step for a few images is no gain), and those that have bits for alpha."""
-    opened = [_opened(data) for data in files]
+    opened = [(width, height, undo, image) for (width, height, undo, _), image in _with_codes([_opened(data) for data in files])]
     fit = [i for i, (*_, (_, codes, _, _, total, _)) in enumerate(opened) if total >= FEW and not any(own[3].wide or own[3].table[0] != codes[0][3].table[0] for own in codes)]
     fit = sorted(fit, key=lambda i: opened[i][3][4])[: -SIDES or None]
     pixels = dict(zip(fit, _side_by_side([opened[i][3] for i in fit]), strict=True)) if fit else {}
@@ -1322,14 +1478,16 @@ def feature(pixels: np.ndarray) -> str:
 
 
 #: Texts, or files, that are taken side by side: so many, or of so many bytes.
-FILES, FILES_BYTES = 512, 4 << 20
+FILES, FILES_BYTES = 640, 4 << 20
 
 
 def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     _, offsets = text_bytes(batch.column(column))
     for begin, end in chunks(offsets, FILES_BYTES):
-        for at in range(begin, end, FILES):
-            yield batch.slice(at, min(end - at, FILES))
+        n = _up(end - begin, FILES)  # parts of about the same number
+        for k in range(n):
+            first, stop = begin + k * (end - begin) // n, begin + (k + 1) * (end - begin) // n
+            yield batch.slice(first, stop - first)
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

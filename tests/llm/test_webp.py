@@ -212,3 +212,30 @@ def test_reading_and_writing_calls_are_not_made_for_each_file(monkeypatch):
     files = webp.store_all(payloads)
     assert [x[:, :, :3].tobytes()[: len(p)] for p, x in zip(payloads, webp.decode_all(files), strict=True)] == payloads
     assert sum(name == "_by_tables" for name, _ in calls) <= webp.SIDES and ("write_pixels", True) not in calls
+
+
+def test_codes_of_many_files_are_read_side_by_side(monkeypatch):
+    """Code lengths of many files in steps, and small images from their bits: the same pixels as file by file, and the same faults."""
+    rng = np.random.default_rng(11)
+    texts = [webp.padded(bytes(rng.choice(np.frombuffer(b"abcdefgh \nEtaoinshrdlu", np.uint8), int(n)))) for n in rng.integers(300, 9000, 60)]
+    files = webp.store_all(texts)
+    assert files == [webp.store(x) for x in texts]
+    steps = []
+    inner = webp._read_codes
+    monkeypatch.setattr(webp, "_read_codes", lambda readers, *rest: steps.append(len(readers)) or inner(readers, *rest))
+    singly = []
+    one = webp.read_code
+    monkeypatch.setattr(webp, "read_code", lambda r, size: singly.append(size) or one(r, size))
+    got = webp.decode_all(files)
+    assert len(singly) < 5 * len(files) and max(steps) == len(files)
+    for text, own, pixels in zip(texts, files, got, strict=True):
+        assert pixels[:, :, :3].tobytes()[: len(text)] == text and np.array_equal(pixels, webp.decode(own))
+    with pytest.raises(ValueError):
+        webp.decode_all([x[:20] + x[20 : 20 + (len(x) - 20) // 3] for x in files])
+
+
+def test_order_of_places_is_stable():
+    rng = np.random.default_rng(2)
+    for high in (3, 1 << 39):
+        key = rng.integers(0, high, 5000)
+        assert np.array_equal(webp._in_order(key), np.argsort(key, kind="stable"))
